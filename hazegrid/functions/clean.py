@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazegrid.functions.names import named
+
 
 def cast_present(
     df: DataFrame, columns: Iterable[str], dtype: str, required: bool = False
@@ -19,10 +21,10 @@ def cast_present(
     out = {}
     for c in columns:
         if c in have and (have[c] != dtype or required):
-            value = F.col(c).cast(dtype)
+            value = named(c).cast(dtype)
             if required:
                 value = F.when(
-                    F.col(c).isNull(), F.raise_error(F.lit(f"null in column {c}")).cast(dtype)
+                    named(c).isNull(), F.raise_error(F.lit(f"null in column {c}")).cast(dtype)
                 ).otherwise(value)
             out[c] = value
     return df.withColumns(out) if out else df

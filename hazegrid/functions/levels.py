@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazegrid.functions.names import named
+
 # Thresholds and labels published with the sensor networks' reports.
 HARMFUL_FROM = 35.0
 LOW_UP_TO = 12.0
@@ -27,7 +29,7 @@ def is_low(value: Column) -> Column:
 def level_flags(df: DataFrame, harm: str, not_harm: str) -> DataFrame:
     """Add ``harmful`` and ``not_harmful`` from the two named columns."""
     return df.withColumns(
-        {"harmful": is_harmful(F.col(harm)), "not_harmful": is_low(F.col(not_harm))}
+        {"harmful": is_harmful(named(harm)), "not_harmful": is_low(named(not_harm))}
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.levels import is_harmful, is_low
+from hazegrid.functions.names import named
 from hazegrid.operators.filters import require_columns
 from hazegrid.operators.quantiles import grouped_stats, not_null
 
@@ -85,7 +86,7 @@ def summary_with_shares(
     parts = _share_parts(harm, not_harm, weight)
     if value:
         out = grouped_stats(
-            df, keys, value, carry={name: (F.sum, c) for name, c in parts.items()}
+            df, keys, value, carry={name: ("sum", c) for name, c in parts.items()}
         )
     else:
         out = (
@@ -200,8 +201,8 @@ def cell_stats(
 
 def site_profile(df: DataFrame, keys: Sequence[str], value: str, seen: str) -> DataFrame:
     """Value statistics and first/last seen text per site, columns ``name|stat``."""
-    seen_col = F.col(seen)
-    carry = {f"{seen}|min": (F.min, seen_col), f"{seen}|max": (F.max, seen_col)}
+    seen_col = named(seen)
+    carry = {f"{seen}|min": ("min", seen_col), f"{seen}|max": ("max", seen_col)}
     return grouped_stats(df, keys, value, carry=carry).withColumnsRenamed(
         {s: f"{value}|{s}" for s in ("median", "mean", "max", "sum", "count")}
     )

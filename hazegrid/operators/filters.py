@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazegrid.functions.names import named
+
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
@@ -22,13 +24,13 @@ def _every(conditions: Iterable[Column]) -> Column:
 def category_filter(df: DataFrame, wanted: Mapping[str, Sequence]) -> DataFrame:
     """Rows whose value is listed, for every column named."""
     require_columns(df, wanted)
-    return df.where(_every(F.col(c).isin(list(v)) for c, v in wanted.items()))
+    return df.where(_every(named(c).isin(list(v)) for c, v in wanted.items()))
 
 
 def range_filter(df: DataFrame, ranges: Mapping[str, Sequence]) -> DataFrame:
     """Rows inside every range, both ends included."""
     require_columns(df, ranges)
-    return df.where(_every(F.col(c).between(lo, hi) for c, (lo, hi) in ranges.items()))
+    return df.where(_every(named(c).between(lo, hi) for c, (lo, hi) in ranges.items()))
 
 
 def date_cutoff(df: DataFrame, time: str, cutoff: str, inclusive: bool = True) -> DataFrame:
@@ -63,7 +65,7 @@ def season_filter(
 
 
 def drop_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.na.drop("any", subset=list(columns) if columns else None)
+    return df.where(_every(named(c).isNotNull() for c in columns or df.columns))
 
 
 def min_support(df: DataFrame, thresholds: Mapping[str, int]) -> DataFrame:
@@ -76,15 +78,15 @@ def _centre_and_spread(df: DataFrame, columns: Sequence[str]) -> Column:
     """One struct with mean and population deviation of every column."""
     return df.agg(
         F.struct(
-            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+            *[F.avg(named(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+            *[F.stddev_pop(named(c)).alias(f"s{i}") for i, c in enumerate(columns)],
         )
     ).scalar()
 
 
 def _is_inlier(stats: Column, columns: Sequence[str], limit: float) -> Column:
     return _every(
-        F.abs(F.try_divide(F.col(c) - stats.getField(f"m{i}"), stats.getField(f"s{i}"))) < limit
+        F.abs(F.try_divide(named(c) - stats.getField(f"m{i}"), stats.getField(f"s{i}"))) < limit
         for i, c in enumerate(columns)
     )
 
@@ -102,12 +104,12 @@ def zscore_filter(df: DataFrame, columns: Sequence[str], limit: float = 4.0) ->
 
 def zscore_report(df: DataFrame, columns: Sequence[str], limit: float = 4.0) -> DataFrame:
     """What ``zscore_filter`` removes: counts and percentages, one row."""
-    full = _every(F.col(c).isNotNull() for c in columns)
+    full = _every(named(c).isNotNull() for c in columns)
     stats = _centre_and_spread(df.where(full), columns)
     inlier = full & F.coalesce(_is_inlier(stats, columns, limit), F.lit(False))
     counted = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(_every(F.col(c).isNull() for c in columns)).alias("n_all_null"),
+        F.count_if(_every(named(c).isNull() for c in columns)).alias("n_all_null"),
         F.count_if(full).alias("n_not_null"),
         F.count_if(inlier).alias("n_kept"),
     )

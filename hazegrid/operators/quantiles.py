@@ -1,84 +1,67 @@
 """Exact grouped statistics that stay distributed when one group is huge.
 
-``percentile`` keeps every distinct value of a group in one task's memory. That
-is right for ordinary groups and wrong for a key that holds a third of a table,
-so the work is arranged as follows.
-
-1. Rows collapse to ``(keys, value, count)``. The exchange is on keys *and*
-   value, so a hot key's rows spread over all tasks and copies fold map-side.
-2. Groups with at most ``hot_values`` distinct values finish with the built-in
-   ``percentile(value, p, count)``.
-3. The others are cut into value bands of equal size (bounds from the mergeable
-   ``percentile_approx`` sketch), ranked band by band, and only offsets per band
-   meet in one place. A band holds about 1/BANDS of all hot values, whatever
-   their distribution. The result is exact: the sketch only places the cuts.
-
-Without keys there is a single group, so step 3 is used directly.
+``percentile`` keeps the distinct values of a group in one task's memory. That is
+right for ordinary groups and wrong for a key that holds a third of a table:
+
+* Groups of at most ``hot_rows`` rows take the built-in aggregate, one shuffle.
+* The others are found by a count over the key columns alone. Their rows fold to
+  ``(keys, value, count)``, shuffled on keys *and* value, so copies combine
+  map-side and a hot key spreads over all tasks. The values are then cut into
+  bands of equal size, ranked band by band, and only band totals meet in one
+  place. A band holds about 1/BANDS of all hot values whatever their
+  distribution. The result is exact: the ``percentile_approx`` sketch only
+  places the cuts.
+
+Without keys there is a single group, which always takes the second way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_VALUES = 1_000_000
-BANDS = 256
+from hazegrid.functions.names import named
+
+HOT_ROWS = 5_000_000
+BANDS = 8 * 8 * 16
 
-STATS = ("mean", "max", "min", "sum", "count")
 MEDIAN = {"median": 0.5}
 
 
 def not_null(keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
-        cond = cond & F.col(k).isNotNull()
+        cond = cond & named(k).isNotNull()
     return cond
 
 
-def equal_bands(df: DataFrame, col: str, bands: int = BANDS) -> Column:
-    """Band number of ``col``: equally filled bands over the whole of ``df``."""
-    cuts = [i / bands for i in range(1, bands)]
-    bounds = (
-        df.where(F.col(col).isNotNull())
-        .agg(F.percentile_approx(col, cuts, 10_000).alias("bounds"))
-        .scalar()
-    )
-    # Highest bound at or below the value; bounds ascend, so counting them is enough.
-    return F.size(F.filter(bounds, lambda b: b <= F.col(col)))
-
-
 def grouped_stats(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     stats: Sequence[str] = ("mean", "max", "sum", "count"),
     quantiles: Mapping[str, float] = MEDIAN,
-    carry: Mapping[str, tuple[Callable, Column]] | None = None,
-    hot_values: int = HOT_VALUES,
+    carry: Mapping[str, tuple[str, Column]] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per group: the named quantiles (linear interpolation) and statistics.
 
     Rows with a null key are dropped. ``count`` counts rows including null
     values, ``sum`` of nothing is 0, the others are null when nothing is there.
     ``carry`` names further aggregates made in the same passes, each a pair of
-    ``F.sum``, ``F.min`` or ``F.max`` and the per-row column it takes.
+    ``"sum"``, ``"min"`` or ``"max"`` and the per-row column it takes.
     """
-    keys = list(keys)
     carry = dict(carry or {})
-    counts = (
-        df.where(not_null(keys))
-        .withColumn("__v", F.col(value).cast("double"))
-        .groupBy(*keys, "__v")
-        .agg(
-            F.count(F.lit(1)).alias("__c"),
-            *[fn(c).alias(f"__x_{name}") for name, (fn, c) in carry.items()],
-        )
+    rows = df.where(not_null(keys)).select(
+        *[named(k) for k in keys],
+        named(value).cast("double").alias("__v"),
+        F.lit(1).cast("bigint").alias("__c"),
+        *[c.alias(name) for name, (_, c) in carry.items()],
     )
     folds = {name: fn for name, (fn, _) in carry.items()}
-    return stats_of_counts(counts, keys, stats, quantiles, folds, hot_values)
+    return stats_of_counts(rows, keys, stats, quantiles, folds, hot_rows)
 
 
 def stats_of_counts(
@@ -86,143 +69,148 @@ def stats_of_counts(
     keys: Sequence[str],
     stats: Sequence[str],
     quantiles: Mapping[str, float],
-    folds: Mapping[str, Callable] | None = None,
-    hot_values: int = HOT_VALUES,
+    folds: Mapping[str, str] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``grouped_stats`` from rows already folded to ``(keys, __v, __c)``."""
+    """``grouped_stats`` of rows ``(keys, __v, __c)`` that stand for ``__c`` readings."""
     keys, folds = list(keys), dict(folds or {})
+    by = [f"`{k}`" for k in keys]
     if not quantiles:
-        return counts.groupBy(*keys).agg(*_plain(stats, folds))
+        return counts.groupBy(*by).agg(*_plain(stats, folds))
     if not keys:
         return _banded(counts, keys, stats, quantiles, folds)
 
-    # Every column of `counts` is used on purpose: the three readers below then
-    # share one exchange. At most rows/hot_values groups can be hot, so the
-    # broadcast side is smaller than the table by that factor.
-    hot = (
-        counts.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__distinct"),
-            F.sum("__c").alias("__rows"),
-            *[F.count(f"__x_{a}").alias(f"__n_{a}") for a in folds],
-        )
-        .where(
-            (F.col("__distinct") > hot_values)
-            & (F.col("__rows") >= F.col("__distinct"))
-            & _all([F.col(f"__n_{a}") >= 0 for a in folds])
-        )
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    marked = counts.join(F.broadcast(hot), keys, "left")
+    # At most rows/hot_rows groups can be hot, which bounds the broadcast side.
+    hot = counts.groupBy(*by).agg(F.expr("count(1) AS __n")).where(f"__n > {hot_rows}").select(*by)
+    wanted = ", ".join(f"{p!r}D" for p in quantiles.values())
     ordinary = (
-        marked.where(F.col("__hot").isNull())
-        .groupBy(*keys)
-        .agg(
-            F.percentile("__v", list(quantiles.values()), F.col("__c")).alias("__q"),
-            *_plain(stats, folds),
-        )
-        .select(
-            *keys,
-            *[F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)],
-            *stats,
-            *folds,
+        counts.join(F.broadcast(hot), keys, "left_anti")
+        .groupBy(*by)
+        .agg(F.expr(f"percentile(__v, array({wanted}), __c) AS __q"), *_plain(stats, folds))
+        .selectExpr(
+            *by,
+            *[f"__q[{i}] AS `{name}`" for i, name in enumerate(quantiles)],
+            *[f"`{c}`" for c in [*stats, *folds]],
         )
     )
     large = _banded(
-        counts.join(F.broadcast(hot), keys, "inner").drop("__hot"), keys, stats, quantiles, folds
+        counts.join(F.broadcast(hot), keys, "left_semi"), keys, stats, quantiles, folds
     )
     return ordinary.unionByName(large)
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
-def _plain(stats: Sequence[str], folds: Mapping[str, Callable]) -> list[Column]:
-    v, c = F.col("__v"), F.col("__c")
-    n = F.sum(F.when(v.isNotNull(), c))
-    total = F.sum(v * c)
+def _plain(stats: Sequence[str], folds: Mapping[str, str]) -> list[Column]:
     made = {
-        "mean": F.try_divide(total, n),
-        "max": F.max(v),
-        "min": F.min(v),
-        "sum": F.coalesce(total, F.lit(0.0)),
-        "count": F.sum(c),
+        "mean": "try_divide(sum(__v * __c), sum(if(__v IS NULL, 0, __c)))",
+        "max": "max(__v)",
+        "min": "min(__v)",
+        "sum": "coalesce(sum(__v * __c), 0D)",
+        "count": "sum(__c)",
     }
-    return [made[s].alias(s) for s in stats] + [
-        fn(f"__x_{a}").alias(a) for a, fn in folds.items()
+    return [F.expr(f"{made[s]} AS `{s}`") for s in stats] + [
+        F.expr(f"{fn}(`{name}`) AS `{name}`") for name, fn in folds.items()
     ]
 
 
+def with_bands(df: DataFrame, col: str) -> DataFrame:
+    """Add ``__band``: equally filled bands of ``col`` over all rows; -1 for null.
+
+    The bounds ascend, so a value's band is the number of bounds at or below it.
+    It is counted in three steps, every 128th, every 16th and then each bound, to
+    compare with 29 bounds and not with all of them.
+    """
+    cuts = ", ".join(f"{i / BANDS!r}D" for i in range(1, BANDS))
+    bounds = (
+        df.selectExpr(f"percentile_approx({col}, array({cuts}), 10000) AS b")
+        .selectExpr(
+            "struct(b AS each, transform(sequence(1, 63), i -> b[16 * i - 1]) AS some,"
+            " transform(sequence(1, 7), i -> b[128 * i - 1]) AS few) AS b"
+        )
+        .scalar()
+    )
+    steps = df.withColumns(
+        {f"__{level}": bounds.getField(level) for level in ("few", "some", "each")}
+    )
+    for level, start, fan in (("few", "0", 8), ("some", "__k", 8), ("each", "__k", 16)):
+        below = f"size(filter(slice(__{level}, {start} * {fan} + 1, {fan - 1}), b -> b <= {col}))"
+        steps = steps.withColumn("__k", F.expr(f"{start} * {fan} + {below}"))
+    # Never null, or a join on the band would first test every row for it.
+    return steps.withColumn("__band", F.expr(f"if({col} IS NULL, -1, coalesce(__k, 0))")).drop(
+        "__few", "__some", "__each", "__k"
+    )
+
+
 def _banded(
-    counts: DataFrame,
+    rows: DataFrame,
     keys: list[str],
     stats: Sequence[str],
     quantiles: Mapping[str, float],
-    folds: Mapping[str, Callable],
+    folds: Mapping[str, str],
 ) -> DataFrame:
-    v, c = F.col("__v"), F.col("__c")
-    banded = counts.withColumn(
-        "__band", F.when(v.isNull(), F.lit(-1)).otherwise(equal_bands(counts, "__v"))
+    by = [f"`{k}`" for k in keys]
+    counts = rows.groupBy(*by, "__v").agg(
+        F.expr("sum(__c) AS __c"),
+        *[F.expr(f"{fn}(`{name}`) AS `{name}`") for name, fn in folds.items()],
     )
+    banded = with_bands(counts, "__v")
     # One row per group and band: at most BANDS + 1 rows meet per group.
-    per_band = banded.groupBy(*keys, "__band").agg(
-        F.sum(F.when(v.isNotNull(), c).otherwise(F.lit(0))).alias("__n"),
-        F.sum(c).alias("__rows"),
-        F.sum(v * c).alias("__s"),
-        F.min(v).alias("__lo"),
-        F.max(v).alias("__hi"),
-        *[fn(f"__x_{a}").alias(f"__t_{a}") for a, fn in folds.items()],
+    per_band = banded.groupBy(*by, "__band").agg(
+        F.expr("sum(if(__v IS NULL, 0, __c)) AS __n"),
+        F.expr("sum(__c) AS __rows"),
+        F.expr("sum(__v * __c) AS __s"),
+        F.expr("min(__v) AS __lo"),
+        F.expr("max(__v) AS __hi"),
+        *[F.expr(f"{fn}(`{name}`) AS `{name}`") for name, fn in folds.items()],
     )
-    below = W.partitionBy(*keys).orderBy("__band").rowsBetween(W.unboundedPreceding, -1)
-    group = W.partitionBy(*keys)
-    offsets = per_band.select(
-        *keys,
+    group = f"PARTITION BY {', '.join(by)}" if by else ""
+    below = f"({group} ORDER BY __band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = {
+        "__total": "sum(__n)",
+        "__count": "sum(__rows)",
+        "__sum": "sum(__s)",
+        "__min": "min(__lo)",
+        "__max": "max(__hi)",
+        **{f"__all_{name}": f"{fn}(`{name}`)" for name, fn in folds.items()},
+    }
+    offsets = per_band.selectExpr(
+        *by,
         "__band",
-        F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__before"),
-        F.sum("__n").over(group).alias("__total"),
-        F.sum("__rows").over(group).alias("__count"),
-        F.sum("__s").over(group).alias("__sum"),
-        F.min("__lo").over(group).alias("__min"),
-        F.max("__hi").over(group).alias("__max"),
-        *[fn(f"__t_{a}").over(group).alias(f"__a_{a}") for a, fn in folds.items()],
+        f"coalesce(sum(__n) OVER {below}, 0) AS __before",
+        *[f"{fn} OVER ({group}) AS `{name}`" for name, fn in whole.items()],
     )
-    upto = (
-        W.partitionBy(*keys, "__band").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    ranked = banded.join(offsets, [*keys, "__band"]).withColumn(
-        "__end",
-        F.col("__before") + F.sum(F.when(v.isNotNull(), c).otherwise(F.lit(0))).over(upto),
+    inside = f"PARTITION BY {', '.join([*by, '__band'])}"
+    ranked = (
+        banded.drop(*folds)
+        .join(offsets, [*keys, "__band"])
+        .selectExpr(
+            "*",
+            f"__before + sum(if(__v IS NULL, 0, __c)) OVER ({inside} ORDER BY __v"
+            " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __end",
+        )
     )
-    start, end = F.col("__end") - c, F.col("__end")
     picks, finals = [], []
     for i, (name, p) in enumerate(quantiles.items()):
-        spot = F.lit(float(p)) * (F.col("__total") - 1)
-        for side, rank in (("l", F.floor(spot)), ("h", F.ceil(spot))):
-            hit = v.isNotNull() & (start <= rank) & (rank < end)
-            picks.append(F.max(F.when(hit, v)).alias(f"__{side}{i}"))
-        share = spot - F.floor(spot)
-        low, high = F.col(f"__l{i}"), F.col(f"__h{i}")
-        finals.append((low * (1 - share) + high * share).alias(name))
+        spot = f"({float(p)!r}D * (__total - 1))"
+        for side, rank in (("l", f"floor({spot})"), ("h", f"ceil({spot})")):
+            hit = f"__v IS NOT NULL AND __end - __c <= {rank} AND {rank} < __end"
+            picks.append(F.expr(f"max(if({hit}, __v, NULL)) AS __{side}{i}"))
+        share = f"({spot} - floor({spot}))"
+        finals.append(f"__l{i} * (1 - {share}) + __h{i} * {share} AS `{name}`")
     made = {
-        "mean": F.try_divide(F.col("__sum"), F.col("__total")),
-        "max": F.col("__max"),
-        "min": F.col("__min"),
-        "sum": F.coalesce(F.col("__sum"), F.lit(0.0)),
-        "count": F.coalesce(F.col("__count"), F.lit(0)),
+        "mean": "try_divide(__sum, __total)",
+        "max": "__max",
+        "min": "__min",
+        "sum": "coalesce(__sum, 0D)",
+        "count": "coalesce(__count, 0L)",
     }
-    whole = ["__total", "__count", "__sum", "__min", "__max", *[f"__a_{a}" for a in folds]]
     return (
-        ranked.groupBy(*keys)
-        .agg(*[F.max(x).alias(x) for x in whole], *picks)
-        .select(
-            *keys,
+        ranked.groupBy(*by)
+        .agg(*[F.expr(f"max(`{x}`) AS `{x}`") for x in whole], *picks)
+        .selectExpr(
+            *by,
             *finals,
-            *[made[s].alias(s) for s in stats],
-            *[F.col(f"__a_{a}").alias(a) for a in folds],
+            *[f"{made[s]} AS `{s}`" for s in stats],
+            *[f"`__all_{name}` AS `{name}`" for name in folds],
         )
     )
 
@@ -233,16 +221,21 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
     A plain ``row_number`` would sort a whole group in one task. Here each group
     is cut into bands of the order column, and band offsets are added back.
     """
-    keys = list(keys)
-    banded = df.withColumn("__band", equal_bands(df, order))
-    sizes = banded.groupBy(*keys, "__band").agg(F.count(F.lit(1)).alias("__n"))
-    below = W.partitionBy(*keys).orderBy("__band").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "__band", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__before")
+    by = ", ".join(f"`{k}`" for k in keys)
+    banded = with_bands(df, order)
+    offsets = (
+        banded.groupBy(*keys, "__band")
+        .agg(F.expr("count(1) AS __n"))
+        .selectExpr(
+            *keys,
+            "__band",
+            f"coalesce(sum(__n) OVER (PARTITION BY {by} ORDER BY __band"
+            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before",
+        )
     )
-    inside = W.partitionBy(*keys, "__band").orderBy(order)
+    inside = f"row_number() OVER (PARTITION BY {by}, __band ORDER BY `{order}`)"
     return (
         banded.join(offsets, [*keys, "__band"])
-        .withColumn(name, F.col("__before") + F.row_number().over(inside) - 1)
+        .withColumn(name, F.expr(f"__before + {inside} - 1"))
         .drop("__band", "__before")
     )

@@ -10,8 +10,10 @@ from hazegrid.functions import geometry as G
 from hazegrid.functions.calendar import calendar_features, join_date_and_time
 from hazegrid.functions.clean import cast_present, fill_parent, parse_point
 from hazegrid.functions.levels import level_flags
+from hazegrid.functions.names import named
 from hazegrid.operators.aggregates import site_profile, summary_with_shares
 from hazegrid.operators.filters import date_floor, zscore_filter
+from hazegrid.operators.quantiles import not_null
 from hazegrid.operators.joins import attach_parent_name, outdoor_only
 
 # Columns of the regulatory feed that are codes, not numbers.
@@ -61,7 +63,7 @@ def epa_sites(typed: DataFrame) -> DataFrame:
 def process_epa(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw regulatory records to (slim readings, site table)."""
     typed = epa_typed(raw)
-    return typed.select(*EPA_KEPT), epa_sites(typed)
+    return typed.select(*map(named, EPA_KEPT)), epa_sites(typed)
 
 
 def epa_daily(readings: DataFrame) -> DataFrame:
@@ -89,8 +91,8 @@ def purpleair_typed(raw: DataFrame) -> DataFrame:
 def purpleair_sites(typed: DataFrame) -> DataFrame:
     """Site profile with the parent's address and the sensor's square."""
     profile = site_profile(typed, schemas.PURPLEAIR_SITE_KEYS, PM, "created_at")
-    named = attach_parent_name(profile, "ID", "ParentID", "address", "std_address")
-    return named.withColumn("envelope", G.site_box(F.col("lon"), F.col("lat")))
+    family = attach_parent_name(profile, "ID", "ParentID", "address", "std_address")
+    return family.withColumn("envelope", G.site_box(F.col("lon"), F.col("lat")))
 
 
 def process_purpleair(
@@ -103,15 +105,16 @@ def process_purpleair(
     typed = purpleair_typed(raw)
     sites = purpleair_sites(typed) if sites is None else sites
     # Which site is outdoors does not need the statistics: distinct keys will do.
-    places = typed.select("address", "ID", "ParentID", "device_loc").distinct()
-    outdoor = outdoor_only(typed.select(*PURPLEAIR_KEPT), places)
+    keyed = typed.where(not_null(schemas.PURPLEAIR_SITE_KEYS))
+    places = keyed.select("address", "ID", "device_loc").distinct()
+    outdoor = outdoor_only(typed.select(*map(named, PURPLEAIR_KEPT)), places)
     return zscore_filter(outdoor, [PM]), sites
 
 
 def purpleair_daily(readings: DataFrame, first_day: str = "2017-10-01") -> DataFrame:
     """Per day and address: value statistics and shares, from ``first_day`` on."""
     timed = readings.withColumn(
-        "created_at", F.to_timestamp_ntz(F.regexp_replace("created_at", "[TZ]", " "))
+        "created_at", F.to_timestamp_ntz(F.trim(F.translate("created_at", "TZ", "  ")))
     )
     kept = date_floor(calendar_features(timed, "created_at"), "Daily", first_day)
     flagged = level_flags(kept, PM, PM)
