@@ -1 +1,272 @@
-"""To be filled."""
+"""Feature preparation and classifiers."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from hazegrid.catalog import register
+from hazegrid.catalog import tables as D
+from hazegrid.catalog.tables import with_tables
+from hazegrid.operators import features as M
+from hazegrid.operators.models import fit_model, predict, score_model
+
+TRAIN_YEARS, TEST_YEARS = [1995, 1996, 1997, 1998, 1999], [2000, 2001]
+KEY = ["l_orderkey", "l_linenumber"]
+
+
+def items(spark, d):
+    """Line items with gaps in quantity and return flag, and a boolean."""
+    li = D.table(spark, d, "lineitem")
+    gap = F.col("l_orderkey") % 11 == 0
+    return li.select(
+        *KEY,
+        F.when(~gap, F.col("l_quantity")).alias("l_quantity"),
+        "l_extendedprice",
+        F.when(~gap, F.col("l_returnflag")).alias("l_returnflag"),
+        F.when(~gap, F.col("l_discount") > 0.05).alias("discounted"),
+        F.year("l_shipdate").alias("Year"),
+    )
+
+
+def halves(spark, d):
+    return M.temporal_split(items(spark, d), TRAIN_YEARS, TEST_YEARS)
+
+
+def both(train, test):
+    """Both tables in one, marked, so one query shows what happened to each."""
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+ITEMS = {
+    "items": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 11 <> 0 THEN l_quantity END AS l_quantity,
+                  l_extendedprice, CASE WHEN l_orderkey % 11 <> 0 THEN l_returnflag END AS l_returnflag,
+                  CASE WHEN l_orderkey % 11 <> 0 THEN l_discount > 0.05 END AS discounted,
+                  year(l_shipdate)::INTEGER AS "Year" FROM lineitem""",
+    "train": 'SELECT * FROM items WHERE "Year" BETWEEN 1995 AND 1999',
+    "parts": """SELECT *, CASE WHEN "Year" <= 1999 THEN 'train' ELSE 'test' END AS part FROM items
+                WHERE "Year" BETWEEN 1995 AND 2001""",
+}
+
+
+def _sql(body: str, **more: str) -> str:
+    return with_tables("", body, **ITEMS, **more)
+
+
+# A fixed arithmetic rule, so that both engines draw the same rows.
+_DRAW = "(l_orderkey * 7919 + l_linenumber) % 100 < 80"
+
+
+@register(
+    "random_split",
+    f"""SELECT l_orderkey, l_linenumber, CASE WHEN {_DRAW} THEN 'train' ELSE 'test' END AS part FROM lineitem""",
+)
+def random_split(spark, d):
+    rows = D.table(spark, d, "lineitem").select(*KEY)
+    return both(*M.split_by(rows, F.expr(_DRAW)))
+
+
+@register("random_split_hashed", "SELECT l_orderkey, l_linenumber FROM lineitem")
+def random_split_hashed(spark, d):
+    """The library's own draw: its two parts make up the table."""
+    return both(*M.random_split(D.table(spark, d, "lineitem").select(*KEY), 0.3, 7)).drop("part")
+
+
+@register("temporal_split", _sql('SELECT l_orderkey, l_linenumber, "Year", part FROM parts'))
+def temporal_split(spark, d):
+    return both(*halves(spark, d)).select(*KEY, "Year", "part")
+
+
+@register(
+    "impute",
+    _sql(
+        """SELECT l_orderkey, l_linenumber, coalesce(l_quantity, (SELECT avg(l_quantity) FROM train)) AS l_quantity,
+                  l_extendedprice, coalesce(l_returnflag, 'none') AS l_returnflag,
+                  coalesce(discounted::INTEGER, 0) AS discounted, "Year", part FROM parts"""
+    ),
+    {"l_quantity": 6},
+)
+def impute(spark, d):
+    return both(
+        *M.impute(
+            *halves(spark, d),
+            bools=["discounted"],
+            bool_fill=0,
+            numbers=["l_quantity", "l_extendedprice"],
+            texts=["l_returnflag"],
+            text_fill="none",
+        )
+    )
+
+
+@register(
+    "standardize",
+    _sql(
+        """SELECT l_orderkey, l_linenumber, part,
+             (l_quantity - (SELECT avg(l_quantity) FROM train)) / (SELECT stddev_pop(l_quantity) FROM train)
+               AS "Norm l_quantity",
+             (l_extendedprice - (SELECT avg(l_extendedprice) FROM train))
+               / (SELECT stddev_pop(l_extendedprice) FROM train) AS "Norm l_extendedprice" FROM parts"""
+    ),
+    "Norm l_quantity, Norm l_extendedprice",
+)
+def standardize(spark, d):
+    train, test = M.standardize(*halves(spark, d), ["l_quantity", "l_extendedprice"])
+    return both(train, test).select(*KEY, "part", "Norm l_quantity", "Norm l_extendedprice")
+
+
+@register(
+    "minmax_rescale",
+    _sql(
+        """SELECT l_orderkey, l_linenumber, part, (l_extendedprice - (SELECT min(l_extendedprice) FROM train))
+             / (SELECT max(l_extendedprice) - min(l_extendedprice) FROM train) AS "Rescaled l_extendedprice" FROM parts"""
+    ),
+    "Rescaled l_extendedprice",
+)
+def minmax_rescale(spark, d):
+    train, test = M.minmax_rescale(*halves(spark, d), ["l_extendedprice"])
+    return both(train, test).select(*KEY, "part", "Rescaled l_extendedprice")
+
+
+_FLAGS = ", ".join(
+    f"""coalesce((l_returnflag = '{v}')::INTEGER, 0) AS "flag_{v}" """ for v in ("A", "N", "R")
+)
+
+
+@register("one_hot", _sql(f"SELECT l_orderkey, l_linenumber, part, {_FLAGS} FROM parts"))
+def one_hot(spark, d):
+    train, test = M.one_hot(*halves(spark, d), ["l_returnflag"], ["flag"])
+    return both(train, test).select(*KEY, "part", "flag_A", "flag_N", "flag_R")
+
+
+@register(
+    "one_hot_encoder",
+    """SELECT (c_mktsegment = 'AUTOMOBILE')::INTEGER::DOUBLE AS "c_mktsegment_<AUTOMOBILE>",
+              (c_mktsegment = 'BUILDING')::INTEGER::DOUBLE AS "c_mktsegment_<BUILDING>",
+              (c_mktsegment = 'FURNITURE')::INTEGER::DOUBLE AS "c_mktsegment_<FURNITURE>",
+              (c_mktsegment = 'HOUSEHOLD')::INTEGER::DOUBLE AS "c_mktsegment_<HOUSEHOLD>",
+              (c_mktsegment = 'MACHINERY')::INTEGER::DOUBLE AS "c_mktsegment_<MACHINERY>" FROM customer""",
+)
+def one_hot_encoder(spark, d):
+    return M.OneHotEncoder(["c_mktsegment"]).fit_transform(D.table(spark, d, "customer"))
+
+
+def _cuts(edges: str, labels: list[str], first_closed: bool) -> str:
+    start = f"x = {edges}[1] OR " if first_closed else ""
+    parts = []
+    for i, label in enumerate(labels):
+        more = start if i == 0 else ""
+        parts.append(f"WHEN {more}(x > {edges}[{i + 1}] AND x <= {edges}[{i + 2}]) THEN '{label}'")
+    return f"CASE {' '.join(parts)} END"
+
+
+@register(
+    "quantile_bins",
+    _sql(
+        f"""SELECT l_orderkey, l_linenumber, part, {_cuts('e', ['q1', 'q2', 'q3', 'q4'], True)}
+                   AS "Discrete l_extendedprice"
+            FROM (SELECT *, l_extendedprice AS x FROM parts),
+                 (SELECT quantile_cont(l_extendedprice, [0, 0.25, 0.5, 0.75, 1]) AS e FROM train)"""
+    ),
+)
+def quantile_bins(spark, d):
+    train, test = M.quantile_bins(*halves(spark, d), "l_extendedprice", 4, ["q1", "q2", "q3", "q4"])
+    return both(train, test).select(*KEY, "part", "Discrete l_extendedprice")
+
+
+_LOHI = """SELECT part, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM parts GROUP BY part"""
+
+
+@register(
+    "width_bins",
+    _sql(
+        f"""SELECT l_orderkey, l_linenumber, part, {_cuts('e', ['a', 'b', 'c', 'd', 'e'], False)}
+                   AS "Discrete l_extendedprice"
+            FROM (SELECT *, l_extendedprice AS x FROM parts)
+            JOIN (SELECT part, [lo - (hi - lo) * 0.001::DOUBLE, lo + (hi - lo) * 1 / 5, lo + (hi - lo) * 2 / 5,
+                                lo + (hi - lo) * 3 / 5, lo + (hi - lo) * 4 / 5, hi] AS e FROM ({_LOHI})) USING (part)"""
+    ),
+)
+def width_bins(spark, d):
+    train, test = M.width_bins(*halves(spark, d), "l_extendedprice", 5, ["a", "b", "c", "d", "e"])
+    return both(train, test).select(*KEY, "part", "Discrete l_extendedprice")
+
+
+@register(
+    "width_bins_edges",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 1 AND l_quantity < 10 THEN 'few'
+         WHEN l_quantity >= 10 AND l_quantity < 40 THEN 'some' WHEN l_quantity >= 40 AND l_quantity < 50 THEN 'many'
+         END AS "Discrete l_quantity" FROM lineitem""",
+)
+def width_bins_edges(spark, d):
+    rows = D.table(spark, d, "lineitem").select(*KEY, "l_quantity")
+    out, _ = M.width_bins(rows, None, "l_quantity", [1, 10, 40, 50], ["few", "some", "many"], right=False)
+    return out.drop("l_quantity")
+
+
+_PREPARED = """coalesce(l_quantity, (SELECT avg(l_quantity) FROM train)) AS l_quantity,
+               coalesce(discounted::INTEGER, 0) AS discounted"""
+
+
+@register(
+    "prepare_train_test",
+    _sql(
+        f"""SELECT l_orderkey, l_linenumber, part, discounted,
+               (l_quantity - (SELECT avg(l_quantity) FROM filled WHERE part = 'train'))
+                 / (SELECT stddev_pop(l_quantity) FROM filled WHERE part = 'train') AS "Norm l_quantity",
+               {_FLAGS.replace('flag_', 'l_returnflag_')} FROM filled""",
+        filled=f"SELECT * REPLACE ({_PREPARED}) FROM parts",
+    ),
+    "Norm l_quantity",
+)
+def prepare_train_test(spark, d):
+    train, test = M.prepare_train_test(
+        *halves(spark, d), ["l_quantity"], ["l_returnflag"], ["discounted"], 0
+    )
+    return both(train, test).drop("l_quantity", "l_extendedprice", "Year")
+
+
+@register(
+    "temporal_train_test",
+    _sql(
+        f"""SELECT l_orderkey, l_linenumber, part,
+               (l_extendedprice - (SELECT avg(l_extendedprice) FROM train))
+                 / (SELECT stddev_pop(l_extendedprice) FROM train) AS "Norm l_extendedprice",
+               {_FLAGS.replace('flag_', 'l_returnflag_')} FROM parts"""
+    ),
+    "Norm l_extendedprice",
+)
+def temporal_train_test(spark, d):
+    train, test = M.temporal_train_test(
+        items(spark, d), TRAIN_YEARS, TEST_YEARS, ["l_extendedprice"], ["l_returnflag"]
+    )
+    return both(train, test).drop("l_quantity", "l_extendedprice", "discounted", "Year")
+
+
+# ---- classifiers: no SQL equivalent -----------------------------------------
+
+
+def _documents(spark, d):
+    labelled = D.table(spark, d, "documents").select("doc_id", "n_chars", "lang").join(
+        D.table(spark, d, "labels").select("doc_id", "quality"), "doc_id"
+    )
+    encoded, _ = M.one_hot(labelled, None, ["lang"])
+    scaled, _ = M.standardize(encoded, None, ["n_chars"])
+    inputs = ["Norm n_chars", *sorted(c for c in scaled.columns if c.startswith("lang_"))]
+    return scaled, inputs
+
+
+@register("fit_model")
+def fit_model_query(spark, d):
+    data, inputs = _documents(spark, d)
+    train, test = M.random_split(data, 0.25, 3, ["doc_id"])
+    model, _ = fit_model(train, inputs, "quality", LogisticRegression(), {"maxIter": 20, "regParam": 0.01})
+    return predict(test, inputs, model).select("doc_id", "quality", "prediction")
+
+
+@register("score_model")
+def score_model_query(spark, d):
+    data, inputs = _documents(spark, d)
+    train, test = M.random_split(data, 0.25, 3, ["doc_id"])
+    model, _ = fit_model(train, inputs, "quality", LogisticRegression(), {"maxIter": 20, "regParam": 0.01})
+    return score_model(test, inputs, "quality", model)

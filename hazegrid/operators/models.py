@@ -30,8 +30,12 @@ def fit_model(
     return model, time.perf_counter() - started
 
 
+def predict(df: DataFrame, features: Sequence[str], model: Model) -> DataFrame:
+    return model.transform(_assemble(df, features))
+
+
 def score_model(df: DataFrame, features: Sequence[str], label: str, model: Model) -> DataFrame:
     """Mean accuracy, one row."""
-    predicted = model.transform(_assemble(df, features))
+    predicted = predict(df, features, model)
     hit = (F.col("prediction") == F.col(label).cast("double")).cast("double")
     return predicted.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
