@@ -1 +1,549 @@
-"""To be filled."""
+"""User-level jobs over the derived sensor tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from hazegrid.catalog import register
+from hazegrid.catalog import tables as D
+from hazegrid.catalog.aggs import EPA_DAILY, EPA_FLAGS, EPA_PROFILE, PA_CLEAN, PA_PROFILE, shares
+from hazegrid.catalog.exprs import GRID
+from hazegrid.catalog.joins import TOUCH_SQL
+from hazegrid.catalog.tables import inside_sql, with_tables
+from hazegrid.functions import geometry as G
+from hazegrid.functions.calendar import calendar_features
+from hazegrid.operators import aggregates as A
+from hazegrid.operators.spatial import HexGrid, extent
+from hazegrid.plans import community, compare, geodims, neighborhood, refresh, reports
+from hazegrid.plans import sites as S
+from hazegrid.session import materialize, new_path
+
+FIRST_DAY = "2024-01-01"
+AQ_SUPPORT, EPA_SUPPORT, PA_SUPPORT = {"count": 80, "hex_ct": 5}, {"count": 62}, {"count": 90}
+
+# ---- tables made by one job and read by the next -----------------------------
+
+
+def tagged_points(spark, d):
+    """Geotagged points, written once: several tables are made from them."""
+    areas = D.neighborhoods(spark, d)
+    tagged = community.tag_points(
+        D.community_points(spark, d),
+        D.blocks(spark, d),
+        areas,
+        D.hexagons(spark, d),
+        HexGrid.over(extent(areas)),
+    )
+    return materialize(tagged)
+
+
+def by_hexagon(spark, d):
+    cells = A.cell_stats(tagged_points(spark, d), "hexagon_id", "thirtymins", "value")
+    return materialize(calendar_features(cells, "thirtymins"))
+
+
+def epa_daily(spark, d):
+    return S.epa_daily(S.process_epa(D.epa_raw(spark, d))[0])
+
+
+def purpleair_daily(spark, d):
+    clean, _ = S.process_purpleair(D.purpleair_raw(spark, d))
+    return S.purpleair_daily(materialize(clean), FIRST_DAY)
+
+
+def neighborhood_rows(spark, d):
+    return materialize(community.neighborhood_table(tagged_points(spark, d)))
+
+
+HEX = {
+    "flag_points": """SELECT *, time_bucket(INTERVAL '30 minutes', time) AS thirtymins,
+                        CASE WHEN value >= 35 THEN 1.0 WHEN value < 35 THEN 0.0 END::DOUBLE AS harmful,
+                        CASE WHEN value <= 12 THEN 1.0 WHEN value > 12 THEN 0.0 END::DOUBLE AS not_harmful
+                      FROM points""",
+    "hex_pairs": inside_sql("points", "hexagon_edges", "id", "hexagon_id", "lng", "lat"),
+    "block_pairs": inside_sql("points", "block_edges", "id", "geoid10", "lng", "lat"),
+    "area_pairs": inside_sql("points", "area_edges", "id", "pri_neigh", "lng", "lat"),
+    **GRID,
+    "grid_pairs": """SELECT p.id, min(x.id) AS big_hexagon_id FROM points p JOIN hexes x
+               ON abs(p.lng - x.x) <= x.w / 2 AND abs(p.lat - x.y) <= x.d / 2 - abs(p.lng - x.x) / sqrt(3)
+             GROUP BY p.id""",
+    "tagged": """SELECT f.*, b.geoid10, a.pri_neigh, h.hexagon_id, g.big_hexagon_id FROM flag_points f
+                 LEFT JOIN block_pairs b USING (id) LEFT JOIN area_pairs a USING (id)
+                 LEFT JOIN hex_pairs h USING (id) LEFT JOIN grid_pairs g USING (id)""",
+    "cells": """SELECT hexagon_id, thirtymins, thirtymins::DATE AS "Daily", harmful, not_harmful,
+                       max(value) AS max, sum(value) AS sum, count(*) AS count FROM tagged
+                WHERE hexagon_id IS NOT NULL AND harmful IS NOT NULL AND not_harmful IS NOT NULL GROUP BY ALL""",
+}
+SITE_DAYS = {
+    "epa_flags": EPA_FLAGS,
+    "epa_daily": EPA_DAILY,
+    **PA_CLEAN,
+    "pa_daily": f"""SELECT "Daily", address, lat, lon, max(v) AS max, coalesce(sum(v), 0)::DOUBLE AS sum,
+                           count(*) AS count, {shares()} FROM pa_clean GROUP BY ALL""",
+}
+ALL_TABLES = "points hexagon_edges block_edges area_edges epa_raw pa_typed"
+
+
+def rollup_sql(source: str, keys: str = '"Daily"') -> str:
+    return f"""SELECT {keys}, max(max) AS max, sum(sum) AS sum, sum(count)::BIGINT AS count,
+                      sum(sum) / sum(count) AS mean, {shares('count')} FROM {source} GROUP BY ALL"""
+
+
+def cell_rollup_sql(source: str) -> str:
+    return f"""SELECT a.*, c.harmful_hex, c.not_harmful_hex, c.hex_ct FROM ({rollup_sql(source)}) a
+        JOIN (SELECT "Daily", avg((round(m, 9) >= 35)::INTEGER) AS harmful_hex,
+                     avg((round(m, 9) <= 12)::INTEGER) AS not_harmful_hex, count(*) AS hex_ct
+              FROM (SELECT "Daily", hexagon_id, sum(sum) / sum(count) AS m FROM {source} GROUP BY ALL)
+              GROUP BY "Daily") c USING ("Daily")"""
+
+
+def job_sql(body: str, **more: str) -> str:
+    return with_tables(ALL_TABLES, body, **HEX, **SITE_DAYS, **more)
+
+
+# ---- networks ------------------------------------------------------------------
+
+_BOX = """{lon} - 1.0::DOUBLE / 60 AS xmin, {lat} - 1.0::DOUBLE / 60 AS ymin,
+          {lon} + 1.0::DOUBLE / 60 AS xmax, {lat} + 1.0::DOUBLE / 60 AS ymax"""
+_BOX_DIGITS = {c: 9 for c in ("xmin", "ymin", "xmax", "ymax")}
+
+
+@register(
+    "epa_process",
+    with_tables(
+        "epa_raw",
+        f"SELECT *, {_BOX.format(lon='longitude', lat='latitude')} FROM ({EPA_PROFILE})",
+    ),
+    {
+        "sample_measurement|median": 9,
+        "sample_measurement|mean": 9,
+        "sample_measurement|sum": 6,
+        **_BOX_DIGITS,
+    },
+)
+def epa_process(spark, d):
+    _, sites = S.process_epa(D.epa_raw(spark, d))
+    return sites.select("*", "envelope.*").drop("envelope")
+
+
+@register(
+    "epa_readings",
+    with_tables("epa_raw", "SELECT * EXCLUDE (event_id) FROM epa_raw"),
+)
+def epa_readings(spark, d):
+    return S.process_epa(D.epa_raw(spark, d))[0]
+
+
+@register(
+    "purpleair_process",
+    with_tables(
+        "pa_typed",
+        f"""SELECT s.*, p.std_address, {_BOX.format(lon='lon', lat='lat')} FROM sites s
+            LEFT JOIN (SELECT DISTINCT address AS std_address, "ParentID" FROM sites WHERE "ID" = "ParentID") p
+              ON p."ParentID" = s."ParentID" """,
+        sites=PA_PROFILE,
+    ),
+    {f"{S.PM}|median": 9, f"{S.PM}|mean": 9, f"{S.PM}|sum": 6, **_BOX_DIGITS},
+)
+def purpleair_process(spark, d):
+    sites = S.purpleair_sites(S.purpleair_typed(D.purpleair_raw(spark, d)))
+    return sites.select("*", "envelope.*").drop("envelope")
+
+
+_GRAIN_SQL = """SELECT '{g}' AS grain, {key}::VARCHAR AS cell, thirtymins, harmful, not_harmful,
+    median(value) AS median, avg(value) AS mean, max(value) AS max, min(value) AS min, sum(value) AS sum,
+    count(*) AS count FROM tagged
+    WHERE {key} IS NOT NULL AND harmful IS NOT NULL AND not_harmful IS NOT NULL GROUP BY ALL"""
+
+
+@register(
+    "aq_process",
+    with_tables(
+        "points hexagon_edges block_edges area_edges",
+        " UNION ALL ".join(_GRAIN_SQL.format(g=g, key=k) for g, k in community.GRAINS.items()),
+        **HEX,
+    ),
+    "median, mean, sum",
+)
+def aq_process(spark, d):
+    """All four half-hour tables, one below the other."""
+    out = None
+    for grain, df in community.process_points(tagged_points(spark, d)).items():
+        key = community.GRAINS[grain]
+        part = df.withColumn("cell", F.col(key).cast("string")).drop(key)
+        part = part.withColumn("grain", F.lit(grain))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# ---- comparison ----------------------------------------------------------------
+
+
+@register(
+    "daily_by_source",
+    job_sql(
+        f"""SELECT 'EPA' AS source, *, NULL::DOUBLE AS harmful_hex, NULL::DOUBLE AS not_harmful_hex,
+                   NULL::BIGINT AS hex_ct FROM ({rollup_sql('epa_daily')})
+            UNION ALL BY NAME SELECT 'PurpleAir' AS source, * FROM ({rollup_sql('pa_daily')})
+            UNION ALL BY NAME SELECT 'AirQuality' AS source, * FROM ({cell_rollup_sql('cells')})"""
+    ),
+    "sum, mean, harmful, not_harmful, harmful_hex, not_harmful_hex",
+)
+def daily_by_source(spark, d):
+    names = ("EPA", "PurpleAir", "AirQuality")
+    tables = compare.daily_by_source(
+        epa_daily(spark, d), purpleair_daily(spark, d), by_hexagon(spark, d)
+    )
+    marked = [df.withColumn("source", F.lit(n)) for n, df in zip(names, tables)]
+    return (
+        marked[0]
+        .unionByName(marked[1])
+        .unionByName(marked[2], allowMissingColumns=True)
+    )
+
+
+@register(
+    "reading_weighted_share",
+    job_sql(
+        """SELECT "Daily", sum(harmful * count) / sum(count) FILTER (WHERE harmful IS NOT NULL)
+                  AS harmful_readings FROM epa_daily GROUP BY ALL"""
+    ),
+    "harmful_readings",
+)
+def reading_weighted_share(spark, d):
+    return A.weighted_share(epa_daily(spark, d), ["Daily"], "harmful", "harmful_readings")
+
+
+def station_squares(spark, d):
+    sites = D.epa_raw(spark, d).select("value_represented", "longitude", "latitude").distinct()
+    return sites.withColumn("box", G.site_box(F.col("longitude"), F.col("latitude")))
+
+
+STATIONS = """SELECT DISTINCT row_number() OVER (ORDER BY value_represented, longitude, latitude) AS site_number,
+                {box} FROM (SELECT DISTINCT value_represented, longitude, latitude FROM epa_raw)""".format(
+    box=_BOX.format(lon="longitude", lat="latitude")
+)
+NEAR = {
+    **TOUCH_SQL,
+    "boxes": STATIONS,
+    "near_cells": "SELECT * FROM cells WHERE hexagon_id IN (SELECT pid FROM touching)",
+}
+
+
+@register(
+    "near_sensor_daily",
+    job_sql(f"SELECT * FROM ({cell_rollup_sql('near_cells')})", **NEAR),
+    "sum, mean, harmful, not_harmful, harmful_hex, not_harmful_hex",
+)
+def near_sensor_daily(spark, d):
+    return compare.near_sensor_daily(
+        by_hexagon(spark, d),
+        station_squares(spark, d),
+        ["value_represented", "longitude", "latitude"],
+        D.hexagons(spark, d),
+    )
+
+
+def comparison(spark, d, aq=AQ_SUPPORT, epa=EPA_SUPPORT, pa=PA_SUPPORT):
+    """Daily comparison of the three networks over all hexagons."""
+    e, p, a = compare.daily_by_source(
+        epa_daily(spark, d), purpleair_daily(spark, d), by_hexagon(spark, d)
+    )
+    return compare.daily_comparison(a, e, p, aq, epa, pa)
+
+
+def _side(prefix: str) -> str:
+    return ", ".join(
+        f'{prefix.lower()}.{c} AS "{prefix}_{c}"'
+        for c in ("max", "sum", "count", "mean", "harmful", "not_harmful")
+    )
+
+
+COMPARISON = f"""
+    SELECT aq."Daily", {_side('AQ')}, {_side('EPA')}, {_side('PA')}, aq.harmful_hex, aq.not_harmful_hex,
+           aq.hex_ct, year(aq."Daily")::INTEGER AS "Year"
+    FROM (SELECT * FROM ({cell_rollup_sql('cells')}) WHERE count >= 80 AND hex_ct >= 5) aq
+    LEFT JOIN (SELECT * FROM ({rollup_sql('epa_daily')}) WHERE count >= 62) epa ON epa."Daily" = aq."Daily"
+    LEFT JOIN (SELECT * FROM ({rollup_sql('pa_daily')}) WHERE count >= 90) pa ON pa."Daily" = aq."Daily" """
+COMPARISON_DIGITS = {
+    **{f"{p}_{c}": 9 for p in ("AQ", "EPA", "PA") for c in ("mean", "harmful", "not_harmful")},
+    **{f"{p}_sum": 6 for p in ("AQ", "EPA", "PA")},
+    "harmful_hex": 9,
+    "not_harmful_hex": 9,
+}
+
+
+@register("daily_comparison", job_sql(COMPARISON), COMPARISON_DIGITS)
+def daily_comparison(spark, d):
+    return comparison(spark, d)
+
+
+def map_layers(spark, d):
+    sites = D.epa_raw(spark, d).select("value_represented", "site_number", "longitude", "latitude").distinct()
+    squares = sites.select(
+        "value_represented",
+        F.col("site_number").cast("string").alias("site_number"),
+        G.site_box(F.col("longitude"), F.col("latitude")).alias("box"),
+    )
+    cells = by_hexagon(spark, d)
+    e, p = materialize(epa_daily(spark, d)), materialize(purpleair_daily(spark, d))
+    common = compare.daily_comparison(
+        compare.hexagon_daily_rollup(cells),
+        compare.site_daily_rollup(e),
+        compare.site_daily_rollup(p),
+        AQ_SUPPORT,
+        EPA_SUPPORT,
+        PA_SUPPORT,
+    )
+    return compare.daily_map_layers(e, squares, p, cells, D.hexagons(spark, d), common)
+
+
+def stacked_layers(layers, extra=()):
+    """The layers below each other with the columns that identify a shape."""
+    shape = {
+        "epa": F.concat_ws("/", F.col("EPA Station"), F.col("site_number"), F.round("box.xmin", 6).cast("string")),
+        "purpleair": F.concat_ws("/", F.col("lat").cast("string"), F.col("lon").cast("string")),
+        "hexagons": F.concat_ws("/", F.col("id").cast("string"), F.size(F.col("rings")[0]).cast("string")),
+    }
+    out = None
+    for name, df in layers.items():
+        part = df.select(
+            "Source", "Date", *extra, F.col("`Average PM2.5`"), "count", shape[name].alias("shape")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+LAYERS = {
+    "common": f"""SELECT "Daily" AS "Date" FROM ({cell_rollup_sql('cells')}) WHERE count >= 80 AND hex_ct >= 5""",
+    "epa_sites": """SELECT DISTINCT value_represented, site_number, round(longitude - 1.0::DOUBLE / 60, 6) AS x
+                    FROM epa_raw""",
+    "layers": """SELECT 'EPA' AS "Source", e."Daily" AS "Date", round_even(round(e.mean, 9), 2) AS "Average PM2.5",
+                        e.count, concat_ws('/', e.value_represented, s.site_number, s.x) AS shape
+                 FROM epa_daily e LEFT JOIN epa_sites s USING (value_represented) WHERE e.mean IS NOT NULL
+                 UNION ALL
+                 SELECT 'PurpleAir', "Daily", round_even(round(sum(sum) / sum(count), 9), 2), sum(count)::BIGINT,
+                        lat || '/' || lon FROM pa_daily GROUP BY "Daily", lat, lon
+                 UNION ALL
+                 SELECT 'AirQuality', "Daily", round_even(round(sum(sum) / sum(count), 9), 2), sum(count)::BIGINT,
+                        hexagon_id || '/7' FROM cells GROUP BY "Daily", hexagon_id""",
+}
+
+
+@register(
+    "daily_map_layers",
+    job_sql('SELECT * FROM layers WHERE "Date" IN (SELECT "Date" FROM common)', **LAYERS),
+)
+def daily_map_layers(spark, d):
+    return stacked_layers(map_layers(spark, d))
+
+
+@register(
+    "monthly_map_frames",
+    job_sql(
+        """SELECT "Source", strftime("Date", '%Y-%m-%d') AS "Date", year("Date")::INTEGER AS year,
+                  month("Date")::INTEGER AS month, "Average PM2.5", count, shape FROM shown
+           WHERE (year("Date"), month("Date")) IN
+             (SELECT (y, m) FROM (SELECT DISTINCT year("Date") AS y, month("Date") AS m, "Source" FROM shown)
+              GROUP BY y, m HAVING count(*) = 3)""",
+        **LAYERS,
+        shown='SELECT * FROM layers WHERE "Date" IN (SELECT "Date" FROM common)',
+    ),
+)
+def monthly_map_frames(spark, d):
+    frames = compare.monthly_map_frames(map_layers(spark, d))
+    return stacked_layers(frames, ["year", "month"])
+
+
+# ---- neighborhoods -------------------------------------------------------------
+
+HOODS = """SELECT pri_neigh, thirtymins, geoid10, round_even(lat, 5) AS lat_r, round_even(lng, 5) AS lng_r,
+                  coalesce(sum(value), 0)::DOUBLE AS sum, count(*) AS count, year(thirtymins)::INTEGER AS "Yearly",
+                  date_trunc('month', thirtymins)::DATE AS "MonthYear", hour(thirtymins)::INTEGER AS "Hourly"
+           FROM tagged WHERE pri_neigh IS NOT NULL AND geoid10 IS NOT NULL GROUP BY ALL"""
+
+
+def hood_sql(body: str, **more: str) -> str:
+    return with_tables(
+        "points hexagon_edges block_edges area_edges", body, **HEX, hoods=HOODS, **more
+    )
+
+
+_LEVEL = """CASE WHEN m > -0.1 AND m <= 6 THEN '0-6' WHEN m > 6 AND m <= 12 THEN '6-12'
+   WHEN m > 12 AND m <= 22 THEN '12-22' WHEN m > 22 AND m <= 35 THEN '22-35' WHEN m > 35 AND m <= 1000 THEN '35+' END"""
+
+
+@register(
+    "neighborhood_points",
+    hood_sql(
+        """SELECT * FROM real UNION SELECT * REPLACE ('All' AS "Hourly", 'All' AS "Daily", 'All' AS "Monthly",
+             'All' AS "MonthYear", 'All' AS "Yearly") FROM real""",
+        spots="""SELECT pri_neigh, thirtymins, lat_r, lng_r, round(sum(sum) / sum(count), 9) AS m FROM hoods
+                 GROUP BY ALL""",
+        real=f"""SELECT pri_neigh, lat_r, lng_r, {_LEVEL} AS "Average PM2.5 Group", hour(thirtymins)::VARCHAR AS "Hourly",
+                   strftime(thirtymins, '%Y-%m-%d') AS "Daily", month(thirtymins)::VARCHAR AS "Monthly",
+                   strftime(date_trunc('month', thirtymins), '%Y-%m-%d') AS "MonthYear",
+                   year(thirtymins)::VARCHAR AS "Yearly", thirtymins::VARCHAR AS time, round_even(m, 1) AS mean
+                 FROM spots""",
+    ),
+)
+def neighborhood_points(spark, d):
+    return neighborhood.neighborhood_points(neighborhood_rows(spark, d))
+
+
+@register(
+    "neighborhood_blocks",
+    hood_sql(
+        """SELECT b.pri_neigh, b.geoid10, CASE WHEN mean >= q THEN 'Top 10%' ELSE 'Low 90%' END AS "Average PM2.5 Group",
+                  b."MonthYear"::VARCHAR AS "MonthYear", round_even(mean, 2) AS mean, count, 7 AS corners
+           FROM b JOIN (SELECT pri_neigh, "MonthYear", quantile_cont(mean, 0.9) AS q FROM b GROUP BY ALL)
+             USING (pri_neigh, "MonthYear")""",
+        b="""SELECT pri_neigh, "MonthYear", geoid10, round(sum(sum) / sum(count), 9) AS mean, sum(count)::BIGINT AS count
+             FROM hoods GROUP BY ALL""",
+    ),
+)
+def neighborhood_blocks(spark, d):
+    rows = neighborhood_rows(spark, d)
+    shown = neighborhood.neighborhood_blocks(rows, "MonthYear", D.blocks(spark, d))
+    return shown.withColumn("corners", F.size(F.col("rings")[0])).drop("rings")
+
+
+@register(
+    "neighborhood_series",
+    hood_sql(
+        """SELECT pri_neigh, "Hourly", sum(sum) AS sum, sum(count)::BIGINT AS count,
+                  sum(sum) / sum(count) AS "PM2.5" FROM hoods GROUP BY ALL"""
+    ),
+    {"sum": 6, "PM2.5": 9},
+)
+def neighborhood_series(spark, d):
+    return neighborhood.neighborhood_series(neighborhood_rows(spark, d), "Hourly")
+
+
+# ---- dimensions, refresh, reports ----------------------------------------------
+
+
+@register(
+    "geo_dimension_build",
+    with_tables(
+        "block_edges area_edges hexagon_edges",
+        """SELECT 'blocks' AS name, pid AS key, min(x1) AS xmin, max(y1) AS ymax FROM block_edges GROUP BY pid
+           UNION ALL SELECT 'neighborhoods', pid, min(x1), max(y1) FROM area_edges GROUP BY pid
+           UNION ALL SELECT 'hexagons', pid::VARCHAR, min(x1), max(y1) FROM hexagon_edges GROUP BY pid
+           UNION ALL SELECT 'big_hexagons', id::VARCHAR, x - w / 2, y + d / 2 FROM hexes""",
+        **GRID,
+    ),
+    "xmin, ymax",
+)
+def geo_dimension_build(spark, d):
+    built = geodims.build_dimensions(
+        D.blocks(spark, d), D.neighborhoods(spark, d), D.hexagons(spark, d)
+    )
+    keys = {"blocks": "geoid10", "neighborhoods": "pri_neigh", "hexagons": "id", "big_hexagons": "id"}
+    out = None
+    for name, df in built.items():
+        part = df.select(
+            F.lit(name).alias("name"),
+            F.col(keys[name]).cast("string").alias("key"),
+            "bbox.xmin",
+            "bbox.ymax",
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register(
+    "refresh_watermark",
+    with_tables(
+        "flagged",
+        """SELECT least(max("Daily") FILTER (WHERE source = 'EPA'), max(thirtymins) FILTER (WHERE source = 'AQ')::DATE,
+                        greatest(max(thirtymins) FILTER (WHERE source = 'PA'), TIMESTAMP '2016-01-01')::DATE)
+                  AS last_updated FROM flagged""",
+    ),
+)
+def refresh_watermark(spark, d):
+    f = D.flagged(spark, d)
+    tables = {"epa": (f.where("source = 'EPA'"), "Daily"), "aq": (f.where("source = 'AQ'"), "thirtymins")}
+    return refresh.refresh_watermark(tables, f.where("source = 'PA'"))
+
+
+def _daily_table(rows):
+    return A.summarize(rows, ["Daily"], ["sensor_id"], value="pm")
+
+
+@register(
+    "incremental_refresh",
+    with_tables(
+        "flagged",
+        """SELECT source AS network, "Daily", sensor_id, median(pm) AS median, avg(pm) AS mean, max(pm) AS max,
+                  coalesce(sum(pm), 0)::DOUBLE AS sum, count(*) AS count
+           FROM flagged WHERE "Daily" < DATE '2024-01-29' GROUP BY ALL""",
+    ),
+    "median, mean, sum",
+)
+def incremental_refresh(spark, d):
+    """Load up to mid January, then refresh twice; the second run changes nothing.
+
+    The first load stops inside its last day, as real pulls do: that day is
+    dropped and loaded again in full.
+    """
+    f = D.flagged(spark, d)
+    sources = ("AQ", "EPA", "PA")
+
+    def load(start: dt.date, end: dt.date):
+        window = f.where((F.col("Daily") >= F.lit(start)) & (F.col("Daily") < F.lit(end)))
+        return {s: _daily_table(window.where(F.col("source") == s)) for s in sources}
+
+    partial = f.where(F.col("time") < F.lit("2024-01-15 10:00:00").cast("timestamp_ntz"))
+    current = {s: (_daily_table(partial.where(F.col("source") == s)), "Daily") for s in sources}
+    for run in range(2):
+        out = new_path(spark, f"refresh-{run}")
+        done = refresh.incremental_refresh(spark, current, load, out, dt.date(2024, 1, 29))
+        current = {s: (done[s], "Daily") for s in sources}
+    marked = [done[s].withColumn("network", F.lit(s)) for s in sources]
+    return marked[0].unionByName(marked[1]).unionByName(marked[2])
+
+
+@register("report_dataset")
+def report_dataset(spark, d):
+    """Everything the dashboard shows for one selection, as name and JSON text."""
+    cells, e = by_hexagon(spark, d), materialize(epa_daily(spark, d))
+    p = materialize(purpleair_daily(spark, d))
+    squares = station_squares(spark, d)
+    near = compare.near_sensor_daily(
+        cells, squares, ["value_represented", "longitude", "latitude"], D.hexagons(spark, d)
+    )
+    support = ({"count": 1, "hex_ct": 1}, {"count": 1}, {"count": 1})
+    days = compare.site_daily_rollup(e), compare.site_daily_rollup(p)
+    combined = {
+        "aq": materialize(compare.daily_comparison(compare.hexagon_daily_rollup(cells), *days, *support)),
+        "near_epa": materialize(compare.daily_comparison(near, *days, *support)),
+        "near_pa": materialize(compare.daily_comparison(near, *days, *support)),
+    }
+    rows = neighborhood_rows(spark, d)
+    summary = A.neighborhood_summary(calendar_features(rows, "thirtymins"), "pri_neigh", "Daily")
+    first = D.neighborhoods(spark, d).agg(F.min("pri_neigh")).first()[0]
+    out = None
+    for two_miles in (False, True):
+        chosen = reports.report_dataset(
+            combined,
+            year=2024,
+            month=1,
+            neighborhood=first,
+            two_miles=two_miles,
+            months=(1,),
+            after_year=2017,
+            maps={"hexagons": calendar_features(cells, "thirtymins").withColumns({"year": F.col("Yearly"), "month": F.col("Monthly")})},
+            areas={"series": neighborhood.neighborhood_series(rows, "MonthYear")},
+            summary=summary,
+        )
+        for name, df in chosen.items():
+            part = df.select(
+                F.lit(two_miles).alias("two_miles"),
+                F.lit(name).alias("dataset"),
+                F.to_json(F.struct("*")).alias("row"),
+            )
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -9,6 +9,7 @@ from hazegrid.catalog import tables as D
 from hazegrid.catalog.tables import with_tables
 from hazegrid.functions import calendar as C
 from hazegrid.functions import clean
+from hazegrid.functions.rounding import half_even
 from hazegrid.operators import filters as O
 from hazegrid.operators.joins import outdoor_only
 from hazegrid.operators.quantiles import number_rows
@@ -119,10 +120,10 @@ def project_rename(spark, d):
 def round_half_even(spark, d):
     return D.readings(spark, d).select(
         "event_id",
-        F.bround("lat", 4).alias("lat_r"),
-        F.bround("lon", 4).alias("lng_r"),
-        F.bround("pm", 1).alias("pm_1"),
-        F.bround(F.col("event_id") / 8.0, 2).alias("eighth"),
+        half_even(F.col("lat"), 4).alias("lat_r"),
+        half_even(F.col("lon"), 4).alias("lng_r"),
+        half_even(F.col("pm"), 1).alias("pm_1"),
+        half_even(F.col("event_id") / 8.0, 2).alias("eighth"),
     )
 
 

@@ -1 +1,51 @@
-"""To be filled."""
+"""Streaming jobs over the events files."""
+
+from __future__ import annotations
+
+from hazegrid.catalog import register
+from hazegrid.catalog import tables as D
+from hazegrid.catalog.tables import with_tables
+from hazegrid.session import new_path
+from hazegrid.streaming import refresh as R
+
+
+def _stream(spark, d):
+    schema = D.table(spark, d, "events").schema
+    return D.readings_of(R.read_folder_stream(spark, d, schema, "events.parquet"))
+
+
+@register(
+    "stream_cell_stats",
+    with_tables(
+        "flagged",
+        """SELECT thirtymins, sensor_id, median(pm) AS median, avg(pm) AS mean, max(pm) AS max, min(pm) AS min,
+                  coalesce(sum(pm), 0)::DOUBLE AS sum, count(*) AS count FROM flagged
+           WHERE thirtymins + INTERVAL '30 minutes' <= (SELECT max(time) - INTERVAL '1 hour' FROM flagged)
+           GROUP BY ALL""",
+    ),
+    "median, mean, sum",
+)
+def stream_cell_stats(spark, d):
+    """Closed half hours; the last ones wait for later readings."""
+    counts = R.stream_cell_counts(_stream(spark, d), "sensor_id", "pm")
+    written = R.run_to_folder(
+        counts, new_path(spark, "cell-counts"), new_path(spark, "cell-counts-state")
+    )
+    return R.cell_stats_of_counts(written, "sensor_id")
+
+
+@register(
+    "stream_idempotent_append",
+    with_tables("readings", "SELECT event_id, time, sensor_id, pm FROM readings"),
+)
+def stream_idempotent_append(spark, d):
+    """Every reading arrives twice and the job runs twice; each is stored once."""
+    inbox = new_path(spark, "inbox")
+    rows = D.readings(spark, d).select("event_id", "time", "sensor_id", "pm")
+    rows.write.mode("append").parquet(inbox)
+    rows.write.mode("append").parquet(inbox)
+    path, state = new_path(spark, "appended"), new_path(spark, "appended-state")
+    for _ in range(2):
+        stream = R.read_folder_stream(spark, inbox, rows.schema)
+        out = R.append_once(stream, ["event_id"], path, state)
+    return out

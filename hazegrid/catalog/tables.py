@@ -42,7 +42,11 @@ def _y0(sensor: Column) -> Column:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, time, sensor_id, source, value, pm (value with gaps), lon, lat."""
-    e = table(spark, sf_dir, "events")
+    return readings_of(table(spark, sf_dir, "events"))
+
+
+def readings_of(e: DataFrame) -> DataFrame:
+    """The same from an ``events`` table or stream."""
     user, event, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
     source = (
         F.when(kind.isin("view", "click"), "AQ").when(kind == "purchase", "EPA").otherwise("PA")

@@ -180,7 +180,7 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
 
 def whole_miles(meters: Column) -> Column:
     """Meters to the nearest whole meter, then to whole miles (half to even)."""
-    return F.bround(F.bround(meters, 0) * MILES_PER_M, 0).cast("bigint")
+    return F.rint(F.rint(meters) * MILES_PER_M).cast("bigint")
 
 
 # ---- predicates ------------------------------------------------------------

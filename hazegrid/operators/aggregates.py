@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.levels import is_harmful, is_low
 from hazegrid.functions.names import named
+from hazegrid.functions.rounding import half_even, settled
 from hazegrid.operators.filters import require_columns
 from hazegrid.operators.quantiles import grouped_stats, not_null
 
@@ -132,7 +133,8 @@ def rollup_with_cell_shares(
             *[F.sum(c).alias(name) for name, c in parts.items()],
         )
         .withColumn(
-            "__mean", F.when(F.col(cell).isNotNull(), _ratio(F.col(sums[0]), F.col(sums[1])))
+            "__mean",
+            F.when(F.col(cell).isNotNull(), settled(_ratio(F.col(sums[0]), F.col(sums[1])))),
         )
     )
     classified = F.count("__mean")
@@ -313,6 +315,6 @@ def map_center(df: DataFrame, lat: str, lon: str) -> DataFrame:
     two = grouped_stats(df, [], lon, stats=(), quantiles={"lon": 0.5})
     # Two one-row results; put side by side by scalar subquery, not by a join.
     return one.select(
-        F.bround("lat", 4).alias("lat_center"),
-        F.bround(two.select("lon").scalar(), 4).alias("lon_center"),
+        half_even(F.col("lat"), 4).alias("lat_center"),
+        half_even(two.select("lon").scalar(), 4).alias("lon_center"),
     )

@@ -7,19 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazegrid.functions.rounding import settled
 from hazegrid.operators.quantiles import grouped_stats
 
-# Digits kept before a mean is compared with a quantile of the same means. The
-# two are computed in separate tasks, where summing in another order may move
-# the last bits.
-COMPARE_DIGITS = 9
-
 
 def attach_quantile(
     df: DataFrame, keys: Sequence[str], value: str, p: float = 0.9, name: str = "top10"
 ) -> DataFrame:
     """Per-group quantile (linear interpolation) as a column of every row."""
-    cut = df.withColumn(value, F.round(value, COMPARE_DIGITS))
+    # The mean and the quantile of the same means come from separate tasks.
+    cut = df.withColumn(value, settled(F.col(value)))
     limits = grouped_stats(cut, keys, value, stats=(), quantiles={name: p})
     return cut.join(limits, list(keys), "left")
 

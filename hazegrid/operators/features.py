@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,18 +207,24 @@ def quantile_bins(
     names = {f"q{i}": i / bins for i in range(bins + 1)}
     row = grouped_stats(train, [], feature, stats=(), quantiles=names)
     edges = row.select(F.struct(*names).alias("e")).scalar()
-    at = [edges.getField(n) for n in names]
-    doubled = at[0] == at[1]
-    for lo, hi in zip(at[1:-1], at[2:]):
-        doubled = doubled | (lo == hi)
+    at = [F.col(f"__edges.{n}") for n in names]
+    doubled = reduce(lambda a, b: a | b, [lo == hi for lo, hi in zip(at[:-1], at[1:])])
     x = F.col(feature)
     first = F.lit(0 if labels is None else labels[0])
-    label = F.when(x == at[0], first).otherwise(labelled_bins(x, at, labels))
     refused = F.raise_error(F.lit("bin edges must be unique")).cast(
         "int" if labels is None else "string"
     )
-    out = F.when(doubled, refused).otherwise(label)
-    return _both(train, test, lambda df: df.withColumn(f"Discrete {feature}", out))
+    label = (
+        F.when(doubled, refused).when(x == at[0], first).otherwise(labelled_bins(x, at, labels))
+    )
+    # The edges are one column first, so the many comparisons share one subquery.
+    return _both(
+        train,
+        test,
+        lambda df: df.withColumn("__edges", edges)
+        .withColumn(f"Discrete {feature}", label)
+        .drop("__edges"),
+    )
 
 
 def width_bins(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.names import named
+from hazegrid.functions.rounding import half_even
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
@@ -117,9 +118,9 @@ def zscore_report(df: DataFrame, columns: Sequence[str], limit: float = 4.0) ->
     return counted.select(
         "*",
         (complete - kept).alias("n_outliers"),
-        F.bround(F.try_divide(F.col("n_all_null") * 100.0, n), 3).alias("pct_null"),
-        F.bround((1 - F.try_divide(kept.cast("double"), complete)) * 100, 3).alias("pct_outliers"),
-        F.bround(F.try_divide(kept * 100.0, n), 3).alias("pct_kept"),
+        half_even(F.try_divide(F.col("n_all_null") * 100.0, n), 3).alias("pct_null"),
+        half_even((1 - F.try_divide(kept.cast("double"), complete)) * 100, 3).alias("pct_outliers"),
+        half_even(F.try_divide(kept * 100.0, n), 3).alias("pct_kept"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazegrid.functions.names import named
+
 # Limits for a broadcast side: rows, and bytes of the rows written as JSON text
 # (always more than they take in memory as binary rows).
 MAX_ROWS = 500_000
@@ -48,13 +50,13 @@ def join_lookup(
     if fits_in_memory(lookup, max_rows):
         small = F.broadcast(renamed)
     else:
-        fact = fact.withColumn("__salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)))
+        fact = fact.withColumn("__salt", F.pmod(F.xxhash64(*map(named, fact.columns)), F.lit(salts)))
         small = renamed.withColumn(
             "__r_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
         )
         match = F.col("__salt") == F.col("__r_salt")
     for c in on:
-        match = match & (F.col(c) == F.col(f"__r_{c}"))
+        match = match & (named(c) == named(f"__r_{c}"))
     if condition is not None:
         match = match & condition
     drop = ["__salt", "__r_salt", *[f"__r_{c}" for c in on]]
@@ -142,7 +144,7 @@ def with_all_bucket(df: DataFrame, columns: Sequence[str], label: str = "All") -
     """Every row as it is and once more with the columns set to ``label``; distinct."""
     real = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
     total = F.struct(*[F.lit(label).alias(c) for c in columns])
-    rest = [c for c in df.columns if c not in columns]
+    rest = [named(c) for c in df.columns if c not in columns]
     return (
         df.withColumn("__b", F.explode(F.array(real, total)))
         .select(*rest, *[F.col(f"__b.{c}").alias(c) for c in columns])

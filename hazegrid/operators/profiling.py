@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazegrid.functions.rounding import half_even
 from hazegrid.operators.aggregates import bucket_agg
 from hazegrid.operators.filters import require_columns, season_filter
 from hazegrid.operators.quantiles import grouped_stats, not_null
@@ -73,7 +74,7 @@ def table_profile(df: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("unique_values"),
             nulls.alias("na_values"),
-            F.bround(nulls / F.sum("n"), 2).alias("percent_na"),
+            half_even(nulls / F.sum("n"), 2).alias("percent_na"),
             F.when(best.isNotNull(), example).alias("example"),
         )
         .orderBy("kind_order", "position")
@@ -273,9 +274,9 @@ def linear_fit(df: DataFrame, x: str, y: str, hue: Sequence[str] = ()) -> DataFr
     both = fx.isNotNull() & fy.isNotNull()
     cx, cy = F.when(both, fx), F.when(both, fy)
     return df.where(not_null(hue)).groupBy(*hue).agg(
-        F.bround(F.regr_slope(fy, fx), 1).alias("slope"),
-        F.bround(F.regr_intercept(fy, fx), 1).alias("intercept"),
-        F.bround(F.corr(cx, cy), 3).alias("corr"),
+        half_even(F.regr_slope(fy, fx), 1).alias("slope"),
+        half_even(F.regr_intercept(fy, fx), 1).alias("intercept"),
+        half_even(F.corr(cx, cy), 3).alias("corr"),
         F.least(F.min(fx), F.min(fy)).alias("axis_min"),
         F.greatest(F.max(fx), F.max(fy)).alias("axis_max"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.calendar import floor_half_hour, parse_timestamps
 from hazegrid.functions.levels import level_flags
+from hazegrid.functions.rounding import half_even
 from hazegrid.operators.aggregates import cell_stats
 from hazegrid.operators.quantiles import grouped_stats
 from hazegrid.operators.spatial import HexGrid, geotag
@@ -55,6 +56,6 @@ def process_points(tagged: DataFrame) -> dict[str, DataFrame]:
 def neighborhood_table(tagged: DataFrame, area: Sequence[str] = ("pri_neigh",)) -> DataFrame:
     """Half hour x block x rounded position statistics, all neighborhoods at once."""
     rounded = tagged.withColumns(
-        {"lat_r": F.bround("lat", 5), "lng_r": F.bround("lng", 5)}
+        {"lat_r": half_even(F.col("lat"), 5), "lng_r": half_even(F.col("lng"), 5)}
     )
     return grouped_stats(rounded, [*area, "thirtymins", "geoid10", "lat_r", "lng_r"], "value")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.clean import rename_or_drop
+from hazegrid.functions.rounding import half_even, settled
 from hazegrid.operators.aggregates import (
     rollup_with_cell_shares,
     summary_rollup,
@@ -85,7 +86,7 @@ def daily_map_layers(
     names = {"Daily": "Date", "mean": "Average PM2.5"}
 
     def finish(df: DataFrame, source: str) -> DataFrame:
-        rounded = df.withColumns({"mean": F.bround("mean", 2), "Source": F.lit(source)})
+        rounded = df.withColumns({"mean": half_even(settled(F.col("mean")), 2), "Source": F.lit(source)})
         return semi_join(rename_or_drop(rounded, names), days, ["Date"])
 
     stations = join_lookup(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.calendar import CALENDAR, calendar_features, calendar_to_text
 from hazegrid.functions.levels import level_bins
+from hazegrid.functions.names import named
+from hazegrid.functions.rounding import half_even, settled
 from hazegrid.operators.aggregates import summary_rollup
 from hazegrid.operators.deciles import top_decile_flag
 from hazegrid.operators.joins import join_lookup, with_all_bucket
@@ -19,12 +21,13 @@ GROUP = "Average PM2.5 Group"
 def neighborhood_points(df: DataFrame, area: Sequence[str] = ("pri_neigh",)) -> DataFrame:
     """Half-hour position means with level group, per calendar bucket and ``All``."""
     means = summary_rollup(df, [*area, "thirtymins", "lat_r", "lng_r"], ["sum", "count"])
+    mean = settled(F.col("mean"))
     binned = calendar_features(means, "thirtymins").withColumns(
-        {GROUP: level_bins(F.col("mean")), "mean": F.bround("mean", 1)}
+        {GROUP: level_bins(mean), "mean": half_even(mean, 1)}
     )
     texts = calendar_to_text(binned, ["thirtymins", "Hourly", "Monthly", "Yearly"], ["Daily", "MonthYear"])
     shown = texts.withColumnRenamed("thirtymins", "time").select(
-        *area, "lat_r", "lng_r", GROUP, *CALENDAR, "time", "mean"
+        *area, "lat_r", "lng_r", named(GROUP), *CALENDAR, "time", "mean"
     )
     return with_all_bucket(shown, CALENDAR)
 
@@ -39,8 +42,8 @@ def neighborhood_blocks(
     timed = calendar_features(df, "thirtymins")
     means = summary_rollup(timed, [*area, period, "geoid10"], ["sum", "count"])
     flagged = top_decile_flag(means, [*area, period], name=GROUP)
-    shown = calendar_to_text(flagged.withColumn("mean", F.bround("mean", 2)), [period]).select(
-        *area, "geoid10", GROUP, period, "mean", "count"
+    shown = calendar_to_text(flagged.withColumn("mean", half_even(F.col("mean"), 2)), [period]).select(
+        *area, "geoid10", named(GROUP), period, "mean", "count"
     )
     if blocks is None:
         return shown
