@@ -73,33 +73,36 @@ def stats_of_counts(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``grouped_stats`` of rows ``(keys, __v, __c)`` that stand for ``__c`` readings."""
-    keys, folds = list(keys), dict(folds or {})
-    by = [f"`{k}`" for k in keys]
+    spark, folds = counts.sparkSession, dict(folds or {})
+    by = ", ".join(f"`{k}`" for k in keys)
+    plain = ", ".join([by] * bool(keys) + _plain(stats, folds))
+    group = f"GROUP BY {by}" if keys else ""
     if not quantiles:
-        return counts.groupBy(*by).agg(*_plain(stats, folds))
+        return spark.sql(f"SELECT {plain} FROM {{rows}} {group}", rows=counts)
     if not keys:
-        return _banded(counts, keys, stats, quantiles, folds)
+        return spark.sql(_banded("{rows}", keys, stats, quantiles, folds), rows=counts)
 
     # At most rows/hot_rows groups can be hot, which bounds the broadcast side.
-    hot = counts.groupBy(*by).agg(F.expr("count(1) AS __n")).where(f"__n > {hot_rows}").select(*by)
-    wanted = ", ".join(f"{p!r}D" for p in quantiles.values())
-    ordinary = (
-        counts.join(F.broadcast(hot), keys, "left_anti")
-        .groupBy(*by)
-        .agg(F.expr(f"percentile(__v, array({wanted}), __c) AS __q"), *_plain(stats, folds))
-        .selectExpr(
-            *by,
-            *[f"__q[{i}] AS `{name}`" for i, name in enumerate(quantiles)],
-            *[f"`{c}`" for c in [*stats, *folds]],
-        )
+    cuts = ", ".join(f"{p!r}D" for p in quantiles.values())
+    outputs = ", ".join(
+        [by]
+        + [f"__q[{i}] AS `{name}`" for i, name in enumerate(quantiles)]
+        + [f"`{c}`" for c in [*stats, *folds]]
     )
-    large = _banded(
-        counts.join(F.broadcast(hot), keys, "left_semi"), keys, stats, quantiles, folds
+    hot = f"(SELECT {by} FROM {{rows}} GROUP BY {by} HAVING count(1) > {hot_rows})"
+    some = "SELECT /*+ BROADCAST(hot) */ rows.* FROM {rows} AS rows LEFT {kind} JOIN {hot} AS hot USING ({by})"
+    ordinary = some.format(rows="{rows}", kind="ANTI", hot=hot, by=by)
+    large = some.format(rows="{rows}", kind="SEMI", hot=hot, by=by)
+    return spark.sql(
+        f"""SELECT {outputs} FROM (
+              SELECT percentile(__v, array({cuts}), __c) AS __q, {plain} FROM ({ordinary}) {group})
+            UNION ALL
+            SELECT * FROM ({_banded(f"({large})", keys, stats, quantiles, folds)})""",
+        rows=counts,
     )
-    return ordinary.unionByName(large)
 
 
-def _plain(stats: Sequence[str], folds: Mapping[str, str]) -> list[Column]:
+def _plain(stats: Sequence[str], folds: Mapping[str, str]) -> list[str]:
     made = {
         "mean": "try_divide(sum(__v * __c), sum(if(__v IS NULL, 0, __c)))",
         "max": "max(__v)",
@@ -107,63 +110,47 @@ def _plain(stats: Sequence[str], folds: Mapping[str, str]) -> list[Column]:
         "sum": "coalesce(sum(__v * __c), 0D)",
         "count": "sum(__c)",
     }
-    return [F.expr(f"{made[s]} AS `{s}`") for s in stats] + [
-        F.expr(f"{fn}(`{name}`) AS `{name}`") for name, fn in folds.items()
+    return [f"{made[s]} AS `{s}`" for s in stats] + [
+        f"{fn}(`{name}`) AS `{name}`" for name, fn in folds.items()
     ]
 
 
-def with_bands(df: DataFrame, col: str) -> DataFrame:
-    """Add ``__band``: equally filled bands of ``col`` over all rows; -1 for null.
+def _with_bands(table: str, col: str) -> str:
+    """SQL adding ``__band``: equally filled bands of ``col`` over all rows; -1 for null.
 
     The bounds ascend, so a value's band is the number of bounds at or below it.
     It is counted in three steps, every 128th, every 16th and then each bound, to
     compare with 29 bounds and not with all of them.
     """
-    cuts = ", ".join(f"{i / BANDS!r}D" for i in range(1, BANDS))
-    bounds = (
-        df.selectExpr(f"percentile_approx({col}, array({cuts}), 10000) AS b")
-        .selectExpr(
-            "struct(b AS each, transform(sequence(1, 63), i -> b[16 * i - 1]) AS some,"
-            " transform(sequence(1, 7), i -> b[128 * i - 1]) AS few) AS b"
-        )
-        .scalar()
-    )
-    steps = df.withColumns(
-        {f"__{level}": bounds.getField(level) for level in ("few", "some", "each")}
-    )
-    for level, start, fan in (("few", "0", 8), ("some", "__k", 8), ("each", "__k", 16)):
-        below = f"size(filter(slice(__{level}, {start} * {fan} + 1, {fan - 1}), b -> b <= {col}))"
-        steps = steps.withColumn("__k", F.expr(f"{start} * {fan} + {below}"))
+    cuts = ",".join(str(i / BANDS) for i in range(1, BANDS))
+    bounds = f"""(
+        SELECT struct(transform(sequence(1, 7), i -> b[128 * i - 1]) AS few,
+                      transform(sequence(1, 63), i -> b[16 * i - 1]) AS some, b AS each)
+        FROM (SELECT percentile_approx({col}, cast(split('{cuts}', ',') AS array<double>), 10000) AS b
+              FROM {table}))"""
+    steps = f"SELECT *, {bounds} AS __bounds FROM {table}"
+    found = "0"
+    for level, fan in (("few", 8), ("some", 8), ("each", 16)):
+        among = f"slice(__bounds.{level}, {found} * {fan} + 1, {fan - 1})"
+        step = f"{found} * {fan} + size(filter({among}, b -> b <= {col}))"
+        steps = f"SELECT *, {step} AS __{level} FROM ({steps})"
+        found = f"__{level}"
     # Never null, or a join on the band would first test every row for it.
-    return steps.withColumn("__band", F.expr(f"if({col} IS NULL, -1, coalesce(__k, 0))")).drop(
-        "__few", "__some", "__each", "__k"
-    )
+    return f"""SELECT * EXCEPT (__bounds, __few, __some, __each),
+                      if({col} IS NULL, -1, coalesce(__each, 0)) AS __band FROM ({steps})"""
 
 
 def _banded(
-    rows: DataFrame,
-    keys: list[str],
+    rows: str,
+    keys: Sequence[str],
     stats: Sequence[str],
     quantiles: Mapping[str, float],
     folds: Mapping[str, str],
-) -> DataFrame:
-    by = [f"`{k}`" for k in keys]
-    counts = rows.groupBy(*by, "__v").agg(
-        F.expr("sum(__c) AS __c"),
-        *[F.expr(f"{fn}(`{name}`) AS `{name}`") for name, fn in folds.items()],
-    )
-    banded = with_bands(counts, "__v")
-    # One row per group and band: at most BANDS + 1 rows meet per group.
-    per_band = banded.groupBy(*by, "__band").agg(
-        F.expr("sum(if(__v IS NULL, 0, __c)) AS __n"),
-        F.expr("sum(__c) AS __rows"),
-        F.expr("sum(__v * __c) AS __s"),
-        F.expr("min(__v) AS __lo"),
-        F.expr("max(__v) AS __hi"),
-        *[F.expr(f"{fn}(`{name}`) AS `{name}`") for name, fn in folds.items()],
-    )
-    group = f"PARTITION BY {', '.join(by)}" if by else ""
-    below = f"({group} ORDER BY __band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+) -> str:
+    """SQL of the second way (see the module text)."""
+    by = "".join(f"`{k}`, " for k in keys)
+    only = f"PARTITION BY {by[:-2]}" if keys else ""
+    folded = "".join(f", {fn}(`{name}`) AS `{name}`" for name, fn in folds.items())
     whole = {
         "__total": "sum(__n)",
         "__count": "sum(__rows)",
@@ -172,28 +159,13 @@ def _banded(
         "__max": "max(__hi)",
         **{f"__all_{name}": f"{fn}(`{name}`)" for name, fn in folds.items()},
     }
-    offsets = per_band.selectExpr(
-        *by,
-        "__band",
-        f"coalesce(sum(__n) OVER {below}, 0) AS __before",
-        *[f"{fn} OVER ({group}) AS `{name}`" for name, fn in whole.items()],
-    )
-    inside = f"PARTITION BY {', '.join([*by, '__band'])}"
-    ranked = (
-        banded.drop(*folds)
-        .join(offsets, [*keys, "__band"])
-        .selectExpr(
-            "*",
-            f"__before + sum(if(__v IS NULL, 0, __c)) OVER ({inside} ORDER BY __v"
-            " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __end",
-        )
-    )
-    picks, finals = [], []
+    totals = ", ".join(f"{fn} OVER ({only}) AS `{name}`" for name, fn in whole.items())
+    picks, finals = [f"max(`{x}`) AS `{x}`" for x in whole], []
     for i, (name, p) in enumerate(quantiles.items()):
         spot = f"({float(p)!r}D * (__total - 1))"
         for side, rank in (("l", f"floor({spot})"), ("h", f"ceil({spot})")):
             hit = f"__v IS NOT NULL AND __end - __c <= {rank} AND {rank} < __end"
-            picks.append(F.expr(f"max(if({hit}, __v, NULL)) AS __{side}{i}"))
+            picks.append(f"max(if({hit}, __v, NULL)) AS __{side}{i}")
         share = f"({spot} - floor({spot}))"
         finals.append(f"__l{i} * (1 - {share}) + __h{i} * {share} AS `{name}`")
     made = {
@@ -203,16 +175,27 @@ def _banded(
         "sum": "coalesce(__sum, 0D)",
         "count": "coalesce(__count, 0L)",
     }
-    return (
-        ranked.groupBy(*by)
-        .agg(*[F.expr(f"max(`{x}`) AS `{x}`") for x in whole], *picks)
-        .selectExpr(
-            *by,
-            *finals,
-            *[f"{made[s]} AS `{s}`" for s in stats],
-            *[f"`__all_{name}` AS `{name}`" for name in folds],
-        )
-    )
+    finals += [f"{made[s]} AS `{s}`" for s in stats]
+    finals += [f"`__all_{name}` AS `{name}`" for name in folds]
+    group = f"GROUP BY {by[:-2]}" if keys else ""
+    # per_band has one row per group and band: at most BANDS + 1 rows meet per group.
+    return f"""
+        WITH counts AS (SELECT {by} __v, sum(__c) AS __c {folded} FROM {rows} GROUP BY {by} __v),
+        banded AS ({_with_bands("counts", "__v")}),
+        per_band AS (
+          SELECT {by} __band, sum(if(__v IS NULL, 0, __c)) AS __n, sum(__c) AS __rows,
+                 sum(__v * __c) AS __s, min(__v) AS __lo, max(__v) AS __hi {folded}
+          FROM banded GROUP BY {by} __band),
+        offsets AS (
+          SELECT {by} __band, {totals}, coalesce(sum(__n) OVER (
+                 {only} ORDER BY __band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before
+          FROM per_band),
+        ranked AS (
+          SELECT {by} __v, __c, {", ".join(f"`{x}`" for x in whole)},
+                 __before + sum(if(__v IS NULL, 0, __c)) OVER (PARTITION BY {by} __band ORDER BY __v
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __end
+          FROM (SELECT {by} __band, __v, __c FROM banded) JOIN offsets USING ({by} __band))
+        SELECT {by} {", ".join(finals)} FROM (SELECT {by} {", ".join(picks)} FROM ranked {group})"""
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
@@ -222,20 +205,15 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
     is cut into bands of the order column, and band offsets are added back.
     """
     by = ", ".join(f"`{k}`" for k in keys)
-    banded = with_bands(df, order)
-    offsets = (
-        banded.groupBy(*keys, "__band")
-        .agg(F.expr("count(1) AS __n"))
-        .selectExpr(
-            *keys,
-            "__band",
-            f"coalesce(sum(__n) OVER (PARTITION BY {by} ORDER BY __band"
-            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before",
-        )
-    )
-    inside = f"row_number() OVER (PARTITION BY {by}, __band ORDER BY `{order}`)"
-    return (
-        banded.join(offsets, [*keys, "__band"])
-        .withColumn(name, F.expr(f"__before + {inside} - 1"))
-        .drop("__band", "__before")
+    return df.sparkSession.sql(
+        f"""WITH source AS (SELECT * FROM {{df}}),
+            banded AS ({_with_bands("source", f"`{order}`")}),
+            offsets AS (
+              SELECT {by}, __band, coalesce(sum(__n) OVER (PARTITION BY {by} ORDER BY __band
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before
+              FROM (SELECT {by}, __band, count(1) AS __n FROM banded GROUP BY {by}, __band))
+            SELECT * EXCEPT (__band, __before), __before - 1
+                   + row_number() OVER (PARTITION BY {by}, __band ORDER BY `{order}`) AS `{name}`
+            FROM banded JOIN offsets USING ({by}, __band)""",
+        df=df,
     )
