@@ -120,24 +120,26 @@ def _with_bands(table: str, col: str) -> str:
 
     The bounds ascend, so a value's band is the number of bounds at or below it.
     It is counted in three steps, every 128th, every 16th and then each bound, to
-    compare with 29 bounds and not with all of them.
+    compare with 29 bounds and not with all of them. Each set of bounds is used
+    once in one expression; otherwise it would be copied into every row.
     """
     cuts = ",".join(str(i / BANDS) for i in range(1, BANDS))
     bounds = f"""(
-        SELECT struct(transform(sequence(1, 7), i -> b[128 * i - 1]) AS few,
-                      transform(sequence(1, 63), i -> b[16 * i - 1]) AS some, b AS each)
+        SELECT struct(
+          transform(sequence(1, 7), j -> b[128 * j - 1]) AS few,
+          transform(sequence(0, 7), i -> transform(sequence(1, 7), j -> b[128 * i + 16 * j - 1])) AS some,
+          transform(sequence(0, 63), i -> transform(sequence(1, 15), j -> b[16 * i + j - 1])) AS each)
         FROM (SELECT percentile_approx({col}, cast(split('{cuts}', ',') AS array<double>), 10000) AS b
               FROM {table}))"""
-    steps = f"SELECT *, {bounds} AS __bounds FROM {table}"
-    found = "0"
-    for level, fan in (("few", 8), ("some", 8), ("each", 16)):
-        among = f"slice(__bounds.{level}, {found} * {fan} + 1, {fan - 1})"
-        step = f"{found} * {fan} + size(filter({among}, b -> b <= {col}))"
-        steps = f"SELECT *, {step} AS __{level} FROM ({steps})"
-        found = f"__{level}"
+    columns = ", ".join(f"{bounds}.{level} AS __{level}" for level in ("few", "some", "each"))
+    steps = f"array(size(filter(__few, b -> b <= {col})))"
+    for level, fan in (("some", 8), ("each", 16)):
+        step = f"k * {fan} + size(filter(__{level}[k], b -> b <= {col}))"
+        steps = f"transform({steps}, k -> {step})"
     # Never null, or a join on the band would first test every row for it.
-    return f"""SELECT * EXCEPT (__bounds, __few, __some, __each),
-                      if({col} IS NULL, -1, coalesce(__each, 0)) AS __band FROM ({steps})"""
+    return f"""SELECT * EXCEPT (__few, __some, __each),
+                      if({col} IS NULL, -1, coalesce({steps}[0], 0)) AS __band
+               FROM (SELECT *, {columns} FROM {table})"""
 
 
 def _banded(
