@@ -14,6 +14,7 @@ from hazegrid.operators.deciles import attach_quantile, top_decile_flag
 from hazegrid.operators.joins import append_rows, with_all_bucket
 from hazegrid.plans import sites as S
 from hazegrid.plans.community import neighborhood_table
+from hazegrid.session import materialize
 
 STATS = """median({v}) AS median, avg({v}) AS mean, max({v}) AS max,
            coalesce(sum({v}), 0)::DOUBLE AS sum, count(*) AS count"""
@@ -236,7 +237,7 @@ PA_DAILY = f"""SELECT "Daily", address, lat, lon, {STATS.format(v='v')}, {shares
 )
 def purpleair_daily_agg(spark, d):
     clean, _ = S.process_purpleair(D.purpleair_raw(spark, d))
-    return S.purpleair_daily(clean, "2024-01-03")
+    return S.purpleair_daily(materialize(clean), "2024-01-03")
 
 
 @register(

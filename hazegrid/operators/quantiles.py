@@ -3,8 +3,9 @@
 ``percentile`` keeps the distinct values of a group in one task's memory. That is
 right for ordinary groups and wrong for a key that holds a third of a table:
 
-* Groups of at most ``hot_rows`` rows take the built-in aggregate, one shuffle.
-* The others are found by a count over the key columns alone. Their rows fold to
+* A count over the key columns alone tells first whether any group has more than
+  ``HOT_ROWS`` rows. Without one, the built-in aggregate is used, one shuffle.
+* Otherwise the rows of large groups are set apart and fold to
   ``(keys, value, count)``, shuffled on keys *and* value, so copies combine
   map-side and a hot key spreads over all tasks. The values are then cut into
   bands of equal size, ranked band by band, and only band totals meet in one
@@ -12,7 +13,8 @@ right for ordinary groups and wrong for a key that holds a third of a table:
   distribution. The result is exact: the ``percentile_approx`` sketch only
   places the cuts.
 
-Without keys there is a single group, which always takes the second way.
+The count is a job of its own. Input that is costly to make should be written
+first (``hazegrid.session.materialize``), as the jobs in ``plans`` do.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.names import named
+from hazegrid.operators.joins import join_lookup
+from hazegrid.session import materialize
 
-HOT_ROWS = 5_000_000
+# An aggregation task may hold 128 groups at once; this keeps them within a gigabyte.
+HOT_ROWS = 100_000
 BANDS = 8 * 8 * 16
 
 MEDIAN = {"median": 0.5}
@@ -73,32 +78,43 @@ def stats_of_counts(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``grouped_stats`` of rows ``(keys, __v, __c)`` that stand for ``__c`` readings."""
-    spark, folds = counts.sparkSession, dict(folds or {})
-    by = ", ".join(f"`{k}`" for k in keys)
-    plain = ", ".join([by] * bool(keys) + _plain(stats, folds))
-    group = f"GROUP BY {by}" if keys else ""
-    if not quantiles:
-        return spark.sql(f"SELECT {plain} FROM {{rows}} {group}", rows=counts)
+    keys, folds = list(keys), dict(folds or {})
+    if not quantiles or not _has_large_group(counts, keys, hot_rows):
+        return _builtin(counts, keys, stats, quantiles, folds)
+    if not keys:
+        return _banded(counts, keys, stats, quantiles, folds)
+    hot = materialize(_large_groups(counts, keys, hot_rows))
+    ordinary = _builtin(join_lookup(counts, hot, keys, "left_anti"), keys, stats, quantiles, folds)
+    large = _banded(join_lookup(counts, hot, keys, "left_semi"), keys, stats, quantiles, folds)
+    return ordinary.unionByName(large)
+
+
+def _large_groups(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    by = [f"`{k}`" for k in keys]
+    return rows.groupBy(*by).agg(F.expr("count(1) AS __n")).where(f"__n > {hot_rows}").select(*by)
+
+
+def _has_large_group(rows: DataFrame, keys: list[str], hot_rows: int) -> bool:
     if not keys:
-        return spark.sql(_banded("{rows}", keys, stats, quantiles, folds), rows=counts)
+        return rows.count() > hot_rows
+    return not _large_groups(rows, keys, hot_rows).isEmpty()
 
-    # At most rows/hot_rows groups can be hot, which bounds the broadcast side.
+
+def _builtin(
+    rows: DataFrame,
+    keys: list[str],
+    stats: Sequence[str],
+    quantiles: Mapping[str, float],
+    folds: Mapping[str, str],
+) -> DataFrame:
+    by = [f"`{k}`" for k in keys]
     cuts = ", ".join(f"{p!r}D" for p in quantiles.values())
-    outputs = ", ".join(
-        [by]
-        + [f"__q[{i}] AS `{name}`" for i, name in enumerate(quantiles)]
-        + [f"`{c}`" for c in [*stats, *folds]]
-    )
-    hot = f"(SELECT {by} FROM {{rows}} GROUP BY {by} HAVING count(1) > {hot_rows})"
-    some = "SELECT /*+ BROADCAST(hot) */ rows.* FROM {rows} AS rows LEFT {kind} JOIN {hot} AS hot USING ({by})"
-    ordinary = some.format(rows="{rows}", kind="ANTI", hot=hot, by=by)
-    large = some.format(rows="{rows}", kind="SEMI", hot=hot, by=by)
-    return spark.sql(
-        f"""SELECT {outputs} FROM (
-              SELECT percentile(__v, array({cuts}), __c) AS __q, {plain} FROM ({ordinary}) {group})
-            UNION ALL
-            SELECT * FROM ({_banded(f"({large})", keys, stats, quantiles, folds)})""",
-        rows=counts,
+    found = [f"percentile(__v, array({cuts}), __c) AS __q"] if quantiles else []
+    aggregates = [F.expr(x) for x in found + _plain(stats, folds)]
+    return rows.groupBy(*by).agg(*aggregates).selectExpr(
+        *by,
+        *[f"__q[{i}] AS `{name}`" for i, name in enumerate(quantiles)],
+        *[f"`{c}`" for c in [*stats, *folds]],
     )
 
 
@@ -143,13 +159,13 @@ def _with_bands(table: str, col: str) -> str:
 
 
 def _banded(
-    rows: str,
-    keys: Sequence[str],
+    rows: DataFrame,
+    keys: list[str],
     stats: Sequence[str],
     quantiles: Mapping[str, float],
     folds: Mapping[str, str],
-) -> str:
-    """SQL of the second way (see the module text)."""
+) -> DataFrame:
+    """The second way (see the module text)."""
     by = "".join(f"`{k}`, " for k in keys)
     only = f"PARTITION BY {by[:-2]}" if keys else ""
     folded = "".join(f", {fn}(`{name}`) AS `{name}`" for name, fn in folds.items())
@@ -181,8 +197,9 @@ def _banded(
     finals += [f"`__all_{name}` AS `{name}`" for name in folds]
     group = f"GROUP BY {by[:-2]}" if keys else ""
     # per_band has one row per group and band: at most BANDS + 1 rows meet per group.
-    return f"""
-        WITH counts AS (SELECT {by} __v, sum(__c) AS __c {folded} FROM {rows} GROUP BY {by} __v),
+    return rows.sparkSession.sql(
+        f"""
+        WITH counts AS (SELECT {by} __v, sum(__c) AS __c {folded} FROM {{rows}} GROUP BY {by} __v),
         banded AS ({_with_bands("counts", "__v")}),
         per_band AS (
           SELECT {by} __band, sum(if(__v IS NULL, 0, __c)) AS __n, sum(__c) AS __rows,
@@ -197,7 +214,9 @@ def _banded(
                  __before + sum(if(__v IS NULL, 0, __c)) OVER (PARTITION BY {by} __band ORDER BY __v
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __end
           FROM (SELECT {by} __band, __v, __c FROM banded) JOIN offsets USING ({by} __band))
-        SELECT {by} {", ".join(finals)} FROM (SELECT {by} {", ".join(picks)} FROM ranked {group})"""
+        SELECT {by} {", ".join(finals)} FROM (SELECT {by} {", ".join(picks)} FROM ranked {group})""",
+        rows=rows,
+    )
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
