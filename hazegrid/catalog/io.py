@@ -27,11 +27,11 @@ def _rows(spark, d):
     )
 
 
-@register("csv_scan", "SELECT * FROM nation")
+@register("csv_scan", "SELECT * FROM customer")
 def csv_scan(spark, d):
-    path = new_path(spark, "csv-scan")
-    tables.write_csv(D.table(spark, d, "nation"), path)
-    return files.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+    path, customers = new_path(spark, "csv-scan"), D.table(spark, d, "customer")
+    tables.write_csv(customers, path)
+    return files.read_csv(spark, path, customers.schema)
 
 
 @register("csv_sink", EVENTS_SQL)

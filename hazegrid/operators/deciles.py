@@ -8,17 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.rounding import settled
+from hazegrid.operators.joins import join_lookup
 from hazegrid.operators.quantiles import grouped_stats
+from hazegrid.session import materialize
 
 
 def attach_quantile(
     df: DataFrame, keys: Sequence[str], value: str, p: float = 0.9, name: str = "top10"
 ) -> DataFrame:
-    """Per-group quantile (linear interpolation) as a column of every row."""
+    """Per-group quantile (linear interpolation) as a column of every row.
+
+    The quantiles are written first, so that they are small when the join
+    measures them, and a group with many rows is not shuffled to one task.
+    """
     # The mean and the quantile of the same means come from separate tasks.
     cut = df.withColumn(value, settled(F.col(value)))
-    limits = grouped_stats(cut, keys, value, stats=(), quantiles={name: p})
-    return cut.join(limits, list(keys), "left")
+    limits = materialize(grouped_stats(cut, keys, value, stats=(), quantiles={name: p}))
+    return join_lookup(cut, limits, keys)
 
 
 def top_decile_flag(

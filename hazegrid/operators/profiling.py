@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from hazegrid.functions.rounding import half_even
 from hazegrid.operators.aggregates import bucket_agg
 from hazegrid.operators.filters import require_columns, season_filter
+from hazegrid.operators.joins import join_lookup
 from hazegrid.operators.quantiles import grouped_stats, not_null
+from hazegrid.session import materialize
 
 QUARTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
@@ -138,51 +140,36 @@ def histogram(
     """
     by = list(by)
     require_columns(df, [feature, *by])
-    x = F.col("__x")
-    counts = (
-        df.where(not_null([feature, *by]))
-        .groupBy(*by, F.col(feature).cast("double").alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
+    rows = df.where(not_null([feature, *by])).select(*by, F.col(feature).cast("double").alias("__x"))
+    limits = [F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count("__x").alias("__n")]
     if by:
-        limits = counts.groupBy(*by).agg(
-            F.min("__x").alias("__lo"),
-            F.max("__x").alias("__hi"),
-            F.sum("__c").alias("__n"),
-        )
-        ranged = counts.join(limits, by)
-        lo, hi, n = F.col("__lo"), F.col("__hi"), F.col("__n")
+        # Written first, so that it is small when its size is measured for the join.
+        ranged = join_lookup(rows, materialize(rows.groupBy(*by).agg(*limits)), by, "inner")
     else:
-        limits = counts.agg(
-            F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.sum("__c").alias("n"))
-        ).scalar()
-        ranged = counts.withColumns(
-            {
-                "__lo": limits.getField("lo"),
-                "__hi": limits.getField("hi"),
-                "__n": limits.getField("n"),
-            }
-        )
-        lo, hi, n = F.col("__lo"), F.col("__hi"), F.col("__n")
+        found = rows.agg(F.struct(*limits)).scalar()
+        ranged = rows.withColumns({c: found.getField(c) for c in ("__lo", "__hi", "__n")})
+    lo, hi = F.col("__lo"), F.col("__hi")
     # A constant feature gets a range of one around it.
     flat = lo == hi
-    start, width = F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, 1.0).otherwise(hi - lo) / bins
-    position = F.least(F.floor((x - start) / width), F.lit(bins - 1)).cast("int")
+    binned = ranged.select(
+        *by,
+        "__x",
+        "__n",
+        F.when(flat, lo - 0.5).otherwise(lo).alias("__start"),
+        (F.when(flat, 1.0).otherwise(hi - lo) / bins).alias("__width"),
+    ).withColumn(
+        "bin", F.expr(f"cast(least(floor((__x - __start) / __width), {bins - 1}) AS int)")
+    )
+    # Only counts per bin are shuffled; the range is the same in all rows of a group.
     return (
-        ranged.select(*by, "__c", position.alias("bin"), start.alias("__start"), width.alias("__w"), n.alias("__n"))
-        .groupBy(*by, "bin")
-        .agg(
-            F.first("__start").alias("__start"),
-            F.first("__w").alias("__w"),
-            F.first("__n").alias("__n"),
-            F.sum("__c").alias("count"),
-        )
+        binned.groupBy(*by, "bin", "__start", "__width", "__n")
+        .agg(F.count(F.lit(1)).alias("count"))
         .select(
             *by,
             "bin",
-            (F.col("__start") + F.col("bin") * F.col("__w")).alias("left"),
+            (F.col("__start") + F.col("bin") * F.col("__width")).alias("left"),
             "count",
-            (F.col("count") / (F.col("__n") * F.col("__w"))).alias("density"),
+            (F.col("count") / (F.col("__n") * F.col("__width"))).alias("density"),
         )
     )
 

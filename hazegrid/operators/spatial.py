@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hazegrid.functions import geometry as G
 from hazegrid.operators.joins import join_lookup
 
-DEFAULT_CELL = 0.02  # degrees; about the size of a small neighborhood
+MIN_CELL = 1e-4  # degrees
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -31,7 +31,18 @@ def _cells_of_box(df: DataFrame, box: Column, size: float) -> DataFrame:
     return df.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
 
 
-def cover(polygons: DataFrame, columns: list[str], size: float = DEFAULT_CELL) -> DataFrame:
+def cell_size(boxes: DataFrame, box: Column) -> float:
+    """Grid size that suits a layer: the mean extent of its shapes.
+
+    A shape of mean size then lies in at most four cells, and a cell holds the few
+    shapes around it, whether they are census blocks or whole districts.
+    """
+    extent_of = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+    mean = boxes.agg(F.avg(extent_of)).first()[0]
+    return max(mean or 0.0, MIN_CELL)
+
+
+def cover(polygons: DataFrame, columns: list[str], size: float) -> DataFrame:
     """Polygons cut to grid cells: ``columns``, ``__cx``, ``__cy``, ``__edges``.
 
     Only the sides that matter for points of the cell stay: those that reach into
@@ -61,13 +72,14 @@ def locate(
     columns: list[str],
     x: str = "lon",
     y: str = "lat",
-    size: float = DEFAULT_CELL,
+    size: float | None = None,
     how: str = "left",
 ) -> DataFrame:
     """Point-in-polygon join adding ``columns``; boundaries count as inside.
 
     A point in several polygons gives several rows; in none, one row of nulls.
     """
+    size = size or cell_size(polygons, G.bbox(F.col("rings")))
     px, py = F.col(x), F.col(y)
     keyed = points.withColumns({"__cx": _cell(px, size), "__cy": _cell(py, size)})
     inside = G.point_in_edges(F.col("__edges"), px, py)
@@ -81,7 +93,7 @@ def polygons_touching(
     key: list[str],
     polygons: DataFrame,
     columns: list[str],
-    size: float = DEFAULT_CELL,
+    size: float | None = None,
 ) -> DataFrame:
     """Left join of rectangles (``box``) with convex polygons they share a point with.
 
@@ -89,6 +101,7 @@ def polygons_touching(
     in the cell that holds the lower left corner of the common box, so no distinct
     is needed afterwards.
     """
+    size = size or cell_size(boxes, F.col("box"))
     right = polygons.select(
         *columns, F.col("rings").alias("__rings"), G.bbox(F.col("rings")).alias("__box")
     )
@@ -240,7 +253,7 @@ def geotag(
     grid_column: str = "big_hexagon_id",
     x: str = "lon",
     y: str = "lat",
-    size: float = DEFAULT_CELL,
+    size: float | None = None,
 ) -> DataFrame:
     """Add the ids of every polygon layer, and of the hexagon grid, to each point.
 

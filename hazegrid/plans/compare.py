@@ -18,6 +18,7 @@ from hazegrid.operators.aggregates import (
 from hazegrid.operators.filters import min_support
 from hazegrid.operators.joins import combine_sources, join_lookup, semi_join
 from hazegrid.operators.spatial import polygons_touching
+from hazegrid.session import materialize
 
 # Support a day needs to be compared.
 AQ_SUPPORT = {"count": 500, "hex_ct": 5}
@@ -82,7 +83,7 @@ def daily_map_layers(
 
     ``epa_squares`` has one row per station and site number (``box``).
     """
-    days = common.select(F.col("Daily").alias("Date")).distinct()
+    days = materialize(common.select(F.col("Daily").alias("Date")).distinct())
     names = {"Daily": "Date", "mean": "Average PM2.5"}
 
     def finish(df: DataFrame, source: str) -> DataFrame:

@@ -13,8 +13,9 @@ from hazegrid.functions.levels import level_flags
 from hazegrid.functions.names import named
 from hazegrid.operators.aggregates import site_profile, summary_with_shares
 from hazegrid.operators.filters import date_floor, zscore_filter
-from hazegrid.operators.quantiles import not_null
 from hazegrid.operators.joins import attach_parent_name, outdoor_only
+from hazegrid.operators.quantiles import not_null
+from hazegrid.session import materialize
 
 # Columns of the regulatory feed that are codes, not numbers.
 EPA_TEXT = (
@@ -106,7 +107,7 @@ def process_purpleair(
     sites = purpleair_sites(typed) if sites is None else sites
     # Which site is outdoors does not need the statistics: distinct keys will do.
     keyed = typed.where(not_null(schemas.PURPLEAIR_SITE_KEYS))
-    places = keyed.select("address", "ID", "device_loc").distinct()
+    places = materialize(keyed.select("address", "ID", "device_loc").distinct())
     outdoor = outdoor_only(typed.select(*map(named, PURPLEAIR_KEPT)), places)
     return zscore_filter(outdoor, [PM]), sites
 

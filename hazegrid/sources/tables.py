@@ -14,16 +14,13 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_partitioned(
-    df: DataFrame, path: str, key: str, mode: str = "append", files_per_key: int = 8
-) -> None:
+def write_partitioned(df: DataFrame, path: str, key: str, mode: str = "append") -> None:
     """One folder per key value, appended to or created, in a single job.
 
-    Rows are shuffled on key and a salt: a key gets at most ``files_per_key`` files
-    per write, and a key with much of the data is not written by one task.
+    The rebalance hint brings a key's rows together and lets adaptive execution
+    split a key that holds much of the data over as many tasks as its size needs.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))
-    df.repartition(F.col(key), salt).write.mode(mode).partitionBy(key).parquet(path)
+    df.hint("rebalance", F.col(key)).write.mode(mode).partitionBy(key).parquet(path)
 
 
 def read_partition(spark: SparkSession, path: str, key: str, value) -> DataFrame:
