@@ -12,6 +12,7 @@ from hazegrid.catalog.tables import with_tables
 from hazegrid.functions import calendar as C
 from hazegrid.functions import geometry as G
 from hazegrid.functions import levels as L
+from hazegrid.operators import aggregates as A
 from hazegrid.operators.spatial import HexGrid, extent
 from hazegrid.plans.geodims import big_hexagons
 
@@ -119,17 +120,16 @@ def polygon_area_km2(spark, d):
     return areas.select("pri_neigh", G.area_3857_km2(F.col("rings")).alias("area_3857_km2"))
 
 
+_CENTROIDS = """SELECT pid, ox + sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS x,
+                  oy + sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS y
+           FROM (SELECT e.pid, o.ox, o.oy, x1 - ox AS x1, x2 - ox AS x2, y1 - oy AS y1, y2 - oy AS y2
+                 FROM block_edges e JOIN (SELECT pid, min(x1) AS ox, min(y1) AS oy FROM block_edges GROUP BY pid) o
+                   ON o.pid = e.pid) GROUP BY pid, ox, oy"""
+
+
 @register(
     "polygon_centroid",
-    with_tables(
-        "block_edges",
-        """SELECT pid AS geoid10, ox + sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS x,
-                  oy + sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS y
-           FROM near GROUP BY pid, ox, oy""",
-        near="""SELECT e.pid, o.ox, o.oy, x1 - ox AS x1, x2 - ox AS x2, y1 - oy AS y1, y2 - oy AS y2
-                FROM block_edges e JOIN (SELECT pid, min(x1) AS ox, min(y1) AS oy FROM block_edges GROUP BY pid) o
-                ON o.pid = e.pid""",
-    ),
+    with_tables("block_edges", f"SELECT pid AS geoid10, x, y FROM ({_CENTROIDS})"),
     {"x": 8, "y": 8},
 )
 def polygon_centroid(spark, d):
@@ -137,6 +137,18 @@ def polygon_centroid(spark, d):
     return b.select("geoid10", "c.x", "c.y")
 
 
+@register(
+    "map_center_of_shapes",
+    with_tables(
+        "block_edges",
+        f"""SELECT round_even(median(y), 4) AS lat_center, round_even(median(x), 4) AS lon_center
+            FROM ({_CENTROIDS})""",
+    ),
+)
+def map_center_of_shapes(spark, d):
+    return A.map_center_of_shapes(D.blocks(spark, d))
+
+
 HAVERSINE = (
     "2 * 6371000 * atan2(sqrt(sin(radians({y2} - {y1}) / 2) ** 2 + cos(radians({y1})) * cos(radians({y2}))"
     " * sin(radians({x2} - {x1}) / 2) ** 2), sqrt(1 - (sin(radians({y2} - {y1}) / 2) ** 2"
@@ -206,4 +218,4 @@ def hex_grid(spark, d):
 def hex_assign(spark, d):
     grid = HexGrid.over(extent(D.neighborhoods(spark, d)))
     r = D.readings(spark, d)
-    return r.select("event_id", grid.id_at(F.col("lon"), F.col("lat")).alias("big_hexagon_id"))
+    return r.select("event_id", grid.id_at("lon", "lat").alias("big_hexagon_id"))

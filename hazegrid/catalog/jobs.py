@@ -39,8 +39,9 @@ def tagged_points(spark, d):
     return materialize(tagged)
 
 
-def by_hexagon(spark, d):
-    cells = A.cell_stats(tagged_points(spark, d), "hexagon_id", "thirtymins", "value")
+def by_hexagon(spark, d, tagged=None):
+    tagged = tagged or tagged_points(spark, d)
+    cells = A.cell_stats(tagged, "hexagon_id", "thirtymins", "value")
     return materialize(calendar_features(cells, "thirtymins"))
 
 
@@ -53,8 +54,8 @@ def purpleair_daily(spark, d):
     return S.purpleair_daily(materialize(clean), FIRST_DAY)
 
 
-def neighborhood_rows(spark, d):
-    return materialize(community.neighborhood_table(tagged_points(spark, d)))
+def neighborhood_rows(spark, d, tagged=None):
+    return materialize(community.neighborhood_table(tagged or tagged_points(spark, d)))
 
 
 HEX = {
@@ -246,6 +247,35 @@ def near_sensor_daily(spark, d):
     )
 
 
+def address_squares(spark, d):
+    typed = S.purpleair_typed(D.purpleair_raw(spark, d))
+    sites = typed.select("address", "lon", "lat").distinct()
+    return sites.withColumn("box", G.site_box(F.col("lon"), F.col("lat")))
+
+
+@register(
+    "near_sensor_daily_purpleair",
+    job_sql(
+        f"SELECT * FROM ({cell_rollup_sql('near_cells')})",
+        **{
+            **NEAR,
+            "boxes": """SELECT address AS site_number, {box}
+                        FROM (SELECT DISTINCT address, lon, lat FROM pa_typed)""".format(
+                box=_BOX.format(lon="lon", lat="lat")
+            ),
+        },
+    ),
+    "sum, mean, harmful, not_harmful, harmful_hex, not_harmful_hex",
+)
+def near_sensor_daily_purpleair(spark, d):
+    return compare.near_sensor_daily(
+        by_hexagon(spark, d),
+        address_squares(spark, d),
+        ["address", "lon", "lat"],
+        D.hexagons(spark, d),
+    )
+
+
 def comparison(spark, d, aq=AQ_SUPPORT, epa=EPA_SUPPORT, pa=PA_SUPPORT):
     """Daily comparison of the three networks over all hexagons."""
     e, p, a = compare.daily_by_source(
@@ -509,20 +539,24 @@ def incremental_refresh(spark, d):
 @register("report_dataset")
 def report_dataset(spark, d):
     """Everything the dashboard shows for one selection, as name and JSON text."""
-    cells, e = by_hexagon(spark, d), materialize(epa_daily(spark, d))
+    tagged = tagged_points(spark, d)
+    cells, e = by_hexagon(spark, d, tagged), materialize(epa_daily(spark, d))
     p = materialize(purpleair_daily(spark, d))
-    squares = station_squares(spark, d)
-    near = compare.near_sensor_daily(
-        cells, squares, ["value_represented", "longitude", "latitude"], D.hexagons(spark, d)
+    hexagons = D.hexagons(spark, d)
+    near_epa = compare.near_sensor_daily(
+        cells, station_squares(spark, d), ["value_represented", "longitude", "latitude"], hexagons
+    )
+    near_pa = compare.near_sensor_daily(
+        cells, address_squares(spark, d), ["address", "lon", "lat"], hexagons
     )
     support = ({"count": 1, "hex_ct": 1}, {"count": 1}, {"count": 1})
     days = compare.site_daily_rollup(e), compare.site_daily_rollup(p)
     combined = {
         "aq": materialize(compare.daily_comparison(compare.hexagon_daily_rollup(cells), *days, *support)),
-        "near_epa": materialize(compare.daily_comparison(near, *days, *support)),
-        "near_pa": materialize(compare.daily_comparison(near, *days, *support)),
+        "near_epa": materialize(compare.daily_comparison(near_epa, *days, *support)),
+        "near_pa": materialize(compare.daily_comparison(near_pa, *days, *support)),
     }
-    rows = neighborhood_rows(spark, d)
+    rows = neighborhood_rows(spark, d, tagged)
     summary = A.neighborhood_summary(calendar_features(rows, "thirtymins"), "pri_neigh", "Daily")
     first = D.neighborhoods(spark, d).agg(F.min("pri_neigh")).first()[0]
     out = None

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.functions import geometry as G
 from hazegrid.functions.calendar import calendar_features, floor_half_hour
 from hazegrid.functions.levels import level_flags
 from hazegrid.operators.joins import join_lookup
@@ -74,23 +73,31 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("sensor_id")).distinct()
 
 
-def _ring(x0: Column, y0: Column, corners: list[tuple[int, int]]) -> Column:
-    return F.array(*[G.xy(_deg(x0 + dx), _deg(y0 + dy)) for dx, dy in corners])
+# The grid position of sensor_id, as in ``_x0`` and ``_y0``.
+_SENSOR_AT = ("(-8790000 + 2000 * (sensor_id % 15))", "(4165000 + 4000 * floor(sensor_id / 15))")
+
+
+def _rings(at: tuple[str, str], *outlines: list[tuple[int, int]]) -> Column:
+    def ring(corners):
+        points = (
+            f"struct(double({at[0]} + {dx}) / 100000D AS x, double({at[1]} + {dy}) / 100000D AS y)"
+            for dx, dy in corners
+        )
+        return f"array({', '.join(points)})"
+
+    return F.expr(f"array({', '.join(map(ring, outlines))})").alias("rings")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("sensor_id")
     return sensors(spark, sf_dir).select(
         F.concat(F.lit("17031"), F.lpad(s.cast("string"), 10, "0")).alias("geoid10"),
-        F.array(_ring(_x0(s), _y0(s), BLOCK)).alias("rings"),
+        _rings(_SENSOR_AT, BLOCK),
     )
 
 
 def hexagons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("sensor_id")
-    return sensors(spark, sf_dir).select(
-        s.alias("id"), F.array(_ring(_x0(s), _y0(s), HEXAGON)).alias("rings")
-    )
+    return sensors(spark, sf_dir).select(F.col("sensor_id").alias("id"), _rings(_SENSOR_AT, HEXAGON))
 
 
 def neighborhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +113,10 @@ def neighborhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = join_lookup(
         places, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"]
     )
-    x0, y0 = F.lit(-8790000) + 6000 * F.col("nx"), F.lit(4165000) + 8000 * F.col("ny")
+    at = ("(-8790000 + 6000 * nx)", "(4165000 + 8000 * ny)")
     return named.select(
         F.concat_ws("-", F.col("n_name"), F.col("ny").cast("string")).alias("pri_neigh"),
-        F.array(_ring(x0, y0, AREA), _ring(x0, y0, AREA_HOLE)).alias("rings"),
+        _rings(at, AREA, AREA_HOLE),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazegrid.functions.geometry import centroid
 from hazegrid.functions.levels import is_harmful, is_low
 from hazegrid.functions.names import named
 from hazegrid.functions.rounding import half_even, settled
@@ -309,6 +310,12 @@ def top_values(df: DataFrame, column: str, n: int | None = 9) -> DataFrame:
     return counts if n is None else counts.limit(n)
 
 
+def map_center_of_shapes(df: DataFrame, rings: str = "rings") -> DataFrame:
+    """The same for polygons, by their centroids."""
+    center = centroid(F.col(rings))
+    return map_center(df.select(center["y"].alias("lat"), center["x"].alias("lon")), "lat", "lon")
+
+
 def map_center(df: DataFrame, lat: str, lon: str) -> DataFrame:
     """Median latitude and longitude, four decimals."""
     one = grouped_stats(df, [], lat, stats=(), quantiles={"lat": 0.5})

@@ -222,28 +222,29 @@ class HexGrid:
             .withColumn("rings", F.array(F.array(*corners)))
         )
 
-    def id_at(self, x: Column, y: Column) -> Column:
+    def id_at(self, x: str, y: str) -> Column:
         """Number of the hexagon that holds the point, by arithmetic; no join.
 
         The holder is one of four centers around the point. On a shared edge the
         lowest number wins, outside the grid the result is null.
         """
-        slack = 1e-12
-        top = F.floor((F.lit(self.ymax) - y) / self.row_step)
+        half, slack = self.width / 2, "1e-12D"
+        top = f"floor(({self.ymax!r}D - `{y}`) / {self.row_step!r}D)"
         options = []
-        for row in (top, top + 1):
-            left = F.floor((x - self.xmin - (row % 2) * (self.width / 2)) / self.width)
-            for col in (left, left + 1):
-                cx, cy = self._center(row, col)
-                dx, dy = F.abs(x - cx), F.abs(y - cy)
-                holds = (
-                    row.between(0, self.rows - 1)
-                    & col.between(0, self.cols - 1)
-                    & (dx <= self.width / 2 + slack)
-                    & (dy <= self.radius - dx / math.sqrt(3) + slack)
+        for down in (0, 1):
+            row = f"({top} + {down})"
+            left = f"floor((`{x}` - {self.xmin!r}D - ({row} % 2) * {half!r}D) / {self.width!r}D)"
+            for across in (0, 1):
+                col = f"({left} + {across})"
+                dx = f"abs(`{x}` - ({self.xmin!r}D + {col} * {self.width!r}D + ({row} % 2) * {half!r}D))"
+                dy = f"abs(`{y}` - ({self.ymax!r}D - {row} * {self.row_step!r}D))"
+                options.append(
+                    f"if({row} BETWEEN 0 AND {self.rows - 1} AND {col} BETWEEN 0 AND {self.cols - 1}"
+                    f" AND {dx} <= {half!r}D + {slack}"
+                    f" AND {dy} <= {self.radius!r}D - {dx} / sqrt(3D) + {slack},"
+                    f" {row} * {self.cols} + {col}, NULL)"
                 )
-                options.append(F.when(holds, row * self.cols + col))
-        return F.least(*options)
+        return F.expr(f"least({', '.join(options)})")
 
 
 def geotag(
@@ -266,5 +267,5 @@ def geotag(
 
     tagged = reduce(tag, layers, points)
     if grid is not None:
-        tagged = tagged.withColumn(grid_column, grid.id_at(F.col(x), F.col(y)))
+        tagged = tagged.withColumn(grid_column, grid.id_at(x, y))
     return tagged

@@ -122,5 +122,5 @@ def monthly_map_frames(layers: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         for name, df in layers.items()
     }
     months = [df.select("year", "month").distinct() for df in dated.values()]
-    shared = reduce(lambda a, b: a.join(b, ["year", "month"], "left_semi"), months)
-    return {name: df.join(shared, ["year", "month"], "left_semi") for name, df in dated.items()}
+    shared = materialize(reduce(lambda a, b: a.join(b, ["year", "month"], "left_semi"), months))
+    return {name: semi_join(df, shared, ["year", "month"]) for name, df in dated.items()}

@@ -50,7 +50,7 @@ def test_random_points_against_hexagon_numbers(spark):
     rng = random.Random(3)
     pts = [(i, rng.uniform(-88.03, -87.74), rng.uniform(41.83, 42.03)) for i in range(3000)]
     df = spark.createDataFrame(pts, "pid int, lon double, lat double")
-    by_number = df.withColumn("n", grid.id_at(F.col("lon"), F.col("lat")))
+    by_number = df.withColumn("n", grid.id_at("lon", "lat"))
     both = P.locate(by_number, grid.table(spark).select("id", "rings"), ["id"], size=0.01)
     assert both.where("NOT (n <=> id)").count() == 0
     assert 1000 < both.where("id IS NOT NULL").count() < 3000
@@ -59,7 +59,7 @@ def test_random_points_against_hexagon_numbers(spark):
 def test_hexagon_edge_takes_lowest(spark):
     grid = P.HexGrid(xmin=0.0, ymax=10.0, width=2.0, cols=3, rows=3)
     df = spark.createDataFrame([(1.0, 10.0), (0.0, 10.0), (50.0, 50.0), (None, 1.0)], "x double, y double")
-    got = [r[0] for r in df.select(grid.id_at(F.col("x"), F.col("y"))).collect()]
+    got = [r[0] for r in df.select(grid.id_at("x", "y")).collect()]
     assert got == [0, 0, None, None]
 
 
