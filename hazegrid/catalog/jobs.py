@@ -28,12 +28,13 @@ AQ_SUPPORT, EPA_SUPPORT, PA_SUPPORT = {"count": 80, "hex_ct": 5}, {"count": 62},
 
 def tagged_points(spark, d):
     """Geotagged points, written once: several tables are made from them."""
-    areas = D.neighborhoods(spark, d)
+    known = D.sensors(spark, d)
+    areas = D.neighborhoods(spark, d, known)
     tagged = community.tag_points(
         D.community_points(spark, d),
-        D.blocks(spark, d),
+        D.blocks(spark, d, known),
         areas,
-        D.hexagons(spark, d),
+        D.hexagons(spark, d, known),
         HexGrid.over(extent(areas)),
     )
     return materialize(tagged)
@@ -219,7 +220,9 @@ def reading_weighted_share(spark, d):
 
 def station_squares(spark, d):
     sites = D.epa_raw(spark, d).select("value_represented", "longitude", "latitude").distinct()
-    return sites.withColumn("box", G.site_box(F.col("longitude"), F.col("latitude")))
+    return materialize(sites).withColumn(
+        "box", G.site_box(F.col("longitude"), F.col("latitude"))
+    )
 
 
 STATIONS = """SELECT DISTINCT row_number() OVER (ORDER BY value_represented, longitude, latitude) AS site_number,
@@ -250,7 +253,7 @@ def near_sensor_daily(spark, d):
 def address_squares(spark, d):
     typed = S.purpleair_typed(D.purpleair_raw(spark, d))
     sites = typed.select("address", "lon", "lat").distinct()
-    return sites.withColumn("box", G.site_box(F.col("lon"), F.col("lat")))
+    return materialize(sites).withColumn("box", G.site_box(F.col("lon"), F.col("lat")))
 
 
 @register(
@@ -468,8 +471,9 @@ def neighborhood_series(spark, d):
     "xmin, ymax",
 )
 def geo_dimension_build(spark, d):
+    known = D.sensors(spark, d)
     built = geodims.build_dimensions(
-        D.blocks(spark, d), D.neighborhoods(spark, d), D.hexagons(spark, d)
+        D.blocks(spark, d, known), D.neighborhoods(spark, d, known), D.hexagons(spark, d, known)
     )
     keys = {"blocks": "geoid10", "neighborhoods": "pri_neigh", "hexagons": "id", "big_hexagons": "id"}
     out = None

@@ -12,6 +12,7 @@ from hazegrid.functions import geometry as G
 from hazegrid.operators import joins as J
 from hazegrid.operators import spatial as P
 from hazegrid.plans.sites import purpleair_typed
+from hazegrid.session import materialize
 
 
 @register(
@@ -183,23 +184,21 @@ def point_in_polygon_join(spark, d):
     ),
 )
 def geotag_layers(spark, d):
-    areas = D.neighborhoods(spark, d)
+    known = D.sensors(spark, d)
+    areas = D.neighborhoods(spark, d, known)
     layers = [
-        (D.blocks(spark, d), {"geoid10": "geoid10"}),
+        (D.blocks(spark, d, known), {"geoid10": "geoid10"}),
         (areas, {"pri_neigh": "pri_neigh"}),
-        (D.hexagons(spark, d), {"id": "hexagon_id"}),
+        (D.hexagons(spark, d, known), {"id": "hexagon_id"}),
     ]
     r = D.readings(spark, d).select("event_id", "lon", "lat")
     return P.geotag(r, layers, P.HexGrid.over(P.extent(areas))).drop("lon", "lat")
 
 
 def station_boxes(spark, d):
-    return (
-        D.epa_raw(spark, d)
-        .select("site_number", "longitude", "latitude")
-        .distinct()
-        .select("site_number", G.site_box(F.col("longitude"), F.col("latitude")).alias("box"))
-    )
+    sites = D.epa_raw(spark, d).select("site_number", "longitude", "latitude").distinct()
+    box = G.site_box(F.col("longitude"), F.col("latitude"))
+    return materialize(sites).select("site_number", box.alias("box"))
 
 
 # Convex shapes meet if no side of either one separates them.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hazegrid.functions.calendar import calendar_features, floor_half_hour
 from hazegrid.functions.levels import level_flags
 from hazegrid.operators.joins import join_lookup
+from hazegrid.session import materialize
 
 # Corner lists in 1/100000 degrees from the shape's origin.
 BLOCK = [(0, 0), (1000, 0), (1000, 400), (500, 400), (500, 800), (0, 800), (0, 0)]
@@ -70,7 +71,9 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("sensor_id")).distinct()
+    """Sensors of the events, written: shapes made from them are read several times."""
+    events = table(spark, sf_dir, "events")
+    return materialize(events.select(F.col("user_id").alias("sensor_id")).distinct())
 
 
 # The grid position of sensor_id, as in ``_x0`` and ``_y0``.
@@ -88,22 +91,23 @@ def _rings(at: tuple[str, str], *outlines: list[tuple[int, int]]) -> Column:
     return F.expr(f"array({', '.join(map(ring, outlines))})").alias("rings")
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     s = F.col("sensor_id")
-    return sensors(spark, sf_dir).select(
+    return (known or sensors(spark, sf_dir)).select(
         F.concat(F.lit("17031"), F.lpad(s.cast("string"), 10, "0")).alias("geoid10"),
         _rings(_SENSOR_AT, BLOCK),
     )
 
 
-def hexagons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensors(spark, sf_dir).select(F.col("sensor_id").alias("id"), _rings(_SENSOR_AT, HEXAGON))
+def hexagons(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    known = known or sensors(spark, sf_dir)
+    return known.select(F.col("sensor_id").alias("id"), _rings(_SENSOR_AT, HEXAGON))
 
 
-def neighborhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+def neighborhoods(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     s = F.col("sensor_id")
     places = (
-        sensors(spark, sf_dir)
+        (known or sensors(spark, sf_dir))
         .select(
             F.floor((s % 15) / 3).alias("nx"), F.floor(F.floor(s / 15) / 2).alias("ny")
         )

@@ -43,7 +43,7 @@ def cell_size(boxes: DataFrame, box: Column) -> float:
 
 
 def cover(polygons: DataFrame, columns: list[str], size: float) -> DataFrame:
-    """Polygons cut to grid cells: ``columns``, ``__cx``, ``__cy``, ``__edges``.
+    """Polygons cut to grid cells: ``columns``, ``__cx``, ``__cy``, ``__box``, ``__edges``.
 
     Only the sides that matter for points of the cell stay: those that reach into
     the cell's rows and are not wholly to its left (crossings are counted to the
@@ -56,13 +56,14 @@ def cover(polygons: DataFrame, columns: list[str], size: float) -> DataFrame:
         & (F.least(s["y1"], s["y2"]) <= y0 + size + slack)
         & (F.greatest(s["x1"], s["x2"]) >= x0 - slack)
     )
+    shapes = polygons.select(
+        *columns, G.bbox(F.col("rings")).alias("__box"), G.edges(F.col("rings")).alias("__all")
+    )
     return (
-        _cells_of_box(
-            polygons.withColumn("__all", G.edges(F.col("rings"))), G.bbox(F.col("rings")), size
-        )
+        _cells_of_box(shapes, F.col("__box"), size)
         .withColumn("__edges", F.filter("__all", matters))
         .where(F.size("__edges") > 0)
-        .select(*columns, "__cx", "__cy", "__edges")
+        .select(*columns, "__cx", "__cy", "__box", "__edges")
     )
 
 
@@ -82,10 +83,15 @@ def locate(
     size = size or cell_size(polygons, G.bbox(F.col("rings")))
     px, py = F.col(x), F.col(y)
     keyed = points.withColumns({"__cx": _cell(px, size), "__cy": _cell(py, size)})
-    inside = G.point_in_edges(F.col("__edges"), px, py)
+    # The box is compared first: it is compiled code, the walk along the sides is not.
+    inside = (
+        px.between(F.col("__box.xmin"), F.col("__box.xmax"))
+        & py.between(F.col("__box.ymin"), F.col("__box.ymax"))
+        & G.point_in_edges(F.col("__edges"), px, py)
+    )
     return join_lookup(
         keyed, cover(polygons, columns, size), ["__cx", "__cy"], how, condition=inside
-    ).drop("__cx", "__cy", "__edges")
+    ).drop("__cx", "__cy", "__box", "__edges")
 
 
 def polygons_touching(
