@@ -19,6 +19,7 @@ from hazegrid.operators.spatial import HexGrid, extent
 from hazegrid.plans import community, compare, geodims, neighborhood, refresh, reports
 from hazegrid.plans import sites as S
 from hazegrid.session import materialize, new_path
+from hazegrid.sources import tables
 
 FIRST_DAY = "2024-01-01"
 AQ_SUPPORT, EPA_SUPPORT, PA_SUPPORT = {"count": 80, "hex_ct": 5}, {"count": 62}, {"count": 90}
@@ -195,10 +196,10 @@ def aq_process(spark, d):
 )
 def daily_by_source(spark, d):
     names = ("EPA", "PurpleAir", "AirQuality")
-    tables = compare.daily_by_source(
+    daily = compare.daily_by_source(
         epa_daily(spark, d), purpleair_daily(spark, d), by_hexagon(spark, d)
     )
-    marked = [df.withColumn("source", F.lit(n)) for n, df in zip(names, tables)]
+    marked = [df.withColumn("source", F.lit(n)) for n, df in zip(names, daily)]
     return (
         marked[0]
         .unionByName(marked[1])
@@ -499,45 +500,70 @@ def geo_dimension_build(spark, d):
 )
 def refresh_watermark(spark, d):
     f = D.flagged(spark, d)
-    tables = {"epa": (f.where("source = 'EPA'"), "Daily"), "aq": (f.where("source = 'AQ'"), "thirtymins")}
-    return refresh.refresh_watermark(tables, f.where("source = 'PA'"))
+    current = {"epa": (f.where("source = 'EPA'"), "Daily"), "aq": (f.where("source = 'AQ'"), "thirtymins")}
+    return refresh.refresh_watermark(current, f.where("source = 'PA'"))
 
 
 def _daily_table(rows):
     return A.summarize(rows, ["Daily"], ["sensor_id"], value="pm")
 
 
-@register(
-    "incremental_refresh",
-    with_tables(
-        "flagged",
-        """SELECT source AS network, "Daily", sensor_id, median(pm) AS median, avg(pm) AS mean, max(pm) AS max,
-                  coalesce(sum(pm), 0)::DOUBLE AS sum, count(*) AS count
-           FROM flagged WHERE "Daily" < DATE '2024-01-29' GROUP BY ALL""",
-    ),
-    "median, mean, sum",
+NETWORKS = ("AQ", "EPA", "PA")
+REFRESHED = with_tables(
+    "flagged",
+    """SELECT source AS network, "Daily", sensor_id, median(pm) AS median, avg(pm) AS mean, max(pm) AS max,
+              coalesce(sum(pm), 0)::DOUBLE AS sum, count(*) AS count
+       FROM flagged WHERE "Daily" < DATE '2024-01-29' GROUP BY ALL""",
 )
-def incremental_refresh(spark, d):
-    """Load up to mid January, then refresh twice; the second run changes nothing.
 
-    The first load stops inside its last day, as real pulls do: that day is
-    dropped and loaded again in full.
-    """
+
+def _loader(spark, d):
     f = D.flagged(spark, d)
-    sources = ("AQ", "EPA", "PA")
 
     def load(start: dt.date, end: dt.date):
         window = f.where((F.col("Daily") >= F.lit(start)) & (F.col("Daily") < F.lit(end)))
-        return {s: _daily_table(window.where(F.col("source") == s)) for s in sources}
+        return {s: _daily_table(window.where(F.col("source") == s)) for s in NETWORKS}
+
+    return load
+
+
+def _stacked(done):
+    marked = [done[s].withColumn("network", F.lit(s)) for s in NETWORKS]
+    return marked[0].unionByName(marked[1]).unionByName(marked[2])
 
+
+@register("incremental_refresh", REFRESHED, "median, mean, sum")
+def incremental_refresh(spark, d):
+    """Load up to mid January, then refresh twice; the second run changes nothing.
+
+    The first load stops inside its last day, as real pulls do: that day is
+    dropped and loaded again in full.
+    """
+    f, load = D.flagged(spark, d), _loader(spark, d)
     partial = f.where(F.col("time") < F.lit("2024-01-15 10:00:00").cast("timestamp_ntz"))
-    current = {s: (_daily_table(partial.where(F.col("source") == s)), "Daily") for s in sources}
+    current = {s: (_daily_table(partial.where(F.col("source") == s)), "Daily") for s in NETWORKS}
     for run in range(2):
         out = new_path(spark, f"refresh-{run}")
         done = refresh.incremental_refresh(spark, current, load, out, dt.date(2024, 1, 29))
-        current = {s: (done[s], "Daily") for s in sources}
-    marked = [done[s].withColumn("network", F.lit(s)) for s in sources]
-    return marked[0].unionByName(marked[1]).unionByName(marked[2])
+        current = {s: (done[s], "Daily") for s in NETWORKS}
+    return _stacked(done)
+
+
+@register(
+    "incremental_refresh_partitions",
+    REFRESHED,
+    "median, mean, sum",
+)
+def incremental_refresh_partitions(spark, d):
+    """The same on tables partitioned by day, of which only the loaded days are written."""
+    f, load = D.flagged(spark, d), _loader(spark, d)
+    partial = f.where(F.col("time") < F.lit("2024-01-15 10:00:00").cast("timestamp_ntz"))
+    paths = {s: new_path(spark, f"days-{s}") for s in NETWORKS}
+    for s in NETWORKS:
+        tables.write_partitioned(_daily_table(partial.where(F.col("source") == s)), paths[s], "Daily")
+    for _ in range(2):
+        done = refresh.refresh_partitions(spark, paths, load, dt.date(2024, 1, 29))
+    return _stacked(done)
 
 
 @register("report_dataset")

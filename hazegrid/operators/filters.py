@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -59,10 +60,15 @@ def season_filter(
     after_year: int = 2017,
     year: int | None = None,
 ) -> DataFrame:
-    """Rows of the given months in years after ``after_year`` (or in one year)."""
+    """Rows of the given months in years after ``after_year`` (or in one year).
+
+    Years are compared as dates, which the file scan can use to skip row groups.
+    """
     d = F.col(day)
-    keep = F.month(d).isin(list(months)) & (F.year(d) > after_year)
-    return df.where(keep & (F.year(d) == year) if year is not None else keep)
+    keep = F.month(d).isin(list(months)) & (d >= F.lit(dt.date(after_year + 1, 1, 1)))
+    if year is not None:
+        keep = keep & (d >= F.lit(dt.date(year, 1, 1))) & (d < F.lit(dt.date(year + 1, 1, 1)))
+    return df.where(keep)
 
 
 def drop_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Incremental refresh: drop the possibly incomplete tail, load it again, publish.
 
-Every run writes a new version of the tables and leaves the former one alone, so
-a failed or repeated run changes nothing already published.
+``incremental_refresh`` writes a new version of the tables and leaves the former
+one alone. ``refresh_partitions`` is for tables partitioned by day that are too
+large to be rewritten: only the days loaded are replaced. Repeating either one
+changes nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators.joins import append_rows
+from hazegrid.sources.tables import replace_partitions
 
 # Earliest watermark, and how far behind today a load ends.
 FLOOR = dt.datetime(2016, 1, 1)
@@ -51,9 +54,11 @@ def refreshed(
     current: DataFrame, time: str, new: DataFrame, start: dt.date, end: dt.date
 ) -> DataFrame:
     """Rows before ``start`` as they are, rows of ``[start, end)`` from the new load."""
-    first, last = (F.lit(d).cast("timestamp_ntz") for d in (start, end))
-    at = F.col(time).cast("timestamp_ntz")
-    return append_rows(current.where(at < first), new.where((at >= first) & (at < last)))
+    return append_rows(current.where(F.col(time) < F.lit(start)), _window(new, time, start, end))
+
+
+def _window(df: DataFrame, time: str, start: dt.date, end: dt.date) -> DataFrame:
+    return df.where((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
 
 
 def incremental_refresh(
@@ -78,3 +83,20 @@ def incremental_refresh(
             writer = writer.partitionBy(partition[name])
         writer.parquet(f"{out}/{name}")
     return {name: spark.read.parquet(f"{out}/{name}") for name in current}
+
+
+def refresh_partitions(
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    load: Callable[[dt.date, dt.date], Mapping[str, DataFrame]],
+    end: dt.date | None = None,
+    day: str = "Daily",
+) -> dict[str, DataFrame]:
+    """Refresh tables partitioned by ``day`` in place, writing the loaded days only."""
+    current = {name: (spark.read.parquet(path), day) for name, path in paths.items()}
+    row = refresh_watermark(current).first()
+    start, stop = load_window(row["last_updated"] or FLOOR.date(), end)
+    fresh = load(start, stop)
+    for name, path in paths.items():
+        replace_partitions(_window(fresh[name], day, start, stop), path, day)
+    return {name: spark.read.parquet(path) for name, path in paths.items()}

@@ -31,7 +31,8 @@ def read_partition(spark: SparkSession, path: str, key: str, value) -> DataFrame
 def replace_partitions(df: DataFrame, path: str, key: str) -> None:
     """Overwrite only the partitions that ``df`` has rows for."""
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", F.col(key))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(key)
         .parquet(path)

@@ -132,3 +132,12 @@ def test_all_bucket_is_distinct(spark):
     got = set(values(with_all_bucket(df, ["y"]), "id", "v", "y"))
     assert got == {(1, "x", "2020"), (1, "x", "2021"), (1, "x", "All")}
     assert with_all_bucket(df, ["y"]).count() == 3
+
+
+def test_season_reaches_the_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderdate")
+    plan = O.season_filter(orders, "o_orderdate", after_year=1997)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(o_orderdate,1998-01-01" in plan
+    one = O.season_filter(orders, "o_orderdate", after_year=1990, year=1999)
+    years = {r[0] for r in one.select(F.year("o_orderdate")).distinct().collect()}
+    assert years == {1999}
