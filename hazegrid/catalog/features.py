@@ -108,7 +108,7 @@ def impute(spark, d):
              (l_extendedprice - (SELECT avg(l_extendedprice) FROM train))
                / (SELECT stddev_pop(l_extendedprice) FROM train) AS "Norm l_extendedprice" FROM parts"""
     ),
-    "Norm l_quantity, Norm l_extendedprice",
+    {"Norm l_quantity": 6, "Norm l_extendedprice": 6},
 )
 def standardize(spark, d):
     train, test = M.standardize(*halves(spark, d), ["l_quantity", "l_extendedprice"])
@@ -121,7 +121,7 @@ def standardize(spark, d):
         """SELECT l_orderkey, l_linenumber, part, (l_extendedprice - (SELECT min(l_extendedprice) FROM train))
              / (SELECT max(l_extendedprice) - min(l_extendedprice) FROM train) AS "Rescaled l_extendedprice" FROM parts"""
     ),
-    "Rescaled l_extendedprice",
+    {"Rescaled l_extendedprice": 6},
 )
 def minmax_rescale(spark, d):
     train, test = M.minmax_rescale(*halves(spark, d), ["l_extendedprice"])
@@ -217,7 +217,7 @@ _PREPARED = """coalesce(l_quantity, (SELECT avg(l_quantity) FROM train)) AS l_qu
                {_FLAGS.replace('flag_', 'l_returnflag_')} FROM filled""",
         filled=f"SELECT * REPLACE ({_PREPARED}) FROM parts",
     ),
-    "Norm l_quantity",
+    {"Norm l_quantity": 6},
 )
 def prepare_train_test(spark, d):
     train, test = M.prepare_train_test(
@@ -234,7 +234,7 @@ def prepare_train_test(spark, d):
                  / (SELECT stddev_pop(l_extendedprice) FROM train) AS "Norm l_extendedprice",
                {_FLAGS.replace('flag_', 'l_returnflag_')} FROM parts"""
     ),
-    "Norm l_extendedprice",
+    {"Norm l_extendedprice": 6},
 )
 def temporal_train_test(spark, d):
     train, test = M.temporal_train_test(
