@@ -16,13 +16,41 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later occurrences of repeated windows of three lines."""
+    """Texts without later occurrences of repeated windows of three lines; those that lose all lines go."""
     from hazegrid.llm.line_dedup import dedup_lines
 
-    return dedup_lines(docs).drop("n_lines", "n_removed")
+    return dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''").select(*docs.columns)
 
 
-STAGES = [("toxicity", toxicity), ("line dedup", line_dedup)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 and more."""
+    from hazegrid.llm.jaccard_join import keep_one
+
+    return keep_one(docs, width=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    from hazegrid.llm.decontaminate import remove_leaks
+
+    return remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``source``, ``lang``, the ids with the end id, and the text that they decode to."""
+    from hazegrid.llm.sentencepiece_codec import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return decode(encode(docs.select("doc_id", "source", "lang", "text"), model).drop("text"), model)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
 
 #: A fitted model and a tokenizer are no SQL; tests/llm compares the rows with a brute-force run.
 ORACLE_SQL = None

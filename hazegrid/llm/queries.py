@@ -132,6 +132,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazegrid.llm.suffix_dedup import dedup_bytes
+
+    found = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.size("spans").cast("bigint").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazegrid.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hazegrid.llm.toxicity import fit, in_training, score_texts
@@ -162,6 +178,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).withColumnRenamed("id", "doc_id")
 
 
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazegrid.llm.embedding_dedup import near_vectors
+
+    found = near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hazegrid.llm.token_counts import count_tokens
