@@ -7,22 +7,24 @@ distinct marked word is segmented once in a task's table; ids, their printed for
 and the decoded text are joined back by position. Models whose pieces cross markers,
 or that rewrite their input, are refused.
 
-The table is a task's own and starts anew after ``TABLE_CHUNKS`` chunks: memory stays
-bounded, and no position of the text has to be shuffled to meet a global table.
+Each Python worker has a table of its own, which its tasks share and which starts anew
+after ``TABLE_CHUNKS`` chunks: memory stays bounded, and no position of the text has to
+be shuffled to meet a global table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from hazegrid.llm.common import add_columns, strings
 
-#: Distinct chunks a task keeps (about 500 bytes each).
-TABLE_CHUNKS = 200_000
+#: Distinct chunks a worker keeps (about 400 bytes each).
+TABLE_CHUNKS = 500_000
 #: Longer chunks are segmented where they stand and not kept.
 LONGEST_KEPT = 64
 MARK = "▁"
@@ -46,43 +48,50 @@ class ChunkTable:
         self.end = self.lib.eos_id()
         self.known: dict[str, tuple] = {}
 
-    def learn(self, chunks) -> None:
+    def _entry(self, chunk: str, ids: list[int]) -> tuple:
+        # The library drops one leading space of what it decodes, the one it has added.
+        return ids, " ".join(map(str, ids)), " " + self.lib.decode(ids)
+
+    def _learn(self, chunks) -> None:
         """Segment the chunks that are new; a chunk's first marker is the one the model adds."""
         new = [c for c in set(chunks) if c not in self.known]
         if len(self.known) + len(new) > self.size:
             self.known.clear()
             new = list(set(chunks))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for chunk, ids in zip(some, self.lib.encode([c[1:] for c in some], num_threads=1), strict=True):
-                # The library drops one leading space of what it decodes, the one it has added.
-                self.known[chunk] = ids, " ".join(map(str, ids)), " " + self.lib.decode(ids)
+        found = self.lib.encode([c[1:] for c in new], num_threads=1)
+        for chunk, ids in zip(new, found, strict=True):
+            if len(chunk) == 1:  # a marker at the end of a text: the library adds none to an empty one
+                ids = [self.lib.piece_to_id(MARK)]
+            self.known[chunk] = self._entry(chunk, ids)
 
     def entries(self, text: str | None) -> list[tuple]:
         """Entries of the text's chunks in order: ids, their printed form, the text."""
         if not text:
             return []
-        chunks = _CHUNK.findall(" " + text)
+        if MARK in text or "  " in text:
+            chunks = _CHUNK.findall(" " + text)
+        else:
+            chunks = [" " + w for w in text.split(" ")]
+            if text[0] == " ":  # the added marker and the text's own are one run
+                chunks[:2] = [" " + chunks[1]] if len(chunks) > 1 else chunks
+        known = self.known
         try:
-            return [self.known[c] for c in chunks]
+            return [known[c] for c in chunks]
         except KeyError:
-            pass
-        short = [c for c in chunks if len(c) <= LONGEST_KEPT]
-        self.learn(short)
-        out = []
-        for c in chunks:
-            if (entry := self.known.get(c)) is None:
-                ids = self.lib.encode(c[1:], num_threads=1)
-                entry = ids, " ".join(map(str, ids)), " " + self.lib.decode(ids)
-            out.append(entry)
-        return out
+            self._learn([c for c in chunks if len(c) <= LONGEST_KEPT])
+        return [known[c] if c in known else self._entry(c, self.lib.encode(c[1:], num_threads=1)) for c in chunks]
+
+
+@lru_cache(2)
+def chunk_table(model: str) -> ChunkTable:
+    return ChunkTable(model)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", column: str = "ids") -> DataFrame:
     """``docs`` with the array of ids, the end id last; a null or empty text has only that."""
 
     def make():
-        chunks = ChunkTable(model)
+        chunks = chunk_table(model)
 
         def per_batch(batch):
             out = []
@@ -105,7 +114,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", column: str = "decoded
     """
 
     def make():
-        chunks = ChunkTable(model)
+        chunks = chunk_table(model)
         lib, known = chunks.lib, {}
         size = lib.get_piece_size()
         starts = np.array([lib.id_to_piece(i).startswith(MARK) for i in range(size)])
@@ -152,7 +161,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """
 
     def make():
-        chunks = ChunkTable(model)
+        chunks = chunk_table(model)
         end = str(chunks.end)
 
         def per_batch(batch):

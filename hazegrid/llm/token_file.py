@@ -7,14 +7,18 @@ last sequence). The files are not compressed, so a memory map gives any sequence
 without a copy. A second small file beside each holds the documents' places.
 
 A text is encoded by its pre-tokens: byte-level merges never cross them, so each
-distinct one is encoded once in a task's table. Only encoded ids move, compressed.
-A file gets its final name when it is complete, so a task that runs again after the
-loss of an executor replaces what it has written.
+distinct one is encoded once in a table that a worker's tasks share. The texts are
+ordered first and encoded where their file is written, so ids never move. A file gets
+its final name when it is complete, so a task that runs again after the loss of an
+executor replaces what it has written.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,75 +28,82 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazegrid.llm.common import field, pieces, staged, strings
+from hazegrid.llm.token_counts import byte_alphabet
 from hazegrid.session import new_path
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
-#: Distinct pre-tokens a task keeps (about 200 bytes each).
-TABLE_TOKENS = 300_000
+#: Distinct words and pre-tokens a worker keeps (about 200 bytes each).
+TABLE_WORDS = 800_000
 LONGEST_KEPT = 64
-#: Text of the documents that one file holds, in characters.
-FILE_CHARS = 256_000_000
+#: A space beside other white space: the only place where a token could reach over a space's left side.
+_ODD = re.compile(r"\s | \s")
+_SIMPLE_ENDS = frozenset(".,;:!?")
 
 
 class TokenTable:
-    """Ids of texts from the ids of their distinct pre-tokens."""
+    """Ids of texts, as bytes, from the ids of their distinct pre-tokens.
+
+    Pre-tokens have at most one space, at their start. A space between two characters
+    that are not white space therefore begins a pre-token, and the words between such
+    spaces are looked up whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # what looks like one is ordinary text
+        lib = Tokenizer.from_file(path)
+        self.lib, self.model = lib, lib.model
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, np.ndarray] = {}
-        self.width = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def _learn(self, words) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > TABLE_TOKENS:
-            self.known.clear()
-            new = list(words)
-        found = self.lib.encode_batch(new, add_special_tokens=False)
-        for w, e in zip(new, found, strict=True):
-            self.known[w] = np.array(e.ids, self.width).tobytes()
-
-    def ids(self, text: str | None, end: int) -> bytes:
+        self.words: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+        self.width = "<u2" if lib.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = "H" if self.width == "<u2" else "I"
+        stand_in = {b: c for c, b in byte_alphabet().items()}
+        self.letters = [stand_in[b] for b in range(256)]
+
+    def _token(self, token: str) -> bytes:
+        if (found := self.tokens.get(token)) is None:
+            letters = self.letters
+            pieces_of = self.model.tokenize("".join([letters[b] for b in token.encode()]))
+            found = array(self.kind, [p.id for p in pieces_of]).tobytes()
+            if len(token) <= LONGEST_KEPT:
+                self.tokens[token] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        if word.isalpha():
+            return self._token(" " + word)
+        if word[-1:] in _SIMPLE_ENDS and word[:-1].isalpha():
+            return self._token(" " + word[:-1]) + self._token(word[-1])
+        return b"".join([self._token(t) for t in self.find(" " + word)])
+
+    def ids(self, text: str | None) -> bytes:
         if not text:
-            return np.array([end], self.width).tobytes()
-        words = self.find(text)
-        known = self.known
+            return b""
+        if len(self.words) + len(self.tokens) > TABLE_WORDS:
+            self.words.clear()
+            self.tokens.clear()
+        if _ODD.search(text):
+            return b"".join([self._token(t) for t in self.find(text)])
+        first, *rest = text.split(" ")
+        words, out = self.words, [self._token(t) for t in self.find(first)]
         try:
-            body = b"".join([known[w] for w in words])
+            out += [words[w] for w in rest]
         except KeyError:
-            self._learn({w for w in words if len(w) <= LONGEST_KEPT})
-            known = self.known
-            body = b"".join([
-                known[w] if w in known
-                else np.array(self.lib.encode(w, add_special_tokens=False).ids, self.width).tobytes()
-                for w in words
-            ])
-        return body + np.array([end], self.width).tobytes()
-
-
-def encode_texts(docs: DataFrame, id: str, text: str, path: str, pattern: str, end: int) -> DataFrame:
-    """``id``, and the ids as compressed bytes."""
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), field("packed", "binary")])
-
-    def run(batches):
-        import os
+            for w in rest:
+                if (found := words.get(w)) is None:
+                    found = self._word(w)
+                    if len(w) <= LONGEST_KEPT:
+                        words[w] = found
+                out.append(found)
+        return b"".join(out)
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import zstandard
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, table, pack = to_arrow_schema(schema), TokenTable(path, pattern), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in pieces(batch):
-                packed = [pack.compress(table.ids(v, end)) for v in strings(part, text)]
-                ids = part.column(part.schema.get_field_index(id))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary())], schema=target)
-
-    return docs.select(id, text).mapInArrow(run, schema)
+@lru_cache(2)
+def token_table(path: str, pattern: str) -> TokenTable:
+    return TokenTable(path, pattern)
 
 
 def _open(uri: str):
@@ -152,22 +163,21 @@ def write_token_files(
     end: int = 0,
     length: int = SEQUENCE,
     folder: str | None = None,
-    file_chars: int = FILE_CHARS,
+    files: int | None = None,
 ) -> DataFrame:
     """Write the files; returns their manifest: ``file``, ``part``, ``n_docs``, ``n_ids``, ``first_id``.
 
-    A null or empty text is the end id alone. Null ids come first; documents of one
+    There are ``files`` files, or as many as the session has shuffle partitions. A null
+    or empty text is the end id alone. Null ids come first; documents of one
     id stand in any order beside each other, each of them once. An empty table gives
     an empty manifest.
     """
     spark = docs.sparkSession
     folder = _uri(folder or new_path(spark, "token-files"))
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    least = spark.sparkContext.defaultParallelism
-    files = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // file_chars))
-    encoded = encode_texts(docs, id, text, tokenizer, pattern, end)
+    files = files or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Beside the id, a hash keeps many documents of one id from meeting in one file.
-    ordered = encoded.repartitionByRange(files, "id", F.xxhash64("packed")).sortWithinPartitions("id")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    ordered = rows.repartitionByRange(files, "id", F.xxhash64("text")).sortWithinPartitions("id")
     id_type = docs.schema[id].dataType
     manifest = T.StructType(
         [field("file", "string"), field("part", "int"), field("n_docs", "bigint"), field("n_ids", "bigint"),
@@ -177,49 +187,44 @@ def write_token_files(
     def run(batches):
         import uuid
 
-        import zstandard
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        unpack = zstandard.ZstdDecompressor()
+        table = token_table(tokenizer, pattern)
         part = TaskContext.get().partitionId()
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
         own = f"{base}/.{part}-{uuid.uuid4().hex}"
-        width = TokenTable(tokenizer, pattern).width
-        sequences, places, at, first = None, None, 0, None
+        width = table.width
+        last = np.array([end], width).tobytes()
+        sequences, places, at, n_docs, first = None, None, 0, 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if sequences is None:
-                sink = system.open_output_stream(f"{own}.arrow")
-                sequences = _Sequences(sink, width, length)
-                kind = batch.schema.field(0).type
-                place_schema = pa.schema([("id", kind), ("start", pa.int64()), ("n", pa.int64())])
-                place_sink = system.open_output_stream(f"{own}.docs")
-                places = pa.ipc.new_file(place_sink, place_schema)
-                first = batch.column(0)[0]
-            starts, counts = [], []
-            for packed in batch.column(1):
-                ids = np.frombuffer(unpack.decompress(packed.as_py()), width)
-                starts.append(at)
-                counts.append(len(ids))
-                at += len(ids)
-                sequences.add(ids)
-            columns = [batch.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())]
-            places.write_batch(pa.RecordBatch.from_arrays(columns, schema=place_schema))
+            for rows in pieces(batch):
+                if sequences is None:
+                    sink = system.open_output_stream(f"{own}.arrow")
+                    sequences = _Sequences(sink, width, length)
+                    place_schema = pa.schema([("id", rows.schema.field(0).type), ("start", pa.int64()), ("n", pa.int64())])
+                    place_sink = system.open_output_stream(f"{own}.docs")
+                    places = pa.ipc.new_file(place_sink, place_schema)
+                    first = rows.column(0)[0]
+                starts, counts = [], []
+                for value in strings(rows, "text"):
+                    ids = np.frombuffer(table.ids(value) + last, width)
+                    starts.append(at)
+                    counts.append(len(ids))
+                    at += len(ids)
+                    sequences.add(ids)
+                n_docs += rows.num_rows
+                columns = [rows.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())]
+                places.write_batch(pa.RecordBatch.from_arrays(columns, schema=place_schema))
         if sequences is None:
             return
-        n_docs = 0
         for writer in (sequences, places):
             writer.close()
         for s in (sink, place_sink):
             s.close()
         for kind_of in ("arrow", "docs"):
             system.move(f"{own}.{kind_of}", f"{base}/part-{part:06d}.{kind_of}")
-        with system.open_input_file(f"{base}/part-{part:06d}.docs") as f:
-            reader = pa.ipc.open_file(f)
-            n_docs = sum(reader.get_batch(i).num_rows for i in range(reader.num_record_batches))
         row = [[f"{folder}/part-{part:06d}"], [part], [n_docs], [at], [first.as_py()]]
         target = to_arrow_schema(manifest)
         yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(row, target, strict=True)], schema=target)
