@@ -103,38 +103,53 @@ _MERC_X = "radians({x}) * 6378137"
 _MERC_Y = "ln(tan(pi() / 4 + radians({y}) / 2)) * 6378137"
 
 
+def area_sql(edges: str) -> str:
+    """Area of each ``pid``; odd rings are holes."""
+    x1, x2, y1, y2 = (m.format(x=f"x{i}", y=f"y{i}") for m in (_MERC_X, _MERC_Y) for i in (1, 2))
+    return f"""SELECT pid, sum(CASE WHEN ring % 2 = 0 THEN a ELSE -a END) AS area_3857_km2 FROM
+        (SELECT pid, ring, abs(sum(mx1 * my2 - mx2 * my1)) / 2 / 1e6 AS a FROM
+          (SELECT pid, ring, {x1} AS mx1, {x2} AS mx2, {y1} AS my1, {y2} AS my2 FROM {edges}) GROUP BY pid, ring)
+        GROUP BY pid"""
+
+
+def centroid_sql(edges: str) -> str:
+    """Centre of each ``pid``; odd rings are holes, whichever way round they are drawn."""
+    return f"""SELECT pid, ox + sum(s * mx) / (3 * sum(s * a)) AS x, oy + sum(s * my) / (3 * sum(s * a)) AS y FROM
+        (SELECT pid, ox, oy, (CASE WHEN ring % 2 = 0 THEN 1 ELSE -1 END) * sign(sum(c)) AS s, sum(c) AS a,
+                sum((x1 + x2) * c) AS mx, sum((y1 + y2) * c) AS my FROM
+          (SELECT *, x1 * y2 - x2 * y1 AS c FROM
+            (SELECT e.pid, e.ring, o.ox, o.oy, x1 - ox AS x1, x2 - ox AS x2, y1 - oy AS y1, y2 - oy AS y2 FROM {edges} e
+             JOIN (SELECT pid, min(x1) AS ox, min(y1) AS oy FROM {edges} GROUP BY pid) o ON o.pid = e.pid))
+         GROUP BY pid, ring, ox, oy) GROUP BY pid, ox, oy"""
+
+
 @register(
     "polygon_area_km2",
-    with_tables(
-        "area_edges",
-        """SELECT pri_neigh, sum(CASE WHEN ring = 0 THEN a ELSE -a END) AS area_3857_km2 FROM
-           (SELECT pid AS pri_neigh, ring, abs(sum(mx1 * my2 - mx2 * my1)) / 2 / 1e6 AS a FROM m GROUP BY pid, ring)
-           GROUP BY pri_neigh""",
-        m=f"""SELECT pid, ring, {_MERC_X.format(x='x1')} AS mx1, {_MERC_X.format(x='x2')} AS mx2,
-                     {_MERC_Y.format(y='y1')} AS my1, {_MERC_Y.format(y='y2')} AS my2 FROM area_edges""",
-    ),
+    with_tables("area_edges", f"SELECT pid AS pri_neigh, area_3857_km2 FROM ({area_sql('area_edges')})"),
     {"area_3857_km2": 4},
 )
 def polygon_area_km2(spark, d):
+    """Shapes of two parts, each with a hole."""
     areas = D.neighborhoods(spark, d)
-    return areas.select("pri_neigh", G.area_3857_km2(F.col("rings")).alias("area_3857_km2"))
+    return areas.select("pri_neigh", G.area_3857_km2(F.col("rings"), F.col("holes")).alias("area_3857_km2"))
 
 
-_CENTROIDS = """SELECT pid, ox + sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS x,
-                  oy + sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS y
-           FROM (SELECT e.pid, o.ox, o.oy, x1 - ox AS x1, x2 - ox AS x2, y1 - oy AS y1, y2 - oy AS y2
-                 FROM block_edges e JOIN (SELECT pid, min(x1) AS ox, min(y1) AS oy FROM block_edges GROUP BY pid) o
-                   ON o.pid = e.pid) GROUP BY pid, ox, oy"""
+_CENTROIDS = centroid_sql("block_edges")
 
 
 @register(
     "polygon_centroid",
-    with_tables("block_edges", f"SELECT pid AS geoid10, x, y FROM ({_CENTROIDS})"),
+    with_tables(
+        "block_edges area_edges",
+        f"SELECT pid AS id, x, y FROM ({_CENTROIDS}) UNION ALL SELECT pid, x, y FROM ({centroid_sql('area_edges')})",
+    ),
     {"x": 8, "y": 8},
 )
 def polygon_centroid(spark, d):
-    b = D.blocks(spark, d).withColumn("c", G.centroid(F.col("rings")))
-    return b.select("geoid10", "c.x", "c.y")
+    b = D.blocks(spark, d).select(F.col("geoid10").alias("id"), G.centroid(F.col("rings")).alias("c"))
+    a = D.neighborhoods(spark, d)
+    a = a.select(F.col("pri_neigh").alias("id"), G.centroid(F.col("rings"), F.col("holes")).alias("c"))
+    return b.union(a).select("id", "c.x", "c.y")
 
 
 @register(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.catalog import register
 from hazegrid.catalog import tables as D
+from hazegrid.catalog.exprs import area_sql
 from hazegrid.catalog.tables import with_tables
 from hazegrid.functions import geometry as G
 from hazegrid.session import new_path
@@ -42,11 +43,16 @@ def csv_sink(spark, d):
     return files.read_csv(spark, path, EVENT_ROWS)
 
 
-@register("csv_dir_union", EVENTS_SQL)
+@register(
+    "csv_dir_union",
+    f"SELECT *, CASE WHEN pm IS NULL THEN 'gap' END AS remark FROM ({EVENTS_SQL})",
+)
 def csv_dir_union(spark, d):
+    """Files with another order of columns, NaN text for a gap, and one column more."""
     path = new_path(spark, "csv-folder")
     rows = _rows(spark, d)
-    tables.write_csv(rows.where("pm IS NULL"), path, "append")
+    gaps = rows.where("pm IS NULL").select("note", F.lit("NaN").alias("pm"), "time", F.lit("gap").alias("remark"), "sensor_id", "event_id")
+    tables.write_csv(gaps, path, "append")
     tables.write_csv(rows.where("pm IS NOT NULL"), path, "append")
     return files.read_csv_folder(spark, path, EVENT_ROWS)
 
@@ -55,14 +61,14 @@ def csv_dir_union(spark, d):
     "csv_union_by_name",
     with_tables(
         "readings",
-        """SELECT event_id, CASE WHEN source = 'AQ' THEN lat END AS lat, CASE WHEN source = 'EPA' THEN pm END AS pm
-           FROM readings WHERE source IN ('AQ', 'EPA')""",
+        """SELECT event_id, CASE WHEN source = 'AQ' THEN lat END AS lat, CASE WHEN source = 'EPA' THEN pm END AS pm,
+                  CASE WHEN source = 'PA' THEN lon END AS lon FROM readings""",
     ),
 )
 def csv_union_by_name(spark, d):
-    """Files with differing headers are appended by column name."""
+    """Tables with differing columns are appended by column name."""
     r, frames = D.readings(spark, d), []
-    for source, column in (("AQ", "lat"), ("EPA", "pm")):
+    for source, column in (("AQ", "lat"), ("EPA", "pm"), ("PA", "lon")):
         path = new_path(spark, f"csv-{source}")
         tables.write_csv(r.where(F.col("source") == source).select("event_id", column), path)
         frames.append(files.read_csv(spark, path, f"event_id bigint, {column} double"))
@@ -133,55 +139,67 @@ def json_dynamic_fields(spark, d):
     )
 
 
-_SHAPE_SQL = """SELECT {key}, min(x1) AS xmin, min(y1) AS ymin, max(x1) AS xmax, max(y1) AS ymax,
-                       count(DISTINCT ring)::INTEGER AS rings, count(*)::INTEGER AS sides
-                FROM {edges} GROUP BY pid"""
+_SHAPE_SQL = f"""SELECT e.pid AS id, xmin, ymin, xmax, ymax, rings, sides, area_3857_km2 FROM
+    (SELECT pid, min(x1) AS xmin, min(y1) AS ymin, max(x1) AS xmax, max(y1) AS ymax,
+            count(DISTINCT ring)::INTEGER AS rings, count(*)::INTEGER AS sides FROM shape_edges GROUP BY pid) e
+    JOIN ({area_sql("shape_edges")}) a ON a.pid = e.pid"""
+_SHAPE_EDGES = "SELECT * FROM area_edges UNION ALL SELECT * FROM block_edges"
+
 
+def _all_shapes(spark, d):
+    """Neighborhoods, of two parts, and blocks, of one."""
+    areas = D.neighborhoods(spark, d).select(F.col("pri_neigh").alias("id"), "rings", "holes")
+    blocks = D.blocks(spark, d).select(F.col("geoid10").alias("id"), "rings", F.lit(None).cast("array<boolean>").alias("holes"))
+    return areas.union(blocks)
 
-def _shape_rows(df, key):
+
+def _shape_rows(df):
     return df.select(
-        key,
+        "id",
         "bbox.*",
         F.size("rings").alias("rings"),
         F.size(G.edges(F.col("rings"))).alias("sides"),
+        G.area_3857_km2(F.col("rings"), F.col("holes")).alias("area_3857_km2"),
     )
 
 
 @register(
     "geojson_scan",
-    with_tables("area_edges", _SHAPE_SQL.format(key="pid AS pri_neigh", edges="area_edges")),
+    with_tables("area_edges block_edges", _SHAPE_SQL, shape_edges=_SHAPE_EDGES),
+    {"area_3857_km2": 4},
 )
 def geojson_scan(spark, d):
-    """Half of the shapes are written as MultiPolygon."""
+    """Shapes of several parts are MultiPolygon, the others Polygon."""
     path = new_path(spark, "geojson")
     rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
-    multi = F.length("pri_neigh") % 2 == 0
-    kind = F.when(multi, "MultiPolygon").otherwise("Polygon")
-    text = F.when(multi, F.to_json(F.array(rings))).otherwise(F.to_json(rings))
+    several = F.col("holes").isNotNull()
+    kind = F.when(several, "MultiPolygon").otherwise("Polygon")
+    text = F.when(several, F.to_json(F.array(F.slice(rings, 1, 2), F.slice(rings, 3, 2)))).otherwise(F.to_json(rings))
     feature = F.concat(
         F.lit('{"features": [{"properties": '),
-        F.to_json(F.struct("pri_neigh")),
+        F.to_json(F.struct("id")),
         F.lit(', "geometry": {"type": "'),
         kind,
         F.lit('", "coordinates": '),
         text,
         F.lit("}}]}"),
     )
-    D.neighborhoods(spark, d).select(feature.alias("value")).write.text(path)
-    return _shape_rows(files.read_geojson(spark, path, ["pri_neigh"]), "pri_neigh")
+    _all_shapes(spark, d).select(feature.alias("value")).write.text(path)
+    return _shape_rows(files.read_geojson(spark, path, ["id"]))
 
 
 @register(
     "wkt_scan",
-    with_tables("area_edges", _SHAPE_SQL.format(key="pid AS pri_neigh", edges="area_edges")),
+    with_tables("area_edges block_edges", _SHAPE_SQL, shape_edges=_SHAPE_EDGES),
+    {"area_3857_km2": 4},
 )
 def wkt_scan(spark, d):
+    """POLYGON and MULTIPOLYGON texts."""
     path = new_path(spark, "wkt")
-    shapes = D.neighborhoods(spark, d).select(
-        "pri_neigh", G.rings_to_wkt(F.col("rings")).alias("geometry")
-    )
+    one, several = G.rings_to_wkt(F.col("rings")), G.rings_to_wkt(F.col("rings"), F.col("holes"))
+    shapes = _all_shapes(spark, d).select("id", F.coalesce(several, one).alias("geometry"))
     tables.write_csv(shapes, path)
-    return _shape_rows(files.read_wkt(spark, path, "pri_neigh string, geometry string"), "pri_neigh")
+    return _shape_rows(files.read_wkt(spark, path, "id string, geometry string"))
 
 
 def _by_source(spark, d, path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hazegrid.catalog import register
 from hazegrid.catalog import tables as D
 from hazegrid.catalog.aggs import EPA_DAILY, EPA_FLAGS, EPA_PROFILE, PA_CLEAN, PA_PROFILE, shares
-from hazegrid.catalog.exprs import GRID
+from hazegrid.catalog.exprs import GRID, area_sql
 from hazegrid.catalog.joins import TOUCH_SQL
 from hazegrid.catalog.tables import inside_sql, with_tables
 from hazegrid.functions import geometry as G
@@ -463,27 +463,32 @@ def neighborhood_series(spark, d):
     "geo_dimension_build",
     with_tables(
         "block_edges area_edges hexagon_edges",
-        """SELECT 'blocks' AS name, pid AS key, min(x1) AS xmin, max(y1) AS ymax FROM block_edges GROUP BY pid
-           UNION ALL SELECT 'neighborhoods', pid, min(x1), max(y1) FROM area_edges GROUP BY pid
-           UNION ALL SELECT 'hexagons', pid::VARCHAR, min(x1), max(y1) FROM hexagon_edges GROUP BY pid
-           UNION ALL SELECT 'big_hexagons', id::VARCHAR, x - w / 2, y + d / 2 FROM hexes""",
+        f"""SELECT 'blocks' AS name, pid AS key, left(pid, 12) AS geo_12, area_3857_km2, min(x1) AS xmin, max(y1) AS ymax
+              FROM block_edges JOIN ({area_sql('block_edges')}) USING (pid) GROUP BY ALL
+            UNION ALL SELECT 'neighborhoods', pid, NULL, area_3857_km2, min(x1), max(y1)
+              FROM area_edges JOIN ({area_sql('area_edges')}) USING (pid) GROUP BY ALL
+            UNION ALL SELECT 'hexagons', pid::VARCHAR, NULL, NULL, min(x1), max(y1) FROM hexagon_edges GROUP BY pid
+            UNION ALL SELECT 'big_hexagons', id::VARCHAR, NULL, NULL, x - w / 2, y + d / 2 FROM hexes""",
         **GRID,
     ),
-    "xmin, ymax",
+    {"xmin": 9, "ymax": 9, "area_3857_km2": 4},
 )
 def geo_dimension_build(spark, d):
+    """Every block row comes twice; wholly equal rows are one."""
     known = D.sensors(spark, d)
+    blocks = D.blocks(spark, d, known)
     built = geodims.build_dimensions(
-        D.blocks(spark, d, known), D.neighborhoods(spark, d, known), D.hexagons(spark, d, known)
+        blocks.union(blocks), D.neighborhoods(spark, d, known), D.hexagons(spark, d, known)
     )
     keys = {"blocks": "geoid10", "neighborhoods": "pri_neigh", "hexagons": "id", "big_hexagons": "id"}
     out = None
     for name, df in built.items():
+        columns = [
+            F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c)
+            for c, kind in (("geo_12", "string"), ("area_3857_km2", "double"))
+        ]
         part = df.select(
-            F.lit(name).alias("name"),
-            F.col(keys[name]).cast("string").alias("key"),
-            "bbox.xmin",
-            "bbox.ymax",
+            F.lit(name).alias("name"), F.col(keys[name]).cast("string").alias("key"), *columns, "bbox.xmin", "bbox.ymax"
         )
         out = part if out is None else out.unionByName(part)
     return out

@@ -3,8 +3,8 @@
 Coordinates are made in whole 1/100000 degrees and divided once by a double, so
 both engines get the same doubles. Sensors stand on a grid of 15 columns; each
 has a block (an L, so some of its points are outside) and a small hexagon. Six
-sensors make a neighborhood, a rectangle with a hole that overlaps its right
-neighbor, so some points match twice.
+sensors make a neighborhood of two parts: a rectangle with a hole that overlaps its
+right neighbor, so some points match twice, and in that hole an island with a hole.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ BLOCK = [(0, 0), (1000, 0), (1000, 400), (500, 400), (500, 800), (0, 800), (0, 0
 HEXAGON = [(250, 0), (750, 0), (1000, 400), (750, 800), (250, 800), (0, 400), (250, 0)]
 AREA = [(0, 0), (6300, 0), (6300, 8000), (0, 8000), (0, 0)]
 AREA_HOLE = [(1000, 300), (1000, 700), (2500, 700), (2500, 300), (1000, 300)]
+ISLAND = [(2050, 350), (2400, 350), (2400, 650), (2050, 650), (2050, 350)]
+ISLAND_HOLE = [(2150, 400), (2150, 500), (2300, 500), (2300, 400), (2150, 400)]
+AREA_RINGS = (AREA, AREA_HOLE, ISLAND, ISLAND_HOLE)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,7 +123,8 @@ def neighborhoods(spark: SparkSession, sf_dir: str, known: DataFrame | None = No
     at = ("(-8790000 + 6000 * nx)", "(4165000 + 8000 * ny)")
     return named.select(
         F.concat_ws("-", F.col("n_name"), F.col("ny").cast("string")).alias("pri_neigh"),
-        _rings(at, AREA, AREA_HOLE),
+        _rings(at, *AREA_RINGS),
+        F.expr("array(false, true, false, true)").alias("holes"),
     )
 
 
@@ -260,7 +264,7 @@ CTES = {
         "pri_neigh",
         "(-8790000 + 6000 * nx)",
         "(4165000 + 8000 * ny)",
-        _values(AREA, 0) + ", " + _values(AREA_HOLE, 1),
+        ", ".join(_values(r, i) for i, r in enumerate(AREA_RINGS)),
     ),
     "epa_raw": f"""
         SELECT event_id, sensor_id::VARCHAR AS site_number, '88101' AS parameter_code,

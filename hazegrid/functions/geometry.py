@@ -1,8 +1,10 @@
 """Planar geometry on rings held as arrays, in native expressions.
 
-A polygon is ``rings ARRAY<ARRAY<STRUCT<x, y>>>`` (holes are further rings; an
-odd number of crossings is inside, so their order does not matter) with its box
-``bbox STRUCT<xmin, ymin, xmax, ymax>``.
+A shape is ``rings ARRAY<ARRAY<STRUCT<x, y>>>`` with its box
+``bbox STRUCT<xmin, ymin, xmax, ymax>``. An odd number of crossings is inside, so the
+order of the rings does not matter there. Measures have to know which rings are
+holes: ``holes ARRAY<BOOLEAN>``, one flag a ring. Without it the shape has one part,
+whose first ring is the outline. Parts of a shape do not overlap.
 """
 
 from __future__ import annotations
@@ -26,27 +28,42 @@ def xy(x: Column, y: Column) -> Column:
 # ---- reading and writing shapes -------------------------------------------
 
 
-def rings_from_wkt(wkt: Column) -> Column:
-    """Rings of a POLYGON or MULTIPOLYGON text."""
-    texts = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), 1)
+def parts_from_wkt(wkt: Column) -> Column:
+    """Parts of a POLYGON or MULTIPOLYGON text, each an array of rings."""
+    # Between two parts, two closing brackets, a comma and two opening ones.
+    texts = F.split(wkt, r"(?<=\)\s{0,9}\))\s*,\s*(?=\(\s*\()")
 
     def point(text: Column) -> Column:
         parts = F.split(F.trim(text), r"\s+")
         return xy(parts[0], parts[1])
 
-    return F.transform(texts, lambda t: F.transform(F.split(t, ","), point))
+    def rings(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), 1)
+        return F.transform(found, lambda t: F.transform(F.split(t, ","), point))
+
+    return F.transform(texts, rings)
+
+
+def rings_from_wkt(wkt: Column) -> Column:
+    """All rings of a POLYGON or MULTIPOLYGON text."""
+    return F.flatten(parts_from_wkt(wkt))
+
 
+def parts_from_geojson(kind: Column, coordinates: Column) -> Column:
+    """Parts from a GeoJSON type and its coordinates kept as JSON text."""
+    single = F.array(F.from_json(coordinates, "array<array<array<double>>>"))
+    several = F.from_json(coordinates, "array<array<array<array<double>>>>")
+    parts = F.when(kind == "MultiPolygon", several).otherwise(single)
+    return F.transform(parts, lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: xy(p[0], p[1]))))
 
-def rings_from_geojson(kind: Column, coordinates: Column) -> Column:
-    """Rings from a GeoJSON type and its coordinates kept as JSON text."""
-    single = F.from_json(coordinates, "array<array<array<double>>>")
-    several = F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>"))
-    rings = F.when(kind == "MultiPolygon", several).otherwise(single)
-    return F.transform(rings, lambda r: F.transform(r, lambda p: xy(p[0], p[1])))
 
+def holes_of(parts: Column) -> Column:
+    """One flag for each ring of all parts: every ring but a part's first is a hole."""
+    return F.flatten(F.transform(parts, lambda rings: F.transform(rings, lambda r, i: i > 0)))
 
-def rings_to_wkt(rings: Column) -> Column:
-    """POLYGON text; numbers as Spark prints doubles."""
+
+def rings_to_wkt(rings: Column, holes: Column | None = None) -> Column:
+    """POLYGON text, or MULTIPOLYGON with ``holes``; numbers as Spark prints doubles."""
     ring = lambda r: F.concat(
         F.lit("("),
         F.array_join(
@@ -55,7 +72,12 @@ def rings_to_wkt(rings: Column) -> Column:
         ),
         F.lit(")"),
     )
-    return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, ring), ", "), F.lit(")"))
+    texts = F.transform(rings, ring)
+    if holes is None:
+        return F.concat(F.lit("POLYGON ("), F.array_join(texts, ", "), F.lit(")"))
+    # A ring that is no hole closes the part before it and opens one.
+    led = F.zip_with(texts, holes, lambda t, h: F.concat(F.when(h, ", ").otherwise("), ("), t))
+    return F.concat(F.lit("MULTIPOLYGON ("), F.substring(F.array_join(led, ""), 4, 2**31 - 1), F.lit("))"))
 
 
 # ---- measures --------------------------------------------------------------
@@ -98,16 +120,16 @@ def _cross(s: Column) -> Column:
     return s["x1"] * s["y2"] - s["x2"] * s["y1"]
 
 
-def _unsigned_then_holes(rings: Column, of_ring) -> Column:
-    """First ring minus the others, whichever way round they are drawn."""
-    sizes = F.transform(rings, of_ring)
-    return F.when(
-        F.size(rings) > 0,
-        F.aggregate(F.slice(sizes, 2, F.size(sizes)), sizes[0], lambda acc, a: acc - a),
-    )
+def _less_holes(values: Column, holes: Column | None) -> Column:
+    """Sum of the rings' unsigned values, those of holes taken away; null without rings."""
+    if holes is None:
+        signed = F.transform(values, lambda v, i: F.when(i > 0, -v).otherwise(v))
+    else:
+        signed = F.zip_with(values, holes, lambda v, h: F.when(h, -v).otherwise(v))
+    return F.when(F.size(values) > 0, F.aggregate(signed, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def area_3857_km2(rings: Column) -> Column:
+def area_3857_km2(rings: Column, holes: Column | None = None) -> Column:
     """Area in Web Mercator square kilometers (inflated away from the equator)."""
     to_m = math.pi / 180 * MERCATOR_RADIUS_M
 
@@ -119,11 +141,11 @@ def area_3857_km2(rings: Column) -> Column:
         projected = F.array(F.transform(r, mercator))
         return F.abs(_total(edges(projected), _cross)) / 2
 
-    return _unsigned_then_holes(rings, area) / 1e6
+    return _less_holes(F.transform(rings, area), holes) / 1e6
 
 
-def centroid(rings: Column) -> Column:
-    """Area-weighted centre of the outer ring less its holes.
+def centroid(rings: Column, holes: Column | None = None) -> Column:
+    """Area-weighted centre of all parts less their holes.
 
     Coordinates are taken relative to the first point, which keeps the sums
     accurate for small shapes far from the origin.
@@ -144,14 +166,13 @@ def centroid(rings: Column) -> Column:
 
     parts = F.transform(near, moments)
 
-    def less_holes(field: str) -> Column:
-        values = F.transform(parts, lambda m: m[field])
-        return F.aggregate(F.slice(values, 2, F.size(values)), values[0], lambda acc, v: acc - v)
+    def whole(field: str) -> Column:
+        return _less_holes(F.transform(parts, lambda m: m[field]), holes)
 
-    a3 = less_holes("a") * 3
+    a3 = whole("a") * 3
     return xy(
-        origin["x"] + F.try_divide(less_holes("x"), a3),
-        origin["y"] + F.try_divide(less_holes("y"), a3),
+        origin["x"] + F.try_divide(whole("x"), a3),
+        origin["y"] + F.try_divide(whole("y"), a3),
     )
 
 

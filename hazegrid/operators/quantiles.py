@@ -1,20 +1,17 @@
 """Exact grouped statistics that stay distributed when one group is huge.
 
-``percentile`` keeps the distinct values of a group in one task's memory. That is
-right for ordinary groups and wrong for a key that holds a third of a table:
-
-* A count over the key columns alone tells first whether any group has more than
-  ``HOT_ROWS`` rows. Without one, the built-in aggregate is used, one shuffle.
-* Otherwise the rows of large groups are set apart and fold to
-  ``(keys, value, count)``, shuffled on keys *and* value, so copies combine
-  map-side and a hot key spreads over all tasks. The values are then cut into
-  bands of equal size, ranked band by band, and only band totals meet in one
-  place. A band holds about 1/BANDS of all hot values whatever their
-  distribution. The result is exact: the ``percentile_approx`` sketch only
-  places the cuts.
-
-The count is a job of its own. Input that is costly to make should be written
-first (``hazegrid.session.materialize``), as the jobs in ``plans`` do.
+``percentile`` keeps the distinct values of a group in one task's memory, which is
+wrong for a key that holds a third of a table. Here the same way serves every size:
+
+* Rows fold to ``(keys, value, count)``, shuffled on keys *and* value, so copies
+  combine map-side and a hot key spreads over all tasks.
+* The values are cut into bands of equal size, ranked band by band, and only band
+  totals meet in one place. A band holds about 1/BANDS of all values whatever their
+  distribution. The result is exact: the ``percentile_approx`` sketch, taken from the
+  fold, only places the cuts.
+
+Planning starts no job. The fold is one shuffle that the sketch, the totals and the
+ranks all read.
 """
 
 from __future__ import annotations
@@ -25,11 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.names import named
-from hazegrid.operators.joins import join_lookup
-from hazegrid.session import materialize
 
-# An aggregation task may hold 128 groups at once; this keeps them within a gigabyte.
-HOT_ROWS = 100_000
 BANDS = 8 * 8 * 16
 
 MEDIAN = {"median": 0.5}
@@ -49,7 +42,6 @@ def grouped_stats(
     stats: Sequence[str] = ("mean", "max", "sum", "count"),
     quantiles: Mapping[str, float] = MEDIAN,
     carry: Mapping[str, tuple[str, Column]] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per group: the named quantiles (linear interpolation) and statistics.
 
@@ -66,7 +58,7 @@ def grouped_stats(
         *[c.alias(name) for name, (_, c) in carry.items()],
     )
     folds = {name: fn for name, (fn, _) in carry.items()}
-    return stats_of_counts(rows, keys, stats, quantiles, folds, hot_rows)
+    return stats_of_counts(rows, keys, stats, quantiles, folds)
 
 
 def stats_of_counts(
@@ -75,47 +67,13 @@ def stats_of_counts(
     stats: Sequence[str],
     quantiles: Mapping[str, float],
     folds: Mapping[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``grouped_stats`` of rows ``(keys, __v, __c)`` that stand for ``__c`` readings."""
     keys, folds = list(keys), dict(folds or {})
-    if not quantiles or not _has_large_group(counts, keys, hot_rows):
-        return _builtin(counts, keys, stats, quantiles, folds)
-    if not keys:
+    if quantiles:
         return _banded(counts, keys, stats, quantiles, folds)
-    hot = materialize(_large_groups(counts, keys, hot_rows))
-    ordinary = _builtin(join_lookup(counts, hot, keys, "left_anti"), keys, stats, quantiles, folds)
-    large = _banded(join_lookup(counts, hot, keys, "left_semi"), keys, stats, quantiles, folds)
-    return ordinary.unionByName(large)
-
-
-def _large_groups(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    by = [f"`{k}`" for k in keys]
-    return rows.groupBy(*by).agg(F.expr("count(1) AS __n")).where(f"__n > {hot_rows}").select(*by)
-
-
-def _has_large_group(rows: DataFrame, keys: list[str], hot_rows: int) -> bool:
-    if not keys:
-        return rows.count() > hot_rows
-    return not _large_groups(rows, keys, hot_rows).isEmpty()
-
-
-def _builtin(
-    rows: DataFrame,
-    keys: list[str],
-    stats: Sequence[str],
-    quantiles: Mapping[str, float],
-    folds: Mapping[str, str],
-) -> DataFrame:
     by = [f"`{k}`" for k in keys]
-    cuts = ", ".join(f"{p!r}D" for p in quantiles.values())
-    found = [f"percentile(__v, array({cuts}), __c) AS __q"] if quantiles else []
-    aggregates = [F.expr(x) for x in found + _plain(stats, folds)]
-    return rows.groupBy(*by).agg(*aggregates).selectExpr(
-        *by,
-        *[f"__q[{i}] AS `{name}`" for i, name in enumerate(quantiles)],
-        *[f"`{c}`" for c in [*stats, *folds]],
-    )
+    return counts.groupBy(*by).agg(*[F.expr(x) for x in _plain(stats, folds)])
 
 
 def _plain(stats: Sequence[str], folds: Mapping[str, str]) -> list[str]:
@@ -131,31 +89,32 @@ def _plain(stats: Sequence[str], folds: Mapping[str, str]) -> list[str]:
     ]
 
 
-def _with_bands(table: str, col: str) -> str:
-    """SQL adding ``__band``: equally filled bands of ``col`` over all rows; -1 for null.
+def _with_bands(table: str, col: str, every: Sequence[str], none: str = "-1") -> str:
+    """SQL adding ``__band``: equally filled bands of ``col`` over all rows; ``none`` for null.
 
     The bounds ascend, so a value's band is the number of bounds at or below it.
     It is counted in three steps, every 128th, every 16th and then each bound, to
-    compare with 29 bounds and not with all of them. Each set of bounds is used
-    once in one expression; otherwise it would be copied into every row.
+    compare with 29 bounds and not with all of them. The bounds are one column of one
+    subquery. It also returns ``every`` column of the table, so that the table is not
+    computed once more with fewer columns.
     """
-    cuts = ",".join(str(i / BANDS) for i in range(1, BANDS))
+    kept = ", ".join(f"max({c})" for c in every)
+    # The shares have to be a constant, which a lambda is not.
+    shares = f"array({', '.join(f'{i / BANDS!r}D' for i in range(1, BANDS))})"
     bounds = f"""(
         SELECT struct(
           transform(sequence(1, 7), j -> b[128 * j - 1]) AS few,
           transform(sequence(0, 7), i -> transform(sequence(1, 7), j -> b[128 * i + 16 * j - 1])) AS some,
-          transform(sequence(0, 63), i -> transform(sequence(1, 15), j -> b[16 * i + j - 1])) AS each)
-        FROM (SELECT percentile_approx({col}, cast(split('{cuts}', ',') AS array<double>), 10000) AS b
-              FROM {table}))"""
-    columns = ", ".join(f"{bounds}.{level} AS __{level}" for level in ("few", "some", "each"))
-    steps = f"array(size(filter(__few, b -> b <= {col})))"
+          transform(sequence(0, 63), i -> transform(sequence(1, 15), j -> b[16 * i + j - 1])) AS each, kept)
+        FROM (SELECT percentile_approx({col}, {shares}, 10000) AS b,
+                     struct({kept}) AS kept FROM {table}))"""
+    steps = f"array(size(filter(__bounds.few, b -> b <= {col})))"
     for level, fan in (("some", 8), ("each", 16)):
-        step = f"k * {fan} + size(filter(__{level}[k], b -> b <= {col}))"
+        step = f"k * {fan} + size(filter(__bounds.{level}[k], b -> b <= {col}))"
         steps = f"transform({steps}, k -> {step})"
     # Never null, or a join on the band would first test every row for it.
-    return f"""SELECT * EXCEPT (__few, __some, __each),
-                      if({col} IS NULL, -1, coalesce({steps}[0], 0)) AS __band
-               FROM (SELECT *, {columns} FROM {table})"""
+    return f"""SELECT * EXCEPT (__bounds), if({col} IS NULL, {none}, coalesce({steps}[0], 0)) AS __band
+               FROM (SELECT *, {bounds} AS __bounds FROM {table})"""
 
 
 def _banded(
@@ -165,7 +124,7 @@ def _banded(
     quantiles: Mapping[str, float],
     folds: Mapping[str, str],
 ) -> DataFrame:
-    """The second way (see the module text)."""
+    """Fold, bands, ranks inside the bands (see the module text)."""
     by = "".join(f"`{k}`, " for k in keys)
     only = f"PARTITION BY {by[:-2]}" if keys else ""
     folded = "".join(f", {fn}(`{name}`) AS `{name}`" for name, fn in folds.items())
@@ -185,7 +144,9 @@ def _banded(
             hit = f"__v IS NOT NULL AND __end - __c <= {rank} AND {rank} < __end"
             picks.append(f"max(if({hit}, __v, NULL)) AS __{side}{i}")
         share = f"({spot} - floor({spot}))"
-        finals.append(f"__l{i} * (1 - {share}) + __h{i} * {share} AS `{name}`")
+        # Equal ends stay as they are, so that an infinite value is not multiplied by zero.
+        between = f"__l{i} * (1 - {share}) + __h{i} * {share}"
+        finals.append(f"if(__l{i} = __h{i} OR {share} = 0, __l{i}, {between}) AS `{name}`")
     made = {
         "mean": "try_divide(__sum, __total)",
         "max": "__max",
@@ -200,7 +161,7 @@ def _banded(
     return rows.sparkSession.sql(
         f"""
         WITH counts AS (SELECT {by} __v, sum(__c) AS __c {folded} FROM {{rows}} GROUP BY {by} __v),
-        banded AS ({_with_bands("counts", "__v")}),
+        banded AS ({_with_bands("counts", "__v", [*(f"`{k}`" for k in keys), "__c", *(f"`{x}`" for x in folds)])}),
         per_band AS (
           SELECT {by} __band, sum(if(__v IS NULL, 0, __c)) AS __n, sum(__c) AS __rows,
                  sum(__v * __c) AS __s, min(__v) AS __lo, max(__v) AS __hi {folded}
@@ -223,18 +184,24 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
     """Row position (from 0) inside each group, in the order of a unique column.
 
     A plain ``row_number`` would sort a whole group in one task. Here each group
-    is cut into bands of the order column, and band offsets are added back.
+    is cut into bands of the order column, and band offsets are added back. Rows with
+    a null key are a group of their own; rows without an order value come first, in
+    any order.
     """
     by = ", ".join(f"`{k}`" for k in keys)
+    every = [f"`{c}`" for c in df.columns]
+    # Rows without an order value are dealt to bands below all others.
+    none = f"int(-1 - pmod(xxhash64({', '.join(every)}), {BANDS}))"
+    same = " AND ".join(f"banded.`{k}` <=> offsets.`{k}`" for k in [*keys, "__band"])
     return df.sparkSession.sql(
         f"""WITH source AS (SELECT * FROM {{df}}),
-            banded AS ({_with_bands("source", f"`{order}`")}),
+            banded AS ({_with_bands("source", f"`{order}`", [f"`{order}`"], none)}),
             offsets AS (
               SELECT {by}, __band, coalesce(sum(__n) OVER (PARTITION BY {by} ORDER BY __band
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before
               FROM (SELECT {by}, __band, count(1) AS __n FROM banded GROUP BY {by}, __band))
-            SELECT * EXCEPT (__band, __before), __before - 1
+            SELECT {", ".join(every)}, __before - 1
                    + row_number() OVER (PARTITION BY {by}, __band ORDER BY `{order}`) AS `{name}`
-            FROM banded JOIN offsets USING ({by}, __band)""",
+            FROM (SELECT banded.*, __before FROM banded JOIN offsets ON {same})""",
         df=df,
     )

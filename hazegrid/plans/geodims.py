@@ -10,24 +10,25 @@ from hazegrid.functions.clean import code_prefix
 from hazegrid.operators.spatial import HexGrid, extent
 
 
+def _measured(raw: DataFrame) -> DataFrame:
+    """Box and projected area; shapes of several parts have a ``holes`` column."""
+    holes = F.col("holes") if "holes" in raw.columns else None
+    rings = F.col("rings")
+    return raw.withColumns({"bbox": G.bbox(rings), "area_3857_km2": G.area_3857_km2(rings, holes)})
+
+
 def blocks_table(raw: DataFrame) -> DataFrame:
-    """Census blocks with their 12-digit group code and projected area."""
-    return raw.dropDuplicates(["geoid10"]).select(
-        code_prefix(F.col("geoid10")).alias("geo_12"),
-        "geoid10",
-        "rings",
-        G.bbox(F.col("rings")).alias("bbox"),
-        G.area_3857_km2(F.col("rings")).alias("area_3857_km2"),
+    """Census blocks with their 12-digit group code and projected area.
+
+    Rows that are equal in all columns are one; different shapes of one code stay.
+    """
+    return _measured(raw.distinct()).select(
+        code_prefix(F.col("geoid10")).alias("geo_12"), "geoid10", "rings", "bbox", "area_3857_km2"
     )
 
 
 def neighborhoods_table(raw: DataFrame) -> DataFrame:
-    return raw.withColumns(
-        {
-            "bbox": G.bbox(F.col("rings")),
-            "area_3857_km2": G.area_3857_km2(F.col("rings")),
-        }
-    )
+    return _measured(raw)
 
 
 def big_hexagons(neighborhoods: DataFrame, diameter_miles: float = 1.0) -> tuple[HexGrid, DataFrame]:

@@ -11,27 +11,46 @@ from pyspark.sql import types as T
 
 from hazegrid import schemas
 from hazegrid.functions import geometry as G
+from hazegrid.functions.names import named
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header row. Empty fields are null; NaN text too."""
-    df = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in floats}) if floats else df
+    """CSV with a header row, columns found by the header's names.
 
+    ``path`` is a file or a folder of files. Files may have their columns in any order;
+    one that lacks a column of the schema has nulls there, and a column that the schema
+    does not name is left out. Empty fields are null; NaN text too.
+    """
+    return _by_header(spark, path, schema, extra=False)
 
-def read_csv_folder(
-    spark: SparkSession, path: str, schema: T.StructType | str
-) -> DataFrame:
-    """Every ``*.csv`` file of a folder whose files share one header."""
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("pathGlobFilter", "*.csv")
-        .csv(path)
-    )
-    return df
+
+def read_csv_folder(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Every ``*.csv`` file of a folder, appended by column name.
+
+    Columns that the schema does not name are kept as text.
+    """
+    return _by_header(spark, path, schema, extra=True, pathGlobFilter="*.csv")
+
+
+def _by_header(spark: SparkSession, path: str, schema: T.StructType | str, extra: bool, **options: str) -> DataFrame:
+    """Read files of one header together, with that header's order of columns."""
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    files = spark.read.options(**options).text(path).inputFiles()
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        # Only the first line is read for its names.
+        header = tuple(spark.read.option("header", True).option("escape", '"').csv(file).columns)
+        if header:
+            groups.setdefault(header, []).append(file)
+    known = {f.name: f for f in wanted.fields}
+    frames = []
+    for header, same in groups.items():
+        typed = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+        df = spark.read.schema(typed).option("header", True).option("escape", '"').csv(same)
+        frames.append(df if extra else df.select(*[named(c) for c in header if c in known]))
+    df = union_by_name([spark.createDataFrame([], wanted), *frames]) if frames else spark.createDataFrame([], wanted)
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.nanvl(named(c), F.lit(None)) for c in floats}) if floats else df
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -88,28 +107,28 @@ def read_feeds(
     )
 
 
+def _shapes(df: DataFrame) -> DataFrame:
+    """``parts`` to ``rings``, ``holes`` and ``bbox``."""
+    flat = df.withColumns({"rings": F.flatten("parts"), "holes": G.holes_of(F.col("parts"))})
+    return flat.withColumn("bbox", G.bbox(F.col("rings"))).drop("parts")
+
+
 def read_geojson(
     spark: SparkSession, path: str, properties: Sequence[str], multi_line: bool = False
 ) -> DataFrame:
-    """FeatureCollections to properties, ``rings`` and ``bbox``."""
+    """FeatureCollections to properties, ``rings``, ``holes`` and ``bbox``."""
     shapes = (
         spark.read.schema(schemas.GEOJSON)
         .json(path, multiLine=multi_line)
         .select(F.explode("features").alias("f"))
     )
-    rings = G.rings_from_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
-    return shapes.select(
-        *[F.col("f.properties")[p].alias(p) for p in properties], rings.alias("rings")
-    ).withColumn("bbox", G.bbox(F.col("rings")))
+    parts = G.parts_from_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
+    return _shapes(shapes.select(*[F.col("f.properties")[p].alias(p) for p in properties], parts.alias("parts")))
 
 
 def read_wkt(
     spark: SparkSession, path: str, schema: T.StructType | str, geometry: str = "geometry"
 ) -> DataFrame:
-    """CSV with a WKT column to a shape table (``rings``, ``bbox``)."""
+    """CSV with a WKT column to a shape table (``rings``, ``holes``, ``bbox``)."""
     df = read_csv(spark, path, schema)
-    return (
-        df.withColumn("rings", G.rings_from_wkt(F.col(geometry)))
-        .withColumn("bbox", G.bbox(F.col("rings")))
-        .drop(geometry)
-    )
+    return _shapes(df.withColumn("parts", G.parts_from_wkt(F.col(geometry))).drop(geometry))

@@ -43,7 +43,8 @@ def test_quantile_interpolates(spark):
     assert row["q"] == pytest.approx(7.9) and row["count"] == 4
 
 
-def test_hot_and_ordinary_ways_agree(spark):
+def test_groups_of_every_size(spark):
+    """Large, small, flat and empty groups in one pass, against Spark's own aggregates."""
     rng = random.Random(5)
     rows = [("hot", round(rng.gauss(20, 5), 2)) for _ in range(6000)]
     rows += [("flat", 3.0)] * 500 + [("hot", None)] * 20 + [(None, 1.0)] * 5
@@ -53,19 +54,44 @@ def test_hot_and_ordinary_ways_agree(spark):
     cuts = {"median": 0.5, "q": 0.9, "low": 0.0, "top": 1.0}
     stats = ("mean", "max", "min", "sum", "count")
     carry = {"w": ("sum", F.lit(2)), "last": ("max", F.concat(F.lit("x"), F.col("v").cast("string")))}
-    plain = keyed(grouped_stats(df, ["k"], "v", stats, cuts, carry, hot_rows=10**9), "k")
-    mixed = keyed(grouped_stats(df, ["k"], "v", stats, cuts, carry, hot_rows=25), "k")
-    banded = keyed(grouped_stats(df, ["k"], "v", stats, cuts, carry, hot_rows=0), "k")
-    assert plain.keys() == mixed.keys() == banded.keys()
-    for k, want in plain.items():
-        for other in (mixed[k], banded[k]):
-            for name, value in want.items():
-                if isinstance(value, float):
-                    assert other[name] == pytest.approx(value, abs=1e-9), (k, name)
-                else:
-                    assert other[name] == value, (k, name)
-    hot = [v for k, v in rows if k == "hot" and v is not None]
-    assert banded[("hot",)]["median"] == pytest.approx(statistics.median(hot))
+    made = keyed(grouped_stats(df, ["k"], "v", stats, cuts, carry), "k")
+    plain = df.where("k IS NOT NULL").groupBy("k").agg(
+        F.expr("percentile(v, array(0.5, 0.9, 0, 1))").alias("q"),
+        F.avg("v").alias("mean"), F.max("v").alias("max"), F.min("v").alias("min"),
+        F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), F.count(F.lit(1)).alias("count"),
+        F.sum(F.lit(2)).alias("w"), F.max(F.concat(F.lit("x"), F.col("v").cast("string"))).alias("last"),
+    )
+    want = keyed(plain, "k")
+    assert made.keys() == want.keys()
+    for k, row in want.items():
+        row = {**row, **dict(zip(cuts, row["q"] or [None] * 4))}
+        for name in [*cuts, *stats, *carry]:
+            if isinstance(row[name], float):
+                assert made[k][name] == pytest.approx(row[name], abs=1e-9), (k, name)
+            else:
+                assert made[k][name] == row[name], (k, name)
+
+
+def test_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", inf), ("b", -inf), ("b", 5.0)], "k string, v double")
+    got = keyed(grouped_stats(df, ["k"], "v", (), {"top": 1.0, "mid": 0.5, "low": 0.0}), "k")
+    a, b = got[("a",)], got[("b",)]
+    assert (a["top"], a["mid"], a["low"]) == (inf, 2.0, 1.0) and (b["top"], b["mid"], b["low"]) == (5.0, -inf, -inf)
+
+
+def test_planning_starts_no_job(spark):
+    df = spark.range(100).selectExpr("id % 3 AS k", "double(id) AS v")
+    spark.sparkContext.setJobGroup("planning", "planning")
+    grouped_stats(df, ["k"], "v")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rows_without_keys_or_order_are_numbered(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", None), ("a", 7), (None, None)], "k string, n int")
+    got = sorted((r.k or "", r.id) for r in number_rows(df, ["k"], "n", "id").collect())
+    assert got == [("", 0), ("", 1), ("", 2), ("a", 0), ("a", 1)]
 
 
 def test_global_statistics(spark):

@@ -1,19 +1,15 @@
-"""The ways meant for hot groups and large lookups, forced on, against the same oracles."""
+"""The way for large lookups, forced on, against the same oracles."""
 
 import os
 
 import pytest
 
 from hazegrid.catalog import load_all
-from hazegrid.operators import joins, quantiles
+from hazegrid.operators import joins
 from tests.oracle_check import compare, connect
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 NAMES = (
-    "cell_stats_30min",
-    "purpleair_site_profile",
-    "epa_daily_agg",
-    "five_number_summary",
     "top_decile_flag",
     "outdoor_only_filter",
     "left_join_suffixes",
@@ -26,7 +22,6 @@ NAMES = (
 
 @pytest.mark.parametrize("name", NAMES)
 def test_large_way(spark, monkeypatch, name):
-    monkeypatch.setattr(quantiles.grouped_stats, "__defaults__", (*quantiles.grouped_stats.__defaults__[:-1], 3))
     monkeypatch.setattr(joins, "fits_in_memory", lambda *a, **k: False)
     queries, oracles = load_all()
     df = queries[name](spark, SF_DIR)
