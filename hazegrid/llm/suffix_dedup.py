@@ -39,8 +39,8 @@ from hazegrid.llm.shingles import mix
 
 LENGTH = 200
 GRAM = 27
-#: Texts (about 100 bytes each with their spans) up to which a side of a join is broadcast.
-BROADCAST_TEXTS = 500_000
+#: Rows and array elements (8 to 40 bytes each) up to which a side of a join is broadcast.
+BROADCAST_ITEMS = 1_000_000
 #: Texts a task remembers to skip exact copies.
 REMEMBERED = 500_000
 
@@ -214,13 +214,13 @@ def _strings(docs: DataFrame, length: int) -> DataFrame:
                     seen.add(key)
                     names = Names(text, length)
                     for p in places:
-                        place, right, left = p["place"], p["right"], p["left"]
+                        right, left, place = p & 1, p & 2, p >> 2
                         first, ahead, more = place >> 20, place >> 10 & 1023, place & 1023
                         at = first + ahead
                         which = np.arange(first, first + more + 1)
                         # Up to half a string before the anchor, the half behind the anchor is all inside.
                         near = at - which <= length - half
-                        which = which[near & right | ~near & left]
+                        which = which[near & bool(right) | ~near & bool(left)]
                         made = names.strings[which], np.full(len(which), names.grams[at]), np.full(len(which), key, np.int64), which
                         for column, v in zip(out, made, strict=True):
                             column.append(v.view(np.int64))
@@ -232,9 +232,44 @@ def _strings(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "name bigint, gram bigint, t bigint, first bigint")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a staged table of bounded size; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else df
+def _small(df: DataFrame, items: str) -> DataFrame:
+    """Broadcast a staged table with few elements in its array; a larger one is joined by a shuffle."""
+    n = df.agg(F.sum(F.size(items) + 1)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ITEMS else df
+
+
+def _merged(marks: DataFrame, length: int) -> DataFrame:
+    """``t, first, last`` of strings to those of maximal runs whose strings overlap or touch.
+
+    Rows stream in sorted order; the open run of a batch is carried to the next.
+    """
+
+    def run(batches):
+        def out(t, first, last):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (t, first, last)], names=["t", "first", "last"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, first, last = (c.to_numpy() for c in batch.columns)
+            if held is not None:
+                t, first, last = (np.concatenate((h, c)) for h, c in zip(held, (t, first, last), strict=True))
+            other = np.concatenate(([False], t[1:] != t[:-1]))
+            group = np.cumsum(other) << 40  # larger than any place, so that the maximum starts anew
+            reach = np.maximum.accumulate(group + last) - group
+            new = np.concatenate(([True], other[1:] | (first[1:] > reach[:-1] + length)))
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(t)) - 1
+            t, first, last = t[starts], first[starts], reach[ends]
+            held = t[-1:], first[-1:], last[-1:]
+            if len(t) > 1:
+                yield out(t[:-1], first[:-1], last[:-1])
+        if held is not None:
+            yield out(*held)
+
+    dealt = marks.repartition(F.col("t")).sortWithinPartitions("t", "first")
+    return dealt.mapInArrow(run, "t bigint, first bigint, last bigint")
 
 
 def repeated_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
@@ -265,15 +300,15 @@ def repeated_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
         shared = kinds.where(f"{side} <> 0").groupBy("gram", side).agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("all"))
         shared = staged(shared.where("n > 1 AND NOT all").select("gram", side), f"suffix-{side}")
         sides.append(kinds.join(shared, ["gram", side], "left_semi").select("t", "place", F.lit(side).alias("side")))
-    asked = sides[0].union(sides[1]).groupBy("t", "place").agg(
-        F.max(F.col("side") == "right").alias("right"), F.max(F.col("side") == "left").alias("left")
-    )
-    asked = staged(asked.groupBy("t").agg(F.collect_list(F.struct("place", "right", "left")).alias("places")), "suffix-asked")
-    rows = _strings(keyed.join(_small(asked), "t"), length)
+    flag = F.when(F.col("side") == "right", 1).otherwise(2)
+    asked = sides[0].union(sides[1]).groupBy("t", "place").agg(F.sum(flag).alias("flags"))
+    packed = F.col("place") * 4 + F.col("flags")
+    asked = staged(asked.groupBy("t").agg(F.collect_list(packed).alias("places")), "suffix-asked")
+    rows = _strings(keyed.join(_small(asked, "places"), "t"), length)
     merged = staged(_repeated(rows, ["name"], ["gram"]), "suffix-strings")
     remaining = merged.where("same").select("t", "first", F.col("first").alias("last"))
-    marks = settled.union(remaining).union(copied)
-    spans = marks.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    runs = _merged(settled.union(remaining).union(copied), length)
+    spans = runs.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
     return staged(spans, "suffix-spans")
 
 
@@ -285,7 +320,7 @@ def dedup_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Da
     replaced, all others kept.
     """
     names = ["n_bytes", "n_removed", "spans", "kept"]
-    runs = _small(repeated_spans(docs, text, length)).withColumnRenamed("t", "__t")
+    runs = _small(repeated_spans(docs, text, length), "runs").withColumnRenamed("t", "__t")
     own = docs.drop(*names).withColumn("__t", F.xxhash64(text))
     met = own.join(runs.withColumnRenamed("runs", "__runs"), "__t", "left").drop("__t")
 
@@ -294,13 +329,7 @@ def dedup_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Da
             out = [], [], [], []
             for value, found in zip(strings(batch, text), strings(batch, "__runs"), strict=True):
                 data = (value or "").encode()
-                spans = []
-                for r in found or ():
-                    first, beyond = r["first"], r["last"] + length
-                    if spans and first <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], beyond)
-                    else:
-                        spans.append([first, beyond])
+                spans = [(r["first"], r["last"] + length) for r in found or ()]
                 cuts = [0, *[x for s in spans for x in s], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
                 made = len(data), len(data) - len(kept), [{"first": a, "beyond": b} for a, b in spans], kept

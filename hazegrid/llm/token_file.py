@@ -241,7 +241,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = manifest.withColumn("offset", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    files = files.select("file", "offset", "first_id", "part").repartition(F.col("part"))
+    # A number of its own keeps adaptive execution from reading all files in one task.
+    files = files.select("file", "offset", "part").repartitionByRange(max(1, manifest.count()), "part")
     schema = T.StructType(
         [T.StructField("id", manifest.schema["first_id"].dataType), field("start", "bigint"),
          field("n_tokens", "bigint"), field("ids_crc32", "bigint")]

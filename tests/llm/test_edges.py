@@ -158,7 +158,7 @@ def test_bytes(spark, frame):
 def test_bytes_large_side(spark, frame, monkeypatch):
     from hazegrid.llm import suffix_dedup
 
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_TEXTS", 0)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ITEMS", -1)
     docs = {i: f"{i} " + "the same passage of words " * 3 + "abc" * 60 + str(i) for i in range(20)}
     rows = suffix_dedup.dedup_bytes(frame(list(docs.items()))).collect()
     want = brute.repeated_bytes(docs, 200)
