@@ -32,30 +32,32 @@ def left_join_site_attrs(spark, d):
         "readings",
         """SELECT r.event_id, r.sensor_id AS sensor_id_left, r.lat AS lat_left, s.sensor_id AS sensor_id_right,
                   s.lat AS lat_right, s.n
-           FROM readings r LEFT JOIN (SELECT sensor_id, min(lat) AS lat, count(*) AS n FROM readings
-                                      GROUP BY sensor_id HAVING count(*) > 60) s
+           FROM (SELECT event_id, lat, CASE WHEN event_id % 7 <> 0 THEN sensor_id + event_id % 2 * 100000 END AS sensor_id
+                 FROM readings) r
+           LEFT JOIN (SELECT sensor_id, min(lat) AS lat, count(*) AS n FROM readings GROUP BY sensor_id) s
              ON s.sensor_id = r.sensor_id""",
     ),
 )
 def left_join_suffixes(spark, d):
-    r = D.readings(spark, d).select("event_id", "sensor_id", "lat")
-    busy = (
-        r.groupBy("sensor_id").agg(F.min("lat").alias("lat"), F.count(F.lit(1)).alias("n")).where("n > 60")
-    )
-    return J.left_join_sites(r, busy, "sensor_id", "sensor_id")
+    """Some readings have no sensor, some a foreign one."""
+    r = D.readings(spark, d)
+    sites = r.groupBy("sensor_id").agg(F.min("lat").alias("lat"), F.count(F.lit(1)).alias("n"))
+    foreign = F.expr("if(event_id % 7 <> 0, sensor_id + event_id % 2 * 100000, NULL)")
+    return J.left_join_sites(r.select("event_id", foreign.alias("sensor_id"), "lat"), sites, "sensor_id", "sensor_id")
 
 
 @register(
     "salted_join",
-    """SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN supplier
-       ON l_suppkey = s_suppkey AND s_acctbal > 0""",
+    """SELECT l_orderkey, l_linenumber, s_name
+       FROM (SELECT *, CASE WHEN l_orderkey % 5 <> 0 THEN l_suppkey END AS k FROM lineitem)
+       LEFT JOIN supplier ON k = s_suppkey""",
 )
 def salted_join(spark, d):
-    """The way taken when the lookup side is too large to broadcast."""
-    li = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    sup = D.table(spark, d, "supplier").where("s_acctbal > 0")
-    sup = sup.select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    return J.join_lookup(li, sup, ["l_suppkey"], max_rows=0).drop("l_suppkey")
+    """The way taken when the lookup is too large to broadcast; some rows have no key."""
+    key = F.expr("if(l_orderkey % 5 <> 0, l_suppkey, NULL)").alias("l_suppkey")
+    li = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", key)
+    sup = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return J.join_lookup(li, sup, ["l_suppkey"], broadcast=False).drop("l_suppkey")
 
 
 FAMILY = """SELECT DISTINCT "ID", "ParentID", address FROM pa_typed"""
@@ -125,12 +127,12 @@ def semi_join_ids(spark, d):
     "semi_join_common_days",
     with_tables(
         "readings",
-        """SELECT event_id, time::DATE AS "Date" FROM readings WHERE source = 'PA' AND time::DATE IN
+        """SELECT event_id, time::DATE AS "Date" FROM readings WHERE time::DATE IN
            (SELECT time::DATE FROM readings WHERE source = 'EPA' GROUP BY ALL HAVING count(*) > 64)""",
     ),
 )
 def semi_join_common_days(spark, d):
-    r = D.readings(spark, d).where("source = 'PA'").select("event_id", F.to_date("time").alias("Date"))
+    r = D.readings(spark, d).select("event_id", F.to_date("time").alias("Date"))
     common = _daily(spark, d, "EPA").where("count > 64").select(F.col("Daily").alias("Date"))
     return J.semi_join(r, common, ["Date"])
 

@@ -143,11 +143,17 @@ def calendar_to_string(spark, d):
 
 @register(
     "tag_source",
-    with_tables("readings", """SELECT event_id, pm, 'AirQuality' AS "Source" FROM readings WHERE source = 'AQ'"""),
+    with_tables(
+        "readings",
+        """SELECT event_id, pm, CASE source WHEN 'AQ' THEN 'AirQuality' WHEN 'EPA' THEN 'EPA' ELSE 'PurpleAir' END
+                  AS "Source" FROM readings""",
+    ),
 )
 def tag_source(spark, d):
-    r = D.readings(spark, d).where("source = 'AQ'")
-    return r.select("event_id", "pm", F.lit("AirQuality").alias("Source"))
+    """Each network's readings under its name, one below the other."""
+    r, names = D.readings(spark, d), {"AQ": "AirQuality", "EPA": "EPA", "PA": "PurpleAir"}
+    tagged = [r.where(F.col("source") == s).select("event_id", "pm", F.lit(n).alias("Source")) for s, n in names.items()]
+    return tagged[0].union(tagged[1]).union(tagged[2])
 
 
 @register(

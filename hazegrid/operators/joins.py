@@ -1,4 +1,4 @@
-"""Attribute joins. A side is broadcast only after its size was measured."""
+"""Attribute joins. A side is broadcast only when the planner's size estimate allows it."""
 
 from __future__ import annotations
 
@@ -9,22 +9,18 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.names import named
 
-# Limits for a broadcast side: rows, and bytes of the rows written as JSON text
-# (always more than they take in memory as binary rows).
-MAX_ROWS = 500_000
-MAX_BYTES = 128 * 1024 * 1024
-SALTS = 32
+#: Estimated bytes up to which a side is broadcast. Files take a few times as much in memory.
+MAX_BYTES = 16 * 1024 * 1024
 
 
-def fits_in_memory(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """Measure a lookup table, reading no more than ``max_rows`` + 1 rows of it."""
-    size = (
-        df.limit(max_rows + 1)
-        .select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
-        .first()
-    )
-    return size["n"] <= max_rows and size["b"] <= max_bytes
+def fits_in_memory(df: DataFrame, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether the planner's estimate of a table is small; starts no job.
+
+    The estimate of a scan is the size of its files; filters, aggregates and joins
+    never raise it above their inputs' product. A table that only turns out to be
+    small is still broadcast by adaptive execution, from its measured size.
+    """
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= max_bytes
 
 
 def join_lookup(
@@ -33,34 +29,27 @@ def join_lookup(
     on: Sequence[str],
     how: str = "left",
     condition=None,
-    max_rows: int = MAX_ROWS,
-    salts: int = SALTS,
+    broadcast: bool | None = None,
+    grown: int = 1,
 ) -> DataFrame:
     """Join a large table to a lookup table on equal column names.
 
-    A measured-small lookup is broadcast, so the large side does not move. Beyond
-    the limit both sides are shuffled on key and salt: each fact row takes one
-    salt from a hash of the whole row and the lookup is repeated per salt, so one
-    hot key is spread over ``salts`` tasks. Null keys match nothing. ``condition``
+    A small lookup is broadcast, so the large side does not move; ``broadcast``
+    overrides the estimate, and ``grown`` says how many times larger the rows are than
+    those that the estimate knows (after an explode). Any other lookup is joined by a
+    shuffle, where adaptive execution splits the partitions of hot keys and sends the
+    matching part of the lookup to each piece. Null keys match nothing. ``condition``
     refines the match (its columns must be distinct from each other).
     """
     on = list(on)
+    small = fits_in_memory(lookup, MAX_BYTES // grown) if broadcast is None else broadcast
     renamed = lookup.withColumnsRenamed({c: f"__r_{c}" for c in on})
     match = F.lit(True)
-    if fits_in_memory(lookup, max_rows):
-        small = F.broadcast(renamed)
-    else:
-        fact = fact.withColumn("__salt", F.pmod(F.xxhash64(*map(named, fact.columns)), F.lit(salts)))
-        small = renamed.withColumn(
-            "__r_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-        )
-        match = F.col("__salt") == F.col("__r_salt")
     for c in on:
         match = match & (named(c) == named(f"__r_{c}"))
     if condition is not None:
         match = match & condition
-    drop = ["__salt", "__r_salt", *[f"__r_{c}" for c in on]]
-    return fact.join(small, match, how).drop(*drop)
+    return fact.join(F.broadcast(renamed) if small else renamed, match, how).drop(*[f"__r_{c}" for c in on])
 
 
 def left_join_sites(

@@ -8,6 +8,7 @@ exact test is part of the join condition.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,38 +19,60 @@ from hazegrid.functions import geometry as G
 from hazegrid.operators.joins import join_lookup
 
 MIN_CELL = 1e-4  # degrees
+#: Shapes up to this many powers of two apart share one grid.
+POWERS = 3
+# Shapes touch at most four cells of their grid.
+CELLS = 4
 
 
-def _cell(value: Column, size: float) -> Column:
+def _cell(value: Column, size: Column | float) -> Column:
     return F.floor(value / size)
 
 
-def _cells_of_box(df: DataFrame, box: Column, size: float) -> DataFrame:
+def _cells_of_box(df: DataFrame, box: Column, size: Column) -> DataFrame:
     """One row per grid cell the box touches: ``__cx``, ``__cy``."""
     xs = F.sequence(_cell(box["xmin"], size), _cell(box["xmax"], size))
     ys = F.sequence(_cell(box["ymin"], size), _cell(box["ymax"], size))
     return df.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
 
 
-def cell_size(boxes: DataFrame, box: Column) -> float:
-    """Grid size that suits a layer: the mean extent of its shapes.
+def _extent_of(box: Column) -> Column:
+    return F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"], F.lit(MIN_CELL))
 
-    A shape of mean size then lies in at most four cells, and a cell holds the few
-    shapes around it, whether they are census blocks or whole districts.
+
+def cell_sizes(boxes: DataFrame, box: Column) -> list[float]:
+    """Grid sizes that suit a layer, ascending: one for shapes of about the same extent.
+
+    A shape touches at most four cells of the grid that is no smaller than itself,
+    however much larger than the others it is. Only the distinct powers of two of the
+    extents reach the driver, at most a few dozen.
     """
-    extent_of = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
-    mean = boxes.agg(F.avg(extent_of)).first()[0]
-    return max(mean or 0.0, MIN_CELL)
+    powers = boxes.agg(F.collect_set(F.ceil(F.log2(_extent_of(box))))).first()[0]
+    sizes, left = [], sorted(powers)
+    while left:
+        top = left[-1]
+        sizes.insert(0, 2.0**top)
+        left = [p for p in left if p <= top - POWERS]
+    return sizes or [MIN_CELL]
+
 
+def _size_of(box: Column, sizes: Sequence[float]) -> Column:
+    """The smallest grid that is no smaller than the box."""
+    chosen = F.lit(sizes[-1])
+    for size in reversed(sizes[:-1]):
+        chosen = F.when(_extent_of(box) <= size, size).otherwise(chosen)
+    return chosen
 
-def cover(polygons: DataFrame, columns: list[str], size: float) -> DataFrame:
-    """Polygons cut to grid cells: ``columns``, ``__cx``, ``__cy``, ``__box``, ``__edges``.
+
+def cover(polygons: DataFrame, columns: list[str], sizes: Sequence[float]) -> DataFrame:
+    """Polygons cut to grid cells: ``columns``, ``__size``, ``__cx``, ``__cy``, ``__box``, ``__edges``.
 
     Only the sides that matter for points of the cell stay: those that reach into
     the cell's rows and are not wholly to its left (crossings are counted to the
     right). Cells left without sides are outside and are dropped.
     """
-    x0, y0 = F.col("__cx") * F.lit(size), F.col("__cy") * F.lit(size)
+    size = F.col("__size")
+    x0, y0 = F.col("__cx") * size, F.col("__cy") * size
     slack = size * 1e-6
     matters = lambda s: (
         (F.greatest(s["y1"], s["y2"]) >= y0 - slack)
@@ -58,12 +81,12 @@ def cover(polygons: DataFrame, columns: list[str], size: float) -> DataFrame:
     )
     shapes = polygons.select(
         *columns, G.bbox(F.col("rings")).alias("__box"), G.edges(F.col("rings")).alias("__all")
-    )
+    ).withColumn("__size", _size_of(F.col("__box"), sizes))
     return (
         _cells_of_box(shapes, F.col("__box"), size)
         .withColumn("__edges", F.filter("__all", matters))
         .where(F.size("__edges") > 0)
-        .select(*columns, "__cx", "__cy", "__box", "__edges")
+        .select(*columns, "__size", "__cx", "__cy", "__box", "__edges")
     )
 
 
@@ -73,25 +96,42 @@ def locate(
     columns: list[str],
     x: str = "lon",
     y: str = "lat",
-    size: float | None = None,
-    how: str = "left",
+    sizes: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Point-in-polygon join adding ``columns``; boundaries count as inside.
+    """Left point-in-polygon join adding ``columns``; boundaries count as inside.
 
-    A point in several polygons gives several rows; in none, one row of nulls.
+    A point in several polygons gives several rows; in none, one row of nulls. With
+    shapes of very different extent, a point looks up one cell of each grid.
     """
-    size = size or cell_size(polygons, G.bbox(F.col("rings")))
+    sizes = list(sizes or cell_sizes(polygons, G.bbox(F.col("rings"))))
     px, py = F.col(x), F.col(y)
-    keyed = points.withColumns({"__cx": _cell(px, size), "__cy": _cell(py, size)})
-    # The box is compared first: it is compiled code, the walk along the sides is not.
-    inside = (
-        px.between(F.col("__box.xmin"), F.col("__box.xmax"))
-        & py.between(F.col("__box.ymin"), F.col("__box.ymax"))
-        & G.point_in_edges(F.col("__edges"), px, py)
+
+    def inside(box: Column, edges: Column) -> Column:
+        # The box is compared first: it is compiled code, the walk along the sides is not.
+        return (
+            px.between(box["xmin"], box["xmax"])
+            & py.between(box["ymin"], box["ymax"])
+            & G.point_in_edges(edges, px, py)
+        )
+
+    covered = cover(polygons, columns, sizes)
+    if len(sizes) == 1:
+        keyed = points.withColumns({"__cx": _cell(px, sizes[0]), "__cy": _cell(py, sizes[0])})
+        met = inside(F.col("__box"), F.col("__edges"))
+        joined = join_lookup(keyed, covered, ["__cx", "__cy"], condition=met, grown=CELLS)
+        return joined.drop("__cx", "__cy", "__box", "__edges", "__size")
+    found = points
+    for i, size in enumerate(sizes):
+        shapes = F.collect_list(F.struct(*columns, "__box", "__edges")).alias(f"__shapes{i}")
+        lookup = covered.where(F.col("__size") == size).groupBy("__cx", "__cy").agg(shapes)
+        keyed = found.withColumns({"__cx": _cell(px, size), "__cy": _cell(py, size)})
+        found = join_lookup(keyed, lookup, ["__cx", "__cy"], grown=CELLS).drop("__cx", "__cy")
+    every = F.concat(*[F.coalesce(F.col(f"__shapes{i}"), F.array()) for i in range(len(sizes))])
+    hits = F.transform(
+        F.filter(every, lambda s: inside(s["__box"], s["__edges"])), lambda s: F.struct(*[s[c].alias(c) for c in columns])
     )
-    return join_lookup(
-        keyed, cover(polygons, columns, size), ["__cx", "__cy"], how, condition=inside
-    ).drop("__cx", "__cy", "__box", "__edges")
+    shown = found.select(*points.columns, F.explode_outer(hits).alias("__hit"))
+    return shown.select(*points.columns, *[F.col("__hit")[c].alias(c) for c in columns])
 
 
 def polygons_touching(
@@ -99,60 +139,80 @@ def polygons_touching(
     key: list[str],
     polygons: DataFrame,
     columns: list[str],
-    size: float | None = None,
+    sizes: Sequence[float] | None = None,
 ) -> DataFrame:
     """Left join of rectangles (``box``) with convex polygons they share a point with.
 
-    ``key`` identifies a rectangle. A pair meeting in several cells is kept once,
-    in the cell that holds the lower left corner of the common box, so no distinct
-    is needed afterwards.
+    ``key`` identifies a rectangle. A pair is compared on the grid of the larger of
+    the two; each side is listed on its own grid and the coarser ones. A pair meeting
+    in several cells is kept once, in the cell that holds the lower left corner of the
+    common box, so no distinct is needed afterwards.
     """
-    size = size or cell_size(boxes, F.col("box"))
-    right = polygons.select(
+    shapes = polygons.select(
         *columns, F.col("rings").alias("__rings"), G.bbox(F.col("rings")).alias("__box")
     )
+    sizes = list(sizes or cell_sizes(boxes.select("box").union(shapes.select("__box")), F.col("box")))
+    grids = F.array(*[F.lit(s) for s in sizes])
+
+    def listed(df: DataFrame, box: str, own: str) -> DataFrame:
+        sized = df.withColumn(own, _size_of(F.col(box), sizes))
+        every = sized.withColumn("__size", F.explode(F.filter(grids, lambda s: s >= F.col(own))))
+        return _cells_of_box(every, F.col(box), F.col("__size"))
+
+    size = F.greatest("__own", "__own_2")
     home = lambda f: _cell(F.greatest(F.col(f"box.{f}"), F.col(f"__box.{f}")), size)
     met = (
-        G.boxes_overlap(F.col("box"), F.col("__box"))
+        (F.col("__size") == size)
+        & G.boxes_overlap(F.col("box"), F.col("__box"))
         & (F.col("__cx") == home("xmin"))
         & (F.col("__cy") == home("ymin"))
         & G.convex_overlap(G.box_rings(F.col("box")), F.col("__rings"))
     )
     pairs = join_lookup(
-        _cells_of_box(boxes.select(*key, "box"), F.col("box"), size),
-        _cells_of_box(right, F.col("__box"), size),
-        ["__cx", "__cy"],
+        listed(boxes.select(*key, "box"), "box", "__own"),
+        listed(shapes, "__box", "__own_2"),
+        ["__size", "__cx", "__cy"],
         "inner",
         condition=met,
+        grown=CELLS * len(sizes),
     ).select(*key, *columns)
     return boxes.join(pairs, key, "left")
 
 
 def within_radius(
-    left: DataFrame,
-    right: DataFrame,
-    radius_m: float,
-    x: str = "lon",
-    y: str = "lat",
-    max_lat: float = 75.0,
+    left: DataFrame, right: DataFrame, radius_m: float, x: str = "lon", y: str = "lat"
 ) -> DataFrame:
     """Pairs of locations at most ``radius_m`` apart, with ``meters`` and ``miles``.
 
-    Right columns get the suffix ``_2``. Cells are one radius high, so the partner
-    of a location lies in its own or a neighboring cell; candidates are therefore
-    a constant factor of the pairs returned. In longitude the cell widens with the
-    cosine of ``max_lat``, the highest latitude the join is used at.
+    Right columns get the suffix ``_2``. Bands of latitude are one radius high, and
+    each is cut into as many cells around the globe as leave the partners of a
+    location in its own or a neighboring cell: wide ones near the poles, at last one
+    for the whole band. Cells are counted around the globe, so those on both sides of
+    180 degrees are neighbors. Candidates are a constant factor of the pairs returned.
     """
-    step_y = math.degrees(radius_m / G.EARTH_RADIUS_M) * 1.001
-    step_x = step_y / math.cos(math.radians(max_lat))
+    reach = radius_m / G.EARTH_RADIUS_M * 1.001  # as an angle
+    step = math.degrees(reach)
+
+    def cells_around(band: Column) -> Column:
+        # The highest latitude that a partner of the band's locations can have.
+        high = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * step + step, F.lit(90.0))
+        sine = F.lit(math.sin(min(reach, math.pi / 2))) / F.cos(F.radians(high))
+        wide = F.when((sine >= 1) | (high >= 90.0), 360.0).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))))
+        return F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1)).cast("bigint")
+
+    def column_of(lon: Column, n: Column) -> Column:
+        return F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("bigint"), n)
+
+    band = _cell(F.col(y), step)
+    keyed = left.withColumn("__cy", band).withColumn("__cx", column_of(F.col(x), cells_around(F.col("__cy"))))
     other = right.withColumnsRenamed({c: f"{c}_2" for c in right.columns})
-    keyed = left.withColumns({"__cx": _cell(F.col(x), step_x), "__cy": _cell(F.col(y), step_y)})
-    around = lambda c: F.explode(F.sequence(c - 1, c + 1))
-    spread = other.withColumn("__cx", around(_cell(F.col(f"{x}_2"), step_x))).withColumn(
-        "__cy", around(_cell(F.col(f"{y}_2"), step_y))
-    )
+    own = _cell(F.col(f"{y}_2"), step)
+    spread = other.withColumn("__cy", F.explode(F.sequence(own - 1, own + 1))).withColumn("__n", cells_around(F.col("__cy")))
+    at = column_of(F.col(f"{x}_2"), F.col("__n"))
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(at + i, F.col("__n"))))
+    spread = spread.withColumn("__cx", F.explode(around)).drop("__n")
     meters = G.haversine_m(F.col(x), F.col(y), F.col(f"{x}_2"), F.col(f"{y}_2"))
-    pairs = join_lookup(keyed, spread, ["__cx", "__cy"], "inner", condition=meters <= radius_m)
+    pairs = join_lookup(keyed, spread, ["__cx", "__cy"], "inner", condition=meters <= radius_m, grown=9)
     return pairs.drop("__cx", "__cy").withColumns(
         {"meters": meters, "miles": G.whole_miles(meters)}
     )
@@ -260,7 +320,7 @@ def geotag(
     grid_column: str = "big_hexagon_id",
     x: str = "lon",
     y: str = "lat",
-    size: float | None = None,
+    sizes: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add the ids of every polygon layer, and of the hexagon grid, to each point.
 
@@ -269,7 +329,7 @@ def geotag(
     def tag(df: DataFrame, layer) -> DataFrame:
         polygons, names = layer
         renamed = polygons.withColumnsRenamed(names)
-        return locate(df, renamed, list(names.values()), x, y, size)
+        return locate(df, renamed, list(names.values()), x, y, sizes)
 
     tagged = reduce(tag, layers, points)
     if grid is not None:

@@ -16,6 +16,17 @@ def test_csv_with_quotes_bom_and_nan(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("x", 1.5, "1 Main St, Rear"), ("y", None, "plain"), ("z", None, "q")]
 
 
+def test_csv_columns_go_by_their_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,lng,lat\n1,-87.5,41.5\n2,NaN,41.6\n")
+    (tmp_path / "b.csv").write_text("lat,note,id\n41.7,hi,3\n")
+    (tmp_path / "c.txt").write_text("id\n9\n")
+    rows = files.read_csv_folder(spark, str(tmp_path), "id bigint, lat double, lng double").collect()
+    got = sorted((r["id"], r["lat"], r["lng"], r["note"]) for r in rows)
+    assert got == [(1, 41.5, -87.5, None), (2, 41.6, None, None), (3, 41.7, None, "hi")]
+    one = files.read_csv(spark, str(tmp_path / "a.csv"), "id bigint, lat double, lng double")
+    assert one.columns == ["id", "lat", "lng"] and sorted(one.collect())[0]["lng"] == -87.5
+
+
 def test_feed_fields_follow_the_header(spark, tmp_path):
     (tmp_path / "f.json").write_text(
         '{"channel": {"id": 5, "name": "N", "field1": "PM2.5", "field2": "Hum"},'

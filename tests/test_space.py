@@ -39,7 +39,7 @@ def test_points_in_polygons(spark, shapes, size):
         11: ((None, 1.0), set()),
     }
     df = spark.createDataFrame([(i, *xy) for i, (xy, _) in points.items()], "id int, lon double, lat double")
-    rows = P.locate(df, shapes, ["name"], size=size).collect()
+    rows = P.locate(df, shapes, ["name"], sizes=[size]).collect()
     for i, (_, want) in points.items():
         got = [r["name"] for r in rows if r["id"] == i]
         assert set(got) - {None} == want and len(got) == max(1, len(want)), i
@@ -51,7 +51,7 @@ def test_random_points_against_hexagon_numbers(spark):
     pts = [(i, rng.uniform(-88.03, -87.74), rng.uniform(41.83, 42.03)) for i in range(3000)]
     df = spark.createDataFrame(pts, "pid int, lon double, lat double")
     by_number = df.withColumn("n", grid.id_at("lon", "lat"))
-    both = P.locate(by_number, grid.table(spark).select("id", "rings"), ["id"], size=0.01)
+    both = P.locate(by_number, grid.table(spark).select("id", "rings"), ["id"], sizes=[0.01])
     assert both.where("NOT (n <=> id)").count() == 0
     assert 1000 < both.where("id IS NOT NULL").count() < 3000
 
@@ -85,7 +85,7 @@ def test_boxes_meet_convex_shapes(spark):
         x, y, w = rng.uniform(-1, 7), rng.uniform(0, 6), rng.uniform(0.05, 0.8)
         boxes.append((i, (x, y, x + w, y + w)))
     df = spark.createDataFrame(boxes, "k int, box struct<xmin double, ymin double, xmax double, ymax double>")
-    got = {(r["k"], r["id"]) for r in P.polygons_touching(df, ["k"], grid, ["id"], size=0.4).collect()}
+    got = {(r["k"], r["id"]) for r in P.polygons_touching(df, ["k"], grid, ["id"], sizes=[0.4]).collect()}
     want = set()
     for i, b in boxes:
         found = False
@@ -123,14 +123,14 @@ def test_radius_join(spark):
     assert got == {(a[0], b[0]) for a in pts for b in pts if meters(a, b) <= 4000.0}
 
 
-def test_salted_join_equals_broadcast(spark):
+def test_shuffle_join_equals_broadcast(spark):
     fact = spark.createDataFrame([(1, "x")] * 50 + [(2, "y"), (3, "z"), (None, "n")], "k int, v string")
     look = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, w string")
     for how in ("left", "inner", "left_semi"):
-        small = J.join_lookup(fact, look, ["k"], how)
-        large = J.join_lookup(fact, look, ["k"], how, max_rows=0)
+        small = J.join_lookup(fact, look, ["k"], how, broadcast=True)
+        large = J.join_lookup(fact, look, ["k"], how, broadcast=False)
         assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
-    plan = J.join_lookup(fact, look, ["k"], max_rows=0)._jdf.queryExecution().toString()
+    plan = J.join_lookup(fact, look, ["k"], broadcast=False)._jdf.queryExecution().toString()
     assert "rightHint=(strategy=broadcast)" not in plan
 
 
@@ -147,3 +147,61 @@ def test_city_extent_sizes_grid(spark):
     # 22 miles across, 26 miles down
     assert (grid.cols, grid.rows) == (int(22 / math.sin(math.pi / 3)) + 1, 27)
     assert grid.table(spark).count() == grid.cols * grid.rows
+
+
+def test_shapes_of_very_different_extent(spark):
+    """A shape a thousand times the others, with many of them inside and outside."""
+    def ring(x, y, w):
+        return [[(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]]
+
+    shapes = [("big", ring(0.0, 0.0, 10.0))] + [(f"s{i}", ring(i * 0.5, i * 0.3, 0.01)) for i in range(40)]
+    kind = "name string, rings array<array<struct<x double, y double>>>"
+    df = spark.createDataFrame(shapes, kind)
+    points = [(i, i * 0.5 + 0.005, i * 0.3 + 0.005) for i in range(40)] + [(100, -1.0, 5.0), (101, 3.3, 9.9)]
+    pts = spark.createDataFrame(points, "id int, lon double, lat double")
+    assert len(P.cell_sizes(df, G.bbox(F.col("rings")))) == 2
+    got = sorted((r["id"], r["name"] or "") for r in P.locate(pts, df, ["name"]).collect())
+    want = [(i, f"s{i}") for i in range(40)] + [(i, "big") for i, x, y in points if 0 <= x <= 10 and 0 <= y <= 10] + [(100, "")]
+    assert got == sorted(want)
+    boxes = spark.createDataFrame([(1, (1.0, 0.6, 1.001, 0.601)), (2, (0.0, 0.0, 20.0, 20.0)), (3, (-3.0, -3.0, -2.0, -2.0))],
+                                  "k int, box struct<xmin double, ymin double, xmax double, ymax double>")
+    met = {(r["k"], r["name"]) for r in P.polygons_touching(boxes, ["k"], df, ["name"]).collect()}
+    assert met == {(1, "big"), (1, "s2"), (3, None), (2, "big"), *((2, f"s{i}") for i in range(40))}
+
+
+def test_radius_join_at_the_poles_and_the_date_line(spark):
+    rng = random.Random(4)
+    pts = [(0, 10.0, 85.0), (1, 10.13, 85.0), (2, 179.999, 0.0), (3, -179.9995, 0.001), (4, 0.0, 89.9995), (5, 180.0, 89.9995),
+           (6, 0.0, 90.0), (7, 33.0, -89.9999), (8, -150.0, -89.9999), (9, 180.0, 10.0), (10, -180.0, 10.0)]
+    pts += [(20 + i, rng.uniform(-180, 180), rng.choice([-1, 1]) * (90 - rng.expovariate(20))) for i in range(60)]
+    pts += [(200 + i, rng.choice([-1, 1]) * (180 - rng.expovariate(200)), rng.uniform(-0.02, 0.02)) for i in range(60)]
+    df = spark.createDataFrame(pts, "s int, lon double, lat double")
+
+    def meters(a, b):
+        p1, p2 = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    for radius in (1500.0, 40.0):
+        rows = P.within_radius(df, df, radius).collect()
+        got = [(r["s"], r["s_2"]) for r in rows]
+        assert len(got) == len(set(got)) and set(got) == {(a[0], b[0]) for a in pts for b in pts if meters(a, b) <= radius}
+    assert (0, 1) in {(r["s"], r["s_2"]) for r in P.within_radius(df, df, 1500.0).collect()}
+
+
+def test_shapes_of_several_parts(spark):
+    wkt = "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1)), ((10 0, 12 0, 12 2, 10 2, 10 0)))"
+    parts = G.parts_from_wkt(F.lit(wkt))
+    row = spark.range(1).select(
+        F.flatten(parts).alias("rings"), G.holes_of(parts).alias("holes"), F.size(parts).alias("n")
+    )
+    got = row.select(
+        "n", "holes", G.centroid(F.col("rings"), F.col("holes")).alias("c"),
+        G.area_3857_km2(F.col("rings"), F.col("holes")).alias("a"),
+        G.rings_to_wkt(F.col("rings"), F.col("holes")).alias("again"),
+        *[G.area_3857_km2(F.slice(F.col("rings"), i, 1)).alias(f"a{i}") for i in (1, 2, 3)],
+    ).first()
+    assert got["n"] == 2 and got["holes"] == [False, True, False]
+    assert got["a"] == pytest.approx(got["a1"] - got["a2"] + got["a3"])
+    assert (got["c"]["x"], got["c"]["y"]) == (pytest.approx((32 - 1.5 + 44) / 19), pytest.approx((32 - 1.5 + 4) / 19))
+    assert got["again"].replace(".0", "") == wkt
