@@ -1,9 +1,8 @@
 """N-gram Jaccard join in the metric space of the documents' shingle sets.
 
-``1 - Jaccard`` is a metric. Regions of near documents are built around pivots, the
-triangle inequality says which documents of a region can still link, and what is left
-of a region is split again around new pivots until nothing is left. All links count;
-the result is exact.
+``1 - Jaccard`` is a metric. Documents are assigned to regions around pivots, boundary
+documents to several, and each region is joined exactly; a region too large for a task
+is cut again by its documents' distance to the pivot.
 
 In this space nearly all distances are 1, so plain Voronoi cells of random pivots
 would need every document in every cell. Which pivots a document can be near to is
@@ -11,15 +10,18 @@ therefore found by signatures. Sets with ``J >= t`` and sizes ``a <= b`` differ
 most ``k = (a + b)(1 - t)/(1 + t)`` shingles. The space of hashes is cut into more than
 ``k`` parts, so at least one part holds the same shingles of both; the digest of each
 part is a key. The number of parts follows a size class; a document that can be near
-one of the next class has keys for that as well, the boundary copies of this join.
-
-1. Documents of one key form a bucket; its smallest id is the pivot.
-2. Each document is compared exactly with its pivots. Linked ones join a component.
-3. A bucket whose other members are of one component is done: a further link inside
-   a component changes nothing. Of any other bucket, the members without the pivot
-   go through step 1 again; a pair is compared only if the components differ and the
-   distances to the pivot before differ by no more than ``1 - t``. A bucket of few
-   members is finished by all its remaining pairs at once.
+one of the next class has keys for that as well.
+
+1. Documents of one key form a bucket; its smallest id is the pivot, and all its
+   members belong to the pivot's region. Two documents that link share a key, so some
+   region has both.
+2. A region of bounded size is joined in one task, which counts the intersections of
+   its sets exactly and returns the components of its links, not the pairs.
+3. The documents of a larger region are first compared with their pivot alone. Those
+   that link to it need no comparison with each other. By the triangle inequality,
+   distances to the pivot of two that link differ by no more than ``1 - t``, so the
+   others are cut into rings of that width and meet those of their own and the next
+   ring only, two bounded blocks in a task.
 
 Buckets stream through the tasks in sorted order and are never collected.
 """
@@ -38,8 +40,8 @@ from hazegrid.llm.common import field, pieces, staged, strings
 from hazegrid.llm.components import components
 from hazegrid.llm.shingles import mix, shingle_set
 
-#: A bucket of at most so many members is finished by its pairs.
-LEAF = 12
+#: Documents, and shingles, of a region or of two blocks that one task joins.
+REGION_DOCS, REGION_SHINGLES = 1024, 2_000_000
 #: Ids (8 bytes each) up to which the documents to compare are found by broadcast.
 BROADCAST_IDS = 1_000_000
 #: Sets a task remembers to skip the keys of exact copies.
@@ -166,68 +168,134 @@ def _buckets(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, pivot bigint, id bigint")
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``a, b, distance, linked`` of the staged distinct ``pairs`` (a, b), by their whole sets.
-
-    The rows of a pivot ``b`` stream past its set. A pivot of many pairs is dealt to
-    several tasks, each of which gets the set.
-    """
-    spread = 64
-    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.least(F.ceil(F.col("n") / 512), F.lit(spread)))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = staged(wanted, "jaccard-ids")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id, hashes``: the shingle sets of the rows with the staged distinct ``ids``, staged."""
     schema = T.StructType([field("id", "bigint"), field("hashes", "binary")])
 
-    def sets(batches):
+    def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
         for batch in batches:
             for part in pieces(batch, 128):
                 made = [shingle_set(v, width).tobytes() for v in strings(part, "text")]
-                yield pa.RecordBatch.from_arrays([pa.array(strings(part, "id"), pa.int64()), pa.array(made, pa.binary())], schema=target)
-
-    found = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, schema)
-    found = staged(found, "jaccard-sets")
-    salted = pairs.join(many.select("b", "salts"), "b").withColumn("salt", F.expr("pmod(xxhash64(a), salts)"))
-    left = salted.join(found, F.col("a") == F.col("id")).select("b", "salt", F.lit(1).alias("turn"), "a", "hashes")
-    right = many.join(found, F.col("b") == F.col("id")).select(
-        "b", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("turn"), F.col("b").alias("a"), "hashes"
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(strings(part, "id"), pa.int64()), pa.array(made, pa.binary())], schema=target
+                )
+
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    found = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
+    return staged(found.mapInArrow(run, schema), "jaccard-sets")
+
+
+def _links(a: np.ndarray, b: np.ndarray, both, percent: int):
+    union = a + b - both
+    return (union > 0) & (100 * both >= percent * union)
+
+
+def _to_pivots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pivot, id, distance, linked`` of each of the staged ``members`` (pivot, id), staged.
+
+    The documents of a pivot stream past its set. A pivot of many is dealt to several
+    tasks, each of which gets its set.
+    """
+    counts = members.groupBy("pivot").agg(F.least(F.ceil(F.count(F.lit(1)) / 512), F.lit(4096)).alias("salts"))
+    salted = members.join(counts, "pivot").withColumn("salt", F.expr("pmod(xxhash64(id), salts)"))
+    left = salted.join(sets, "id").select("pivot", "salt", F.lit(1).alias("turn"), "id", "hashes")
+    right = counts.join(sets, F.col("pivot") == F.col("id")).select(
+        "pivot", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("turn"), "id", "hashes"
     )
 
     def run(batches):
         group, own = None, []
         for batch in batches:
-            rows = zip(*(strings(batch, c) for c in ("b", "salt", "turn", "a", "hashes")), strict=True)
             out = [], [], [], []
-            for b, salt, turn, a, hashes in rows:
+            for pivot, salt, turn, id, hashes in zip(*(strings(batch, c) for c in batch.schema.names), strict=True):
                 hashes = np.frombuffer(hashes, np.uint64)
-                if (b, salt) != group:
-                    group, own = (b, salt), []
+                if (pivot, salt) != group:
+                    group, own = (pivot, salt), []
                 if turn == 0:
                     own.append(hashes)
                     continue
                 for other in own:
                     both = len(np.intersect1d(hashes, other, assume_unique=True))
                     union = len(hashes) + len(other) - both
-                    linked = union > 0 and 100 * both >= percent * union
-                    for column, v in zip(out, (a, b, 1 - both / union if union else 1.0, linked), strict=True):
+                    made = pivot, id, 1 - both / union, 100 * both >= percent * union
+                    for column, v in zip(out, made, strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.bool_())], names=["a", "b", "distance", "linked"])
+            kinds = pa.int64(), pa.int64(), pa.float64(), pa.bool_()
+            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "id", "distance", "linked"])
+
+    dealt = left.union(right).repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "turn")
+    kind = "pivot bigint, id bigint, distance double, linked boolean"
+    return staged(dealt.mapInArrow(run, kind), "jaccard-distances")
+
+
+def join_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of a bounded block that have links, and the smallest id of their component in it."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    holders, counts = doc[order], np.bincount(token)
+    starts = np.cumsum(counts) - counts
+    label, linked = ids.copy(), np.zeros(len(ids), bool)
+    at = 0
+    for i, size in enumerate(sizes):
+        own = token[at : at + size]
+        at += size
+        own = own[counts[own] > 1]
+        if len(own) * 100 < percent * size or not size:
+            continue  # too few of its shingles are anywhere else in the block
+        reach = counts[own]
+        flat = np.repeat(starts[own] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+        both = np.bincount(holders[flat], minlength=len(ids))
+        near = _links(sizes, size, both, percent)
+        near[i] = False
+        if near.any():
+            near[i] = True
+            linked |= near
+            label[np.isin(label, label[near])] = label[near].min()
+    return ids[linked], label[linked]
+
+
+def _join_units(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of components in each unit of ``unit, id, hashes``; a unit's size is bounded."""
+
+    def run(batches):
+        unit, ids, sets = None, [], []
 
-    dealt = left.union(right).repartition(F.col("b"), F.col("salt")).sortWithinPartitions("b", "salt", "turn")
-    return staged(dealt.mapInArrow(run, "a bigint, b bigint, distance double, linked boolean"), "jaccard-compared")
+        def joined():
+            if len(ids) < 2:
+                return
+            a, b = join_block(np.array(ids, np.int64), sets, percent)
+            keep = a != b
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
+        for batch in batches:
+            for part in pieces(batch):
+                for u, id, hashes in zip(*(strings(part, c) for c in ("unit", "id", "hashes")), strict=True):
+                    if u != unit:
+                        yield from joined()
+                        unit, ids, sets = u, [], []
+                    ids.append(id)
+                    sets.append(np.frombuffer(hashes, np.uint64))
+        yield from joined()
 
-def _reach(a: str, b: str, percent: int) -> str:
-    """Triangle inequality: distances to one pivot differ by no more than the distance of a link."""
-    return f"({a} IS NULL OR {b} IS NULL OR abs({a} - {b}) <= {(100 - percent) / 100 + 1e-9})"
+    dealt = rows.repartition(F.col("unit")).sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_groups(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, leaf: int = LEAF
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    width: int = 4,
+    percent: int = 85,
+    region_docs: int = REGION_DOCS,
+    region_shingles: int = REGION_SHINGLES,
 ) -> DataFrame:
     """``id``, ``n_shingles`` and ``component_id`` for every row.
 
@@ -242,54 +310,59 @@ def jaccard_groups(
     sizes = staged(_sizes(docs, width), "jaccard-sizes")
     known = sizes.where("id IS NOT NULL AND digest IS NOT NULL")
     least = known.groupBy("digest").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top")
-    copies = staged(known.join(staged(least, "jaccard-copies"), "digest").where("id <> b").select(F.col("id").alias("a"), "b"), "jaccard-links")
-
-    members = staged(_buckets(_keys(docs, width, percent)), "jaccard-buckets").withColumn("far", F.lit(None).cast("double"))
-    links, compared = copies, None
-    pairs = members.select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    while True:
-        pairs = pairs.distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = pairs.join(copies, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "jaccard-pairs")
-        if pairs.isEmpty():
-            break
-        result = _compare(docs, pairs, width, percent)
-        compared = result if compared is None else staged(compared.union(result), "jaccard-compared")
-        links = copies.union(compared.where("linked").select("a", "b"))
-        groups = staged(components(links), "jaccard-components")
-
-        # What is left of each bucket, with the distance to the pivot that it leaves behind.
-        near = compared.groupBy(F.col("a").alias("id"), F.col("b").alias("pivot")).agg(F.min("distance").alias("d"))
-        rest = members.where("id <> pivot").join(near, ["id", "pivot"], "left").join(groups, F.col("id") == F.col("node"), "left")
-        rest = rest.select("key", "id", F.col("d").alias("far"), F.coalesce("component", "id").alias("component"))
-        rest = staged(rest, "jaccard-rest")
-        split = rest.groupBy("key").agg(
-            F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"),
-            F.min("id").alias("pivot"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"),
-        ).where("c1 < c2")
-        # Buckets of the same members need one way only.
-        split = split.groupBy("n", "same", "pivot").agg(F.min("key").alias("key"))
-        split = staged(split, "jaccard-split")
-        if split.isEmpty():
-            break
-        rest = staged(rest.join(split.select("key", "n", "pivot"), "key"), "jaccard-members")
-        head = rest.where("id = pivot").groupBy("key").agg(F.first("component").alias("pc"), F.min("far").alias("pfar"))
-        many = rest.where(f"n > {leaf}").join(head, "key").where(f"component <> pc AND {_reach('far', 'pfar', percent)}")
-        pairs = many.select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        few = rest.where(f"n <= {leaf}").groupBy("key").agg(F.collect_list(F.struct("id", "component", "far")).alias("m"))
-        few = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
-        few = few.where(f"x.id > y.id AND x.component <> y.component AND {_reach('x.far', 'y.far', percent)}")
-        pairs = pairs.union(few.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        members = rest.where(f"n > {leaf}").select("key", "pivot", "id", "far")
-
-    groups = components(links)
+    copies = known.join(staged(least, "jaccard-copies"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
+
+    # Regions: each pivot with the members of its buckets.
+    buckets = _buckets(_keys(docs, width, percent)).select("pivot", "id").distinct()
+    pairs = staged(buckets, "jaccard-regions")
+    pivots = pairs.select("pivot", F.col("pivot").alias("id")).distinct()
+    n = known.groupBy("id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    members = staged(pairs.union(pivots).join(n, "id"), "jaccard-members")
+    region = members.groupBy("pivot").agg(F.sum("rows").alias("docs"), F.sum("n").alias("shingles"))
+    large = (F.col("docs") > region_docs) | (F.col("shingles") > region_shingles)
+    region = staged(region.withColumn("large", large), "jaccard-sizes-of-regions")
+    sets = _sets(docs, staged(members.select("id").distinct(), "jaccard-ids"), width)
+
+    whole = members.join(region.where("NOT large").select("pivot"), "pivot", "left_semi")
+    units = whole.select(F.xxhash64("pivot").alias("unit"), "id")
+    crowded = staged(members.join(region.where("large").select("pivot"), "pivot", "left_semi"), "jaccard-crowded")
+    near = _to_pivots(crowded, sets, percent)
+    direct = near.where("linked AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    units = staged(units.union(_ring_units(crowded, near, percent, region_docs, region_shingles)), "jaccard-units")
+    inner = _join_units(units.join(sets, "id").select("unit", "id", "hashes"), percent)
+
+    groups = components(copies.union(direct).union(inner))
     return sizes.join(groups, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 
+def _ring_units(members: DataFrame, near: DataFrame, percent: int, region_docs: int, region_shingles: int) -> DataFrame:
+    """``unit, id`` of pairs of blocks in the rings of large regions.
+
+    Ring 0 holds what links to the pivot. A document outside of it has the ring of its
+    distance; several rows of one id take the nearest.
+    """
+    step = (100 - percent) / 100 + 1e-9
+    ring = F.when(F.max("linked"), 0).otherwise(F.greatest(F.floor(F.min("distance") / step), F.lit(1)))
+    placed = near.groupBy("pivot", "id").agg(ring.cast("int").alias("ring"))
+    placed = placed.join(members, ["pivot", "id"])
+    blocks = placed.groupBy("pivot", "ring").agg(
+        F.ceil(F.greatest(F.sum("rows") * 2 / region_docs, F.sum("n") * 2 / region_shingles)).cast("int").alias("parts")
+    )
+    blocks = staged(blocks, "jaccard-rings")
+    placed = placed.join(blocks, ["pivot", "ring"]).withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
+    every = blocks.select("pivot", "ring", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    ahead = every.withColumn("to", F.explode(F.array(F.col("ring"), F.col("ring") + 1)))
+    others = every.select("pivot", F.col("ring").alias("to"), F.col("part").alias("to_part"))
+    met = ahead.join(others, ["pivot", "to"]).where("to > 0 AND (ring < to OR part <= to_part)")
+    met = met.withColumn("unit", F.xxhash64("pivot", "ring", "part", "to", "to_part"))
+    sides = met.select("pivot", "ring", "part", "unit").union(
+        met.where("ring <> to OR part <> to_part").select("pivot", F.col("to").alias("ring"), F.col("to_part").alias("part"), "unit")
+    )
+    return placed.join(sides, ["pivot", "ring", "part"]).select("unit", "id")
+
+
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without all but one document of each group, the one with the smallest id.
 

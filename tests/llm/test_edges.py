@@ -168,8 +168,8 @@ def test_bytes_large_side(spark, frame, monkeypatch):
 # -- Jaccard join
 
 
-@pytest.mark.parametrize("leaf", [2, 12])
-def test_jaccard(spark, frame, leaf):
+@pytest.mark.parametrize("bound", [4, 1024])
+def test_jaccard(spark, frame, bound):
     """Chains and large groups whose members are partly too far from each other."""
     import random
 
@@ -187,7 +187,7 @@ def test_jaccard(spark, frame, leaf):
             base = words if rng.random() < 0.5 else base
     for t in ["A b c", "a B c", "a b", "one", "one", "", None, LONG, LONG + " more", "a b c d e f g h i", "a b c d e f g h i j"]:
         texts[len(texts) + 1] = t
-    rows = jaccard_groups(frame([*texts.items(), (None, "a b c")], "n_shingles"), leaf=leaf).collect()
+    rows = jaccard_groups(frame([*texts.items(), (None, "a b c")], "n_shingles"), region_docs=bound).collect()
     want = brute.jaccard_components(texts, 4, 85)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id} == want
     assert [r.component_id for r in rows if r.doc_id is None] == [None] and len(rows) == len(texts) + 1
