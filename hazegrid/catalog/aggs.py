@@ -291,6 +291,17 @@ def group_rates(spark, d):
     return A.group_rates(D.table(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus")
 
 
+@register(
+    "group_rates_long",
+    """SELECT l_returnflag, l_partkey AS outcome, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS rate
+       FROM lineitem GROUP BY l_returnflag, l_partkey""",
+    {"rate": 9},
+)
+def group_rates_long(spark, d):
+    """More outcomes than a table could have columns."""
+    return A.group_rates_long(D.table(spark, d, "lineitem"), ["l_returnflag"], "l_partkey")
+
+
 @register(
     "bucket_agg",
     with_tables("flagged", 'SELECT "Daily", sum(pm) AS pm FROM flagged GROUP BY ALL'),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hazegrid.catalog import register
@@ -10,6 +11,7 @@ from hazegrid.catalog import tables as D
 from hazegrid.catalog.tables import with_tables
 from hazegrid.operators import features as M
 from hazegrid.operators.models import fit_model, predict, score_model
+from hazegrid.session import new_path
 
 TRAIN_YEARS, TEST_YEARS = [1995, 1996, 1997, 1998, 1999], [2000, 2001]
 KEY = ["l_orderkey", "l_linenumber"]
@@ -66,10 +68,41 @@ def random_split(spark, d):
     return both(*M.split_by(rows, F.expr(_DRAW)))
 
 
-@register("random_split_hashed", "SELECT l_orderkey, l_linenumber FROM lineitem")
+@register(
+    "random_split_hashed",
+    """SELECT l_orderkey, l_linenumber, TRUE AS repeated, TRUE AS share, TRUE AS seeds_differ FROM lineitem""",
+)
 def random_split_hashed(spark, d):
-    """The library's own draw: its two parts make up the table."""
-    return both(*M.random_split(D.table(spark, d, "lineitem").select(*KEY), 0.3, 7)).drop("part")
+    """The library's own draw: two parts make up the table, the share is kept, one seed repeats its draw."""
+    rows = D.table(spark, d, "lineitem").select(*KEY)
+    (train, test), (_, again), (_, other) = (M.random_split(rows, 0.3, seed, KEY) for seed in (7, 7, 8))
+
+    def counted(df):
+        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    share = counted(test) / counted(rows)
+    return both(train, test).select(
+        *KEY,
+        (counted(test.exceptAll(again)) + counted(again.exceptAll(test)) == 0).alias("repeated"),
+        (F.abs(share - 0.3) < 0.02).alias("share"),
+        (counted(test.exceptAll(other)) > 0).alias("seeds_differ"),
+    )
+
+
+@register(
+    "one_hot_map",
+    """WITH train AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0)
+       SELECT o_orderkey, 'train' AS part, 'cust_' || o_custkey || ',status_' || o_orderstatus AS encoded FROM train
+       UNION ALL SELECT o_orderkey, 'test', concat_ws(',', CASE WHEN o_custkey IN (SELECT o_custkey FROM train)
+                  THEN 'cust_' || o_custkey END, 'status_' || o_orderstatus)
+       FROM orders WHERE o_orderkey % 3 = 0""",
+)
+def one_hot_map(spark, d):
+    """More categories than a table could have columns; the test table has some that train lacks."""
+    orders = D.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    train, test = orders.where("o_orderkey % 3 <> 0"), orders.where("o_orderkey % 3 = 0")
+    made = both(*M.one_hot_map(train, test, ["o_custkey", "o_orderstatus"], ["cust", "status"]))
+    return made.withColumn("encoded", F.array_join(F.array_sort(F.map_keys("encoded")), ","))
 
 
 @register("temporal_split", _sql('SELECT l_orderkey, l_linenumber, "Year", part FROM parts'))
@@ -243,30 +276,56 @@ def temporal_train_test(spark, d):
     return both(train, test).drop("l_quantity", "l_extendedprice", "discounted", "Year")
 
 
-# ---- classifiers: no SQL equivalent -----------------------------------------
+# ---- classifiers ---------------------------------------------------------------
 
 
 def _documents(spark, d):
+    """Train and held-out documents by an arithmetic rule, prepared from the train table."""
     labelled = D.table(spark, d, "documents").select("doc_id", "n_chars", "lang").join(
         D.table(spark, d, "labels").select("doc_id", "quality"), "doc_id"
     )
-    encoded, _ = M.one_hot(labelled, None, ["lang"])
-    scaled, _ = M.standardize(encoded, None, ["n_chars"])
-    inputs = ["Norm n_chars", *sorted(c for c in scaled.columns if c.startswith("lang_"))]
-    return scaled, inputs
+    train, test = M.split_by(labelled, F.expr("doc_id % 4 <> 0"))
+    train, test = M.standardize(*M.one_hot(train, test, ["lang"]), ["n_chars"])
+    inputs = ["Norm n_chars", *sorted(c for c in train.columns if c.startswith("lang_"))]
+    return train, test, inputs
+
+
+def _fitted(train, inputs):
+    return fit_model(train, inputs, "quality", LogisticRegression(), {"maxIter": 20, "regParam": 0.01})[0]
+
 
+_HELD_OUT = "documents JOIN labels USING (doc_id) WHERE doc_id % 4 = 0"
 
-@register("fit_model")
+
+@register("fit_model", f"SELECT doc_id, quality, TRUE AS is_class, TRUE AS is_probability FROM {_HELD_OUT}")
 def fit_model_query(spark, d):
-    data, inputs = _documents(spark, d)
-    train, test = M.random_split(data, 0.25, 3, ["doc_id"])
-    model, _ = fit_model(train, inputs, "quality", LogisticRegression(), {"maxIter": 20, "regParam": 0.01})
-    return predict(test, inputs, model).select("doc_id", "quality", "prediction")
+    """Predictions are no SQL; that each held-out document gets a class and a probability is."""
+    train, test, inputs = _documents(spark, d)
+    shown = predict(test, inputs, _fitted(train, inputs))
+    chance = vector_to_array("probability")
+    return shown.select(
+        "doc_id",
+        "quality",
+        F.col("prediction").isin(0.0, 1.0).alias("is_class"),
+        ((F.abs(chance[0] + chance[1] - 1) < 1e-9) & (F.col("prediction") == (chance[1] > chance[0]).cast("double"))).alias("is_probability"),
+    )
 
 
-@register("score_model")
+@register("score_model", f"SELECT count(*) AS n, TRUE AS recomputed, TRUE AS better_than_none FROM {_HELD_OUT}")
 def score_model_query(spark, d):
-    data, inputs = _documents(spark, d)
-    train, test = M.random_split(data, 0.25, 3, ["doc_id"])
-    model, _ = fit_model(train, inputs, "quality", LogisticRegression(), {"maxIter": 20, "regParam": 0.01})
-    return score_model(test, inputs, "quality", model)
+    """The accuracy against one recomputed from written predictions."""
+    train, test, inputs = _documents(spark, d)
+    model = _fitted(train, inputs)
+    path = new_path(spark, "predictions")
+    predict(test, inputs, model).select("quality", "prediction").write.parquet(path)
+    again = spark.read.parquet(path).agg(
+        F.avg((F.col("quality") == F.col("prediction")).cast("int")).alias("right"),
+        F.avg("quality").alias("share"),
+    )
+    right, share = (again.select(c).scalar() for c in ("right", "share"))
+    scored = score_model(test, inputs, "quality", model)
+    return scored.select(
+        "n",
+        (F.abs(F.col("accuracy") - right) < 1e-9).alias("recomputed"),
+        (F.col("accuracy") >= F.greatest(share, 1 - share) - 0.05).alias("better_than_none"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from hazegrid.catalog import register
 from hazegrid.catalog import tables as D
 from hazegrid.catalog.tables import with_tables
@@ -36,16 +38,24 @@ def stream_cell_stats(spark, d):
 
 @register(
     "stream_idempotent_append",
-    with_tables("readings", "SELECT event_id, time, sensor_id, pm FROM readings"),
+    with_tables(
+        "readings",
+        """SELECT event_id, time, sensor_id, pm, time < (SELECT max(time) - INTERVAL '1 hour' FROM readings WHERE event_id % 3 <> 0)
+                  AND event_id % 3 = 0 AS late FROM readings""",
+    ),
 )
 def stream_idempotent_append(spark, d):
-    """Every reading arrives twice and the job runs twice; each is stored once."""
+    """Every reading arrives twice and the job runs three times; each is stored once.
+
+    A third of the readings arrive only after the others, so most of them are late.
+    """
     inbox = new_path(spark, "inbox")
     rows = D.readings(spark, d).select("event_id", "time", "sensor_id", "pm")
-    rows.write.mode("append").parquet(inbox)
-    rows.write.mode("append").parquet(inbox)
     path, state = new_path(spark, "appended"), new_path(spark, "appended-state")
-    for _ in range(2):
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0", "false"):
+        for _ in range(2):
+            rows.where(part).write.mode("append").parquet(inbox)
         stream = R.read_folder_stream(spark, inbox, rows.schema)
         out = R.append_once(stream, ["event_id"], path, state)
-    return out
+    late = R.late_rows(spark, path, rows.schema)
+    return out.withColumn("late", F.lit(False)).union(late.withColumn("late", F.lit(True)))

@@ -226,15 +226,12 @@ def group_rates(
     """Share of each outcome within its group, one column per outcome, 0 if absent.
 
     Rows with a null outcome stay in the denominator, as rows of the group.
-    Outcomes are looked up (at most ``spark.sql.pivotMaxValues``) unless given.
+    Outcomes are looked up unless given; ``group_rates_long`` takes any number of them.
     """
     require_columns(df, [*keys, feature])
     if outcomes is None:
-        limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-        found = df.select(feature).where(F.col(feature).isNotNull()).distinct().limit(limit + 1)
+        found = df.select(feature).where(F.col(feature).isNotNull()).distinct()
         outcomes = sorted(r[0] for r in found.collect())
-        if len(outcomes) > limit:
-            raise ValueError(f"{feature} has more than {limit} outcomes")
     return (
         df.where(not_null(keys))
         .groupBy(*keys)
@@ -247,6 +244,18 @@ def group_rates(
     )
 
 
+def group_rates_long(df: DataFrame, keys: Sequence[str], feature: str) -> DataFrame:
+    """The same with one row for each outcome that occurs in a group: ``outcome``, ``rate``.
+
+    Rows fold on keys and outcome, so a large group is spread over all tasks.
+    """
+    require_columns(df, [*keys, feature])
+    counts = df.where(not_null(keys)).groupBy(*keys, F.col(feature).alias("outcome")).agg(F.count(F.lit(1)).alias("__n"))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    met = counts.where(F.col("outcome").isNotNull()).join(totals, list(keys))
+    return met.select(*keys, "outcome", (F.col("__n") / F.col("__all")).alias("rate"))
+
+
 def bucket_agg(df: DataFrame, keys: Sequence[str], value: str, how: str = "mean") -> DataFrame:
     """``count`` (non-null), ``sum`` or ``mean`` of a feature per bucket."""
     made = {

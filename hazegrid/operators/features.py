@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.levels import labelled_bins
 from hazegrid.operators.filters import require_columns
+from hazegrid.operators.joins import join_lookup
 from hazegrid.operators.quantiles import grouped_stats
 
 Pair = tuple[DataFrame, DataFrame | None]
 
-# Most categories a column may have to become one column each.
-MAX_CATEGORIES = 1000
-
-
 def _both(train: DataFrame, test: DataFrame | None, fn) -> Pair:
     return fn(train), fn(test) if test is not None else None
 
@@ -28,11 +25,14 @@ def random_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test rows drawn at random, repeatable for one ``random_state``.
 
-    The draw hashes the row (or ``key``), so a recomputed task decides the same.
+    With a ``key`` the draw is a hash of it: rows of one key stay together, and a
+    recomputed task decides the same. Without one every row is drawn for itself,
+    equal rows too.
     """
-    draw = F.pmod(
-        F.xxhash64(*(key or df.columns), F.lit(random_state)), F.lit(1_000_000)
-    ) / F.lit(1_000_000)
+    if key is None:
+        train, test = df.randomSplit([1 - test_size, test_size], random_state)
+        return train, test
+    draw = F.pmod(F.xxhash64(*key, F.lit(random_state)), F.lit(1_000_000)) / F.lit(1_000_000)
     return df.where(draw >= test_size), df.where(draw < test_size)
 
 
@@ -124,14 +124,9 @@ def minmax_rescale(train: DataFrame, test: DataFrame | None, numbers: Sequence[s
     )
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
-    """Distinct non-null values, sorted; more than ``limit`` is an error.
-
-    They become column names, so they are needed on the driver.
-    """
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
+def categories(df: DataFrame, column: str) -> list:
+    """Distinct non-null values, sorted. They become column names, so the driver needs them."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in found)
 
 
@@ -144,19 +139,56 @@ def one_hot(
     test: DataFrame | None,
     columns: Sequence[str],
     prefixes: Sequence[str] | None = None,
+    values: Mapping[str, Sequence] | None = None,
 ) -> Pair:
     """``{prefix}_{value}`` 0/1 columns for the train categories, in both tables.
 
-    The encoded columns are dropped. Null, or a value train lacks, is all zeros.
+    ``values`` gives the categories of a column; those of the others are looked up.
+    One column for each suits few categories; ``one_hot_map`` takes any number. The
+    encoded columns are dropped. Null, or a value train lacks, is all zeros.
     """
+    values = values or {}
     made = {
         f"{prefix}_{v}": _indicator(c, v)
         for c, prefix in zip(columns, prefixes or columns)
-        for v in categories(train, c)
+        for v in (values[c] if c in values else categories(train, c))
     }
     return _both(train, test, lambda df: df.withColumns(made).drop(*columns))
 
 
+def one_hot_map(
+    train: DataFrame,
+    test: DataFrame | None,
+    columns: Sequence[str],
+    prefixes: Sequence[str] | None = None,
+    name: str = "encoded",
+) -> Pair:
+    """The same as one sparse column: a map from ``{prefix}_{value}`` to 1, absent names are 0.
+
+    No category reaches the driver, so a column may have any number of them. Values of
+    the test table are looked up among the train table's by a join.
+    """
+    names = dict(zip(columns, prefixes or columns))
+
+    def encoded(df: DataFrame, known: Mapping[str, Column]) -> DataFrame:
+        entries = F.array(
+            *[
+                F.when(known[c], F.struct(F.concat(F.lit(f"{names[c]}_"), F.col(c).cast("string")).alias("k"), F.lit(1).alias("v")))
+                for c in columns
+            ]
+        )
+        return df.withColumn(name, F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())))
+
+    out = encoded(train, {c: F.col(c).isNotNull() for c in columns}).drop(*columns)
+    if test is None:
+        return out, None
+    for i, c in enumerate(columns):
+        found = train.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"__known{i}", F.lit(True))
+        test = join_lookup(test, found, [c])
+    marked = encoded(test, {c: F.coalesce(F.col(f"__known{i}"), F.lit(False)) for i, c in enumerate(columns)})
+    return out, marked.drop(*columns, *[f"__known{i}" for i in range(len(columns))])
+
+
 @dataclass
 class OneHotEncoder:
     """Fit/transform pair; columns are named ``col_<value>``.
@@ -177,17 +209,15 @@ class OneHotEncoder:
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.seen:
             raise ValueError("fit the encoder first")
-        made = {}
-        for c in self.columns:
+        checked, made = [], []
+        for i, c in enumerate(self.columns):
+            text = F.coalesce(F.col(c).cast("string"), F.lit("null"))
+            refused = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), text))
+            # Looked up once in each row; the columns only compare.
             known = F.col(c).isin(self.seen[c])
-            refused = F.raise_error(
-                F.concat(F.lit(f"unknown category in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))
-            ).cast("double")
-            for v in self.seen[c]:
-                made[f"{c}_<{v}>"] = F.when(known, (F.col(c) == F.lit(v)).cast("double")).otherwise(
-                    refused
-                )
-        return df.select(*[made[n].alias(n) for n in self.new_columns()])
+            checked.append(F.when(known, F.col(c)).otherwise(refused.cast(df.schema[c].dataType)).alias(f"__{i}"))
+            made += [(F.col(f"__{i}") == F.lit(v)).cast("double").alias(f"{c}_<{v}>") for v in self.seen[c]]
+        return df.select(*checked).select(*made)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)

@@ -2,8 +2,10 @@
 
 ``incremental_refresh`` writes a new version of the tables and leaves the former
 one alone. ``refresh_partitions`` is for tables partitioned by day that are too
-large to be rewritten: only the days loaded are replaced. Repeating either one
-changes nothing.
+large to be rewritten: only the days of the window are replaced. Repeating either one
+changes nothing, and both keep what lies after the window.
+
+``network_tables`` builds the nine tables of the networks from raw records of a window.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators.joins import append_rows
-from hazegrid.sources.tables import replace_partitions
+from hazegrid.plans import community, sites
+from hazegrid.sources.tables import drop_partitions, replace_partitions, write_partitioned
 
 # Earliest watermark, and how far behind today a load ends.
 FLOOR = dt.datetime(2016, 1, 1)
@@ -53,8 +56,16 @@ def load_window(
 def refreshed(
     current: DataFrame, time: str, new: DataFrame, start: dt.date, end: dt.date
 ) -> DataFrame:
-    """Rows before ``start`` as they are, rows of ``[start, end)`` from the new load."""
-    return append_rows(current.where(F.col(time) < F.lit(start)), _window(new, time, start, end))
+    """Rows of ``[start, end)`` from the new load, all others as they are.
+
+    Without a window (``end`` at or before ``start``) nothing changes. Rows without a
+    time stay.
+    """
+    if end <= start:
+        return current
+    at = F.col(time)
+    kept = at.isNull() | (at < F.lit(start)) | (at >= F.lit(end))
+    return append_rows(current.where(kept), _window(new, time, start, end))
 
 
 def _window(df: DataFrame, time: str, start: dt.date, end: dt.date) -> DataFrame:
@@ -68,21 +79,28 @@ def incremental_refresh(
     out: str,
     end: dt.date | None = None,
     partition: Mapping[str, str] | None = None,
+    neighborhoods: str | None = None,
+    profiles: Mapping[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Refresh all tables and write the new version below ``out``.
 
-    ``load(start, end)`` returns the aggregated tables of the window. Running it
-    twice gives the same rows as running it once.
+    ``load(start, end)`` returns the aggregated tables of the window.
+    ``neighborhoods`` names the table whose watermark is no earlier than the floor.
+    ``profiles`` are tables without a time, which the load replaces as a whole when it
+    has a window. Running it twice gives the same rows as running it once.
     """
-    row = refresh_watermark(current).first()
+    others = {n: t for n, t in current.items() if n != neighborhoods}
+    row = refresh_watermark(others, current[neighborhoods][0] if neighborhoods else None).first()
     start, stop = load_window(row["last_updated"] or FLOOR.date(), end)
-    fresh = load(start, stop)
-    for name, (df, time) in current.items():
-        writer = refreshed(df, time, fresh[name], start, stop).write.mode("overwrite")
+    fresh = load(start, stop) if stop > start else {}
+    versions = {n: refreshed(df, time, fresh.get(n, df), start, stop) for n, (df, time) in current.items()}
+    versions |= {n: fresh.get(n, df) for n, df in (profiles or {}).items()}
+    for name, df in versions.items():
         if partition and name in partition:
-            writer = writer.partitionBy(partition[name])
-        writer.parquet(f"{out}/{name}")
-    return {name: spark.read.parquet(f"{out}/{name}") for name in current}
+            write_partitioned(df, f"{out}/{name}", partition[name], "overwrite")
+        else:
+            df.write.mode("overwrite").parquet(f"{out}/{name}")
+    return {name: spark.read.parquet(f"{out}/{name}") for name in versions}
 
 
 def refresh_partitions(
@@ -92,11 +110,50 @@ def refresh_partitions(
     end: dt.date | None = None,
     day: str = "Daily",
 ) -> dict[str, DataFrame]:
-    """Refresh tables partitioned by ``day`` in place, writing the loaded days only."""
+    """Refresh tables partitioned by ``day`` in place, replacing the days of the window.
+
+    A day that the load has no rows for loses those it had.
+    """
     current = {name: (spark.read.parquet(path), day) for name, path in paths.items()}
     row = refresh_watermark(current).first()
     start, stop = load_window(row["last_updated"] or FLOOR.date(), end)
-    fresh = load(start, stop)
-    for name, path in paths.items():
-        replace_partitions(_window(fresh[name], day, start, stop), path, day)
+    if stop > start:
+        fresh = load(start, stop)
+        for name, path in paths.items():
+            new = _window(fresh[name], day, start, stop)
+            had = _window(current[name][0], day, start, stop).select(day).distinct()
+            # At most the days of the window.
+            gone = [r[0] for r in had.join(new.select(day).distinct(), day, "left_anti").collect()]
+            replace_partitions(new, path, day)
+            drop_partitions(spark, path, day, gone)
     return {name: spark.read.parquet(path) for name, path in paths.items()}
+
+
+def network_tables(
+    epa_raw: DataFrame, purpleair_raw: DataFrame, tagged: DataFrame, first_day: str = "2017-10-01"
+) -> dict[str, DataFrame]:
+    """The nine tables made from a window's raw records and geotagged points."""
+    epa, epa_sites = sites.process_epa(epa_raw)
+    purpleair, purpleair_sites = sites.process_purpleair(purpleair_raw)
+    cells = community.process_points(tagged)
+    return {
+        "epa_daily": sites.epa_daily(epa),
+        "epa_sites": epa_sites,
+        "purpleair_daily": sites.purpleair_daily(purpleair, first_day),
+        "purpleair_sites": purpleair_sites,
+        **{f"aq_by_{grain}": df for grain, df in cells.items()},
+        "neighborhoods": community.neighborhood_table(tagged),
+    }
+
+
+#: Time column of each table of ``network_tables``; the site profiles have none.
+TIMES = {
+    "epa_daily": "Daily",
+    "purpleair_daily": "Daily",
+    "aq_by_block": "thirtymins",
+    "aq_by_neighborhood": "thirtymins",
+    "aq_by_hexagon": "thirtymins",
+    "aq_by_big_hexagon": "thirtymins",
+    "neighborhoods": "thirtymins",
+}
+PROFILES = ("epa_sites", "purpleair_sites")

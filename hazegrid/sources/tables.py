@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,13 @@ def replace_partitions(df: DataFrame, path: str, key: str) -> None:
         .partitionBy(key)
         .parquet(path)
     )
+
+
+def drop_partitions(spark: SparkSession, path: str, key: str, values: Sequence) -> None:
+    """Delete the folders of the given key values."""
+    if not values:
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for value in values:
+        folder = hadoop.Path(f"{path}/{key}={value}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

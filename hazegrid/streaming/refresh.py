@@ -6,8 +6,10 @@ scheduled run handles what arrived since the last one and stops.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,11 @@ def cell_stats_of_counts(counts: DataFrame, cell: str) -> DataFrame:
 
 
 def run_to_folder(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process what is there in append mode, then return the table written."""
+    """Process what is there in append mode, then return the table written.
+
+    Readings that come after their half hour was closed are not in it; their number
+    is warned of. ``append_once`` in front keeps such readings.
+    """
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
@@ -56,6 +62,10 @@ def run_to_folder(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
         .start(path)
     )
     query.awaitTermination()
+    states = [s for p in query.recentProgress for s in p["stateOperators"]]
+    late = sum(s["numRowsDroppedByWatermark"] for s in states)
+    if late:
+        warnings.warn(f"{late} rows came after their window was closed", stacklevel=2)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
@@ -67,30 +77,86 @@ def append_once(
     time: str = "time",
     delay: str = "1 hour",
 ) -> DataFrame:
-    """Append readings, leaving out repeats that arrive within the delay.
+    """Append readings, each once; returns the table.
+
+    A reading is new unless one of its keys is stored already. Readings no older than
+    ``delay`` before the latest one stored are compared with the stored ones of that
+    time only. Older ones are late: they are compared with everything and go to a side
+    table (``late_rows``), so nothing is lost and the work of an ordinary batch does not
+    grow with the table.
 
     Each batch has its own folder, overwritten when the batch is replayed, so a
-    restart after a lost driver does not write a batch twice.
+    restart after a lost driver does not write a batch twice. A new checkpoint over a
+    table that has rows is refused, since its batches would be numbered from 0 again.
     """
-    columns = stream.columns
-    once = (
-        stream.withColumn("__ts", F.col(time).cast("timestamp"))
-        .withWatermark("__ts", delay)
-        .dropDuplicatesWithinWatermark(list(keys))
-        .select(*columns)
-    )
+    spark, schema = stream.sparkSession, stream.schema
+    if _has_rows(spark, f"{path}/kept") and not _exists(spark, f"{checkpoint}/metadata"):
+        raise ValueError(f"{path} has rows that were not written with the checkpoint {checkpoint}")
+    keys, ts = list(keys), F.col(time).cast("timestamp")
+
+    def stored(part: str, number: int) -> DataFrame:
+        if not _has_rows(spark, f"{path}/{part}"):
+            return spark.createDataFrame([], schema)
+        table = spark.read.schema(f"{schema.toDDL()}, batch bigint").parquet(f"{path}/{part}")
+        return table.where(F.col("batch") < number).select(*stream.columns)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch = batch.persist()
+        try:
+            kept, late = stored("kept", number), stored("late", number)
+            newest = kept.agg(F.max(ts).alias("t")).first()["t"]
+            bound = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            old = F.coalesce(ts < bound, F.lit(False)) if newest is not None else F.lit(False)
+            recent = kept.where(~old)
+            fresh = batch.where(~old).dropDuplicates(keys)
+            behind = batch.where(old).dropDuplicates(keys)
+            every = kept.select(*keys).union(late.select(*keys))
+            _unseen(fresh, recent.select(*keys), keys).write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
+            missed = _unseen(behind, every, keys)
+            if not missed.isEmpty():
+                missed.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        finally:
+            batch.unpersist()
 
     query = (
-        once.writeStream.foreachBatch(write)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path).select(*columns)
+    return spark.read.schema(schema).parquet(f"{path}/kept").select(*stream.columns)
+
+
+def late_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Readings of an ``append_once`` table that came too late for it."""
+    if not _has_rows(spark, f"{path}/late"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/late").select(*schema.fieldNames())
+
+
+def _unseen(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not among ``known``; null keys are keys like others."""
+    other = known.distinct().withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(other, same, "left_anti")
+
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).inputFiles())
+    except AnalysisException:  # no such folder yet
+        return False
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path).schema
+    except AnalysisException:
+        return False
+    return True
 
 
 def read_folder_stream(spark: SparkSession, path: str, schema, glob: str | None = None) -> DataFrame:

@@ -67,11 +67,26 @@ def test_width_bins_closed_side(spark):
 
 def test_split_is_repeatable_and_whole(spark):
     df = spark.range(10_000)
-    train, test = M.random_split(df, 0.2, 4)
-    again, _ = M.random_split(df.repartition(7), 0.2, 4)
+    train, test = M.random_split(df, 0.2, 4, ["id"])
+    again, _ = M.random_split(df.repartition(7), 0.2, 4, ["id"])
     assert train.count() + test.count() == 10_000 and 1700 < test.count() < 2300
     assert set(column(train, "id")) == set(column(again, "id"))
-    assert set(column(M.random_split(df, 0.2, 5)[1], "id")) != set(column(test, "id"))
+    assert set(column(M.random_split(df, 0.2, 5, ["id"])[1], "id")) != set(column(test, "id"))
+
+
+def test_equal_rows_are_drawn_apart(spark):
+    """Without a key, rows that are equal do not all land on one side."""
+    same = spark.range(2_000).selectExpr("1 AS x")
+    train, test = M.random_split(same, 0.25, 3)
+    assert train.count() + test.count() == 2_000 and 400 < test.count() < 600
+
+
+def test_one_hot_map(spark):
+    train = spark.createDataFrame([("a", 1), ("b", None), (None, 2)], "t string, n int")
+    test = spark.createDataFrame([("c", 1), ("a", 7)], "t string, n int")
+    a, b = M.one_hot_map(train, test, ["t", "n"], ["p", "n"])
+    assert [set(r["encoded"]) for r in a.collect()] == [{"p_a", "n_1"}, {"p_b"}, {"n_2"}]
+    assert sorted(tuple(r["encoded"]) for r in b.collect()) == [("n_1",), ("p_a",)]
 
 
 def test_profile_of_gaps(spark):

@@ -86,6 +86,46 @@ def test_refresh_reloads_the_last_day(spark):
     assert results[0] == results[1] == [(d[i], 10 + i) for i in range(6)]
 
 
+def test_an_early_end_changes_nothing(spark):
+    """Ten days, an end before the watermark: run after run, and both ways, all days stay."""
+    d = [dt.date(2020, 1, i) for i in range(1, 11)]
+    source = spark.createDataFrame([(x, i) for i, x in enumerate(d)], "Daily date, n int")
+
+    def load(start, end):
+        return {"t": source.where((F.col("Daily") >= F.lit(start)) & (F.col("Daily") < F.lit(end)))}
+
+    current = source
+    path = new_path(spark, "test-early")
+    tables.write_partitioned(source, path, "Daily")
+    for _ in range(3):
+        current = refresh.incremental_refresh(spark, {"t": (current, "Daily")}, load, new_path(spark, "test-early"), d[4])["t"]
+        days = refresh.refresh_partitions(spark, {"t": path}, load, d[4])["t"]
+        assert current.count() == days.count() == 10
+
+
+def test_tables_of_unequal_age_and_an_empty_day(spark):
+    """One table is ahead of the other; the reload has no rows for a day that both have."""
+    d = [dt.date(2020, 1, i) for i in range(1, 11)]
+    make = lambda days, n: spark.createDataFrame([(x, n) for x in days], "Daily date, n int")
+    fresh = [x for x in d if x != d[5]]
+
+    def load(start, end):
+        return {k: make([x for x in fresh if start <= x < end], 2) for k in ("a", "b")}
+
+    old = {"a": make(d[:6], 1), "b": make(d, 1)}
+    paths = {k: new_path(spark, f"test-age-{k}") for k in old}
+    for k, df in old.items():
+        tables.write_partitioned(df, paths[k], "Daily")
+    # The watermark is the sixth day, the end the ninth: days nine and ten stay as they are.
+    want_a = {**{x: 1 for x in d[:5]}, d[6]: 2, d[7]: 2}
+    want_b = {**want_a, d[8]: 1, d[9]: 1}
+    out = refresh.incremental_refresh(spark, {k: (v, "Daily") for k, v in old.items()}, load, new_path(spark, "test-age"), d[8])
+    in_place = refresh.refresh_partitions(spark, paths, load, d[8])
+    for done in (out, in_place):
+        for k, want in (("a", want_a), ("b", want_b)):
+            assert {r["Daily"]: r["n"] for r in done[k].collect()} == want
+
+
 def test_watermark_is_the_slowest_table(spark):
     a = spark.createDataFrame([(dt.date(2020, 5, 1),)], "Daily date")
     b = spark.sql("SELECT timestamp_ntz'2020-04-30 23:30:00' AS t")
@@ -118,3 +158,28 @@ def test_combine_prefixes(spark):
     got = {r["Daily"]: r for r in out.collect()}
     assert got[a]["EPA_sum"] == 5.0 and got[a]["PA_sum"] is None and got[b]["hex_ct"] == 8
     assert got[b]["AQ_sum"] == 3.0 and got[b]["PA_count"] == 8
+
+
+def test_append_refuses_another_checkpoint_and_keeps_late_rows(spark):
+    import pytest
+
+    from hazegrid.streaming import refresh as R
+
+    schema = "k int, time timestamp_ntz"
+    inbox, path, state = (new_path(spark, f"test-append-{n}") for n in "abc")
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).write.mode("append").parquet(inbox)
+        stream = R.read_folder_stream(spark, inbox, spark.createDataFrame([], schema).schema)
+        return R.append_once(stream, ["k"], path, state)
+
+    arrive((1, at(1)), (2, at(10)), (1, at(1)))
+    out = arrive((3, at(2)), (4, at(9)), (2, at(10)), (1, at(1)), (5, None))
+    arrive((3, at(2)), (4, at(9)))
+    assert sorted(r.k for r in out.collect()) == [1, 2, 4, 5]
+    late = R.late_rows(spark, path, out.schema)
+    assert [r.k for r in late.collect()] == [3]
+    with pytest.raises(ValueError):
+        stream = R.read_folder_stream(spark, inbox, out.schema)
+        R.append_once(stream, ["k"], path, new_path(spark, "test-append-new"))
