@@ -571,6 +571,100 @@ def incremental_refresh_partitions(spark, d):
     return _stacked(done)
 
 
+# ---- refresh of the networks' own tables ----------------------------------------
+
+_CUT, _MARK, _LAST, _END = "2024-01-15 10:00:00", "2024-01-15", "2024-01-28", "2024-01-29"
+
+
+def _pa_days(start: str, end: str, days: tuple[str, str]) -> str:
+    """Days of the self-reported table as one load makes them: outliers are those of its own window."""
+    typed = f"""SELECT * FROM ({D.CTES['pa_typed']}) WHERE time >= TIMESTAMP '{start}' AND time < TIMESTAMP '{end}'"""
+    body = f"""SELECT 'purpleair_daily' AS name, address AS key, "Daily"::VARCHAR AS time, coalesce(sum(v), 0)::DOUBLE AS sum,
+               count(*) AS count FROM pa_clean WHERE "Daily" >= DATE '{days[0]}' AND "Daily" < DATE '{days[1]}' GROUP BY ALL"""
+    return f"SELECT * FROM ({with_tables('pa_typed', body, pa_typed=typed, **PA_CLEAN)}) AS loaded"
+
+
+_LAST_DAY = f"time >= TIMESTAMP '{_LAST}' AND time < TIMESTAMP '{_END}'"
+NETWORK_TABLES = with_tables(
+    "points hexagon_edges block_edges area_edges epa_raw pa_typed",
+    " UNION ALL ".join(
+        [
+            f"""SELECT 'aq_by_{g}' AS name, {k}::VARCHAR AS key, thirtymins::VARCHAR AS time,
+                       coalesce(sum(value), 0)::DOUBLE AS sum, count(*) AS count FROM tagged
+                WHERE {k} IS NOT NULL AND harmful IS NOT NULL AND not_harmful IS NOT NULL AND time < TIMESTAMP '{_END}'
+                GROUP BY {k}, thirtymins, harmful, not_harmful"""
+            for g, k in community.GRAINS.items()
+        ]
+        + [
+            f"""SELECT 'neighborhoods', pri_neigh || ' ' || geoid10 || ' ' || lat_r || ' ' || lng_r, thirtymins::VARCHAR, sum, count
+                FROM hoods WHERE thirtymins < TIMESTAMP '{_END}'""",
+            f"""SELECT 'epa_daily', value_represented, "Daily"::VARCHAR, coalesce(sum(sample_measurement), 0)::DOUBLE, count(*)
+                FROM epa_flags WHERE "Daily" < DATE '{_END}' GROUP BY "Daily", value_represented, latitude, longitude""",
+            f"""SELECT 'epa_sites', site_number, NULL, coalesce(sum(sample_measurement), 0)::DOUBLE, count(*) FROM epa_flags
+                WHERE "Daily" = DATE '{_LAST}' GROUP BY site_number""",
+            f"""SELECT 'purpleair_sites', "ID", NULL, coalesce(sum("PM2.5 (ATM)"), 0)::DOUBLE, count(*) FROM pa_typed
+                WHERE {_LAST_DAY} GROUP BY "ID" """,
+            _pa_days("2024-01-01", _CUT, ("2024-01-01", _MARK)),
+            _pa_days(_MARK, _END, (_MARK, _LAST)),
+            _pa_days(_LAST, _END, (_LAST, _END)),
+        ]
+    ),
+    **HEX,
+    epa_flags=EPA_FLAGS,
+    hoods=HOODS,
+)
+
+
+@register("network_refresh", NETWORK_TABLES, {"sum": 6})
+def network_refresh(spark, d):
+    """The nine tables of the networks: a first load that ends inside a day, then two refreshes.
+
+    The second refresh loads the last day once more, which changes nothing but what
+    depends on the load itself: the outliers of that day, and the site profiles.
+    """
+    known = D.sensors(spark, d)
+    areas = D.neighborhoods(spark, d, known)
+    layers = D.blocks(spark, d, known), areas, D.hexagons(spark, d, known), HexGrid.over(extent(areas))
+
+    def raw(start: str, end: str):
+        """Records from ``start`` to before ``end``, compared as text as the feeds give them."""
+        e, p, c = D.epa_raw(spark, d), D.purpleair_raw(spark, d), D.community_points(spark, d)
+        at = {"e": F.concat_ws(" ", "date_local", "time_local"), "p": F.translate("created_at", "TZ", " "), "c": F.translate("time", "T", " ")}
+        e, p, c = (df.where((at[k] >= start) & (at[k] < end)) for k, df in (("e", e), ("p", p), ("c", c)))
+        tagged = materialize(community.tag_points(c, *layers))
+        return refresh.network_tables(e, p, tagged, FIRST_DAY)
+
+    made = raw("2024-01-01", _CUT)
+    for run in range(2):
+        current = {n: (made[n], time) for n, time in refresh.TIMES.items()}
+        made = refresh.incremental_refresh(
+            spark,
+            current,
+            lambda start, end: raw(str(start), str(end)),
+            new_path(spark, f"networks-{run}"),
+            dt.date.fromisoformat(_END),
+            neighborhoods="neighborhoods",
+            profiles={n: made[n] for n in refresh.PROFILES},
+        )
+    hood = F.concat_ws(" ", "pri_neigh", "geoid10", F.col("lat_r").cast("string"), F.col("lng_r").cast("string"))
+    keys = {
+        "epa_daily": F.col("value_represented"),
+        "purpleair_daily": F.col("address"),
+        "epa_sites": F.col("site_number"),
+        "purpleair_sites": F.col("ID"),
+        "neighborhoods": hood,
+        **{f"aq_by_{g}": F.col(k).cast("string") for g, k in community.GRAINS.items()},
+    }
+    values = {"epa_sites": "sample_measurement|", "purpleair_sites": f"{S.PM}|"}
+    out = None
+    for name, df in made.items():
+        time = F.col(refresh.TIMES[name]).cast("string") if name in refresh.TIMES else F.lit(None).cast("string")
+        sums = [F.col(f"`{values.get(name, '')}{c}`").alias(c) for c in ("sum", "count")]
+        part = df.select(F.lit(name).alias("name"), keys[name].alias("key"), time.alias("time"), *sums)
+        out = part if out is None else out.union(part)
+    return out
+
+
 @register("report_dataset")
 def report_dataset(spark, d):
     """Everything the dashboard shows for one selection, as name and JSON text."""
