@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazegrid.session import new_path
@@ -21,6 +22,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and array elements (8 to 40 bytes each) up to which a side of a join is broadcast.
+BROADCAST_ITEMS = 1_000_000
+
+
+def small(df: DataFrame, items: str) -> DataFrame:
+    """Broadcast a staged table with few elements in its array; a larger one is joined by a shuffle."""
+    n = df.agg(F.sum(F.size(items) + 1)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ITEMS else df
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

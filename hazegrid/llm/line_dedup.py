@@ -12,77 +12,105 @@ minimum, combined map-side, so a window that holds a third of all rows is no gro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hazegrid.llm.common import staged
+from hazegrid.llm.common import add_columns, field, pieces, small, staged, strings
 
 WIDTH = 3
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-
-
-def _filled(lines: Column) -> Column:
-    """Places of the lines that are not blank."""
-    places = F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i))
-    return F.filter(places, lambda i: i.isNotNull())
+def window_hashes(text: str | None, width: int) -> np.ndarray:
+    """128 bits, as two numbers, for each window of lines that are not blank."""
+    lines = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in (text or "").split("\n") if x.strip(" ")]
+    found = [
+        hashlib.blake2b(b"".join(lines[i : i + width]), digest_size=16).digest() for i in range(len(lines) - width + 1)
+    ]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
-def repeated_windows(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """All windows, and those that repeat with their first place."""
-    lines = docs.select(
-        F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.xxhash64(text).alias("text")).alias("doc"),
-        F.filter(_lines(text), lambda x: F.trim(x) != "").alias("lines"),
-    ).where(F.size("lines") >= width)
-    hashed = lines.select(
-        "doc",
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("a"),
-        F.transform("lines", lambda x: F.xxhash64(F.lit("second"), x)).alias("b"),
+def _windows(docs: DataFrame, width: int) -> DataFrame:
+    """``id, text`` (its hash), place and hash of every window."""
+    schema = T.StructType(
+        [docs.schema["id"], field("t", "bigint"), field("at", "int"), field("a", "bigint"), field("b", "bigint")]
     )
 
-    def at(i: Column) -> Column:
-        part = [[F.col(c)[i + k] for k in range(width)] for c in ("a", "b")]
-        return F.struct(i.alias("at"), F.xxhash64(*part[0]).alias("a"), F.xxhash64(*part[1]).alias("b"))
-
-    places = F.sequence(F.lit(0), F.size("a") - width)
-    windows = hashed.select("doc", F.inline(F.transform(places, at)))
-    first = F.min(F.struct("doc", "at")).alias("first")
-    repeated = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
-    return windows, repeated.drop("n")
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            for part in pieces(batch):
+                found = [window_hashes(v, width) for v in strings(part, "text")]
+                sizes = [len(f) for f in found]
+                if not sum(sizes):
+                    continue
+                which = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                hashes = np.concatenate(found)
+                columns = [
+                    part.column(0).take(which),
+                    part.column(1).take(which),
+                    pa.array(np.concatenate([np.arange(n) for n in sizes]), pa.int32()),
+                    pa.array(np.ascontiguousarray(hashes[:, 0])),
+                    pa.array(np.ascontiguousarray(hashes[:, 1])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    return docs.select("id", "t", "text").mapInArrow(run, schema)
+
+
+def later_windows(docs: DataFrame, width: int) -> DataFrame:
+    """``id, t, starts``: places of the windows of ``docs`` (id, t, text) that occur before, by document."""
+    windows = _windows(docs, width)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "t", "at")
+    first = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    # Read apart from the count, so that adaptive execution can split a hot window.
+    first = staged(first.select("a", "b", "first"), "line-windows")
+    later = windows.join(first, ["a", "b"]).where(place != F.col("first"))
+    return later.groupBy("id", "t").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+
+
+def without(text: str, starts: list[int], width: int) -> tuple[str, int]:
+    """The text without the lines of the windows at ``starts``, and their number."""
+    lines = text.split("\n")
+    filled = [i for i, x in enumerate(lines) if x.strip(" ")]
+    gone = {i for s in starts for i in filled[s : s + width]}
+    return "\n".join([x for i, x in enumerate(lines) if i not in gone]), len(gone)
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with the lines removed from ``text``, plus ``n_lines`` and ``n_removed``.
 
     Null and empty texts stay as they are (a null text has no line, an empty one has
-    one), as do texts of fewer lines than a window.
-    Rows equal in id and text count as one document and get the same result; a null
-    id comes last. Input columns called ``n_lines`` or ``n_removed`` are replaced.
+    one), as do texts of fewer lines than a window. Blank lines hold nothing but
+    spaces. Rows equal in id and text count as one document and get the same result; a
+    null id comes last. Input columns called ``n_lines`` or ``n_removed`` are replaced.
     """
-    windows, repeated = repeated_windows(docs, id, text, width)
-    repeated = staged(repeated, "line-windows")  # read apart, so that adaptive execution can split a hot window
-    later = windows.join(repeated, ["a", "b"]).where(F.struct("doc", "at") != F.col("first"))
-    covered = later.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("starts"))
-    covered = covered.select(F.col("doc.id").alias("__id"), F.col("doc.text").alias("__text"), "starts")
-    own = docs.drop("n_lines", "n_removed").withColumn("__text", F.xxhash64(text)).withColumn("__id", F.col(id))
-    met = own.join(covered.withColumnsRenamed({"__id": "__cid", "__text": "__ct"}),
-                   F.expr("__id <=> __cid AND __text = __ct"), "left")
-    lines = met.select(
-        *[c for c in own.columns if c not in ("__id", "__text")],
-        "starts",
-        F.when(F.col("starts").isNotNull(), _lines(text)).alias("__lines"),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).cast("bigint").alias("n_lines"),
-    ).withColumn("__filled", F.when(F.col("starts").isNotNull(), _filled(F.col("__lines"))))
-    marked = F.flatten(F.transform("starts", lambda p: F.slice("__filled", p + 1, width)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), marked)
-    lines = lines.withColumn("__kept", F.when(F.col("starts").isNotNull(), kept))
-    joined = F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n")
-    cleaned = F.when(F.col("starts").isNull(), F.col(text)).otherwise(joined)
-    gone = F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept"))
-    return lines.select(
-        *[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        "n_lines",
-        gone.cast("bigint").alias("n_removed"),
-    )
+    keyed = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    covered = staged(later_windows(keyed, width), "line-covered").withColumnsRenamed({"id": "__cid", "t": "__ct"})
+    own = docs.drop("n_lines", "n_removed").withColumn("__t", F.xxhash64(text)).withColumn("__id", F.col(id))
+    same = F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__t") == F.col("__ct"))
+    met = own.join(small(covered, "starts"), same, "left").withColumnRenamed("starts", "__starts")
+    met = met.drop("__t", "__id", "__cid", "__ct")
+
+    def make():
+        def per_batch(batch):
+            texts, counts, removed = [], [], []
+            for value, starts in zip(strings(batch, text), strings(batch, "__starts"), strict=True):
+                counts.append(0 if value is None else value.count("\n") + 1)
+                n = 0
+                if starts:
+                    value, n = without(value, starts, width)
+                texts.append(value)
+                removed.append(n)
+            return texts, counts, removed
+
+        return per_batch
+
+    made = add_columns(met, make, [(text, "string"), ("n_lines", "bigint"), ("n_removed", "bigint")])
+    return made.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

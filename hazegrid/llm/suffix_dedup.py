@@ -34,13 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import add_columns, field, pieces, staged, strings
+from hazegrid.llm.common import add_columns, field, pieces, small, staged, strings
 from hazegrid.llm.shingles import mix
 
 LENGTH = 200
 GRAM = 27
-#: Rows and array elements (8 to 40 bytes each) up to which a side of a join is broadcast.
-BROADCAST_ITEMS = 1_000_000
 #: Texts a task remembers to skip exact copies.
 REMEMBERED = 500_000
 
@@ -232,12 +230,6 @@ def _strings(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "name bigint, gram bigint, t bigint, first bigint")
 
 
-def _small(df: DataFrame, items: str) -> DataFrame:
-    """Broadcast a staged table with few elements in its array; a larger one is joined by a shuffle."""
-    n = df.agg(F.sum(F.size(items) + 1)).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_ITEMS else df
-
-
 def _merged(marks: DataFrame, length: int) -> DataFrame:
     """``t, first, last`` of strings to those of maximal runs whose strings overlap or touch.
 
@@ -304,7 +296,7 @@ def repeated_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
     asked = sides[0].union(sides[1]).groupBy("t", "place").agg(F.sum(flag).alias("flags"))
     packed = F.col("place") * 4 + F.col("flags")
     asked = staged(asked.groupBy("t").agg(F.collect_list(packed).alias("places")), "suffix-asked")
-    rows = _strings(keyed.join(_small(asked, "places"), "t"), length)
+    rows = _strings(keyed.join(small(asked, "places"), "t"), length)
     merged = staged(_repeated(rows, ["name"], ["gram"]), "suffix-strings")
     remaining = merged.where("same").select("t", "first", F.col("first").alias("last"))
     runs = _merged(settled.union(remaining).union(copied), length)
@@ -320,7 +312,7 @@ def dedup_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Da
     replaced, all others kept.
     """
     names = ["n_bytes", "n_removed", "spans", "kept"]
-    runs = _small(repeated_spans(docs, text, length), "runs").withColumnRenamed("t", "__t")
+    runs = small(repeated_spans(docs, text, length), "runs").withColumnRenamed("t", "__t")
     own = docs.drop(*names).withColumn("__t", F.xxhash64(text))
     met = own.join(runs.withColumnRenamed("runs", "__runs"), "__t", "left").drop("__t")
 

@@ -122,7 +122,7 @@ def test_lines(spark, frame):
     rows = dedup_lines(frame(docs, "n_lines")).collect()
     got = sorted(((r.doc_id or 99, r.text) for r in rows), key=str)
     assert got == sorted(
-        [(1, three), (2, "top\n\n \nend"), (3, "d line"), (4, None), (5, ""), (6, "a line\nb line"), (7, ""), (9, ""), (9, ""),
+        [(1, three), (2, "top\n\n \nend"), (3, "d line"), (4, None), (5, ""), (6, "a line\nb line"), (7, "q"), (9, ""), (9, ""),
          (99, ""), (10, "\n\n\n\n")], key=str
     )
     by = {r.doc_id: r for r in rows}
@@ -156,9 +156,9 @@ def test_bytes(spark, frame):
 
 
 def test_bytes_large_side(spark, frame, monkeypatch):
-    from hazegrid.llm import suffix_dedup
+    from hazegrid.llm import common, suffix_dedup
 
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ITEMS", -1)
+    monkeypatch.setattr(common, "BROADCAST_ITEMS", -1)
     docs = {i: f"{i} " + "the same passage of words " * 3 + "abc" * 60 + str(i) for i in range(20)}
     rows = suffix_dedup.dedup_bytes(frame(list(docs.items()))).collect()
     want = brute.repeated_bytes(docs, 200)
