@@ -49,7 +49,7 @@ HEADLINE = (
 
 def main() -> None:
     from hazegrid.catalog import load_all
-    from hazegrid.session import build_session
+    from hazegrid.session import build_session, drop_staged
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -76,6 +76,7 @@ def main() -> None:
             if run:
                 best = took if best is None else min(best, took)
         times[name] = round(best, 3)
+    drop_staged(spark)
     spark.stop()
     print(
         json.dumps(

@@ -27,37 +27,43 @@ AQ_SUPPORT, EPA_SUPPORT, PA_SUPPORT = {"count": 80, "hex_ct": 5}, {"count": 62},
 # ---- tables made by one job and read by the next -----------------------------
 
 
-def tagged_points(spark, d):
-    """Geotagged points, written once: several tables are made from them."""
+def tag_points(spark, d):
+    """Geotagged points."""
     known = D.sensors(spark, d)
     areas = D.neighborhoods(spark, d, known)
-    tagged = community.tag_points(
+    return community.tag_points(
         D.community_points(spark, d),
         D.blocks(spark, d, known),
         areas,
         D.hexagons(spark, d, known),
         HexGrid.over(extent(areas)),
     )
-    return materialize(tagged)
+
+
+def tagged_points(spark, d):
+    """The same written, where several tables are made from them."""
+    return materialize(tag_points(spark, d))
 
 
 def by_hexagon(spark, d, tagged=None):
-    tagged = tagged or tagged_points(spark, d)
-    cells = A.cell_stats(tagged, "hexagon_id", "thirtymins", "value")
-    return materialize(calendar_features(cells, "thirtymins"))
+    """Half-hour hexagon table as the daily tables read it, without its medians."""
+    tagged = tagged or tag_points(spark, d)
+    cells = A.cell_stats(tagged, "hexagon_id", "thirtymins", "value", quantiles={})
+    return calendar_features(cells, "thirtymins")
 
 
 def epa_daily(spark, d):
-    return S.epa_daily(S.process_epa(D.epa_raw(spark, d))[0])
+    return S.epa_daily(S.process_epa(D.epa_raw(spark, d))[0], quantiles={})
 
 
 def purpleair_daily(spark, d):
     clean, _ = S.process_purpleair(D.purpleair_raw(spark, d))
-    return S.purpleair_daily(materialize(clean), FIRST_DAY)
+    return S.purpleair_daily(clean, FIRST_DAY, quantiles={})
 
 
 def neighborhood_rows(spark, d, tagged=None):
-    return materialize(community.neighborhood_table(tagged or tagged_points(spark, d)))
+    """Neighborhood table as the drilldowns read it, without its medians."""
+    return community.neighborhood_table(tagged or tag_points(spark, d), quantiles={})
 
 
 HEX = {
@@ -172,13 +178,7 @@ _GRAIN_SQL = """SELECT '{g}' AS grain, {key}::VARCHAR AS cell, thirtymins, harmf
 )
 def aq_process(spark, d):
     """All four half-hour tables, one below the other."""
-    out = None
-    for grain, df in community.process_points(tagged_points(spark, d)).items():
-        key = community.GRAINS[grain]
-        part = df.withColumn("cell", F.col(key).cast("string")).drop(key)
-        part = part.withColumn("grain", F.lit(grain))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return community.process_points_long(tag_points(spark, d))
 
 
 # ---- comparison ----------------------------------------------------------------
@@ -221,9 +221,7 @@ def reading_weighted_share(spark, d):
 
 def station_squares(spark, d):
     sites = D.epa_raw(spark, d).select("value_represented", "longitude", "latitude").distinct()
-    return materialize(sites).withColumn(
-        "box", G.site_box(F.col("longitude"), F.col("latitude"))
-    )
+    return sites.withColumn("box", G.site_box(F.col("longitude"), F.col("latitude")))
 
 
 STATIONS = """SELECT DISTINCT row_number() OVER (ORDER BY value_represented, longitude, latitude) AS site_number,
@@ -254,7 +252,7 @@ def near_sensor_daily(spark, d):
 def address_squares(spark, d):
     typed = S.purpleair_typed(D.purpleair_raw(spark, d))
     sites = typed.select("address", "lon", "lat").distinct()
-    return materialize(sites).withColumn("box", G.site_box(F.col("lon"), F.col("lat")))
+    return sites.withColumn("box", G.site_box(F.col("lon"), F.col("lat")))
 
 
 @register(
@@ -321,7 +319,7 @@ def map_layers(spark, d):
         F.col("site_number").cast("string").alias("site_number"),
         G.site_box(F.col("longitude"), F.col("latitude")).alias("box"),
     )
-    cells = by_hexagon(spark, d)
+    cells = materialize(by_hexagon(spark, d))
     e, p = materialize(epa_daily(spark, d)), materialize(purpleair_daily(spark, d))
     common = compare.daily_comparison(
         compare.hexagon_daily_rollup(cells),
@@ -669,7 +667,7 @@ def network_refresh(spark, d):
 def report_dataset(spark, d):
     """Everything the dashboard shows for one selection, as name and JSON text."""
     tagged = tagged_points(spark, d)
-    cells, e = by_hexagon(spark, d, tagged), materialize(epa_daily(spark, d))
+    cells, e = materialize(by_hexagon(spark, d, tagged)), materialize(epa_daily(spark, d))
     p = materialize(purpleair_daily(spark, d))
     hexagons = D.hexagons(spark, d)
     near_epa = compare.near_sensor_daily(
@@ -685,7 +683,7 @@ def report_dataset(spark, d):
         "near_epa": materialize(compare.daily_comparison(near_epa, *days, *support)),
         "near_pa": materialize(compare.daily_comparison(near_pa, *days, *support)),
     }
-    rows = neighborhood_rows(spark, d, tagged)
+    rows = materialize(neighborhood_rows(spark, d, tagged))
     summary = A.neighborhood_summary(calendar_features(rows, "thirtymins"), "pri_neigh", "Daily")
     first = D.neighborhoods(spark, d).agg(F.min("pri_neigh")).first()[0]
     out = None

@@ -12,7 +12,6 @@ from hazegrid.functions import geometry as G
 from hazegrid.operators import joins as J
 from hazegrid.operators import spatial as P
 from hazegrid.plans.sites import purpleair_typed
-from hazegrid.session import materialize
 
 
 @register(
@@ -200,7 +199,7 @@ def geotag_layers(spark, d):
 def station_boxes(spark, d):
     sites = D.epa_raw(spark, d).select("site_number", "longitude", "latitude").distinct()
     box = G.site_box(F.col("longitude"), F.col("latitude"))
-    return materialize(sites).select("site_number", box.alias("box"))
+    return sites.select("site_number", box.alias("box"))
 
 
 # Convex shapes meet if no side of either one separates them.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from hazegrid.functions.levels import is_harmful, is_low
 from hazegrid.functions.names import named
 from hazegrid.functions.rounding import half_even, settled
 from hazegrid.operators.filters import require_columns
-from hazegrid.operators.quantiles import grouped_stats, not_null
+from hazegrid.operators.quantiles import MEDIAN, grouped_stats, not_null
 
 
 def summary_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -77,18 +77,20 @@ def summary_with_shares(
     sums: Sequence[str] = (),
     maxes: Sequence[str] = (),
     value: str | None = None,
+    quantiles: Mapping[str, float] = MEDIAN,
 ) -> DataFrame:
     """Summary per group plus the share of readings whose flag is 1.
 
     Only readings with both flags count; a group without any has null shares.
-    In rollup mode readings are weighted by ``count``. One aggregation.
+    In rollup mode readings are weighted by ``count``. One aggregation, but for the
+    ``quantiles`` of value mode; leave them out where nothing reads them.
     """
     require_columns(df, [*keys, harm, not_harm, *sums, *maxes, *([value] if value else [])])
     weight = F.lit(1.0) if value else F.col("count").cast("double")
     parts = _share_parts(harm, not_harm, weight)
     if value:
         out = grouped_stats(
-            df, keys, value, carry={name: ("sum", c) for name, c in parts.items()}
+            df, keys, value, quantiles=quantiles, carry={name: ("sum", c) for name, c in parts.items()}
         )
     else:
         out = (
@@ -194,11 +196,17 @@ def distinct_cell_count(df: DataFrame, keys: Sequence[str], cell: str) -> DataFr
 
 
 def cell_stats(
-    df: DataFrame, cell: str, time: str, value: str, flags: Sequence[str] = ("harmful", "not_harmful")
+    df: DataFrame,
+    cell: str | Sequence[str],
+    time: str,
+    value: str,
+    flags: Sequence[str] = ("harmful", "not_harmful"),
+    quantiles: Mapping[str, float] = MEDIAN,
 ) -> DataFrame:
     """median, mean, max, min, sum, count per cell x half hour x flags."""
+    cells = [cell] if isinstance(cell, str) else list(cell)
     return grouped_stats(
-        df, [cell, time, *flags], value, stats=("mean", "max", "min", "sum", "count")
+        df, [*cells, time, *flags], value, ("mean", "max", "min", "sum", "count"), quantiles
     )
 
 

@@ -18,12 +18,13 @@ def attach_quantile(
 ) -> DataFrame:
     """Per-group quantile (linear interpolation) as a column of every row.
 
-    The quantiles are written first, so that they are small when the join
-    measures them, and a group with many rows is not shuffled to one task.
+    The rows are written first, since the quantiles and the join both read them.
+    Adaptive execution broadcasts the quantiles when they turn out small and splits a
+    group with many rows otherwise.
     """
     # The mean and the quantile of the same means come from separate tasks.
-    cut = df.withColumn(value, settled(F.col(value)))
-    limits = materialize(grouped_stats(cut, keys, value, stats=(), quantiles={name: p}))
+    cut = materialize(df.withColumn(value, settled(F.col(value))), "means")
+    limits = grouped_stats(cut, keys, value, stats=(), quantiles={name: p})
     return join_lookup(cut, limits, keys)
 
 

@@ -47,13 +47,25 @@ def cell_sizes(boxes: DataFrame, box: Column) -> list[float]:
     however much larger than the others it is. Only the distinct powers of two of the
     extents reach the driver, at most a few dozen.
     """
-    powers = boxes.agg(F.collect_set(F.ceil(F.log2(_extent_of(box))))).first()[0]
-    sizes, left = [], sorted(powers)
-    while left:
-        top = left[-1]
-        sizes.insert(0, 2.0**top)
-        left = [p for p in left if p <= top - POWERS]
-    return sizes or [MIN_CELL]
+    return layer_sizes([(boxes, box)])[0]
+
+
+def layer_sizes(layers: Sequence[tuple[DataFrame, Column]]) -> list[list[float]]:
+    """``cell_sizes`` of several layers, looked up together."""
+    powers = [
+        boxes.select(F.lit(i).alias("layer"), F.ceil(F.log2(_extent_of(box))).alias("power"))
+        for i, (boxes, box) in enumerate(layers)
+    ]
+    found = reduce(lambda a, b: a.union(b), powers).distinct().collect()
+    out = []
+    for i in range(len(layers)):
+        sizes, left = [], sorted(r.power for r in found if r.layer == i and r.power is not None)
+        while left:
+            top = left[-1]
+            sizes.insert(0, 2.0**top)
+            left = [p for p in left if p <= top - POWERS]
+        out.append(sizes or [MIN_CELL])
+    return out
 
 
 def _size_of(box: Column, sizes: Sequence[float]) -> Column:
@@ -326,12 +338,11 @@ def geotag(
 
     ``layers`` pairs a polygon table with ``{its column: output column}``.
     """
-    def tag(df: DataFrame, layer) -> DataFrame:
-        polygons, names = layer
+    every = [sizes] * len(layers) if sizes else layer_sizes([(p, G.bbox(F.col("rings"))) for p, _ in layers])
+    tagged = points
+    for (polygons, names), fitting in zip(layers, every, strict=True):
         renamed = polygons.withColumnsRenamed(names)
-        return locate(df, renamed, list(names.values()), x, y, sizes)
-
-    tagged = reduce(tag, layers, points)
+        tagged = locate(tagged, renamed, list(names.values()), x, y, fitting)
     if grid is not None:
         tagged = tagged.withColumn(grid_column, grid.id_at(x, y))
     return tagged

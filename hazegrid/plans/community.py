@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from hazegrid.functions.calendar import floor_half_hour, parse_timestamps
 from hazegrid.functions.levels import level_flags
 from hazegrid.functions.rounding import half_even
 from hazegrid.operators.aggregates import cell_stats
-from hazegrid.operators.quantiles import grouped_stats
+from hazegrid.operators.quantiles import MEDIAN, grouped_stats
 from hazegrid.operators.spatial import HexGrid, geotag
 
 GRAINS = {
@@ -53,9 +53,19 @@ def process_points(tagged: DataFrame) -> dict[str, DataFrame]:
     return {g: cell_stats(tagged, key, "thirtymins", "value") for g, key in GRAINS.items()}
 
 
-def neighborhood_table(tagged: DataFrame, area: Sequence[str] = ("pri_neigh",)) -> DataFrame:
+def process_points_long(tagged: DataFrame) -> DataFrame:
+    """The four tables one below the other, made in one pass: ``grain, cell, thirtymins, ...``."""
+    cells = [F.struct(F.lit(g).alias("grain"), F.col(key).cast("string").alias("cell")) for g, key in GRAINS.items()]
+    long = tagged.select("thirtymins", "value", "harmful", "not_harmful", F.inline(F.array(*cells)))
+    return cell_stats(long, ["grain", "cell"], "thirtymins", "value")
+
+
+def neighborhood_table(
+    tagged: DataFrame, area: Sequence[str] = ("pri_neigh",), quantiles: Mapping[str, float] = MEDIAN
+) -> DataFrame:
     """Half hour x block x rounded position statistics, all neighborhoods at once."""
     rounded = tagged.withColumns(
         {"lat_r": half_even(F.col("lat"), 5), "lng_r": half_even(F.col("lng"), 5)}
     )
-    return grouped_stats(rounded, [*area, "thirtymins", "geoid10", "lat_r", "lng_r"], "value")
+    keys = [*area, "thirtymins", "geoid10", "lat_r", "lng_r"]
+    return grouped_stats(rounded, keys, "value", quantiles=quantiles)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from hazegrid.functions.names import named
 from hazegrid.operators.aggregates import site_profile, summary_with_shares
 from hazegrid.operators.filters import date_floor, zscore_filter
 from hazegrid.operators.joins import attach_parent_name, outdoor_only
-from hazegrid.operators.quantiles import not_null
+from hazegrid.operators.quantiles import MEDIAN, not_null
 from hazegrid.session import materialize
 
 # Columns of the regulatory feed that are codes, not numbers.
@@ -67,7 +69,7 @@ def process_epa(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed.select(*map(named, EPA_KEPT)), epa_sites(typed)
 
 
-def epa_daily(readings: DataFrame) -> DataFrame:
+def epa_daily(readings: DataFrame, quantiles: Mapping[str, float] = MEDIAN) -> DataFrame:
     """Per day and station: value statistics and reading shares.
 
     Stations are not joined to the site table: it has several rows per station
@@ -78,7 +80,10 @@ def epa_daily(readings: DataFrame) -> DataFrame:
         calendar_features(timed, "Full Date"), "sample_measurement", "sample_measurement"
     )
     return summary_with_shares(
-        flagged, ["Daily", "value_represented", "latitude", "longitude"], value="sample_measurement"
+        flagged,
+        ["Daily", "value_represented", "latitude", "longitude"],
+        value="sample_measurement",
+        quantiles=quantiles,
     )
 
 
@@ -112,14 +117,16 @@ def process_purpleair(
     return zscore_filter(outdoor, [PM]), sites
 
 
-def purpleair_daily(readings: DataFrame, first_day: str = "2017-10-01") -> DataFrame:
+def purpleair_daily(
+    readings: DataFrame, first_day: str = "2017-10-01", quantiles: Mapping[str, float] = MEDIAN
+) -> DataFrame:
     """Per day and address: value statistics and shares, from ``first_day`` on."""
     timed = readings.withColumn(
         "created_at", F.to_timestamp_ntz(F.trim(F.translate("created_at", "TZ", "  ")))
     )
     kept = date_floor(calendar_features(timed, "created_at"), "Daily", first_day)
     flagged = level_flags(kept, PM, PM)
-    return summary_with_shares(flagged, ["Daily", "address", "lat", "lon"], value=PM)
+    return summary_with_shares(flagged, ["Daily", "address", "lat", "lon"], value=PM, quantiles=quantiles)
 
 
 def distinct_stations(sites: DataFrame, keys: list[str]) -> DataFrame:

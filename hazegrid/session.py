@@ -33,26 +33,45 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local-mode session without that setting falls back to a temporary
     folder; a cluster without it is an error, since machine-local files would
-    not be visible to the other executors.
+    not be visible to the other executors. For the same reason a ``file:`` folder on a
+    cluster needs ``spark.hazegrid.sharedFiles=true``, which says that it is mounted
+    everywhere.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if folder:
+        if folder.startswith("file:") and not local and spark.conf.get("spark.hazegrid.sharedFiles", "") != "true":
+            raise RuntimeError(f"{folder} is a folder of one machine; name one that all executors share")
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="hazegrid-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of what this application stages."""
+    return f"{shared_folder(spark)}/hazegrid/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """Path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/hazegrid/{name}-{uuid.uuid4().hex}"
+    """Path below the shared folder that nothing else uses."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write a result that is used more than once and read it back.
+
+    Lineage is cut, a lost executor costs nothing, and each use reads only the columns
+    it needs.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive executor loss and lineage is cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; frames that read from it are of no use then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
