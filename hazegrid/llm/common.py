@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.session import new_path
+from hazegrid.session import materialize
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
@@ -17,9 +17,7 @@ ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends, lost executors cost nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, name)
 
 
 #: Rows and array elements (8 to 40 bytes each) up to which a side of a join is broadcast.
