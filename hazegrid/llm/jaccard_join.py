@@ -12,9 +12,9 @@ most ``k = (a + b)(1 - t)/(1 + t)`` shingles. The space of hashes is cut into mo
 part is a key. The number of parts follows a size class; a document that can be near
 one of the next class has keys for that as well.
 
-1. Documents of one key form a bucket; its smallest id is the pivot, and all its
-   members belong to the pivot's region. Two documents that link share a key, so some
-   region has both.
+1. Documents of one key form a bucket. Its pivot is the document that shares the most
+   keys with any others, the centre of most copies, and all its members belong to the
+   pivot's region. Two documents that link share a key, so some region has both.
 2. A region of bounded size is joined in one task, which counts the intersections of
    its sets exactly and returns the components of its links, not the pairs.
 3. The documents of a larger region are first compared with their pivot alone. Those
@@ -41,7 +41,7 @@ from hazegrid.llm.components import components
 from hazegrid.llm.shingles import mix, shingle_set
 
 #: Documents, and shingles, of a region or of two blocks that one task joins.
-REGION_DOCS, REGION_SHINGLES = 1024, 2_000_000
+REGION_DOCS, REGION_SHINGLES = 4096, 3_000_000
 #: Ids (8 bytes each) up to which the documents to compare are found by broadcast.
 BROADCAST_IDS = 1_000_000
 #: Sets a task remembers to skip the keys of exact copies.
@@ -72,12 +72,13 @@ class SizeClasses:
         ]
 
 
-def keys_of(hashes: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Keys of a set: the digest of each part of it, for its size class and perhaps the next.
+def keys_of(hashes: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, int]:
+    """Keys of a set, and how many of them it shares at least with any that it links to.
 
+    A key is the digest of a part of the set, for its size class and perhaps the next.
     Smaller sets than the first class link with equal ones only and have no key.
     """
-    size, out = len(hashes), []
+    size, out, least = len(hashes), [], len(hashes)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes), dtype=np.uint64)))
     for number in classes.of(size):
         _, _, k, parts = classes.classes[number]
@@ -88,24 +89,30 @@ def keys_of(hashes: np.ndarray, classes: SizeClasses) -> np.ndarray:
         filled = bounds[1:] > bounds[:-1]
         # With so few filled parts the equal one may be empty, so empty parts are keys too.
         out.append(keys[filled] if filled.sum() > k else keys)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        least = min(least, max(1, int(filled.sum()) - k))
+    return np.concatenate(out) if out else np.empty(0, np.uint64), least
 
 
-def _sizes(docs: DataFrame, width: int) -> DataFrame:
-    """``id``, ``n`` and the digest of its set for every row; a row without shingles has no digest."""
-    schema = T.StructType([docs.schema["id"], field("n", "bigint"), field("digest", "binary")])
+def _sizes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``id``, ``n``, the digest of its set and its least shared keys for every row.
+
+    A row without shingles has no digest.
+    """
+    schema = T.StructType([docs.schema["id"], field("n", "bigint"), field("digest", "binary"), field("least", "int")])
 
     def run(batches):
         import hashlib
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target = to_arrow_schema(schema)
+        target, classes = to_arrow_schema(schema), SizeClasses(percent)
         for batch in batches:
             for part in pieces(batch):
                 sets = [shingle_set(v, width) for v in strings(part, "text")]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
+                least = pa.array([keys_of(s, classes)[1] for s in sets], pa.int32())
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                columns = [part.column(0), sizes, pa.array(digests, pa.binary()), least]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return docs.mapInArrow(run, schema)
@@ -128,7 +135,7 @@ def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     if id is None or copy in seen:
                         continue
                     seen.add(copy)
-                    made = keys_of(hashes, classes)
+                    made, _ = keys_of(hashes, classes)
                     keys.append(made.view(np.int64))
                     ids.append(np.full(len(made), id, np.int64))
                 if keys:
@@ -140,32 +147,53 @@ def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
-    """``key, pivot, id``: members of buckets of two and more, without the pivot itself.
+    """``key, id`` of buckets of two documents and more.
 
     A bucket's rows pass in the order of ``key, id``; only the last row of a batch is
     carried on.
     """
 
     def run(batches):
-        key, pivot, last = None, None, None
+        before = held = None  # the key before the held row's, and the held row
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, ids = (batch.column(i).to_numpy() for i in (0, 1))
-            new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-            pivots = np.where(at >= 0, ids[np.maximum(at, 0)], pivot if pivot is not None else 0)
-            repeat = np.concatenate(([not new[0] and ids[0] == last], ids[1:] == ids[:-1])) & ~new
-            members = ~new & ~repeat & (ids != pivots)
-            key, pivot, last = keys[-1], pivots[-1], ids[-1]
-            if members.any():
+            if held is not None:
+                keys, ids = np.append(held[0], keys), np.append(held[1], ids)
+            fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+            keys, ids = keys[fresh], ids[fresh]
+            near = keys[1:] == keys[:-1]
+            shared = np.append(before is not None and keys[0] == before, near)
+            shared[:-1] |= near
+            if shared[:-1].any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[members]) for x in (keys, pivots, ids)], names=["key", "pivot", "id"]
+                    [pa.array(x[:-1][shared[:-1]]) for x in (keys, ids)], names=["key", "id"]
                 )
+            if len(keys) > 1:
+                before = keys[-2]
+            held = keys[-1], ids[-1]
+        if held is not None and before is not None and held[0] == before:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=["key", "id"])
 
     # Sorted by a shuffle on the key alone, so that equal keys are in one task.
     dealt = entries.repartition(F.col("key")).sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "key bigint, pivot bigint, id bigint")
+    return dealt.mapInArrow(run, "key bigint, id bigint")
+
+
+def _regions(shared: DataFrame, least: DataFrame) -> DataFrame:
+    """``pivot, id`` of the staged members (key, id) of buckets, without the pivots themselves.
+
+    A document that shares fewer keys with all others than it would with one that it
+    links to (``id, least``) is left out.
+    """
+    known = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shares")).join(least, "id").where("shares >= least")
+    known = staged(known.select("id", (F.col("shares") * 2**20 + F.expr(f"pmod(xxhash64(id), {2**20})")).alias("rank")), "jaccard-ranks")
+    rated = shared.join(known, "id")
+    # A bucket's rows fold before they meet.
+    top = staged(rated.groupBy("key").agg(F.max("rank").alias("rank")), "jaccard-pivots")
+    chosen = rated.join(top, ["key", "rank"]).groupBy("key").agg(F.min("id").alias("pivot"))
+    return rated.join(chosen, "key").where("id <> pivot").select("pivot", "id").distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -307,14 +335,15 @@ def jaccard_groups(
     has a null component. Only ``id`` and ``text`` of the input are used.
     """
     docs = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    sizes = staged(_sizes(docs, width), "jaccard-sizes")
+    sizes = staged(_sizes(docs, width, percent), "jaccard-sizes")
     known = sizes.where("id IS NOT NULL AND digest IS NOT NULL")
-    least = known.groupBy("digest").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top")
-    copies = known.join(staged(least, "jaccard-copies"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
+    first = known.groupBy("digest").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top")
+    copies = known.join(staged(first, "jaccard-copies"), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
 
     # Regions: each pivot with the members of its buckets.
-    buckets = _buckets(_keys(docs, width, percent)).select("pivot", "id").distinct()
-    pairs = staged(buckets, "jaccard-regions")
+    shared = staged(_buckets(_keys(docs, width, percent)), "jaccard-buckets")
+    least = known.groupBy("id").agg(F.min("least").alias("least"))
+    pairs = staged(_regions(shared, least), "jaccard-regions")
     pivots = pairs.select("pivot", F.col("pivot").alias("id")).distinct()
     n = known.groupBy("id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     members = staged(pairs.union(pivots).join(n, "id"), "jaccard-members")
