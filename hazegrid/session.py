@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Set to a list, it gets the plan of everything that is staged (tests read it).
+STAGED_PLANS: list[str] | None = None
+
 
 def build_session(app: str = "hazegrid", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings every job here assumes (UTC, adaptive execution).
@@ -67,6 +70,8 @@ def materialize(df: DataFrame, name: str = "staged") -> DataFrame:
     it needs.
     """
     path = new_path(df.sparkSession, name)
+    if STAGED_PLANS is not None:
+        STAGED_PLANS.append(df._jdf.queryExecution().toString())
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
