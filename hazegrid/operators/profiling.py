@@ -174,12 +174,17 @@ def histogram(
     )
 
 
+#: Bandwidths beyond which a Gaussian is below the last digit of its peak.
+KERNEL_REACH = 9.0
+
+
 def density_curve(df: DataFrame, feature: str, points: int = 128) -> DataFrame:
     """Gaussian kernel density at equally spaced points, Scott's bandwidth.
 
     The grid reaches three bandwidths beyond the data. Readings fold to distinct
-    values with counts before they meet the fixed number of grid points, and sums
-    per grid point combine map-side.
+    values with counts. A value only meets the grid points within ``KERNEL_REACH``
+    bandwidths, beyond which a double has nothing left of it; the more readings, the
+    narrower the bandwidth and the fewer points. Sums per grid point combine map-side.
     """
     values = (
         df.where(F.col(feature).isNotNull())
@@ -204,13 +209,25 @@ def density_curve(df: DataFrame, feature: str, points: int = 128) -> DataFrame:
     )
     lo, hi, h = F.col("lo") - 3 * F.col("h"), F.col("hi") + 3 * F.col("h"), F.col("h")
     at = lo + (hi - lo) * F.col("point") / (points - 1)
-    z = (F.col("at") - F.col("x")) / h
+    step = (hi - lo) / (points - 1)
+    first = F.greatest(F.floor((F.col("x") - lo - KERNEL_REACH * h) / step), F.lit(0))
+    last = F.least(F.ceil((F.col("x") - lo + KERNEL_REACH * h) / step), F.lit(points - 1))
+    z = (at - F.col("x")) / h
     kernel = F.exp(z * z * -0.5) * F.col("c") / (h * F.col("n") * F.sqrt(F.lit(2.0) * F.pi()))
-    return (
-        set_up.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("at", at)
+    sums = (
+        set_up.withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
         .groupBy("point")
-        .agg(F.first("at").alias("x"), F.sum(kernel).alias("density"))
+        .agg(F.sum(kernel).alias("density"))
+    )
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point")).withColumn("s", spread)
+    placed = grid.select(
+        "point",
+        F.col("s.lo").alias("lo"),
+        F.col("s.hi").alias("hi"),
+        (F.col("s.sd") * F.pow(F.col("s.n"), F.lit(-0.2))).alias("h"),
+    ).where("h IS NOT NULL")
+    return placed.join(sums, "point", "left").select(
+        "point", at.alias("x"), F.coalesce("density", F.lit(0.0)).alias("density")
     )
 
 
