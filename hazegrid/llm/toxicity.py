@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import add_columns, strings
+from hazegrid.llm.common import add_columns, staged, strings
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 40_000
@@ -41,19 +41,27 @@ _FOLD |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i)
 _FOLD |= dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 _INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$]+(?=[^\W\d_])|(?<![\w@$])[013457@$]+(?=[^\W\d_])")
 _OTHER = re.compile(r"[\W_]+")
+_DIGIT = re.compile("[0-9@$]")
+# Outside of ASCII and the letters of Latin-1 and Latin Extended-A and -B.
+_FOREIGN = re.compile("[\x80-\xbf\xd7\xf7\u0250-\U0010ffff]")
+_BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def fold(text: str) -> str:
     """Lower case, look-alikes mapped, words separated and enclosed by one space."""
     text = text.lower()
-    if not text.isascii():
+    foreign = _FOREIGN.search(text)
+    if foreign:
         text = unicodedata.normalize("NFC", text).translate(_FOLD)
-    if re.search("[0-9@$]", text):
+    if _DIGIT.search(text):
         previous = None
         while previous != text:
             previous = text
             text = _INSIDE.sub(lambda m: "".join(_DIGITS[c] for c in m[0]), text)
-    return f" {_OTHER.sub(' ', text).strip()} "
+    if foreign:
+        return f" {_OTHER.sub(' ', text).strip()} "
+    # What is left beside ASCII are letters.
+    return f" {' '.join(text.encode().translate(_BLANK).decode().split())} "
 
 
 @dataclass
@@ -167,6 +175,7 @@ def fit(
 
     counted = rows.mapInArrow(count, "token string, clean bigint, toxic bigint")
     counted = counted.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = staged(counted.where(f"token = '' OR toxic >= {LEAST_DOCS}"), "toxic-words")
     ends = counted.where("token = ''").first()
     if ends is None or not ends.clean or not ends.toxic:
         return Lexicon()
