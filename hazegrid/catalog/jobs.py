@@ -15,6 +15,7 @@ from hazegrid.catalog.tables import inside_sql, with_tables
 from hazegrid.functions import geometry as G
 from hazegrid.functions.calendar import calendar_features
 from hazegrid.operators import aggregates as A
+from hazegrid.operators.profiling import QUARTILES
 from hazegrid.operators.spatial import HexGrid, extent
 from hazegrid.plans import community, compare, geodims, neighborhood, refresh, reports
 from hazegrid.plans import sites as S
@@ -293,12 +294,16 @@ def _side(prefix: str) -> str:
     )
 
 
-COMPARISON = f"""
+def comparison_sql(cells: str = "cells", aq: int = 80, hexes: int = 5, epa: int = 62, pa: int = 90) -> str:
+    return f"""
     SELECT aq."Daily", {_side('AQ')}, {_side('EPA')}, {_side('PA')}, aq.harmful_hex, aq.not_harmful_hex,
            aq.hex_ct, year(aq."Daily")::INTEGER AS "Year"
-    FROM (SELECT * FROM ({cell_rollup_sql('cells')}) WHERE count >= 80 AND hex_ct >= 5) aq
-    LEFT JOIN (SELECT * FROM ({rollup_sql('epa_daily')}) WHERE count >= 62) epa ON epa."Daily" = aq."Daily"
-    LEFT JOIN (SELECT * FROM ({rollup_sql('pa_daily')}) WHERE count >= 90) pa ON pa."Daily" = aq."Daily" """
+    FROM (SELECT * FROM ({cell_rollup_sql(cells)}) WHERE count >= {aq} AND hex_ct >= {hexes}) aq
+    LEFT JOIN (SELECT * FROM ({rollup_sql('epa_daily')}) WHERE count >= {epa}) epa ON epa."Daily" = aq."Daily"
+    LEFT JOIN (SELECT * FROM ({rollup_sql('pa_daily')}) WHERE count >= {pa}) pa ON pa."Daily" = aq."Daily" """
+
+
+COMPARISON = comparison_sql()
 COMPARISON_DIGITS = {
     **{f"{p}_{c}": 9 for p in ("AQ", "EPA", "PA") for c in ("mean", "harmful", "not_harmful")},
     **{f"{p}_sum": 6 for p in ("AQ", "EPA", "PA")},
@@ -663,9 +668,94 @@ def network_refresh(spark, d):
     return out
 
 
-@register("report_dataset")
+def _near_sql(boxes: str) -> str:
+    """Cells of the hexagons that touch a network's squares."""
+    ctes = ", ".join(f"{name} AS ({sql})" for name, sql in {**TOUCH_SQL, "boxes": boxes}.items())
+    return f"SELECT * FROM (WITH {ctes} SELECT * FROM cells WHERE hexagon_id IN (SELECT pid FROM touching)) AS near"
+
+
+_ADDRESSES = f"""SELECT address AS site_number, {_BOX.format(lon='lon', lat='lat')}
+                 FROM (SELECT DISTINCT address, lon, lat FROM pa_typed)"""
+
+
+def _dashboard_sql(name: str, networks: tuple[str, ...]) -> list[str]:
+    """Row count and total of each dataset made from one comparison table."""
+    flag = "TRUE" if name != "aq" else "FALSE"
+    full = f"(SELECT * FROM {name}_days t WHERE NOT ({' OR '.join(f't.{c} IS NULL' for c in _COMPARED)}))"
+
+    def over(column: str, fn: str) -> list[str]:
+        return [f'{fn}("{n}_{column}")' for n in networks]
+
+    def bounds(names, column="mean") -> tuple[str, str]:
+        low, high = (", ".join(f'{fn}("{n}_{column}")' for n in names) for fn in ("min", "max"))
+        return f"least({low})", f"greatest({high})"
+
+    out = []
+    for kind, column, upper in (("mean", "mean", None), ("harmful", "harmful", "0.1"), ("low", "not_harmful", None)):
+        low, high = bounds(networks, column)
+        total = f"{' + '.join(over(column, 'sum'))} + count(*) * ({low} + {upper or high})"
+        out.append(f"SELECT {flag} AS two_miles, '{name}/heatmap_{kind}' AS dataset, count(*) AS n, {total} AS total FROM {full}")
+    sums = " + ".join(over("mean", "sum"))
+    ends = " + ".join([*over("mean", "min"), *over("mean", "max")])
+    size = len(networks)
+    out.append(f"SELECT {flag}, '{name}/timeseries', {size} * count(*), {sums} FROM {full}")
+    for box in ("boxplot", "all_years_boxplot"):
+        out.append(f"SELECT {flag}, '{name}/{box}', {size}, {ends} FROM {full}")
+    for n in networks:
+        if n != "AQ":
+            low, high = bounds(("AQ", n))
+            for scatter in ("scatter", "all_years_scatter"):
+                out.append(f"SELECT {flag}, '{name}/{scatter}_{n}', 1, {low} + {high} FROM {full}")
+    return out
+
+
+_COMPARED = [f'"{p}_{c}"' for p in ("AQ", "EPA", "PA") for c in ("max", "sum", "count", "mean", "harmful", "not_harmful")]
+_COMPARED += ["harmful_hex", "not_harmful_hex"]
+DASHBOARD = with_tables(
+    ALL_TABLES,
+    " UNION ALL ".join(
+        [
+            *_dashboard_sql("aq", ("EPA", "AQ", "PA")),
+            *_dashboard_sql("near_epa", ("EPA", "AQ")),
+            *_dashboard_sql("near_pa", ("PA", "AQ")),
+            *[
+                sql
+                for flag in ("TRUE", "FALSE")
+                for sql in (
+                    f"""SELECT {flag}, 'neighborhood_summary', count(*), sum(s) + sum(c)
+                        FROM (SELECT sum(sum) AS s, sum(count) AS c FROM hoods GROUP BY pri_neigh)""",
+                    f"""SELECT {flag}, 'map/hexagons', count(*), sum(sum) FROM cells
+                        WHERE year("Daily") = 2024 AND month("Daily") = 1""",
+                    f"""SELECT {flag}, 'neighborhood/series', count(DISTINCT "MonthYear"), sum(sum) FROM hoods
+                        WHERE pri_neigh = (SELECT min(pid) FROM area_edges)""",
+                )
+            ],
+        ]
+    ),
+    **HEX,
+    **SITE_DAYS,
+    hoods=HOODS,
+    near_epa_cells=_near_sql(STATIONS),
+    near_pa_cells=_near_sql(_ADDRESSES),
+    aq_days=comparison_sql("cells", 1, 1, 1, 1),
+    near_epa_days=comparison_sql("near_epa_cells", 1, 1, 1, 1),
+    near_pa_days=comparison_sql("near_pa_cells", 1, 1, 1, 1),
+)
+#: What is added up of each kind of dataset.
+_SHOWN = {
+    "heatmap": lambda c: c not in ("Daily", "year"),
+    "timeseries": lambda c: c == "value",
+    "scatter": lambda c: c.startswith("axis_"),
+    "boxplot": lambda c: c in (next(iter(QUARTILES)), list(QUARTILES)[-1]),
+    "neighborhood_summary": lambda c: c in ("sum", "count"),
+    "map/": lambda c: c == "sum",
+    "neighborhood/": lambda c: c == "sum",
+}
+
+
+@register("report_dataset", DASHBOARD, {"total": 5})
 def report_dataset(spark, d):
-    """Everything the dashboard shows for one selection, as name and JSON text."""
+    """Everything the dashboard shows for one selection: rows and total of each dataset."""
     tagged = tagged_points(spark, d)
     cells, e = materialize(by_hexagon(spark, d, tagged)), materialize(epa_daily(spark, d))
     p = materialize(purpleair_daily(spark, d))
@@ -701,10 +791,10 @@ def report_dataset(spark, d):
             summary=summary,
         )
         for name, df in chosen.items():
-            part = df.select(
-                F.lit(two_miles).alias("two_miles"),
-                F.lit(name).alias("dataset"),
-                F.to_json(F.struct("*")).alias("row"),
+            shown = next(f for kind, f in _SHOWN.items() if kind in name)
+            value = sum((F.coalesce(F.sum(c).cast("double"), F.lit(0.0)) for c in df.columns if shown(c)), F.lit(0.0))
+            part = df.agg(F.count(F.lit(1)).alias("n"), value.alias("total")).select(
+                F.lit(two_miles).alias("two_miles"), F.lit(name).alias("dataset"), "n", "total"
             )
             out = part if out is None else out.unionByName(part)
     return out
