@@ -181,19 +181,40 @@ def _buckets(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, id bigint")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast a staged table of few rows of numbers; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def _regions(shared: DataFrame, least: DataFrame) -> DataFrame:
     """``pivot, id`` of the staged members (key, id) of buckets, without the pivots themselves.
 
     A document that shares fewer keys with all others than it would with one that it
     links to (``id, least``) is left out.
     """
-    known = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shares")).join(least, "id").where("shares >= least")
-    known = staged(known.select("id", (F.col("shares") * 2**20 + F.expr(f"pmod(xxhash64(id), {2**20})")).alias("rank")), "jaccard-ranks")
-    rated = shared.join(known, "id")
-    # A bucket's rows fold before they meet.
-    top = staged(rated.groupBy("key").agg(F.max("rank").alias("rank")), "jaccard-pivots")
-    chosen = rated.join(top, ["key", "rank"]).groupBy("key").agg(F.min("id").alias("pivot"))
-    return rated.join(chosen, "key").where("id <> pivot").select("pivot", "id").distinct()
+    counted = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shares")).join(least, "id")
+    rank = F.col("shares") * 2**20 + F.expr(f"pmod(xxhash64(id), {2**20})")
+    known = staged(counted.where("shares >= least").select("id", rank.alias("rank")), "jaccard-ranks")
+
+    def run(batches):
+        key = pivot = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = (batch.column(i).to_numpy() for i in (0, 1))
+            fresh = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), -1))
+            pivots = np.where(at >= 0, ids[np.maximum(at, 0)], 0 if pivot is None else pivot)
+            key, pivot = keys[-1], pivots[-1]
+            pairs = np.unique(np.stack([pivots, ids], axis=1)[ids != pivots], axis=0)
+            if len(pairs):
+                columns = [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["pivot", "id"])
+
+    # A bucket's rows pass in order, its pivot first; only the last pivot is carried on.
+    rated = shared.join(_few(known), "id").select("key", "id", "rank")
+    dealt = rated.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id")
+    return dealt.mapInArrow(run, "pivot bigint, id bigint").distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -211,8 +232,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                     [pa.array(strings(part, "id"), pa.int64()), pa.array(made, pa.binary())], schema=target
                 )
 
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
+    found = docs.join(_few(ids), "id", "left_semi").select("id", "text")
     return staged(found.mapInArrow(run, schema), "jaccard-sets")
 
 
@@ -358,7 +378,7 @@ def jaccard_groups(
     near = _to_pivots(crowded, sets, percent)
     direct = near.where("linked AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     units = staged(units.union(_ring_units(crowded, near, percent, region_docs, region_shingles)), "jaccard-units")
-    inner = _join_units(units.join(sets, "id").select("unit", "id", "hashes"), percent)
+    inner = _join_units(sets.join(_few(units), "id").select("unit", "id", "hashes"), percent)
 
     groups = components(copies.union(direct).union(inner))
     return sizes.join(groups, F.col("id") == F.col("node"), "left").select(
@@ -403,9 +423,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
         F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component")
     )
     touched = staged(counted.where("component <> __id OR n > 1").select("__id", "n", "component"), "jaccard-dropped")
-    if touched.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        touched = F.broadcast(touched)
-    met = docs.join(touched, F.col(id).cast("bigint") == F.col("__id"), "left")
+    met = docs.join(_few(touched), F.col(id).cast("bigint") == F.col("__id"), "left")
     single = met.where("__id IS NULL").select(*docs.columns)
     repeated = met.where("component = __id").select(*docs.columns).dropDuplicates([id])
     return single.unionByName(repeated)
