@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from hazegrid.llm.common import add_columns, strings
 
-#: Distinct chunks a worker keeps (about 400 bytes each).
-TABLE_CHUNKS = 500_000
+#: Distinct chunks a worker keeps (about 300 bytes each).
+TABLE_CHUNKS = 250_000
 #: Longer chunks are segmented where they stand and not kept.
 LONGEST_KEPT = 64
 MARK = "▁"
@@ -48,9 +48,10 @@ class ChunkTable:
         self.end = self.lib.eos_id()
         self.known: dict[str, tuple] = {}
 
-    def _entry(self, chunk: str, ids: list[int]) -> tuple:
+    def _entry(self, chunk: str, ids: list[int]) -> tuple[int, str, str]:
         # The library drops one leading space of what it decodes, the one it has added.
-        return ids, " ".join(map(str, ids)), " " + self.lib.decode(ids)
+        text = " " + self.lib.decode(ids)
+        return len(ids), " ".join(map(str, ids)), chunk if text == chunk else text
 
     def _learn(self, chunks) -> None:
         """Segment the chunks that are new; a chunk's first marker is the one the model adds."""
@@ -64,8 +65,8 @@ class ChunkTable:
                 ids = [self.lib.piece_to_id(MARK)]
             self.known[chunk] = self._entry(chunk, ids)
 
-    def entries(self, text: str | None) -> list[tuple]:
-        """Entries of the text's chunks in order: ids, their printed form, the text."""
+    def entries(self, text: str | None) -> list[tuple[int, str, str]]:
+        """Entries of the text's chunks in order: number of ids, the printed ids, the decoded text."""
         if not text:
             return []
         if MARK in text or "  " in text:
@@ -96,9 +97,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", column: str = "ids")
         def per_batch(batch):
             out = []
             for value in strings(batch, text):
-                ids = [i for entry in chunks.entries(value) for i in entry[0]]
-                ids.append(chunks.end)
-                out.append(ids)
+                printed = " ".join([e[1] for e in chunks.entries(value)])
+                out.append(np.array([*map(int, printed.split()), chunks.end], np.int32))
             return (out,)
 
         return per_batch
@@ -168,7 +168,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             counts, prints, texts = [], [], []
             for value in strings(batch, text):
                 entries = chunks.entries(value)
-                counts.append(sum([len(e[0]) for e in entries]) + 1)
+                counts.append(sum([e[0] for e in entries]) + 1)
                 printed = " ".join([e[1] for e in entries if e[1]] + [end])
                 prints.append(hashlib.sha256(printed.encode()).hexdigest())
                 decoded = "".join([e[2] for e in entries])[1:]

@@ -15,7 +15,6 @@ executor replaces what it has written.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -34,10 +33,8 @@ from hazegrid.session import new_path
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
 #: Distinct words and pre-tokens a worker keeps (about 200 bytes each).
-TABLE_WORDS = 800_000
+TABLE_WORDS = 600_000
 LONGEST_KEPT = 64
-#: A space beside other white space: the only place where a token could reach over a space's left side.
-_ODD = re.compile(r"\s | \s")
 _SIMPLE_ENDS = frozenset(".,;:!?")
 
 
@@ -53,7 +50,7 @@ class TokenTable:
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(path)
-        self.lib, self.model = lib, lib.model
+        self.lib, self.tokenize = lib, lib.model.tokenize
         self.find = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
@@ -62,21 +59,32 @@ class TokenTable:
         stand_in = {b: c for c, b in byte_alphabet().items()}
         self.letters = [stand_in[b] for b in range(256)]
 
+    def _encoded(self, stand_ins: str) -> bytes:
+        return array(self.kind, [p.id for p in self.tokenize(stand_ins)]).tobytes()
+
     def _token(self, token: str) -> bytes:
         if (found := self.tokens.get(token)) is None:
-            letters = self.letters
-            pieces_of = self.model.tokenize("".join([letters[b] for b in token.encode()]))
-            found = array(self.kind, [p.id for p in pieces_of]).tobytes()
+            found = self._encoded("".join(map(self.letters.__getitem__, token.encode())))
             if len(token) <= LONGEST_KEPT:
                 self.tokens[token] = found
         return found
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of letters with a space before them."""
+        if (found := self.words.get(word)) is None:
+            # ASCII letters stand for themselves in a byte-level vocabulary.
+            plain = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            found = self._encoded(self.letters[32] + plain)
+            if len(word) <= LONGEST_KEPT:
+                self.words[word] = found
+        return found
+
     def _word(self, word: str) -> bytes:
-        """Ids of a word with a space before it."""
+        """Ids of any word with a space before it."""
         if word.isalpha():
-            return self._token(" " + word)
+            return self._letters(word)
         if word[-1:] in _SIMPLE_ENDS and word[:-1].isalpha():
-            return self._token(" " + word[:-1]) + self._token(word[-1])
+            return self._letters(word[:-1]) + self._token(word[-1])
         return b"".join([self._token(t) for t in self.find(" " + word)])
 
     def ids(self, text: str | None) -> bytes:
@@ -85,20 +93,27 @@ class TokenTable:
         if len(self.words) + len(self.tokens) > TABLE_WORDS:
             self.words.clear()
             self.tokens.clear()
-        if _ODD.search(text):
-            return b"".join([self._token(t) for t in self.find(text)])
         first, *rest = text.split(" ")
-        words, out = self.words, [self._token(t) for t in self.find(first)]
-        try:
-            out += [words[w] for w in rest]
-        except KeyError:
-            for w in rest:
-                if (found := words.get(w)) is None:
-                    found = self._word(w)
+        if not rest or first[-1:].isspace():
+            return self._plain(text)
+        last = rest.pop()
+        words = self.words
+        out = list(map(words.get, rest))
+        if None in out:
+            for i, found in enumerate(out):
+                if found is None:
+                    w = rest[i]
+                    if not w or w[0].isspace() or w[-1].isspace():
+                        return self._plain(text)  # a space beside other white space
+                    out[i] = found = self._word(w)
                     if len(w) <= LONGEST_KEPT:
                         words[w] = found
-                out.append(found)
-        return b"".join(out)
+        if last[:1].isspace():
+            return self._plain(text)
+        return b"".join([self._plain(first), *out, self._plain(" " + last)])
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join([self._token(t) for t in self.find(text)])
 
 
 @lru_cache(2)
