@@ -38,10 +38,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``source``, ``lang``, the ids with the end id, and the text that they decode to."""
-    from hazegrid.llm.sentencepiece_codec import decode, encode
+    from hazegrid.llm.sentencepiece_codec import encode_decode
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return decode(encode(docs.select("doc_id", "source", "lang", "text"), model).drop("text"), model)
+    return encode_decode(docs.select("doc_id", "source", "lang", "text"), model).drop("text")
 
 
 STAGES = [

@@ -25,6 +25,7 @@ N = 10
 BROADCAST_WORDS = 2_000_000
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_LOWERED = {c: c + 32 for c in range(65, 91)}
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
@@ -203,7 +204,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", acti
                 cleaned = []
                 for value, spans in zip(strings(batch, text), strings(batch, "spans"), strict=True):
                     if spans:
-                        at = [m.span() for m in WORD.finditer(value)]
+                        at = [m.span() for m in WORD.finditer(value.translate(_LOWERED))]
                         for s in reversed(spans):
                             value = value[: at[s["first"]][0]] + value[at[s["last"]][1] :]
                     cleaned.append(value)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import field, pieces, staged, strings
+from hazegrid.llm.common import field, map_arrow, pieces, staged, strings
 from hazegrid.llm.components import components
 
 THRESHOLD = 0.98
@@ -95,7 +95,7 @@ def _classes(vectors: DataFrame, id: str, vector: str, label: str, n: int, cell:
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     rows = vectors.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
-    return rows.where("id IS NOT NULL AND label IS NOT NULL").mapInArrow(run, schema)
+    return map_arrow(rows.where("id IS NOT NULL AND label IS NOT NULL"), run, schema)
 
 
 def _piece(queries, others, same: bool, threshold: float, n: int):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import field, pieces, staged, strings
+from hazegrid.llm.common import field, map_arrow, pieces, staged, strings
 from hazegrid.llm.components import components
 from hazegrid.llm.shingles import mix, shingle_set
 
@@ -115,7 +115,7 @@ def _sizes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 columns = [part.column(0), sizes, pa.array(digests, pa.binary()), least]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         [pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"]
                     )
 
-    return docs.mapInArrow(run, "key bigint, id bigint")
+    return map_arrow(docs, run, "key bigint, id bigint")
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _buckets(entries: DataFrame) -> DataFrame:
 
     # Sorted by a shuffle on the key alone, so that equal keys are in one task.
     dealt = entries.repartition(F.col("key")).sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "key bigint, id bigint")
+    return map_arrow(dealt, run, "key bigint, id bigint")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _regions(shared: DataFrame, least: DataFrame) -> DataFrame:
     # A bucket's rows pass in order, its pivot first; only the last pivot is carried on.
     rated = shared.join(_few(known), "id").select("key", "id", "rank")
     dealt = rated.repartition(F.col("key")).sortWithinPartitions("key", F.desc("rank"), "id")
-    return dealt.mapInArrow(run, "pivot bigint, id bigint").distinct()
+    return map_arrow(dealt, run, "pivot bigint, id bigint").distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 )
 
     found = docs.join(_few(ids), "id", "left_semi").select("id", "text")
-    return staged(found.mapInArrow(run, schema), "jaccard-sets")
+    return staged(map_arrow(found, run, schema), "jaccard-sets")
 
 
 def _links(a: np.ndarray, b: np.ndarray, both, percent: int):
@@ -277,7 +277,7 @@ def _to_pivots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     dealt = left.union(right).repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "turn")
     kind = "pivot bigint, id bigint, distance double, linked boolean"
-    return staged(dealt.mapInArrow(run, kind), "jaccard-distances")
+    return staged(map_arrow(dealt, run, kind), "jaccard-distances")
 
 
 def join_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +333,7 @@ def _join_units(rows: DataFrame, percent: int) -> DataFrame:
         yield from joined()
 
     dealt = rows.repartition(F.col("unit")).sortWithinPartitions("unit")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(dealt, run, "a bigint, b bigint")
 
 
 def jaccard_groups(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import add_columns, field, pieces, small, staged, strings
+from hazegrid.llm.common import add_columns, field, map_arrow, pieces, small, staged, strings
 
 WIDTH = 3
 
@@ -61,7 +61,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return docs.select("id", "t", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("id", "t", "text"), run, schema)
 
 
 def later_windows(docs: DataFrame, width: int) -> DataFrame:

@@ -152,6 +152,26 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", column: str = "decoded
     return add_columns(docs, make, [(column, "string")])
 
 
+def encode_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` (the end id last) and ``decoded``, both from one look at the table."""
+
+    def make():
+        chunks = chunk_table(model)
+
+        def per_batch(batch):
+            ids, texts = [], []
+            for value in strings(batch, text):
+                entries = chunks.entries(value)
+                printed = " ".join([e[1] for e in entries])
+                ids.append(np.array([*map(int, printed.split()), chunks.end], np.int32))
+                texts.append("".join([e[2] for e in entries])[1:])
+            return ids, texts
+
+        return per_batch
+
+    return add_columns(docs, make, [("ids", "array<int>"), ("decoded", "string")])
+
+
 def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; nothing longer leaves the task.
 

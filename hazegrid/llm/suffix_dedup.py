@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import add_columns, field, pieces, small, staged, strings
+from hazegrid.llm.common import add_columns, field, map_arrow, pieces, small, staged, strings
 from hazegrid.llm.shingles import mix
 
 LENGTH = 200
@@ -146,7 +146,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                         [pa.array(np.concatenate(c)) for c in out], names=["gram", "run", "sides", "t", "place"]
                     )
 
-    return docs.mapInArrow(run, "gram bigint, run bigint, sides bigint, t bigint, place bigint")
+    return map_arrow(docs, run, "gram bigint, run bigint, sides bigint, t bigint, place bigint")
 
 
 def _repeated(rows: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
@@ -193,7 +193,7 @@ def _repeated(rows: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
             yield from judged([np.array([h]) for h in held], None)
 
     dealt = rows.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, *within)
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
 def _strings(docs: DataFrame, length: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _strings(docs: DataFrame, length: int) -> DataFrame:
                         [pa.array(np.concatenate(c)) for c in out], names=["name", "gram", "t", "first"]
                     )
 
-    return docs.mapInArrow(run, "name bigint, gram bigint, t bigint, first bigint")
+    return map_arrow(docs, run, "name bigint, gram bigint, t bigint, first bigint")
 
 
 def _merged(marks: DataFrame, length: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _merged(marks: DataFrame, length: int) -> DataFrame:
             yield out(*held)
 
     dealt = marks.repartition(F.col("t")).sortWithinPartitions("t", "first")
-    return dealt.mapInArrow(run, "t bigint, first bigint, last bigint")
+    return map_arrow(dealt, run, "t bigint, first bigint, last bigint")
 
 
 def repeated_spans(docs: DataFrame, text: str, length: int) -> DataFrame:

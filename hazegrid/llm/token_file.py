@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.llm.common import field, pieces, staged, strings
+from hazegrid.llm.common import field, map_arrow, pieces, staged, strings
 from hazegrid.llm.token_counts import byte_alphabet
 from hazegrid.session import new_path
 
@@ -244,7 +244,7 @@ def write_token_files(
         target = to_arrow_schema(manifest)
         yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(row, target, strict=True)], schema=target)
 
-    return staged(ordered.mapInArrow(run, manifest), "token-manifest")
+    return staged(map_arrow(ordered, run, manifest), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         ]
                         yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return files.mapInArrow(run, schema)
+    return map_arrow(files, run, schema)
 
 
 class SequenceFile:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import add_columns, staged, strings
+from hazegrid.llm.common import add_columns, map_arrow, staged, strings
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 40_000
@@ -173,7 +173,7 @@ def fit(
                     yield from flushed()
         yield from flushed()
 
-    counted = rows.mapInArrow(count, "token string, clean bigint, toxic bigint")
+    counted = map_arrow(rows, count, "token string, clean bigint, toxic bigint")
     counted = counted.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = staged(counted.where(f"token = '' OR toxic >= {LEAST_DOCS}"), "toxic-words")
     ends = counted.where("token = ''").first()
