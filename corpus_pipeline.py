@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hazegrid.llm.common import staged, table
 
@@ -16,10 +17,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of repeated windows of three lines; those that lose all lines go."""
+    """Texts without later occurrences of repeated windows of three lines; those that lose all lines but blank ones go."""
     from hazegrid.llm.line_dedup import dedup_lines
 
-    return dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''").select(*docs.columns)
+    # Blank lines always stay, so a text that has lost all others is not empty.
+    left = F.col("text").rlike("[^ \\n]")
+    return dedup_lines(docs).where((F.col("n_removed") == 0) | left).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,6 +130,20 @@ def test_lines(spark, frame):
     assert dedup_lines(frame([])).count() == 0
 
 
+def test_lines_in_pipeline(spark, frame):
+    """A copy whose paragraphs are parted by empty lines goes as a whole; texts that lost nothing stay."""
+    from corpus_pipeline import line_dedup
+
+    apart = "a line\n\n \nb line\n\nc line"
+    docs = [(1, apart), (2, apart), (3, f"\n{apart}\n  \n"), (4, f"{apart}\n\nan end"), (5, "a line\nb line\nc line"), (6, None),
+            (7, ""), (8, " \n\n"), (9, f"{apart}\n\t"), (10, f"q\n\n{apart}")]
+    rows = line_dedup(spark, frame(docs, "lang"), "").collect()
+    assert {(r.doc_id, r.text, r.lang) for r in rows} == {
+        (1, apart, "x"), (4, "\n \n\n\nan end", "x"), (6, None, "x"), (7, "", "x"), (8, " \n\n", "x"), (9, "\n \n\n\t", "x"),
+        (10, "q\n\n\n \n", "x"),
+    }
+
+
 # -- suffix dedup
 
 
