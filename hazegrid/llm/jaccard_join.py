@@ -22,6 +22,9 @@ one of the next class has keys for that as well.
    distances to the pivot of two that link differ by no more than ``1 - t``, so the
    others are cut into rings of that width and meet those of their own and the next
    ring only, two bounded blocks in a task.
+4. A ring of more than a few blocks is a region again, with a pivot of its own, as long
+   as that takes documents out of it. Only its meeting with the next ring stays one of
+   blocks.
 
 Buckets stream through the tasks in sorted order and are never collected.
 """
@@ -32,7 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +45,10 @@ from hazegrid.llm.shingles import mix, shingle_set
 
 #: Documents, and shingles, of a region or of two blocks that one task joins.
 REGION_DOCS, REGION_SHINGLES = 4096, 3_000_000
+#: Blocks of a ring that is not cut again, and how often a region is cut. What is left meets by blocks.
+RING_BLOCKS, LEVELS = 4, 8
+#: A pivot of its own that leaves more of a ring than this in one ring again is the last.
+LEFT_IN_RING = 0.95
 #: Ids (8 bytes each) up to which the documents to compare are found by broadcast.
 BROADCAST_IDS = 1_000_000
 #: Sets a task remembers to skip the keys of exact copies.
@@ -218,7 +225,10 @@ def _regions(shared: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``id, hashes``: the shingle sets of the rows with the staged distinct ``ids``, staged."""
+    """``id, hashes, row``: the shingle sets of the rows with the staged distinct ``ids``, staged.
+
+    ``row`` tells the sets of one id apart.
+    """
     schema = T.StructType([field("id", "bigint"), field("hashes", "binary")])
 
     def run(batches):
@@ -233,7 +243,12 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 )
 
     found = docs.join(_few(ids), "id", "left_semi").select("id", "text")
-    return staged(map_arrow(found, run, schema), "jaccard-sets")
+    return staged(map_arrow(found, run, schema).withColumn("row", F.xxhash64("hashes")), "jaccard-sets")
+
+
+def _chosen(sets: DataFrame, listed: DataFrame) -> DataFrame:
+    """The sets with the ids of ``listed`` (id, only): the set of that ``row``, or all if ``only`` is null."""
+    return sets.join(listed, "id").where("only IS NULL OR only = row")
 
 
 def _links(a: np.ndarray, b: np.ndarray, both, percent: int):
@@ -241,42 +256,46 @@ def _links(a: np.ndarray, b: np.ndarray, both, percent: int):
     return (union > 0) & (100 * both >= percent * union)
 
 
-def _to_pivots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pivot, id, distance, linked`` of each of the staged ``members`` (pivot, id), staged.
+def _to_pivots(members: DataFrame, centers: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``region, id, row, n, pivot, distance, linked`` of each set of the staged ``members``, staged.
 
-    The documents of a pivot stream past its set. A pivot of many is dealt to several
-    tasks, each of which gets its set.
+    ``members`` and the pivots ``centers`` are ``region, id, only``. The documents of a
+    region stream past its pivot's sets. A region of many is dealt to several tasks, each
+    of which gets them.
     """
-    counts = members.groupBy("pivot").agg(F.least(F.ceil(F.count(F.lit(1)) / 512), F.lit(4096)).alias("salts"))
-    salted = members.join(counts, "pivot").withColumn("salt", F.expr("pmod(xxhash64(id), salts)"))
-    left = salted.join(sets, "id").select("pivot", "salt", F.lit(1).alias("turn"), "id", "hashes")
-    right = counts.join(sets, F.col("pivot") == F.col("id")).select(
-        "pivot", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("turn"), "id", "hashes"
+    counts = members.groupBy("region").agg(F.least(F.ceil(F.count(F.lit(1)) / 512), F.lit(4096)).alias("salts"))
+    salted = members.join(counts, "region").withColumn("salt", F.expr("pmod(xxhash64(id, only), salts)"))
+    left = _chosen(sets, salted).select("region", "salt", F.lit(1).alias("turn"), "id", "row", "hashes")
+    right = _chosen(sets, centers.join(counts, "region")).select(
+        "region", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("turn"), "id", "row", "hashes"
     )
+    names = ["region", "id", "row", "n", "pivot", "distance", "linked"]
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()
 
     def run(batches):
         group, own = None, []
         for batch in batches:
-            out = [], [], [], []
-            for pivot, salt, turn, id, hashes in zip(*(strings(batch, c) for c in batch.schema.names), strict=True):
+            out = [[] for _ in names]
+            for region, salt, turn, id, row, hashes in zip(*(strings(batch, c) for c in batch.schema.names), strict=True):
                 hashes = np.frombuffer(hashes, np.uint64)
-                if (pivot, salt) != group:
-                    group, own = (pivot, salt), []
+                if (region, salt) != group:
+                    group, own = (region, salt), []
                 if turn == 0:
-                    own.append(hashes)
+                    own.append((id, hashes))
                     continue
-                for other in own:
+                for pivot, other in own:
                     both = len(np.intersect1d(hashes, other, assume_unique=True))
                     union = len(hashes) + len(other) - both
-                    made = pivot, id, 1 - both / union, 100 * both >= percent * union
+                    # A set without shingles, of an id that has others, is as far as can be.
+                    distance = 1 - both / union if union else 1.0
+                    made = region, id, row, len(hashes), pivot, distance, union > 0 and 100 * both >= percent * union
                     for column, v in zip(out, made, strict=True):
                         column.append(v)
-            kinds = pa.int64(), pa.int64(), pa.float64(), pa.bool_()
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "id", "distance", "linked"])
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    dealt = left.union(right).repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "turn")
-    kind = "pivot bigint, id bigint, distance double, linked boolean"
+    dealt = left.union(right).repartition(F.col("region"), F.col("salt")).sortWithinPartitions("region", "salt", "turn")
+    kind = "region bigint, id bigint, row bigint, n bigint, pivot bigint, distance double, linked boolean"
     return staged(map_arrow(dealt, run, kind), "jaccard-distances")
 
 
@@ -365,6 +384,7 @@ def jaccard_groups(
     least = known.groupBy("id").agg(F.min("least").alias("least"))
     pairs = staged(_regions(shared, least), "jaccard-regions")
     pivots = pairs.select("pivot", F.col("pivot").alias("id")).distinct()
+    every = F.lit(None).cast("bigint").alias("only")
     n = known.groupBy("id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     members = staged(pairs.union(pivots).join(n, "id"), "jaccard-members")
     region = members.groupBy("pivot").agg(F.sum("rows").alias("docs"), F.sum("n").alias("shingles"))
@@ -373,43 +393,65 @@ def jaccard_groups(
     sets = _sets(docs, staged(members.select("id").distinct(), "jaccard-ids"), width)
 
     whole = members.join(region.where("NOT large").select("pivot"), "pivot", "left_semi")
-    units = whole.select(F.xxhash64("pivot").alias("unit"), "id")
-    crowded = staged(members.join(region.where("large").select("pivot"), "pivot", "left_semi"), "jaccard-crowded")
-    near = _to_pivots(crowded, sets, percent)
-    direct = near.where("linked AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    units = staged(units.union(_ring_units(crowded, near, percent, region_docs, region_shingles)), "jaccard-units")
-    inner = _join_units(sets.join(_few(units), "id").select("unit", "id", "hashes"), percent)
-
-    groups = components(copies.union(direct).union(inner))
+    units = whole.select(F.xxhash64("pivot").alias("unit"), "id", every)
+    crowded = members.join(region.where("large").select("pivot"), "pivot", "left_semi")
+    crowded = staged(crowded.select(F.col("pivot").alias("region"), "id", every), "jaccard-crowded")
+    centers = region.where("large").select(F.col("pivot").alias("region"), F.col("pivot").alias("id"), every)
+    links = copies
+    for level in range(LEVELS):
+        near = _to_pivots(crowded, centers, sets, percent)
+        links = links.union(near.where("linked AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        made, left = _ring_units(near, percent, region_docs, region_shingles, level)
+        units = units.union(made)
+        if left is None:
+            break
+        crowded = staged(left, "jaccard-crowded")
+        own = F.min_by(F.struct("id", "only"), F.xxhash64("id", "only")).alias("own")
+        centers = staged(crowded.groupBy("region").agg(own).select("region", "own.*"), "jaccard-centers")
+    units = staged(units, "jaccard-units")
+    inner = _join_units(_chosen(sets, _few(units)).select("unit", "id", "hashes"), percent)
+
+    groups = components(links.union(inner))
     return sizes.join(groups, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 
-def _ring_units(members: DataFrame, near: DataFrame, percent: int, region_docs: int, region_shingles: int) -> DataFrame:
-    """``unit, id`` of pairs of blocks in the rings of large regions.
+def _ring_units(
+    near: DataFrame, percent: int, region_docs: int, region_shingles: int, level: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """``unit, id, only`` of pairs of blocks in the rings of large regions, and ``region, id, only`` of rings to cut again.
 
-    Ring 0 holds what links to the pivot. A document outside of it has the ring of its
-    distance; several rows of one id take the nearest.
+    Ring 0 holds what links to the pivot. A set outside of it has the ring of its
+    distance, to the nearest one where the pivot has several.
     """
     step = (100 - percent) / 100 + 1e-9
     ring = F.when(F.max("linked"), 0).otherwise(F.greatest(F.floor(F.min("distance") / step), F.lit(1)))
-    placed = near.groupBy("pivot", "id").agg(ring.cast("int").alias("ring"))
-    placed = placed.join(members, ["pivot", "id"])
-    blocks = placed.groupBy("pivot", "ring").agg(
-        F.ceil(F.greatest(F.sum("rows") * 2 / region_docs, F.sum("n") * 2 / region_shingles)).cast("int").alias("parts")
+    placed = near.groupBy("region", "id", "row").agg(
+        ring.cast("int").alias("ring"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")
+    )
+    blocks = placed.groupBy("region", "ring").agg(
+        F.ceil(F.greatest(F.sum("rows") * 2 / region_docs, F.sum("n") * 2 / region_shingles)).cast("int").alias("parts"),
+        F.sum("rows").alias("rows"),
     )
-    blocks = staged(blocks, "jaccard-rings")
-    placed = placed.join(blocks, ["pivot", "ring"]).withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
-    every = blocks.select("pivot", "ring", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    # The first pivot was chosen for its whole region; one of the ring's own may take more out of it.
+    share = F.col("rows") / F.sum("rows").over(Window.partitionBy("region"))  # one row a ring
+    again = (F.col("ring") > 0) & (F.col("parts") > RING_BLOCKS) & (F.lit(level == 0) | (share <= LEFT_IN_RING))
+    blocks = staged(blocks.withColumn("again", again & F.lit(level + 1 < LEVELS)).drop("rows"), "jaccard-rings")
+    placed = placed.join(blocks, ["region", "ring"]).withColumn("part", F.expr("pmod(xxhash64(id, row), parts)"))
+    every = blocks.select("region", "ring", "again", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     ahead = every.withColumn("to", F.explode(F.array(F.col("ring"), F.col("ring") + 1)))
-    others = every.select("pivot", F.col("ring").alias("to"), F.col("part").alias("to_part"))
-    met = ahead.join(others, ["pivot", "to"]).where("to > 0 AND (ring < to OR part <= to_part)")
-    met = met.withColumn("unit", F.xxhash64("pivot", "ring", "part", "to", "to_part"))
-    sides = met.select("pivot", "ring", "part", "unit").union(
-        met.where("ring <> to OR part <> to_part").select("pivot", F.col("to").alias("ring"), F.col("to_part").alias("part"), "unit")
+    others = every.select("region", F.col("ring").alias("to"), F.col("part").alias("to_part"))
+    met = ahead.join(others, ["region", "to"]).where("to > 0 AND (ring < to OR part <= to_part AND NOT again)")
+    met = met.withColumn("unit", F.xxhash64("region", "ring", "part", "to", "to_part"))
+    sides = met.select("region", "ring", "part", "unit").union(
+        met.where("ring <> to OR part <> to_part").select("region", F.col("to").alias("ring"), F.col("to_part").alias("part"), "unit")
     )
-    return placed.join(sides, ["pivot", "ring", "part"]).select("unit", "id")
+    only = F.col("row").alias("only")
+    units = placed.join(sides, ["region", "ring", "part"]).select("unit", "id", only)
+    if blocks.where("again").isEmpty():
+        return units, None
+    return units, placed.where("again").select(F.xxhash64("region", "ring").alias("region"), "id", only)
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

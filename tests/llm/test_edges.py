@@ -218,6 +218,67 @@ def test_jaccard_small(spark, frame, monkeypatch):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 6, 7, 8] and kept[0].lang == "x"
 
 
+def in_one_region(monkeypatch):
+    """All ids belong to the region of document 1; returns where the units of the joins are counted."""
+    from pyspark.sql import functions as F
+
+    from hazegrid.llm import jaccard_join
+
+    join, counts = jaccard_join._join_units, []
+
+    def counted(rows, percent):
+        counts.append(rows.select("unit").distinct().count())
+        return join(rows, percent)
+
+    def regions(shared, least):
+        return least.where("id <> 1").select(F.lit(1).cast("bigint").alias("pivot"), "id")
+
+    monkeypatch.setattr(jaccard_join, "_join_units", counted)
+    monkeypatch.setattr(jaccard_join, "_regions", regions)
+    return counts
+
+
+@pytest.mark.parametrize("empty", [[], [(7, None), (1, "")]])
+def test_jaccard_repeated_id_in_rings(spark, frame, monkeypatch, empty):
+    """One text of document 7 links to the pivot, the other is far from it and links to document 9."""
+    from hazegrid.llm.jaccard_join import jaccard_groups
+
+    in_one_region(monkeypatch)
+    near = [f"w{i}" for i in range(100)]
+    far = near[:40] + [f"v{i}" for i in range(60)]
+    docs = [(1, near), (7, [*near, "x"]), (7, far), (9, [*far, "y"]), (10, far[30:]), (11, far[40:] + near[:9])]
+    rows = jaccard_groups(frame([*[(i, " ".join(t)) for i, t in docs], *empty]), region_docs=2).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (7, 1), (9, 1), (10, 10), (11, 11)}
+    assert len(rows) == len(docs) + len(empty)
+
+
+def test_jaccard_far_ring(spark, frame, monkeypatch):
+    """Groups far from the pivot are parted by pivots of their own, not by pairs of all blocks."""
+    import random
+    from itertools import combinations
+
+    from hazegrid.llm.jaccard_join import jaccard_groups
+
+    counts, rng = in_one_region(monkeypatch), random.Random(4)
+    docs = [(1, " ".join(f"p{i}" for i in range(60)))]
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(14):
+            words = list(base)
+            words[rng.randrange(60)] = f"n{rng.randrange(5000)}"
+            docs.append((2 + len(docs), " ".join(words)))
+            base = words if rng.random() < 0.3 else base
+    docs += [(docs[k][0], docs[k + 14][1] + " end") for k in (3, 17)]  # ids of two groups each
+    rows = jaccard_groups(frame(docs), region_docs=4).collect()
+    groups, sets = brute.Groups([i for i, _ in docs]), [(i, brute.shingles(t, 4)) for i, t in docs]
+    for (i, a), (j, b) in combinations(sets, 2):
+        if 100 * len(a & b) >= 85 * len(a | b):
+            groups.join(i, j)
+    assert {(r.doc_id, r.component_id) for r in rows} == {(i, groups.find(i)) for i, _ in docs}
+    assert len(rows) == len(docs) and len({r.component_id for r in rows}) > 3
+    assert counts[0] < 150  # 56 documents in blocks of two: some 300 pairs of blocks
+
+
 # -- toxicity
 
 
