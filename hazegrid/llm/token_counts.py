@@ -13,6 +13,7 @@ The vocabulary is that of a ``tokenizers`` file whose entries mark a word's end
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import regex
 from pyspark.sql import DataFrame
@@ -86,7 +87,7 @@ class LongestMatch:
 
 
 class WordCounter:
-    """Words of a text and their pieces, by the file's own splitting pattern."""
+    """Words of a text and their pieces, by the file's own normal form and splitting pattern."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -100,12 +101,16 @@ class WordCounter:
             entries.append((*[alphabet[c] for c in body], *([END] if ended else [])))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
+        normalizer = spec.get("normalizer") or {}
+        self.composed = any(n["type"] == "NFC" for n in normalizer.get("normalizers", [normalizer]) if n)
         self.automaton = LongestMatch(entries)
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> tuple[int, int]:
         if not text:
             return 0, 0
+        if self.composed and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         words = self.find(text.lower())
         known = self.known
         try:
@@ -128,9 +133,10 @@ class WordCounter:
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words`` and ``n_tokens``.
 
-    Texts are lower-cased and split by the vocabulary file's pattern, white space is
-    dropped; a word that the greedy way cannot segment counts as one piece. Null and
-    empty texts have no words. Input columns of the two names are replaced.
+    Texts are composed (NFC) if the vocabulary file lists that, lower-cased and split by
+    its pattern, white space is dropped; a word that the greedy way cannot segment counts
+    as one piece. The strings of added tokens (``<|endoftext|>``) are ordinary text. Null
+    and empty texts have no words. Input columns of the two names are replaced.
     """
 
     def make():

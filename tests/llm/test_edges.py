@@ -429,3 +429,20 @@ def test_counts(spark, frame):
     small = LongestMatch([tuple(b"abc"), tuple(b"ab"), tuple(b"c"), tuple(b"b"), tuple(b"cde"), (*b"d", 256)])
     assert small.count([*b"abcd", 256]) == 2 and small.count([*b"abz"]) is None and small.count([*b"abcde"]) is None
     assert small.count([*b"abb"]) == 2 and small.count([]) == 0
+
+
+def test_counts_composed(spark, frame):
+    """Letters with combining marks count as the composed ones do; strings of added tokens are ordinary text."""
+    import unicodedata
+
+    from hazegrid.llm.token_counts import WordCounter, count_tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Café Été naïve Ångström", "Tiếng Việt", "한국어", "a <|endoftext|> b"]
+    docs = [(2 * i + k, unicodedata.normalize(form, t)) for i, t in enumerate(texts) for k, form in enumerate(("NFC", "NFD"))]
+    rows = {r.doc_id: (r.n_words, r.n_tokens) for r in count_tokens(frame(docs), path).collect()}
+    find = WordCounter(path).find
+    for i, t in enumerate(texts):
+        words = find(t.lower())
+        assert rows[2 * i] == rows[2 * i + 1] == (len(words), sum(brute.greedy_pieces(path, w) for w in words))
+    assert rows[0][0] == 4 and rows[6][0] == 5
