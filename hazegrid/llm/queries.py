@@ -192,3 +192,39 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+@query(
+    "op11_topk_search",
+    """
+    WITH entries AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    v AS (SELECT vec_id, i, floor(256 * e)::BIGINT AS x FROM entries
+          WHERE vec_id IN (SELECT vec_id FROM entries GROUP BY vec_id HAVING count(*) = count(e) AND bool_and(isfinite(e)))),
+    scores AS (
+      SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+      FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id)
+    SELECT query_id, rank, vec_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+    WHERE rank <= 5""",
+)
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazegrid.llm.topk_search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    found = top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    return found.withColumn("score", F.col("score").try_cast("bigint"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazegrid.llm.spelling import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazegrid.llm.whitening import whiten
+
+    # A deviation that no long holds is null.
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))

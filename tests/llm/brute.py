@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -128,3 +130,79 @@ def leaks(text, items, n):
                 found.add(k)
                 hit.update(range(a, a + size))
     return (found, hit) if found else ()
+
+
+def fixed(vector):
+    """``floor(256 * c)`` of each component, or None."""
+    if vector is None or any(c is None or not math.isfinite(c) for c in vector):
+        return None
+    return [math.floor(256 * float(c)) for c in vector]
+
+
+def top_scores(rows, queries, k):
+    """rows, queries: ``(id, vector)``; for each query its ``k`` best ``(score, id)``."""
+    good = [(i, x) for i, v in rows if (x := fixed(v)) is not None]
+    out = []
+    for own, v in queries:
+        if (x := fixed(v)) is not None:
+            met = [(-sum(a * b for a, b in zip(x, y)), i is None, i) for i, y in good if len(y) == len(x) and (own is None or i != own)]
+            out.append((own, [(-s, i) for s, _, i in sorted(met, key=lambda t: (t[0], t[1], t[2] or 0))[:k]]))
+    return out
+
+
+def whitened(rows, components):
+    """rows: ``(id, vector)`` of one length; ``id -> (n, deviation, whitened, explained)`` and the eigenvalues."""
+    from fractions import Fraction
+
+    good = [(i, x) for i, v in rows if (x := fixed(v))]
+    fit = sorted({tuple(x) for _, x in good})
+    n, d = len(fit), len(fit[0])
+    sums = [sum(x[k] for x in fit) for k in range(d)]
+    mean = [Fraction(s, n) for s in sums]
+    v = np.array([[float(sum((x[a] - mean[a]) * (x[b] - mean[b]) for x in fit) / n) for b in range(d)] for a in range(d)])
+    values, vectors = np.linalg.eigh(v)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    out = []
+    for i, x in good:
+        apart = np.array([float(c - m) for c, m in zip(x, mean)])
+        out.append((i, n, sum((n * c - s) ** 2 for c, s in zip(x, sums)), apart @ vectors / np.sqrt(values), values / np.trace(v)))
+    return out, values
+
+
+def variants(docs, min_length=7, min_count=2, ratio=10, drop_every=31):
+    """docs: ``(id, text)``; ``word -> (form, root, n, n_near, form_n)``."""
+    counts = Counter()
+    for key, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'null' if key is None else key}:{run}".encode())
+            if h % drop_every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= min_length and n >= min_count}
+    near = {w: [] for w in words}
+    # One edit apart: one of the two without a letter, or both without the same one.
+    holes = defaultdict(set)
+    for w in words:
+        for k in range(len(w)):
+            holes[w[:k], w[k + 1 :]].add(w)
+    for w in words:
+        met = {x for k in range(len(w)) for x in holes[w[:k], w[k + 1 :]]}
+        met |= {w[:k] + w[k + 1 :] for k in range(len(w))} & words.keys()
+        met.discard(w)
+        for x in met:
+            near[w].append(x)
+            if len(x) < len(w):
+                near[x].append(w)
+    near = {w: set(xs) for w, xs in near.items()}
+    forms = {}
+    for w, xs in near.items():
+        best = min(xs, key=lambda x: (-words[x], x), default=None)
+        forms[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    out = {}
+    for w in words:
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        out[w] = forms[w], root, words[w], len(near[w]), words.get(forms[w])
+    return out
