@@ -34,7 +34,8 @@ def shares(weight: str = "1") -> str:
 # Half-hour hexagon table used by the daily rollups: the sensor's own small cell.
 def cells_table(spark, d):
     f = D.flagged(spark, d).where("source = 'AQ'").withColumnRenamed("sensor_id", "hexagon_id")
-    return calendar_features(A.cell_stats(f, "hexagon_id", "thirtymins", "pm"), "thirtymins")
+    # Nothing that is rolled up reads a cell's median.
+    return calendar_features(A.cell_stats(f, "hexagon_id", "thirtymins", "pm", quantiles={}), "thirtymins")
 
 
 CELLS = """SELECT sensor_id AS hexagon_id, thirtymins, thirtymins::DATE AS "Daily", harmful, not_harmful,
@@ -75,7 +76,8 @@ def summary_value_mode_hot(spark, d):
     "sum, mean",
 )
 def summary_rollup_mode(spark, d):
-    per_sensor = A.summarize(D.flagged(spark, d), ["Daily"], ["sensor_id"], value="pm")
+    # Sums, counts and maxima of the sensors' days; no median is read.
+    per_sensor = A.grouped_stats(D.flagged(spark, d), ["Daily", "sensor_id"], "pm", ("sum", "count", "max"), {})
     return A.summarize(per_sensor, ["Daily"], [], ["sum", "count"], ["max"])
 
 
@@ -287,7 +289,23 @@ def group_mean_median(spark, d):
     "F, O",
 )
 def group_rates(spark, d):
-    return A.group_rates(D.table(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus")
+    return A.group_rates(D.table(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus", ["F", "O"])
+
+
+@register(
+    "group_rate_vectors",
+    """WITH numbered AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS i
+                         FROM (SELECT DISTINCT l_partkey FROM lineitem)),
+       rates AS (SELECT l_returnflag, i, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS rate
+                 FROM lineitem JOIN numbered USING (l_partkey) GROUP BY l_returnflag, i)
+       SELECT l_returnflag, (SELECT count(*) FROM numbered) AS size, i AS index, rate FROM rates""",
+    {"rate": 9},
+)
+def group_rate_vectors(spark, d):
+    """One sparse vector a group, over more outcomes than a table could have columns."""
+    made, _ = A.group_rate_vectors(D.table(spark, d, "lineitem"), ["l_returnflag"], "l_partkey")
+    entries = F.explode(F.arrays_zip("rates.indices", "rates.values")).alias("e")
+    return made.select("l_returnflag", "rates.size", entries).select("l_returnflag", "size", F.col("e.indices").alias("index"), F.col("e.values").alias("rate"))
 
 
 @register(

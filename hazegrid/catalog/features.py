@@ -60,35 +60,102 @@ _DRAW = "(l_orderkey * 7919 + l_linenumber) % 100 < 80"
 
 
 @register(
-    "random_split",
+    "split_by",
     f"""SELECT l_orderkey, l_linenumber, CASE WHEN {_DRAW} THEN 'train' ELSE 'test' END AS part FROM lineitem""",
 )
-def random_split(spark, d):
+def split_by(spark, d):
     rows = D.table(spark, d, "lineitem").select(*KEY)
     return both(*M.split_by(rows, F.expr(_DRAW)))
 
 
+def _counted(df):
+    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
+def _differing(a, b):
+    return _counted(a.exceptAll(b)) + _counted(b.exceptAll(a))
+
+
+@register(
+    "random_split",
+    """SELECT l_quantity, l_returnflag, count(*) AS n, (SELECT ceil(count(*) * 0.3)::BIGINT FROM lineitem) AS n_test,
+              TRUE AS repeated, TRUE AS seeds_differ, TRUE AS spread FROM lineitem GROUP BY ALL""",
+)
+def random_split(spark, d):
+    """Rows of which many are equal, drawn each: exact size, whatever the partitions, and the table again."""
+    rows = D.table(spark, d, "lineitem").select("l_quantity", "l_returnflag")
+    train, test = M.random_split(rows, 0.3, 7)
+    _, again = M.random_split(rows.repartition(5), 0.3, 7)
+    _, other = M.random_split(rows, 0.3, 8)
+    shares = both(train, test).groupBy("l_quantity", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("part") == "test").cast("int")).alias("share")
+    )
+    return shares.select(
+        "l_quantity",
+        "l_returnflag",
+        "n",
+        _counted(test).alias("n_test"),
+        (_differing(test, again) == 0).alias("repeated"),
+        (_differing(test, other) > 0).alias("seeds_differ"),
+        # Copies of a row are not drawn together.
+        ((F.col("n") < 40) | F.col("share").between(0.05, 0.7)).alias("spread"),
+    )
+
+
 @register(
     "random_split_hashed",
-    """SELECT l_orderkey, l_linenumber, TRUE AS repeated, TRUE AS share, TRUE AS seeds_differ FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, (SELECT ceil(count(*) * 0.3)::BIGINT FROM lineitem) AS n_test,
+              TRUE AS repeated, TRUE AS seeds_differ FROM lineitem""",
 )
 def random_split_hashed(spark, d):
-    """The library's own draw: two parts make up the table, the share is kept, one seed repeats its draw."""
+    """The draw by a key: exact size, two parts make up the table, one seed repeats its draw."""
     rows = D.table(spark, d, "lineitem").select(*KEY)
     (train, test), (_, again), (_, other) = (M.random_split(rows, 0.3, seed, KEY) for seed in (7, 7, 8))
-
-    def counted(df):
-        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
-
-    share = counted(test) / counted(rows)
     return both(train, test).select(
         *KEY,
-        (counted(test.exceptAll(again)) + counted(again.exceptAll(test)) == 0).alias("repeated"),
-        (F.abs(share - 0.3) < 0.02).alias("share"),
-        (counted(test.exceptAll(other)) > 0).alias("seeds_differ"),
+        _counted(test).alias("n_test"),
+        (_differing(test, again) == 0).alias("repeated"),
+        (_differing(test, other) > 0).alias("seeds_differ"),
     )
 
 
+_VECTORS = """
+    WITH train AS (SELECT * FROM lineitem WHERE l_orderkey % 3 <> 0),
+    parts AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS i FROM (SELECT DISTINCT l_partkey FROM train)),
+    flags AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 + (SELECT count(*) FROM parts) AS i
+              FROM (SELECT DISTINCT l_returnflag FROM train))"""
+
+
+@register(
+    "one_hot_vector",
+    f"""{_VECTORS}
+        SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 <> 0 THEN 'train' ELSE 'test' END AS part,
+               (SELECT count(*) FROM parts) + (SELECT count(*) FROM flags) AS size, concat_ws(',', p.i, f.i) AS ones
+        FROM lineitem l LEFT JOIN parts p USING (l_partkey) LEFT JOIN flags f USING (l_returnflag)""",
+)
+def one_hot_vector(spark, d):
+    """Sparse vectors over more categories than a table could have columns; test has some that train lacks."""
+    rows = D.table(spark, d, "lineitem").select(*KEY, "l_partkey", "l_returnflag")
+    train, test = M.split_by(rows, F.expr("l_orderkey % 3 <> 0"))
+    made = both(*M.one_hot_vector(train, test, ["l_partkey", "l_returnflag"])[:2])
+    # A sparse vector as text is (size,[indices],[ones]).
+    text = F.col("encoded").cast("string")
+    size = F.regexp_extract(text, r"^\((\d+),", 1).cast("bigint")
+    return made.select(*KEY, "part", size.alias("size"), F.regexp_extract(text, r"\[([^\]]*)\]", 1).alias("ones"))
+
+
+@register("one_hot_encoder_vector", """
+    WITH parts AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS i FROM (SELECT DISTINCT l_partkey FROM lineitem))
+    SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM parts) AS size, i::VARCHAR AS ones FROM lineitem JOIN parts USING (l_partkey)""")
+def one_hot_encoder_vector(spark, d):
+    """Fit and transform over the part numbers."""
+    rows = D.table(spark, d, "lineitem").select(*KEY, "l_partkey")
+    text = F.col("encoded").cast("string")
+    made = M.OneHotEncoder(["l_partkey"]).fit(rows).transform_vector(rows)
+    size = F.regexp_extract(text, r"^\((\d+),", 1).cast("bigint")
+    return made.select(*KEY, size.alias("size"), F.regexp_extract(text, r"\[([^\]]*)\]", 1).alias("ones"))
+
+
 @register(
     "one_hot_map",
     """WITH train AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0)

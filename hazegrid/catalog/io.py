@@ -16,28 +16,30 @@ EVENT_ROWS = "event_id bigint, sensor_id bigint, pm double, time timestamp_ntz,
 EVENTS_SQL = with_tables(
     "readings",
     """SELECT event_id, sensor_id, pm, date_trunc('second', time) AS time,
-              'a "' || source || '", or so' AS note FROM readings""",
+              'a "' || source || '",' || chr(10) || ' or so' AS note FROM readings""",
 )
 
 
 def _rows(spark, d):
-    note = F.concat(F.lit('a "'), F.col("source"), F.lit('", or so'))
+    note = F.concat(F.lit('a "'), F.col("source"), F.lit('",\n or so'))
     seconds = F.to_timestamp_ntz(F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
     return D.readings(spark, d).select(
         "event_id", "sensor_id", "pm", seconds.alias("time"), note.alias("note")
     )
 
 
-@register("csv_scan", "SELECT * FROM customer")
+@register("csv_scan", "SELECT *, c_name || chr(10) || c_mktsegment AS c_label FROM customer")
 def csv_scan(spark, d):
+    """One text of two lines."""
     path, customers = new_path(spark, "csv-scan"), D.table(spark, d, "customer")
-    tables.write_csv(customers, path)
-    return files.read_csv(spark, path, customers.schema)
+    labelled = customers.withColumn("c_label", F.concat_ws("\n", "c_name", "c_mktsegment"))
+    tables.write_csv(labelled, path)
+    return files.read_csv(spark, path, labelled.schema)
 
 
 @register("csv_sink", EVENTS_SQL)
 def csv_sink(spark, d):
-    """Quotes, commas and missing values survive the text form."""
+    """Quotes, commas, line breaks and missing values survive the text form."""
     path = new_path(spark, "csv-sink")
     tables.write_csv(_rows(spark, d), path)
     return files.read_csv(spark, path, EVENT_ROWS)
@@ -95,6 +97,23 @@ def json_records_scan(spark, d):
     )
 
 
+@register(
+    "json_records_split",
+    with_tables("readings", "SELECT event_id, pm, source FROM readings"),
+)
+def json_records_split(spark, d):
+    """All records in one payload of one file, read by several tasks."""
+    path = new_path(spark, "json-payload")
+    texts = D.readings(spark, d).select("event_id", F.to_json(F.struct("event_id", "pm", "source")).alias("value"))
+    led = F.when(F.col("event_id") == texts.agg(F.min("event_id")).scalar(), '{"count": 1, "Data": [').otherwise(", ")
+    # One file on purpose: its end closes the payload.
+    ordered = texts.select("event_id", F.concat(led, "value").alias("value")).union(
+        spark.createDataFrame([(2**62, "]}")], "event_id bigint, value string")
+    )
+    ordered.coalesce(1).sortWithinPartitions("event_id").select("value").write.option("lineSep", "\n").text(path)
+    return files.read_json_records(spark, path, "struct<event_id: bigint, pm: double, source: string>", split=True)
+
+
 @register(
     "json_dynamic_fields",
     with_tables(

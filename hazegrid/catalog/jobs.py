@@ -46,9 +46,10 @@ def tagged_points(spark, d):
     return materialize(tag_points(spark, d))
 
 
-def by_hexagon(spark, d, tagged=None):
+def by_hexagon(spark, d, tagged=None, hexagons=None):
     """Half-hour hexagon table as the daily tables read it, without its medians."""
-    tagged = tagged or tag_points(spark, d)
+    if tagged is None:
+        tagged = community.tag_points(D.community_points(spark, d), hexagons=hexagons or D.hexagons(spark, d))
     cells = A.cell_stats(tagged, "hexagon_id", "thirtymins", "value", quantiles={})
     return calendar_features(cells, "thirtymins")
 
@@ -62,9 +63,13 @@ def purpleair_daily(spark, d):
     return S.purpleair_daily(clean, FIRST_DAY, quantiles={})
 
 
-def neighborhood_rows(spark, d, tagged=None):
+def neighborhood_rows(spark, d, tagged=None, blocks=None, known=None):
     """Neighborhood table as the drilldowns read it, without its medians."""
-    return community.neighborhood_table(tagged or tag_points(spark, d), quantiles={})
+    if tagged is None:
+        known = known or D.sensors(spark, d)
+        areas = D.neighborhoods(spark, d, known)
+        tagged = community.tag_points(D.community_points(spark, d), blocks or D.blocks(spark, d, known), areas)
+    return community.neighborhood_table(tagged, quantiles={})
 
 
 HEX = {
@@ -236,17 +241,36 @@ NEAR = {
 }
 
 
+def _near_sql(boxes: str) -> str:
+    """Cells of the hexagons that touch a network's squares."""
+    ctes = ", ".join(f"{name} AS ({sql})" for name, sql in {**TOUCH_SQL, "boxes": boxes}.items())
+    return f"SELECT * FROM (WITH {ctes} SELECT * FROM cells WHERE hexagon_id IN (SELECT pid FROM touching)) AS near"
+
+
+_ADDRESSES = f"""SELECT address AS site_number, {_BOX.format(lon='lon', lat='lat')}
+                 FROM (SELECT DISTINCT address, lon, lat FROM pa_typed)"""
+
+
+def near_networks(spark, d, hexagons):
+    """Hexagons near the sensors of the two networks."""
+    return {
+        "EPA": compare.hexagons_near(station_squares(spark, d), ["value_represented", "longitude", "latitude"], hexagons),
+        "PA": compare.hexagons_near(address_squares(spark, d), ["address", "lon", "lat"], hexagons),
+    }
+
+
 @register(
     "near_sensor_daily",
     job_sql(f"SELECT * FROM ({cell_rollup_sql('near_cells')})", **NEAR),
     "sum, mean, harmful, not_harmful, harmful_hex, not_harmful_hex",
 )
 def near_sensor_daily(spark, d):
+    hexagons = D.hexagons(spark, d)
     return compare.near_sensor_daily(
-        by_hexagon(spark, d),
+        by_hexagon(spark, d, hexagons=hexagons),
         station_squares(spark, d),
         ["value_represented", "longitude", "latitude"],
-        D.hexagons(spark, d),
+        hexagons,
     )
 
 
@@ -271,14 +295,32 @@ def address_squares(spark, d):
     "sum, mean, harmful, not_harmful, harmful_hex, not_harmful_hex",
 )
 def near_sensor_daily_purpleair(spark, d):
+    hexagons = D.hexagons(spark, d)
     return compare.near_sensor_daily(
-        by_hexagon(spark, d),
+        by_hexagon(spark, d, hexagons=hexagons),
         address_squares(spark, d),
         ["address", "lon", "lat"],
-        D.hexagons(spark, d),
+        hexagons,
     )
 
 
+@register(
+    "scoped_daily_rollup",
+    job_sql(
+        f"""SELECT 'all' AS scope, * FROM ({cell_rollup_sql('cells')})
+            UNION ALL SELECT 'EPA', * FROM ({cell_rollup_sql('near_epa')})
+            UNION ALL SELECT 'PA', * FROM ({cell_rollup_sql('near_pa')})""",
+        near_epa=_near_sql(STATIONS),
+        near_pa=_near_sql(_ADDRESSES),
+    ),
+    "sum, mean, harmful, not_harmful, harmful_hex, not_harmful_hex",
+)
+def scoped_daily_rollup(spark, d):
+    """All hexagons and those near each network, rolled up together."""
+    hexagons = D.hexagons(spark, d)
+    return compare.scoped_daily_rollup(by_hexagon(spark, d, hexagons=hexagons), near_networks(spark, d, hexagons))
+
+
 def comparison(spark, d, aq=AQ_SUPPORT, epa=EPA_SUPPORT, pa=PA_SUPPORT):
     """Daily comparison of the three networks over all hexagons."""
     e, p, a = compare.daily_by_source(
@@ -442,8 +484,10 @@ def neighborhood_points(spark, d):
     ),
 )
 def neighborhood_blocks(spark, d):
-    rows = neighborhood_rows(spark, d)
-    shown = neighborhood.neighborhood_blocks(rows, "MonthYear", D.blocks(spark, d))
+    known = D.sensors(spark, d)
+    blocks = D.blocks(spark, d, known)
+    rows = neighborhood_rows(spark, d, blocks=blocks, known=known)
+    shown = neighborhood.neighborhood_blocks(rows, "MonthYear", blocks)
     return shown.withColumn("corners", F.size(F.col("rings")[0])).drop("rings")
 
 
@@ -668,16 +712,6 @@ def network_refresh(spark, d):
     return out
 
 
-def _near_sql(boxes: str) -> str:
-    """Cells of the hexagons that touch a network's squares."""
-    ctes = ", ".join(f"{name} AS ({sql})" for name, sql in {**TOUCH_SQL, "boxes": boxes}.items())
-    return f"SELECT * FROM (WITH {ctes} SELECT * FROM cells WHERE hexagon_id IN (SELECT pid FROM touching)) AS near"
-
-
-_ADDRESSES = f"""SELECT address AS site_number, {_BOX.format(lon='lon', lat='lat')}
-                 FROM (SELECT DISTINCT address, lon, lat FROM pa_typed)"""
-
-
 def _dashboard_sql(name: str, networks: tuple[str, ...]) -> list[str]:
     """Row count and total of each dataset made from one comparison table."""
     flag = "TRUE" if name != "aq" else "FALSE"
@@ -760,18 +794,13 @@ def report_dataset(spark, d):
     cells, e = materialize(by_hexagon(spark, d, tagged)), materialize(epa_daily(spark, d))
     p = materialize(purpleair_daily(spark, d))
     hexagons = D.hexagons(spark, d)
-    near_epa = compare.near_sensor_daily(
-        cells, station_squares(spark, d), ["value_represented", "longitude", "latitude"], hexagons
-    )
-    near_pa = compare.near_sensor_daily(
-        cells, address_squares(spark, d), ["address", "lon", "lat"], hexagons
-    )
+    scoped = materialize(compare.scoped_daily_rollup(cells, near_networks(spark, d, hexagons)))
+    near = {scope: scoped.where(F.col("scope") == scope).drop("scope") for scope in ("all", "EPA", "PA")}
     support = ({"count": 1, "hex_ct": 1}, {"count": 1}, {"count": 1})
     days = compare.site_daily_rollup(e), compare.site_daily_rollup(p)
     combined = {
-        "aq": materialize(compare.daily_comparison(compare.hexagon_daily_rollup(cells), *days, *support)),
-        "near_epa": materialize(compare.daily_comparison(near_epa, *days, *support)),
-        "near_pa": materialize(compare.daily_comparison(near_pa, *days, *support)),
+        name: materialize(compare.daily_comparison(near[scope], *days, *support))
+        for name, scope in (("aq", "all"), ("near_epa", "EPA"), ("near_pa", "PA"))
     }
     rows = materialize(neighborhood_rows(spark, d, tagged))
     summary = A.neighborhood_summary(calendar_features(rows, "thirtymins"), "pri_neigh", "Daily")

@@ -7,7 +7,8 @@ document is scanned once; a hit of the hash is verified word by word.
 
 The set is broadcast while the benchmark has at most ``BROADCAST_WORDS`` words.
 A larger one is joined: both sides emit their windows' 128-bit hashes and meet in a
-shuffle join.
+shuffle join. An item's window brings its words along, and what has met is compared with
+the document's words, so no hit rests on a hash alone.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from hazegrid.llm.common import add_columns, strings
 N = 10
 #: Words of the benchmark up to which its windows are broadcast (about 100 bytes each).
 BROADCAST_WORDS = 2_000_000
+#: Bytes of the hash by which the windows of a larger one meet.
+HASH_BYTES = 16
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWERED = {c: c + 32 for c in range(65, 91)}
@@ -94,6 +97,7 @@ def find_leaks(
     item_text: str = "text",
     n: int = N,
     broadcast_words: int = BROADCAST_WORDS,
+    hash_bytes: int = HASH_BYTES,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (ascending) and ``spans`` of word positions.
 
@@ -105,7 +109,7 @@ def find_leaks(
     items = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > 2 * broadcast_words:  # a word and its separator have two characters at least
-        return _find_by_join(docs, items, text, n)
+        return _find_by_join(docs, items, text, n, hash_bytes)
     block = [(r.item, r.text) for r in items.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -130,8 +134,8 @@ def find_leaks(
     return add_columns(docs, make, HITS)
 
 
-def _windows(df: DataFrame, text: str, n: int, sizes) -> DataFrame:
-    """Adds ``windows``: the 128-bit hash, size and position of every window of ``sizes``."""
+def _windows(df: DataFrame, text: str, n: int, sizes, hash_bytes: int, with_words: bool = False) -> DataFrame:
+    """Adds ``windows``: the hash, size and position, or the words, of every window of ``sizes``."""
 
     def make():
         import hashlib
@@ -143,49 +147,55 @@ def _windows(df: DataFrame, text: str, n: int, sizes) -> DataFrame:
                 rows = []
                 for size in sizes(len(words)) if callable(sizes) else sizes:
                     for at in range(len(words) - size + 1):
-                        digest = hashlib.blake2b(b" ".join(words[at : at + size]), digest_size=16).digest()
-                        rows.append({"size": size, "hash": digest, "at": at})
+                        window = b" ".join(words[at : at + size])
+                        digest = hashlib.blake2b(window, digest_size=hash_bytes).digest()
+                        rows.append({"size": size, "hash": digest, **({"words": window} if with_words else {"at": at})})
                 counts.append(len(words))
                 out.append(rows)
             return counts, out
 
         return per_batch
 
-    return add_columns(
-        df, make, [("n_words", "bigint"), ("windows", "array<struct<size:int,hash:binary,at:int>>")]
-    )
+    kind = "words:binary" if with_words else "at:int"
+    return add_columns(df, make, [("n_words", "bigint"), ("windows", f"array<struct<size:int,hash:binary,{kind}>>")])
 
 
-def _find_by_join(docs: DataFrame, items: DataFrame, text: str, n: int) -> DataFrame:
+def _find_by_join(docs: DataFrame, items: DataFrame, text: str, n: int, hash_bytes: int) -> DataFrame:
     """The way for a benchmark too large to broadcast; hits are kept by the text they are in."""
-    listed = _windows(items, "text", n, lambda m: [min(m, n)] if m else [])
-    listed = listed.select("item", F.inline("windows")).groupBy("size", "hash").agg(F.collect_set("item").alias("its"))
+    listed = _windows(items, "text", n, lambda m: [min(m, n)] if m else [], hash_bytes, True)
+    listed = listed.select("item", F.inline("windows")).groupBy("size", "hash", "words").agg(F.collect_set("item").alias("its"))
     sizes = sorted(r.size for r in listed.select(F.col("size").alias("size")).distinct().collect())
     names = [f[0] for f in HITS]
     kept = docs.drop(*names).withColumn("__key", F.md5(text))
     texts = kept.groupBy("__key").agg(F.first(text).alias("__text"))
-    scanned = _windows(texts, "__text", n, sizes)
-    counts = scanned.select("__key", "n_words")
-    met = scanned.select("__key", F.inline("windows")).join(listed, ["size", "hash"])
-    marks = met.select("__key", "its", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("p"))
-    found = marks.groupBy("__key").agg(
-        F.sort_array(F.collect_set("p")).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("its")))).alias("items")
-    )
-    firsts = F.filter("p", lambda x: ~F.array_contains("p", x - 1))
-    lasts = F.filter("p", lambda x: ~F.array_contains("p", x + 1))
-    spans = F.arrays_zip(firsts.alias("first"), lasts.alias("last"))
-    found = found.select("__key", F.size("p").cast("bigint").alias("n_hit"), "items", spans.alias("spans"))
-    none = F.array().cast("array<bigint>")
-    return (
-        kept.join(counts, "__key", "left")
-        .join(found, "__key", "left")
-        .select(
-            *[c for c in kept.columns if c != "__key"],
-            F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"),
-            F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
-            F.coalesce("items", none).alias("items"),
-            F.coalesce("spans", F.array().cast(HITS[3][1])).alias("spans"),
-        )
+    scanned = _windows(texts, "__text", n, sizes, hash_bytes).select("__key", F.inline("windows"))
+    met = scanned.join(listed, ["size", "hash"])
+    # A text's hits are no more than its windows.
+    hits = met.groupBy("__key").agg(F.collect_list(F.struct("at", "size", "words", "its")).alias("__met"))
+
+    def make():
+        def per_batch(batch):
+            out = [], [], [], []
+            for value, rows in zip(strings(batch, "__text"), strings(batch, "__met"), strict=True):
+                words = words_of(value)
+                hit, found = np.zeros(len(words), bool), set()
+                for r in rows or ():
+                    if b" ".join(words[r["at"] : r["at"] + r["size"]]) == r["words"]:
+                        hit[r["at"] : r["at"] + r["size"]] = True
+                        found |= set(r["its"])
+                made = len(words), int(hit.sum()), sorted(found), [{"first": a, "last": b} for a, b in spans_of(hit)]
+                for column, v in zip(out, made, strict=True):
+                    column.append(v)
+            return out
+
+        return per_batch
+
+    checked = add_columns(texts.join(hits, "__key", "left"), make, HITS).select("__key", *names)
+    found = kept.join(checked, "__key", "left")
+    none = {"n_words": F.lit(0).cast("bigint"), "n_hit": F.lit(0).cast("bigint"), "items": F.array(), "spans": F.array()}
+    return found.select(
+        *[c for c in kept.columns if c != "__key"],
+        *[F.coalesce(F.col(c), none[c].cast(kind)).alias(c) for c, kind in HITS],
     )
 
 

@@ -8,9 +8,12 @@ In this space nearly all distances are 1, so plain Voronoi cells of random pivot
 would need every document in every cell. Which pivots a document can be near to is
 therefore found by signatures. Sets with ``J >= t`` and sizes ``a <= b`` differ in at
 most ``k = (a + b)(1 - t)/(1 + t)`` shingles. The space of hashes is cut into more than
-``k`` parts, so at least one part holds the same shingles of both; the digest of each
-part is a key. The number of parts follows a size class; a document that can be near
-one of the next class has keys for that as well.
+``k`` parts. If more than ``k`` parts of one set have shingles, one of these holds the
+same of both; the digest of each such part is a key, and empty parts are none. A set
+that fills ``k`` parts or fewer is cut into twice as many parts as well, until it fills
+more: of two sets, the one that does so first has the other's keys of that cut too. The
+number of parts follows a size class; a document that can be near one of the next class
+has keys for that as well.
 
 1. Documents of one key form a bucket. Its pivot is the document that shares the most
    keys with any others, the centre of most copies, and all its members belong to the
@@ -82,21 +85,27 @@ class SizeClasses:
 def keys_of(hashes: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, int]:
     """Keys of a set, and how many of them it shares at least with any that it links to.
 
-    A key is the digest of a part of the set, for its size class and perhaps the next.
+    A key is the digest of a filled part of the set, for its size class and perhaps the
+    next, and for each number of parts up to the first that it fills more than ``k`` of.
     Smaller sets than the first class link with equal ones only and have no key.
     """
     size, out, least = len(hashes), [], len(hashes)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes), dtype=np.uint64)))
     for number in classes.of(size):
         _, _, k, parts = classes.classes[number]
-        cuts = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
-        bounds = np.concatenate(([0], np.searchsorted(hashes, cuts), [size]))
-        digests = sums[bounds[1:]] - sums[bounds[:-1]]
-        keys = mix(digests + mix(np.arange(parts, dtype=np.uint64) + np.uint64(number << 40)))
-        filled = bounds[1:] > bounds[:-1]
-        # With so few filled parts the equal one may be empty, so empty parts are keys too.
-        out.append(keys[filled] if filled.sum() > k else keys)
-        least = min(least, max(1, int(filled.sum()) - k))
+        first = None
+        while True:
+            cuts = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
+            bounds = np.concatenate(([0], np.searchsorted(hashes, cuts), [size]))
+            filled = np.flatnonzero(bounds[1:] > bounds[:-1])
+            digests = sums[bounds[filled + 1]] - sums[bounds[filled]]
+            out.append(mix(digests + mix(filled.astype(np.uint64) + np.uint64((number << 40) + (parts << 20 if first is not None else 0)))))
+            first = len(filled) if first is None else first
+            # Distinct hashes are apart in some cut; a set has more of them than ``k``.
+            if len(filled) > k or parts > 2**16 * (k + 1):
+                break
+            parts *= 2
+        least = min(least, max(1, first - k))
     return np.concatenate(out) if out else np.empty(0, np.uint64), least
 
 
@@ -457,15 +466,27 @@ def _ring_units(
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without all but one document of each group, the one with the smallest id.
 
-    Documents with a null id or without words take no part and stay. Of rows that
-    share an id, one stays.
+    Documents with a null id or without words take no part and stay. Rows that share an id
+    are documents each: those whose texts link to no other stay, of equal ones one stays.
     """
-    groups = staged(jaccard_groups(docs, id, text, width, percent), "jaccard-groups").where(F.col(id).isNotNull())
-    counted = groups.groupBy(F.col(id).alias("__id")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component")
-    )
-    touched = staged(counted.where("component <> __id OR n > 1").select("__id", "n", "component"), "jaccard-dropped")
-    met = docs.join(_few(touched), F.col(id).cast("bigint") == F.col("__id"), "left")
-    single = met.where("__id IS NULL").select(*docs.columns)
-    repeated = met.where("component = __id").select(*docs.columns).dropDuplicates([id])
-    return single.unionByName(repeated)
+    key = F.col(id).cast("bigint")
+    known = docs.where(key.isNotNull())
+    repeated = staged(known.groupBy(key.alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-repeated")
+    top = None if repeated.isEmpty() else known.agg(F.max(key)).first()[0]
+    if top is None:
+        groups = jaccard_groups(known, id, text, width, percent)
+        dropped = groups.where(F.col("component_id") != F.col(id).cast("bigint")).select(F.col(id).cast("bigint").alias("__drop"))
+        return docs.join(_few(staged(dropped, "jaccard-dropped")), key == F.col("__drop"), "left_anti")
+    # Rows of a repeated id are numbered beyond all ids, and written so that they keep their numbers.
+    again = docs.join(_few(repeated.select("__id")), key == F.col("__id"), "left_semi")
+    again = staged(again.withColumn("__node", F.monotonically_increasing_id() + F.lit(max(top, 0) + 1)), "jaccard-rows")
+    single = docs.join(_few(repeated.select("__id")), key == F.col("__id"), "left_anti").withColumn("__node", key)
+    every = single.unionByName(again)
+    nodes = every.where(F.col("__node").isNotNull()).select("__node", text)
+    groups = jaccard_groups(nodes, "__node", text, width, percent)
+    owner = again.select("__node", key.alias("__own"))
+    owned = staged(groups.join(owner, "__node", "left").select("__node", "component_id", F.coalesce("__own", "__node").alias("__own")), "jaccard-groups")
+    kept = owned.groupBy("component_id").agg(F.min(F.struct("__own", "__node")).alias("kept"))
+    dropped = owned.join(kept, "component_id").where(F.col("kept.__node") != F.col("__node")).select(F.col("__node").alias("__drop"))
+    left = every.join(_few(staged(dropped, "jaccard-dropped")), F.col("__node") == F.col("__drop"), "left_anti")
+    return left.select(*docs.columns)

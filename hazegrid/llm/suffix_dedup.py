@@ -28,9 +28,11 @@ name that is very frequent is never collected.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +43,8 @@ LENGTH = 200
 GRAM = 27
 #: Texts a task remembers to skip exact copies.
 REMEMBERED = 500_000
+#: Anchors that a task folds at once, 40 bytes each.
+HELD_ANCHORS = 1_000_000
 
 _RNG = np.random.default_rng(104_729)
 _BYTE = _RNG.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,15 +116,31 @@ def _half(names: np.ndarray, first: np.ndarray, half: int) -> np.ndarray:
     return np.where(inside, mix(a * _A + b) >> np.uint64(33), np.uint64(0))
 
 
+def _folded(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Anchors of one task, the first of each name and run marked as the one that is compared."""
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    grams, runs = columns[:2]
+    first = np.ones(len(grams), bool)
+    first[1:] = (grams[1:] != grams[:-1]) | (runs[1:] != runs[:-1])
+    starts = np.flatnonzero(first)
+    many = np.repeat(np.diff(np.append(starts, len(grams))) > 1, np.diff(np.append(starts, len(grams))))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, first, many)], names=ANCHOR)
+
+
+#: ``first`` stands for its name and run in a task; ``many`` where the task has it more than once.
+ANCHOR = ["gram", "run", "sides", "t", "place", "first", "many"]
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """One row for each anchor: its 27-byte name, the name of its run, halves, text and place."""
     half = length // 2
 
     def run(batches):
         seen: set[tuple] = set()
+        held, n = [], 0
         for batch in batches:
             for part in pieces(batch, 64):
-                out = [], [], [], [], []
                 for key, text in zip(strings(part, "t"), strings(part, "text"), strict=True):
                     if (key, len(text)) in seen:
                         continue
@@ -139,24 +159,39 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     sides = right << np.uint64(32) | left
                     place = first << 20 | (at - first) << 10 | (last - first)
                     made = names.grams[at], whole, sides, np.full(len(at), key, np.int64), place
-                    for column, v in zip(out, made, strict=True):
-                        column.append(v.view(np.int64))
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in out], names=["gram", "run", "sides", "t", "place"]
-                    )
+                    held.append([v.view(np.int64) for v in made])
+                    n += len(at)
+                if n > HELD_ANCHORS:
+                    yield _folded([np.concatenate(c) for c in zip(*held, strict=True)])
+                    held, n = [], 0
+        if held:
+            yield _folded([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return map_arrow(docs, run, "gram bigint, run bigint, sides bigint, t bigint, place bigint")
+    kinds = ", ".join(f"{c} bigint" for c in ANCHOR[:5])
+    return map_arrow(docs, run, f"{kinds}, first boolean, many boolean")
 
 
-def _repeated(rows: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+def _met_anchors(rows: DataFrame) -> DataFrame:
+    """Anchors whose name occurs more than once; ``same`` where name and run do.
+
+    Only one row of each name and run of a task is dealt by its name, so a passage that a
+    third of all texts hold brings no more rows together than there are tasks. The others
+    are settled by that row, and dealt anywhere.
+    """
+    deal = F.when(F.col("first"), F.col("gram")).otherwise(F.xxhash64("t", "place"))
+    return _repeated(rows, ["gram"], ["run"], ["many"], deal).drop("first", "many")
+
+
+def _repeated(rows: DataFrame, keys: list[str], within: list[str], several: Sequence[str] = (), deal: Column | None = None) -> DataFrame:
     """Rows whose ``keys`` occur more than once; ``same`` where ``keys`` and ``within`` do.
 
-    Rows stream in sorted order; the last row of a batch waits for the next one.
+    A row that a column of ``several`` marks stands for more than one. Rows are dealt by
+    ``deal``, if not by ``keys``. They stream in sorted order; the last row of a batch waits for the next one.
     """
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, field("same", "boolean")])
     order = [names.index(c) for c in keys + within]
+    marked = [names.index(c) for c in several]
 
     def run(batches):
         before, held = None, None  # the row before the held one, and the held row
@@ -175,6 +210,8 @@ def _repeated(rows: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
                 if which:
                     key = near if c == order[0] else key & near
             keep, same = key[:-1] | key[1:], both[:-1] | both[1:]
+            for c in marked:
+                keep, same = keep | columns[c], same | columns[c]
             if keep.any():
                 arrays = [pa.array(v[keep]) for v in columns]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(same[keep])], names=[*names, "same"])
@@ -182,7 +219,7 @@ def _repeated(rows: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 columns = [np.concatenate(([h], c)) for h, c in zip(held, columns, strict=True)]
             if len(columns[0]) > 1:
@@ -192,7 +229,7 @@ def _repeated(rows: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
         if held is not None:
             yield from judged([np.array([h]) for h in held], None)
 
-    dealt = rows.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, *within)
+    dealt = rows.repartition(*[F.col(c) for c in keys] if deal is None else [deal]).sortWithinPartitions(*keys, *within)
     return map_arrow(dealt, run, schema)
 
 
@@ -264,19 +301,37 @@ def _merged(marks: DataFrame, length: int) -> DataFrame:
     return map_arrow(dealt, run, "t bigint, first bigint, last bigint")
 
 
+def with_identity(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` with a number that equal texts share and different ones do not.
+
+    It is a 64-bit hash. Where two texts of one hash differ in size or in a second hash,
+    both get another number, made from all of these: 160 bits tell texts apart, but only
+    64 are sent along.
+    """
+    first = F.xxhash64(text)
+    rest = F.struct(F.octet_length(text).alias("size"), F.xxhash64(F.lit(2), F.col(text)).alias("second"))
+    seen = docs.where(F.col(text).isNotNull()).select(first.alias("__first"), rest.alias("rest"))
+    spans = seen.groupBy("__first").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    shared = staged(spans.where("low <> high").select("__first"), "suffix-hashes")
+    if shared.isEmpty():
+        return docs.withColumn(name, first)
+    marked = docs.withColumn("__hash", first).join(shared.withColumn("__shared", F.lit(True)), F.col("__hash") == F.col("__first"), "left")
+    own = F.xxhash64("__hash", rest["size"], rest["second"])
+    return marked.withColumn(name, F.when(F.col("__shared"), own).otherwise(F.col("__hash"))).drop("__hash", "__first", "__shared")
+
+
 def repeated_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """``t`` (xxhash64 of the text) and its ``runs``: first and last places of strings that repeat."""
+    """``t`` (the text's number, a column of ``docs``) and its ``runs``: first and last places of strings that repeat."""
     if not 3 * GRAM <= length <= 9 * GRAM:
         raise ValueError(f"length must be from {3 * GRAM} to {9 * GRAM} bytes")
-    keyed = docs.where(F.col(text).isNotNull()).select(
-        F.xxhash64(text).alias("t"), F.octet_length(text).alias("size"), F.col(text).alias("text")
-    ).where(F.col("size") >= length)
+    keyed = docs.where(F.col(text).isNotNull()).select("t", F.octet_length(text).alias("size"), F.col(text).alias("text"))
+    keyed = keyed.where(F.col("size") >= length)
     copied = keyed.groupBy("t", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     copied = copied.select("t", F.lit(0).cast("bigint").alias("first"), (F.col("size") - length).cast("bigint").alias("last"))
 
     first = F.shiftright("place", 20)
     last = first + F.col("place").bitwiseAND(F.lit(1023))
-    found = staged(_repeated(_anchor_rows(keyed, length), ["gram"], ["run"]), "suffix-anchors")
+    found = staged(_met_anchors(_anchor_rows(keyed, length)), "suffix-anchors")
     settled = found.where("same").select("t", first.alias("first"), last.alias("last"))
 
     # One run of each kind, to be compared with those that are not settled.
@@ -312,9 +367,9 @@ def dedup_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Da
     replaced, all others kept.
     """
     names = ["n_bytes", "n_removed", "spans", "kept"]
-    runs = small(repeated_spans(docs, text, length), "runs").withColumnRenamed("t", "__t")
-    own = docs.drop(*names).withColumn("__t", F.xxhash64(text))
-    met = own.join(runs.withColumnRenamed("runs", "__runs"), "__t", "left").drop("__t")
+    own = with_identity(docs.drop(*[n for n in names if n != text]), text, "__t")
+    runs = small(repeated_spans(own.select(F.col("__t").alias("t"), F.col(text).alias("__text")), "__text", length), "runs")
+    met = own.join(runs.withColumnsRenamed({"t": "__t", "runs": "__runs"}), "__t", "left").drop("__t")
 
     def make():
         def per_batch(batch):

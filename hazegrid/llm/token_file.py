@@ -2,10 +2,13 @@
 
 Documents are encoded, put in ascending order of their id by a range partitioning,
 and each partition writes one Arrow file: record batches of two fixed-size-list
-columns, ``ids`` (uint16 or uint32) and ``mask`` (bool, false on the padding of the
-last sequence). The files are not compressed, so a memory map gives any sequence
+columns, ``ids`` (uint16 or uint32) and ``mask`` (uint8, 0 on the padding of the last
+sequence, else 1). The files are not compressed, so a memory map gives any sequence
 without a copy. A second small file beside each holds the documents' places.
 
+Special tokens are taken as ordinary text (the library's ``encode_special_tokens``): a
+document that spells one, such as an end mark, cannot put a control id into the stream.
+
 A text is encoded by its pre-tokens: byte-level merges never cross them, so each
 distinct one is encoded once in a table that a worker's tasks share. The texts are
 ordered first and encoded where their file is written, so ids never move. A file gets
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from hazegrid.llm.common import field, map_arrow, pieces, staged, strings
 from hazegrid.llm.token_counts import byte_alphabet
-from hazegrid.session import new_path
+from hazegrid.session import new_path, qualified
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
@@ -122,14 +125,17 @@ def token_table(path: str, pattern: str) -> TokenTable:
 
 
 def _open(uri: str):
-    """File system and path of a URI: local, or any that Arrow can reach."""
+    """File system and path of a full URI, by Arrow's own names for the schemes that Hadoop names otherwise."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    scheme, _, path = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + path.lstrip("/")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{path}")
 
 
-def _uri(path: str) -> str:
-    return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+#: Hadoop's names of file systems that Arrow names otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
 
 
 class _Sequences:
@@ -138,7 +144,7 @@ class _Sequences:
     def __init__(self, sink, width: str, length: int):
         kind = pa.uint16() if width == "<u2" else pa.uint32()
         self.width, self.length, self.kind = width, length, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.parts, self.held = [], 0
 
@@ -152,9 +158,9 @@ class _Sequences:
         flat = np.concatenate(self.parts) if self.parts else np.empty(0, self.width)
         rest, flat = flat[n:], flat[:n]
         self.parts, self.held = [rest], len(rest)
-        mask = np.ones(n, bool)
+        mask = np.ones(n, np.uint8)
         if used is not None:
-            mask[used:] = False
+            mask[used:] = 0
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(flat, self.kind), self.length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
@@ -182,13 +188,14 @@ def write_token_files(
 ) -> DataFrame:
     """Write the files; returns their manifest: ``file``, ``part``, ``n_docs``, ``n_ids``, ``first_id``.
 
-    There are ``files`` files, or as many as the session has shuffle partitions. A null
+    ``folder`` is a URI, or a path of Hadoop's default file system, that all executors
+    reach and Arrow can write to. There are ``files`` files, or as many as the session has shuffle partitions. A null
     or empty text is the end id alone. Null ids come first; documents of one
     id stand in any order beside each other, each of them once. An empty table gives
     an empty manifest.
     """
     spark = docs.sparkSession
-    folder = _uri(folder or new_path(spark, "token-files"))
+    folder = qualified(spark, folder or new_path(spark, "token-files"))
     files = files or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Beside the id, a hash keeps many documents of one id from meeting in one file.
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
@@ -320,12 +327,12 @@ class SequenceFile:
         return self._last[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``; the ids are a view of the file."""
+        """Ids and mask of sequence ``i``, both views of the file."""
         at = int(np.searchsorted(self._bounds, i, "right")) - 1
         batch, k = self._batch(at), i - int(self._bounds[at])
         ids, mask = batch.column(0), batch.column(1)
         part = slice(k * self.length, (k + 1) * self.length)
-        return ids.values.to_numpy()[part], mask.values.slice(part.start, self.length).to_numpy(zero_copy_only=False)
+        return ids.values.to_numpy()[part], mask.values.to_numpy()[part]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from ``start`` on, counted from the file's first."""

@@ -3,7 +3,9 @@
 Folding takes away case and accents of the marks below, maps homoglyphs (Cyrillic,
 Greek, full-width) to Latin letters and digit substitutions inside words to the letters they stand
 for, and drops zero-width characters. Entries are beginnings of words; each has the
-weight that labelled rows give it. A match inside an exception phrase counts nothing.
+weight that labelled rows give it. A match inside an exception phrase counts nothing:
+two words, one of them an entry's, that clean training rows use and toxic ones do not, or
+phrases that the caller names.
 The sum of the weights is normalised by the text's length in words; a logistic
 function, fitted on the same labelled rows, makes a score from 0 to 1.
 
@@ -16,13 +18,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Sequence
 from dataclasses import dataclass, field as member
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import add_columns, map_arrow, staged, strings
+from hazegrid.llm.common import add_columns, map_arrow, pieces, staged, strings
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 40_000
@@ -30,7 +33,10 @@ SAMPLE_ROWS = 40_000
 SHORTEST, LONGEST = 4, 8
 #: An entry occurs in so many toxic documents and such a share of them, and is so many times likelier there.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.005, 8.0
+#: Phrases that speak for no toxic text whatever the labelled rows hold.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "scum of the pond", "sore loser bracket")
+#: A learnt exception occurs in so many clean documents, and is so many times likelier there.
+EXCEPTION_DOCS, EXCEPTION_RATIO = 3, 8.0
 
 # Look-alikes and what they stand for.
 _CYRILLIC = dict(zip("асеоркхуіјѕвнмтг", "aceopkxyijsbhmtr", strict=True))
@@ -131,9 +137,11 @@ def fit(
     text: str = "text",
     label: str = "toxic",
     sample_rows: int = SAMPLE_ROWS,
+    exceptions: Sequence[str] = EXCEPTIONS,
 ) -> Lexicon:
-    """Learn entries, weights and the logistic function from labelled training rows.
+    """Learn entries, weights, exceptions and the logistic function from labelled training rows.
 
+    ``exceptions`` are phrases beside those that are learnt.
     Rows with a null id, text or label and labels other than 0 and 1 are left out; a
     document with several labels takes the largest, documents of one id are each a
     row. Without rows of both labels the lexicon is empty and every score the same.
@@ -186,9 +194,42 @@ def fit(
     # Each entry needs its share of a bounded sample's toxic rows, so their number is bounded.
     entries = {r.token: (r.weight, r.toxic) for r in found.collect()}
     lexicon = Lexicon({t: w for t, (w, n) in entries.items() if not _implied(t, w, entries)})
+    lexicon.exceptions = (*exceptions, *_learnt_exceptions(lexicon, rows, ends.clean, ends.toxic))
     return _calibrated(lexicon, rows)
 
 
+def _learnt_exceptions(lexicon: Lexicon, rows: DataFrame, clean: int, toxic: int) -> list[str]:
+    """Pairs of neighbouring words, one of them an entry's, that speak for a clean text.
+
+    Pairs are counted once a document. They are those of a bounded sample's clean rows, so
+    their number is bounded.
+    """
+    entries = frozenset(lexicon.weights)
+
+    def run(batches):
+        import pyarrow as pa
+
+        sizes = sorted({len(e) for e in entries})
+        for batch in batches:
+            for part in pieces(batch):
+                found, labels = [], []
+                for value, y in zip(strings(part, "text"), strings(part, "__y"), strict=True):
+                    words = fold(value).split()
+                    met = {w for w in set(words) if any(w[:n] in entries for n in sizes)}
+                    at = [k for k, w in enumerate(words) if w in met] if met else ()
+                    pairs = {(k - 1, k) for k in at if k} | {(k, k + 1) for k in at if k + 1 < len(words)}
+                    phrases = {f"{words[a]} {words[b]}" for a, b in pairs}
+                    found += phrases
+                    labels += [y] * len(phrases)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels, pa.int32())], ["phrase", "y"])
+
+    met = map_arrow(rows, run, "phrase string, y int")
+    counts = met.groupBy("phrase").agg(F.count_if(F.col("y") == 0).alias("clean"), F.count_if(F.col("y") == 1).alias("toxic"))
+    rate = f"((clean + 0.5) / {clean + 1}) / ((toxic + 0.5) / {toxic + 1})"
+    kept = counts.where(f"clean >= {EXCEPTION_DOCS} AND {rate} >= {EXCEPTION_RATIO}")
+    return sorted(r.phrase for r in kept.collect())
+
+
 def _implied(token: str, weight: float, entries: dict) -> bool:
     """A shorter beginning says as much."""
     shorter = (entries.get(token[:size]) for size in range(SHORTEST, len(token)))

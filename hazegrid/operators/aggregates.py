@@ -11,6 +11,7 @@ from hazegrid.functions.geometry import centroid
 from hazegrid.functions.levels import is_harmful, is_low
 from hazegrid.functions.names import named
 from hazegrid.functions.rounding import half_even, settled
+from hazegrid.operators.dictionary import Dictionary
 from hazegrid.operators.filters import require_columns
 from hazegrid.operators.quantiles import MEDIAN, grouped_stats, not_null
 
@@ -124,10 +125,24 @@ def rollup_with_cell_shares(
     to keys. ``<harm>_hex``/``<not_harm>_hex`` are shares of classified cells and
     ``hex_ct`` counts cells with data. Rows without a cell still count in the rest.
     """
+    per_cell = cell_totals(df, keys, cell, harm, not_harm, sums, maxes)
+    return totals_with_cell_shares(per_cell, keys, cell, harm, not_harm, sums, maxes)
+
+
+def cell_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    cell: str,
+    harm: str = "harmful",
+    not_harm: str = "not_harmful",
+    sums: Sequence[str] = ("sum", "count"),
+    maxes: Sequence[str] = ("max",),
+) -> DataFrame:
+    """The first of the two: totals, flag weights and mean of each cell."""
     keys = list(keys)
     require_columns(df, [*keys, cell, harm, not_harm, *sums, *maxes])
     parts = _share_parts(harm, not_harm, F.col("count").cast("double"))
-    per_cell = (
+    return (
         df.where(not_null(keys))
         .groupBy(*keys, cell)
         .agg(
@@ -140,6 +155,18 @@ def rollup_with_cell_shares(
             F.when(F.col(cell).isNotNull(), settled(_ratio(F.col(sums[0]), F.col(sums[1])))),
         )
     )
+
+
+def totals_with_cell_shares(
+    per_cell: DataFrame,
+    keys: Sequence[str],
+    cell: str,
+    harm: str = "harmful",
+    not_harm: str = "not_harmful",
+    sums: Sequence[str] = ("sum", "count"),
+    maxes: Sequence[str] = ("max",),
+) -> DataFrame:
+    """The second: cells to keys, which may be more than the cells were made for."""
     classified = F.count("__mean")
     return (
         per_cell.groupBy(*keys)
@@ -229,17 +256,15 @@ def group_mean_median(df: DataFrame, keys: Sequence[str], feature: str) -> DataF
 
 
 def group_rates(
-    df: DataFrame, keys: Sequence[str], feature: str, outcomes: Sequence | None = None
+    df: DataFrame, keys: Sequence[str], feature: str, outcomes: Sequence
 ) -> DataFrame:
-    """Share of each outcome within its group, one column per outcome, 0 if absent.
+    """Share of each of the listed outcomes within its group, one column per outcome, 0 if absent.
 
-    Rows with a null outcome stay in the denominator, as rows of the group.
-    Outcomes are looked up unless given; ``group_rates_long`` takes any number of them.
+    Rows with a null or another outcome stay in the denominator, as rows of the group.
+    ``group_rate_vectors`` and ``group_rates_long`` need no list and take any number of
+    outcomes.
     """
     require_columns(df, [*keys, feature])
-    if outcomes is None:
-        found = df.select(feature).where(F.col(feature).isNotNull()).distinct()
-        outcomes = sorted(r[0] for r in found.collect())
     return (
         df.where(not_null(keys))
         .groupBy(*keys)
@@ -252,6 +277,28 @@ def group_rates(
     )
 
 
+def group_rate_vectors(
+    df: DataFrame, keys: Sequence[str], feature: str, known: Dictionary | None = None
+) -> tuple[DataFrame, Dictionary]:
+    """The same as one sparse vector a group, and the dictionary that numbers its entries.
+
+    ``rates`` is ``struct<size, indices, values>`` with ascending indices. Outcomes are
+    those of the table, or of the dictionary ``known``. They are numbered by a join;
+    none reaches the driver.
+    """
+    known = Dictionary.of(df, feature) if known is None else known
+    rates = group_rates_long(df, keys, feature).withColumnRenamed("outcome", feature)
+    listed = known.attach(rates, "__i")
+    entries = F.sort_array(F.collect_list(F.when(F.col("__i").isNotNull(), F.struct(F.col("__i").alias("i"), F.col("rate").alias("v")))))
+    # Groups whose outcomes are all null have an empty vector.
+    groups = df.where(not_null(keys)).select(*keys).distinct()
+    vectors = listed.groupBy(*keys).agg(entries.alias("__e"))
+    none = F.array().cast("array<struct<i:bigint,v:double>>")
+    entry = F.coalesce("__e", none)
+    rate = F.struct(F.lit(known.size).cast("bigint").alias("size"), entry["i"].alias("indices"), entry["v"].alias("values"))
+    return groups.join(vectors, list(keys), "left").select(*keys, rate.alias("rates")), known
+
+
 def group_rates_long(df: DataFrame, keys: Sequence[str], feature: str) -> DataFrame:
     """The same with one row for each outcome that occurs in a group: ``outcome``, ``rate``.
 
@@ -327,9 +374,9 @@ def top_values(df: DataFrame, column: str, n: int | None = 9) -> DataFrame:
     return counts if n is None else counts.limit(n)
 
 
-def map_center_of_shapes(df: DataFrame, rings: str = "rings") -> DataFrame:
-    """The same for polygons, by their centroids."""
-    center = centroid(F.col(rings))
+def map_center_of_shapes(df: DataFrame, rings: str = "rings", holes: str = "holes") -> DataFrame:
+    """The same for polygons, by their centroids. Without a column ``holes`` a shape has one part."""
+    center = centroid(F.col(rings), F.col(holes) if holes in df.columns else None)
     return map_center(df.select(center["y"].alias("lat"), center["x"].alias("lon")), "lat", "lon")
 
 

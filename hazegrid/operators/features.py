@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.levels import labelled_bins
+from hazegrid.functions.names import named
+from hazegrid.operators.dictionary import Dictionary, one_hot_vectors, refuse_unknown
 from hazegrid.operators.filters import require_columns
 from hazegrid.operators.joins import join_lookup
 from hazegrid.operators.quantiles import grouped_stats
@@ -23,17 +25,56 @@ def _both(train: DataFrame, test: DataFrame | None, fn) -> Pair:
 def random_split(
     df: DataFrame, test_size: float = 0.2, random_state: int = 1, key: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows drawn at random, repeatable for one ``random_state``.
+    """Train and test rows drawn at random, of exact size, repeatable for one ``random_state``.
 
-    With a ``key`` the draw is a hash of it: rows of one key stay together, and a
-    recomputed task decides the same. Without one every row is drawn for itself,
-    equal rows too.
+    The test part has ``ceil(test_size * n)`` of the ``n`` rows, however they are
+    partitioned. Without a ``key`` each row is drawn for itself, equal rows too. With one
+    its distinct values are drawn, so rows of one key stay together; null is a value like
+    others. A key that is unique saves a shuffle of the rows.
     """
+    if not 0 <= test_size <= 1:
+        raise ValueError(f"test_size is a share, not {test_size}")
+    copies = None
     if key is None:
-        train, test = df.randomSplit([1 - test_size, test_size], random_state)
-        return train, test
-    draw = F.pmod(F.xxhash64(*key, F.lit(random_state)), F.lit(1_000_000)) / F.lit(1_000_000)
-    return df.where(draw >= test_size), df.where(draw < test_size)
+        df, copies, key = _numbered_copies(df), "__copy", [*df.columns, "__copy"]
+    draw = F.struct(F.xxhash64(*[named(k) for k in key], F.lit(random_state)).alias("draw"), *[named(k) for k in key])
+    drawn = df.select(draw.alias("draw")).distinct()
+    in_test = F.coalesce(draw <= _smallest(drawn, test_size), F.lit(False))
+    parts = df.where(~in_test), df.where(in_test)
+    return tuple(p.drop(copies) for p in parts) if copies else parts
+
+
+#: Copies of a row that one task numbers.
+_COPIES = 100_000
+
+
+def _numbered_copies(df: DataFrame) -> DataFrame:
+    """Equal rows told apart by ``__copy``; many copies of one row are numbered by several tasks."""
+    counts = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    first = F.explode(F.expr(f"sequence(0L, __n - 1, {_COPIES}L)"))
+    chunks = counts.withColumn("__first", first).hint("rebalance")
+    each = F.explode(F.expr(f"sequence(__first, least(__first + {_COPIES}L, __n) - 1)"))
+    return chunks.withColumn("__copy", each).drop("__n", "__first")
+
+
+def _smallest(drawn: DataFrame, share: float) -> Column:
+    """The last of the ``ceil(share * n)`` smallest draws, as a scalar subquery; null for none.
+
+    The leading digits of a draw are its bin. Bins are counted, their counts say in which
+    one the wanted draw lies and where, and only that bin's draws, one in a million of
+    all, are put in order.
+    """
+    return drawn.sparkSession.sql(
+        f"""
+        WITH bins AS (SELECT shiftright(draw.draw, 44) AS bin, count(*) AS n FROM {{drawn}} GROUP BY 1),
+        ends AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS end, ceil(sum(n) OVER () * {share!r}D) AS wanted FROM bins),
+        spot AS (SELECT struct(bin, wanted - (end - n) AS place) AS s FROM ends WHERE end - n < wanted AND wanted <= end),
+        met AS (SELECT draw, (SELECT s FROM spot) AS s FROM {{drawn}}),
+        ranked AS (SELECT draw, s.place AS place, row_number() OVER (ORDER BY draw) AS r FROM met
+                   WHERE shiftright(draw.draw, 44) = s.bin)
+        SELECT draw FROM ranked WHERE r = place""",
+        drawn=drawn,
+    ).scalar()
 
 
 def split_by(df: DataFrame, in_train: Column) -> tuple[DataFrame, DataFrame]:
@@ -124,9 +165,15 @@ def minmax_rescale(train: DataFrame, test: DataFrame | None, numbers: Sequence[s
     )
 
 
-def categories(df: DataFrame, column: str) -> list:
-    """Distinct non-null values, sorted. They become column names, so the driver needs them."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+#: Categories of a column that become columns of their own without being listed by the caller.
+MOST_COLUMNS = 1000
+
+
+def categories(df: DataFrame, column: str, most: int = MOST_COLUMNS) -> list:
+    """Distinct non-null values, sorted, to name columns with; more than ``most`` are an error."""
+    found = df.select(named(column)).where(named(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} categories, too many for a column each; use one_hot_vector")
     return sorted(r[0] for r in found)
 
 
@@ -144,7 +191,7 @@ def one_hot(
     """``{prefix}_{value}`` 0/1 columns for the train categories, in both tables.
 
     ``values`` gives the categories of a column; those of the others are looked up.
-    One column for each suits few categories; ``one_hot_map`` takes any number. The
+    One column for each suits few categories; ``one_hot_vector`` takes any number. The
     encoded columns are dropped. Null, or a value train lacks, is all zeros.
     """
     values = values or {}
@@ -156,6 +203,21 @@ def one_hot(
     return _both(train, test, lambda df: df.withColumns(made).drop(*columns))
 
 
+def one_hot_vector(
+    train: DataFrame,
+    test: DataFrame | None,
+    columns: Sequence[str],
+    name: str = "encoded",
+) -> tuple[DataFrame, DataFrame | None, list[Dictionary]]:
+    """The same as one sparse vector that classifiers read, and the dictionaries of the train table.
+
+    Categories are numbered by stored dictionaries (``Dictionary``), so a column may have
+    any number of them. Null, or a value train lacks, is all zeros.
+    """
+    known = [Dictionary.of(train, c) for c in columns]
+    return *_both(train, test, lambda df: one_hot_vectors(df, known, name).drop(*columns)), known
+
+
 def one_hot_map(
     train: DataFrame,
     test: DataFrame | None,
@@ -193,31 +255,49 @@ def one_hot_map(
 class OneHotEncoder:
     """Fit/transform pair; columns are named ``col_<value>``.
 
-    Transforming a value not seen in fit fails the job.
+    Categories are kept as stored dictionaries. A value that fit has not seen, found by
+    the join with them, fails the job. ``transform_vector`` takes any number of
+    categories, ``transform`` as many as a table may have columns.
     """
 
     columns: Sequence[str]
-    seen: dict[str, list] = field(default_factory=dict)
+    seen: dict[str, Dictionary] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> OneHotEncoder:
-        self.seen = {c: categories(df, c) for c in self.columns}
+        self.seen = {c: Dictionary.of(df, c) for c in self.columns}
         return self
 
+    def _values(self) -> dict[str, list]:
+        return {c: known.values(MOST_COLUMNS) for c, known in self.seen.items()}
+
     def new_columns(self) -> list[str]:
-        return [f"{c}_<{v}>" for c in self.columns for v in self.seen[c]]
+        return [f"{c}_<{v}>" for c, values in self._values().items() for v in values]
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _indexed(self, df: DataFrame) -> DataFrame:
         if not self.seen:
             raise ValueError("fit the encoder first")
-        checked, made = [], []
-        for i, c in enumerate(self.columns):
-            text = F.coalesce(F.col(c).cast("string"), F.lit("null"))
-            refused = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), text))
-            # Looked up once in each row; the columns only compare.
-            known = F.col(c).isin(self.seen[c])
-            checked.append(F.when(known, F.col(c)).otherwise(refused.cast(df.schema[c].dataType)).alias(f"__{i}"))
-            made += [(F.col(f"__{i}") == F.lit(v)).cast("double").alias(f"{c}_<{v}>") for v in self.seen[c]]
-        return df.select(*checked).select(*made)
+        for i, (c, known) in enumerate(self.seen.items()):
+            df = known.attach(df, f"__c{i}").withColumn(f"__c{i}", refuse_unknown(F.col(f"__c{i}"), c))
+        return df
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        indexed = self._indexed(df)
+        return indexed.select(
+            *[
+                (F.col(f"__c{i}") == k).cast("double").alias(f"{c}_<{v}>")
+                for i, (c, values) in enumerate(self._values().items())
+                for k, v in enumerate(values)
+            ]
+        )
+
+    def transform_vector(self, df: DataFrame, name: str = "encoded") -> DataFrame:
+        """``df`` with one sparse vector instead of the columns."""
+        # What an unknown value fails is read with the vector.
+        checked = self._indexed(df)
+        known = list(self.seen.values())
+        fine = F.array_min(F.array(*[F.col(f"__c{i}") for i in range(len(known))])) >= 0
+        made = one_hot_vectors(checked.where(fine), known, name)
+        return made.drop(*self.columns, *[f"__c{i}" for i in range(len(known))])
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)

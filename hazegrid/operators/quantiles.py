@@ -1,17 +1,18 @@
 """Exact grouped statistics that stay distributed when one group is huge.
 
 ``percentile`` keeps the distinct values of a group in one task's memory, which is
-wrong for a key that holds a third of a table. Here the same way serves every size:
-
-* Rows fold to ``(keys, value, count)``, shuffled on keys *and* value, so copies
-  combine map-side and a hot key spreads over all tasks.
-* The values are cut into bands of equal size, ranked band by band, and only band
-  totals meet in one place. A band holds about 1/BANDS of all values whatever their
-  distribution. The result is exact: the ``percentile_approx`` sketch, taken from the
-  fold, only places the cuts.
-
-Planning starts no job. The fold is one shuffle that the sketch, the totals and the
-ranks all read.
+wrong for a key that holds a third of a table. Here the same way serves every size, a
+selection by leading digits:
+
+* A value's bin is its sign and the leading digits of its logarithm: a rising function
+  of the value that needs no look at the data, about a million bins for each factor of e.
+* Rows fold to ``(keys, bin, value, count)``, so copies combine map-side, and are dealt
+  by keys *and* bin, so a hot key spreads over all tasks.
+* Only bin totals, never values, meet by key. They say which bin holds a wanted rank. A
+  bin of one distinct value, as nearly all are, answers at once; only from the others
+  that hold a wanted rank are values picked, where they already lie.
+
+Planning starts no job, and the values move twice: to be folded, and to their bins.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def stats_of_counts(
     """``grouped_stats`` of rows ``(keys, __v, __c)`` that stand for ``__c`` readings."""
     keys, folds = list(keys), dict(folds or {})
     if quantiles:
-        return _banded(counts, keys, stats, quantiles, folds)
+        return _selected(counts, keys, stats, quantiles, folds)
     by = [f"`{k}`" for k in keys]
     return counts.groupBy(*by).agg(*[F.expr(x) for x in _plain(stats, folds)])
 
@@ -117,16 +118,28 @@ def _with_bands(table: str, col: str, every: Sequence[str], none: str = "-1") ->
                FROM (SELECT *, {bounds} AS __bounds FROM {table})"""
 
 
-def _banded(
+#: Bins for each factor of e: two values in one differ by less than a millionth.
+DIGITS = 2**20
+
+
+def _bin(v: str) -> str:
+    """SQL of a value's bin. It never falls as the value rises; null for null, NaN is last."""
+    # The logarithm of the smallest double is above -746; an infinite value shares the largest one's bin.
+    size = f"int(floor((ln(least(abs({v}), 1.7976931348623157E308D)) + 746) * {DIGITS}))"
+    return f"CASE WHEN {v} IS NULL THEN NULL WHEN isnan({v}) THEN {2**31 - 1} WHEN {v} = 0 THEN 0 ELSE int(sign({v})) * {size} END"
+
+
+def _selected(
     rows: DataFrame,
     keys: list[str],
     stats: Sequence[str],
     quantiles: Mapping[str, float],
     folds: Mapping[str, str],
 ) -> DataFrame:
-    """Fold, bands, ranks inside the bands (see the module text)."""
-    by = "".join(f"`{k}`, " for k in keys)
-    only = f"PARTITION BY {by[:-2]}" if keys else ""
+    """Fold, totals of the bins, ranks, and picks from the bins that hold them (see the module text)."""
+    # A constant stands for no keys, so that the same joins and windows serve.
+    rows, groups = (rows, keys) if keys else (rows.withColumn("__all", F.lit(1)), ["__all"])
+    by = ", ".join(f"`{k}`" for k in groups)
     folded = "".join(f", {fn}(`{name}`) AS `{name}`" for name, fn in folds.items())
     whole = {
         "__total": "sum(__n)",
@@ -136,17 +149,19 @@ def _banded(
         "__max": "max(__hi)",
         **{f"__all_{name}": f"{fn}(`{name}`)" for name, fn in folds.items()},
     }
-    totals = ", ".join(f"{fn} OVER ({only}) AS `{name}`" for name, fn in whole.items())
-    picks, finals = [f"max(`{x}`) AS `{x}`" for x in whole], []
+    totals = ", ".join(f"{fn} OVER (PARTITION BY {by}) AS `{name}`" for name, fn in whole.items())
+    picks, finals, asks = [f"max(`{x}`) AS `{x}`" for x in whole], [], []
     for i, (name, p) in enumerate(quantiles.items()):
         spot = f"({float(p)!r}D * (__total - 1))"
-        for side, rank in (("l", f"floor({spot})"), ("h", f"ceil({spot})")):
-            hit = f"__v IS NOT NULL AND __end - __c <= {rank} AND {rank} < __end"
-            picks.append(f"max(if({hit}, __v, NULL)) AS __{side}{i}")
+        for j, rank in enumerate((f"floor({spot})", f"ceil({spot})")):
+            pick = 2 * i + j
+            asks.append(f"named_struct('pick', {pick}, 'rank', {rank} - __before)")
+            hit = f"__lo = __hi AND __before <= {rank} AND {rank} < __before + __n"
+            picks.append(f"max(if({hit}, __lo, NULL)) AS __k{pick}")
+        low, high = (f"coalesce(__k{2 * i + j}, __p{2 * i + j})" for j in (0, 1))
         share = f"({spot} - floor({spot}))"
         # Equal ends stay as they are, so that an infinite value is not multiplied by zero.
-        between = f"__l{i} * (1 - {share}) + __h{i} * {share}"
-        finals.append(f"if(__l{i} = __h{i} OR {share} = 0, __l{i}, {between}) AS `{name}`")
+        finals.append(f"if({low} = {high} OR {share} = 0, {low}, {low} * (1 - {share}) + {high} * {share}) AS `{name}`")
     made = {
         "mean": "try_divide(__sum, __total)",
         "max": "__max",
@@ -156,26 +171,41 @@ def _banded(
     }
     finals += [f"{made[s]} AS `{s}`" for s in stats]
     finals += [f"`__all_{name}` AS `{name}`" for name in folds]
-    group = f"GROUP BY {by[:-2]}" if keys else ""
-    # per_band has one row per group and band: at most BANDS + 1 rows meet per group.
+    later = ", ".join(f"max(if(pick = {k}, __v, NULL)) AS __p{k}" for k in range(2 * len(quantiles)))
+    same = " AND ".join(f"known.`{k}` = picked.`{k}`" for k in groups)
+    names = [*(f"known.`{k}`" for k in groups), *(f"`{x}`" for x in whole), *(f"__k{k}, __p{k}" for k in range(2 * len(quantiles)))]
+    # Without keys there is one row even of an empty table.
+    last = f"SELECT {by}, {', '.join(finals)} FROM met"
+    if not keys:
+        columns = [*whole, *(f"__{x}{k}" for k in range(2 * len(quantiles)) for x in "kp")]
+        last = f"SELECT {', '.join(finals)} FROM (SELECT {', '.join(f'max(`{c}`) AS `{c}`' for c in columns)} FROM met)"
     return rows.sparkSession.sql(
         f"""
-        WITH counts AS (SELECT {by} __v, sum(__c) AS __c {folded} FROM {{rows}} GROUP BY {by} __v),
-        banded AS ({_with_bands("counts", "__v", [*(f"`{k}`" for k in keys), "__c", *(f"`{x}`" for x in folds)])}),
-        per_band AS (
-          SELECT {by} __band, sum(if(__v IS NULL, 0, __c)) AS __n, sum(__c) AS __rows,
+        WITH counts AS (
+          SELECT {by}, {_bin("__v")} AS __bin, __v, sum(__c) AS __c {folded} FROM {{rows}} GROUP BY {by}, {_bin("__v")}, __v),
+        dealt AS (SELECT /*+ REPARTITION({by}, __bin) */ * FROM counts),
+        bins AS (
+          SELECT {by}, __bin, sum(if(__v IS NULL, 0, __c)) AS __n, sum(__c) AS __rows,
                  sum(__v * __c) AS __s, min(__v) AS __lo, max(__v) AS __hi {folded}
-          FROM banded GROUP BY {by} __band),
-        offsets AS (
-          SELECT {by} __band, {totals}, coalesce(sum(__n) OVER (
-                 {only} ORDER BY __band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before
-          FROM per_band),
+          FROM dealt GROUP BY {by}, __bin),
+        placed AS (
+          SELECT *, {totals}, coalesce(sum(__n) OVER (
+                 PARTITION BY {by} ORDER BY __bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before
+          FROM bins),
+        known AS (SELECT {by}, {", ".join(picks)} FROM placed GROUP BY {by}),
+        asked AS (
+          SELECT {by}, __bin, filter(array({", ".join(asks)}), a -> 0 <= a.rank AND a.rank < __n) AS __asks
+          FROM placed WHERE __lo <> __hi),
         ranked AS (
-          SELECT {by} __v, __c, {", ".join(f"`{x}`" for x in whole)},
-                 __before + sum(if(__v IS NULL, 0, __c)) OVER (PARTITION BY {by} __band ORDER BY __v
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __end
-          FROM (SELECT {by} __band, __v, __c FROM banded) JOIN offsets USING ({by} __band))
-        SELECT {by} {", ".join(finals)} FROM (SELECT {by} {", ".join(picks)} FROM ranked {group})""",
+          SELECT {by}, __v, __c, __asks,
+                 sum(__c) OVER (PARTITION BY {by}, __bin ORDER BY __v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __end
+          FROM dealt JOIN (SELECT * FROM asked WHERE size(__asks) > 0) USING ({by}, __bin)),
+        picked AS (
+          SELECT {by}, {later} FROM (
+            SELECT {by}, __v, inline(filter(__asks, a -> __end - __c <= a.rank AND a.rank < __end)) FROM ranked)
+          GROUP BY {by}),
+        met AS (SELECT {", ".join(names)} FROM known LEFT JOIN picked ON {same})
+        {last}""",
         rows=rows,
     )
 

@@ -23,6 +23,10 @@ MIN_CELL = 1e-4  # degrees
 POWERS = 3
 # Shapes touch at most four cells of their grid.
 CELLS = 4
+#: Sides up to which a shape's cells are as high as they are wide.
+FEW_SIDES = 32
+#: Powers of two between the heights of cells, and the most that a cell is cut into.
+SLAB_POWERS, MOST_SLABS = 4, 16
 
 
 def _cell(value: Column, size: Column | float) -> Column:
@@ -57,15 +61,17 @@ def layer_sizes(layers: Sequence[tuple[DataFrame, Column]]) -> list[list[float]]
         for i, (boxes, box) in enumerate(layers)
     ]
     found = reduce(lambda a, b: a.union(b), powers).distinct().collect()
-    out = []
-    for i in range(len(layers)):
-        sizes, left = [], sorted(r.power for r in found if r.layer == i and r.power is not None)
-        while left:
-            top = left[-1]
-            sizes.insert(0, 2.0**top)
-            left = [p for p in left if p <= top - POWERS]
-        out.append(sizes or [MIN_CELL])
-    return out
+    return [_merged({r.power for r in found if r.layer == i and r.power is not None}) for i in range(len(layers))]
+
+
+def _merged(powers: set[int]) -> list[float]:
+    """Sizes of the grids for shapes of these powers of two, ascending."""
+    sizes, left = [], sorted(powers)
+    while left:
+        top = left[-1]
+        sizes.insert(0, 2.0**top)
+        left = [p for p in left if p <= top - POWERS]
+    return sizes or [MIN_CELL]
 
 
 def _size_of(box: Column, sizes: Sequence[float]) -> Column:
@@ -76,30 +82,93 @@ def _size_of(box: Column, sizes: Sequence[float]) -> Column:
     return chosen
 
 
-def cover(polygons: DataFrame, columns: list[str], sizes: Sequence[float]) -> DataFrame:
-    """Polygons cut to grid cells: ``columns``, ``__size``, ``__cx``, ``__cy``, ``__box``, ``__edges``.
+def _height_power(rings: Column) -> Column:
+    """Power of two of the height that a shape's cells should have; null for a shape of few sides.
+
+    Cells as high as the sides' mean rise hold a handful of sides each, however many the
+    shape has, and list each side about twice.
+    """
+    sides = G.edges(rings)
+    rise = F.aggregate(sides, F.lit(0.0), lambda acc, s: acc + F.abs(s["y2"] - s["y1"]))
+    power = F.ceil(F.log2(rise / F.size(sides)) / SLAB_POWERS) * SLAB_POWERS
+    return F.when(F.size(sides) > FEW_SIDES, power)
+
+
+Grid = tuple[float, float]  # width and height of its cells
+
+
+def layer_grids(layers: Sequence[DataFrame]) -> list[list[Grid]]:
+    """For each layer of polygons the grids that suit its shapes, ascending.
+
+    Only the distinct powers of two of extents and heights reach the driver.
+    """
+    powers = [
+        p.select(
+            F.lit(i).alias("layer"),
+            F.ceil(F.log2(_extent_of(G.bbox(F.col("rings"))))).alias("power"),
+            _height_power(F.col("rings")).alias("high"),
+        )
+        for i, p in enumerate(layers)
+    ]
+    found = reduce(lambda a, b: a.union(b), powers).where("power IS NOT NULL").distinct().collect()
+    out = []
+    for i in range(len(layers)):
+        mine = [r for r in found if r.layer == i]
+        sizes = _merged({r.power for r in mine})
+        width = lambda r: next(s for s in sizes if 2.0**r.power <= s)
+        out.append(sorted({(width(r), _height(width(r), r.high)) for r in mine}) or [(MIN_CELL, MIN_CELL)])
+    return out
+
+
+def _height(width: float, power: int | None) -> float:
+    return width if power is None else min(width, max(2.0**power, width / 2**MOST_SLABS))
+
+
+def cover(polygons: DataFrame, columns: list[str], grids: Sequence[Grid]) -> DataFrame:
+    """Polygons cut to grid cells: ``columns``, ``__width``, ``__height``, ``__cx``, ``__cy``, ``__box``, ``__edges``.
 
     Only the sides that matter for points of the cell stay: those that reach into
     the cell's rows and are not wholly to its left (crossings are counted to the
-    right). Cells left without sides are outside and are dropped.
+    right). Cells left without sides are outside and are dropped. The cells of a shape of
+    many sides are flat, so each has only the few sides that cross its height; they are
+    made from the sides, not by looking for them in each cell.
     """
-    size = F.col("__size")
-    x0, y0 = F.col("__cx") * size, F.col("__cy") * size
-    slack = size * 1e-6
+    sizes = sorted({w for w, _ in grids})
+    width, height = F.col("__width"), F.col("__height")
+    box = F.col("__box")
+    slack = 1e-6
+    shapes = polygons.select(
+        *columns, G.bbox(F.col("rings")).alias("__box"), G.edges(F.col("rings")).alias("__all"), _height_power(F.col("rings")).alias("__power")
+    ).withColumn("__width", _size_of(box, sizes))
+    flat = F.least(width, F.greatest(F.pow(F.lit(2.0), F.col("__power")), width / 2**MOST_SLABS))
+    shapes = shapes.withColumn("__height", F.coalesce(flat, width))
+    x0, y0 = F.col("__cx") * width, F.col("__cy") * width
     matters = lambda s: (
-        (F.greatest(s["y1"], s["y2"]) >= y0 - slack)
-        & (F.least(s["y1"], s["y2"]) <= y0 + size + slack)
-        & (F.greatest(s["x1"], s["x2"]) >= x0 - slack)
+        (F.greatest(s["y1"], s["y2"]) >= y0 - slack * width)
+        & (F.least(s["y1"], s["y2"]) <= y0 + width + slack * width)
+        & (F.greatest(s["x1"], s["x2"]) >= x0 - slack * width)
     )
-    shapes = polygons.select(
-        *columns, G.bbox(F.col("rings")).alias("__box"), G.edges(F.col("rings")).alias("__all")
-    ).withColumn("__size", _size_of(F.col("__box"), sizes))
-    return (
-        _cells_of_box(shapes, F.col("__box"), size)
-        .withColumn("__edges", F.filter("__all", matters))
-        .where(F.size("__edges") > 0)
-        .select(*columns, "__size", "__cx", "__cy", "__box", "__edges")
+    kept = [*columns, "__width", "__height", "__cx", "__cy", "__box", "__edges"]
+    plain = shapes.where("__power IS NULL") if any(w != h for w, h in grids) else shapes.withColumn("__height", width)
+    cells = _cells_of_box(plain, box, width).withColumn("__edges", F.filter("__all", matters))
+    cells = cells.where(F.size("__edges") > 0).select(*kept)
+    if all(w == h for w, h in grids):
+        return cells
+    many = shapes.where("__power IS NOT NULL").withColumn("__id", F.monotonically_increasing_id())
+    shape = F.struct(*columns, "__width", "__height", "__box").alias("__shape")
+    side = F.col("__side")
+    rows = F.sequence(
+        F.greatest(_cell(F.least(side["y1"], side["y2"]) - slack * height, height), _cell(box["ymin"], height)),
+        F.least(_cell(F.greatest(side["y1"], side["y2"]) + slack * height, height), _cell(box["ymax"], height)),
     )
+    across = F.sequence(
+        _cell(box["xmin"], width),
+        F.least(_cell(F.greatest(side["x1"], side["x2"]) + slack * width, width), _cell(box["xmax"], width)),
+    )
+    listed = many.withColumn("__side", F.explode("__all")).withColumn("__cy", F.explode(rows)).withColumn("__cx", F.explode(across))
+    # A cell's list has the sides that cross its height.
+    slabs = listed.groupBy("__id", "__cx", "__cy").agg(F.first(shape).alias("__shape"), F.collect_list("__side").alias("__edges"))
+    return cells.unionByName(slabs.select("__shape.*", "__cx", "__cy", "__edges").select(*kept))
 
 
 def locate(
@@ -108,14 +177,15 @@ def locate(
     columns: list[str],
     x: str = "lon",
     y: str = "lat",
-    sizes: Sequence[float] | None = None,
+    grids: Sequence[Grid | float] | None = None,
 ) -> DataFrame:
     """Left point-in-polygon join adding ``columns``; boundaries count as inside.
 
     A point in several polygons gives several rows; in none, one row of nulls. With
-    shapes of very different extent, a point looks up one cell of each grid.
+    shapes of very different extent or number of sides, a point looks up one cell of each
+    grid. ``grids`` are widths and heights of cells, one number for square ones.
     """
-    sizes = list(sizes or cell_sizes(polygons, G.bbox(F.col("rings"))))
+    pairs = [g if isinstance(g, tuple) else (g, g) for g in grids] if grids else layer_grids([polygons])[0]
     px, py = F.col(x), F.col(y)
 
     def inside(box: Column, edges: Column) -> Column:
@@ -126,19 +196,22 @@ def locate(
             & G.point_in_edges(edges, px, py)
         )
 
-    covered = cover(polygons, columns, sizes)
-    if len(sizes) == 1:
-        keyed = points.withColumns({"__cx": _cell(px, sizes[0]), "__cy": _cell(py, sizes[0])})
+    covered = cover(polygons, columns, pairs)
+    grown = CELLS if all(w == h for w, h in pairs) else 2 * CELLS
+    if len(pairs) == 1:
+        keyed = points.withColumns({"__cx": _cell(px, pairs[0][0]), "__cy": _cell(py, pairs[0][1])})
         met = inside(F.col("__box"), F.col("__edges"))
-        joined = join_lookup(keyed, covered, ["__cx", "__cy"], condition=met, grown=CELLS)
-        return joined.drop("__cx", "__cy", "__box", "__edges", "__size")
+        joined = join_lookup(keyed, covered, ["__cx", "__cy"], condition=met, grown=grown)
+        return joined.drop("__cx", "__cy", "__box", "__edges", "__width", "__height")
     found = points
-    for i, size in enumerate(sizes):
+    for i, (width, height) in enumerate(pairs):
+        # Shapes that meet in one cell, each with the sides of that cell.
         shapes = F.collect_list(F.struct(*columns, "__box", "__edges")).alias(f"__shapes{i}")
-        lookup = covered.where(F.col("__size") == size).groupBy("__cx", "__cy").agg(shapes)
-        keyed = found.withColumns({"__cx": _cell(px, size), "__cy": _cell(py, size)})
-        found = join_lookup(keyed, lookup, ["__cx", "__cy"], grown=CELLS).drop("__cx", "__cy")
-    every = F.concat(*[F.coalesce(F.col(f"__shapes{i}"), F.array()) for i in range(len(sizes))])
+        own = covered.where((F.col("__width") == width) & (F.col("__height") == height))
+        lookup = own.groupBy("__cx", "__cy").agg(shapes)
+        keyed = found.withColumns({"__cx": _cell(px, width), "__cy": _cell(py, height)})
+        found = join_lookup(keyed, lookup, ["__cx", "__cy"], grown=grown).drop("__cx", "__cy")
+    every = F.concat(*[F.coalesce(F.col(f"__shapes{i}"), F.array()) for i in range(len(pairs))])
     hits = F.transform(
         F.filter(every, lambda s: inside(s["__box"], s["__edges"])), lambda s: F.struct(*[s[c].alias(c) for c in columns])
     )
@@ -332,13 +405,13 @@ def geotag(
     grid_column: str = "big_hexagon_id",
     x: str = "lon",
     y: str = "lat",
-    sizes: Sequence[float] | None = None,
+    grids: Sequence[Grid | float] | None = None,
 ) -> DataFrame:
     """Add the ids of every polygon layer, and of the hexagon grid, to each point.
 
     ``layers`` pairs a polygon table with ``{its column: output column}``.
     """
-    every = [sizes] * len(layers) if sizes else layer_sizes([(p, G.bbox(F.col("rings"))) for p, _ in layers])
+    every = [grids] * len(layers) if grids or not layers else layer_grids([p for p, _ in layers])
     tagged = points
     for (polygons, names), fitting in zip(layers, every, strict=True):
         renamed = polygons.withColumnsRenamed(names)

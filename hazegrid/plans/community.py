@@ -24,25 +24,23 @@ GRAINS = {
 
 def tag_points(
     points: DataFrame,
-    blocks: DataFrame,
-    neighborhoods: DataFrame,
-    hexagons: DataFrame,
-    grid: HexGrid,
+    blocks: DataFrame | None = None,
+    neighborhoods: DataFrame | None = None,
+    hexagons: DataFrame | None = None,
+    grid: HexGrid | None = None,
 ) -> DataFrame:
-    """Points with all four area ids, half hour and level flags."""
+    """Points with the area ids of the layers given, half hour and level flags.
+
+    A table that reads one layer's ids needs no other layer.
+    """
     if dict(points.dtypes)["time"] == "string":
         points = parse_timestamps(points, ["time"])
-    tagged = geotag(
-        points,
-        [
-            (blocks, {"geoid10": "geoid10"}),
-            (neighborhoods, {"pri_neigh": "pri_neigh"}),
-            (hexagons, {"id": "hexagon_id"}),
-        ],
-        grid,
-        x="lng",
-        y="lat",
-    )
+    layers = [
+        (blocks, {"geoid10": "geoid10"}),
+        (neighborhoods, {"pri_neigh": "pri_neigh"}),
+        (hexagons, {"id": "hexagon_id"}),
+    ]
+    tagged = geotag(points, [(p, names) for p, names in layers if p is not None], grid, x="lng", y="lat")
     return level_flags(
         tagged.withColumn("thirtymins", floor_half_hour(F.col("time"))), "value", "value"
     )

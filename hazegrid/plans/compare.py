@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from hazegrid.functions.clean import rename_or_drop
 from hazegrid.functions.rounding import half_even, settled
 from hazegrid.operators.aggregates import (
+    cell_totals,
     rollup_with_cell_shares,
     summary_rollup,
     summary_with_shares,
+    totals_with_cell_shares,
 )
 from hazegrid.operators.filters import min_support
 from hazegrid.operators.joins import combine_sources, join_lookup, semi_join
@@ -56,6 +58,26 @@ def near_sensor_daily(
     return hexagon_daily_rollup(semi_join(by_hexagon, near, ["hexagon_id"]))
 
 
+def scoped_daily_rollup(
+    by_hexagon: DataFrame, near: Mapping[str, DataFrame], cell: str = "hexagon_id", every: str = "all"
+) -> DataFrame:
+    """Daily tables of all hexagons and of those near each network, in one pass: ``scope, Daily, ...``.
+
+    ``near`` has the hexagon ids of each network (``hexagons_near``). Half hours fold to
+    days of a hexagon once; only these are listed for the scopes that the hexagon is in.
+    """
+    ids = [df.select(F.col("hexagon_id").alias(cell), F.lit(name).alias("scope")) for name, df in near.items()]
+    days = cell_totals(by_hexagon, ["Daily"], cell)
+    scopes = F.array(F.lit(every))
+    if ids:
+        # A hexagon has at most one entry for each network.
+        flags = reduce(DataFrame.union, ids).groupBy(cell).agg(F.collect_set("scope").alias("__near"))
+        days = join_lookup(days, flags, [cell])
+        scopes = F.concat(scopes, F.coalesce("__near", F.array().cast("array<string>")))
+    listed = days.withColumn("scope", F.explode(scopes))
+    return totals_with_cell_shares(listed, ["scope", "Daily"], cell)
+
+
 def daily_comparison(
     aq: DataFrame,
     epa: DataFrame,

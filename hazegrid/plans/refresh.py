@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.operators.joins import append_rows
 from hazegrid.plans import community, sites
-from hazegrid.sources.tables import drop_partitions, replace_partitions, write_partitioned
+from hazegrid.sources.tables import replace_partitions, write_partitioned
 
 # Earliest watermark, and how far behind today a load ends.
 FLOOR = dt.datetime(2016, 1, 1)
 LAG_DAYS = 14
+#: Tables that are written at the same time.
+AT_ONCE = 3
 
 
 def refresh_watermark(
@@ -95,11 +98,16 @@ def incremental_refresh(
     fresh = load(start, stop) if stop > start else {}
     versions = {n: refreshed(df, time, fresh.get(n, df), start, stop) for n, (df, time) in current.items()}
     versions |= {n: fresh.get(n, df) for n, df in (profiles or {}).items()}
-    for name, df in versions.items():
+
+    def write(name: str) -> None:
         if partition and name in partition:
-            write_partitioned(df, f"{out}/{name}", partition[name], "overwrite")
+            write_partitioned(versions[name], f"{out}/{name}", partition[name], "overwrite")
         else:
-            df.write.mode("overwrite").parquet(f"{out}/{name}")
+            versions[name].write.mode("overwrite").parquet(f"{out}/{name}")
+
+    # Tables do not depend on each other: one's last tasks leave room for the next one's first.
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        list(pool.map(write, versions))
     return {name: spark.read.parquet(f"{out}/{name}") for name in versions}
 
 
@@ -112,7 +120,8 @@ def refresh_partitions(
 ) -> dict[str, DataFrame]:
     """Refresh tables partitioned by ``day`` in place, replacing the days of the window.
 
-    A day that the load has no rows for loses those it had.
+    A day that the load has no rows for loses those it had. A table's days are published
+    when all of them are written, each by renaming its folder.
     """
     current = {name: (spark.read.parquet(path), day) for name, path in paths.items()}
     row = refresh_watermark(current).first()
@@ -124,8 +133,7 @@ def refresh_partitions(
             had = _window(current[name][0], day, start, stop).select(day).distinct()
             # At most the days of the window.
             gone = [r[0] for r in had.join(new.select(day).distinct(), day, "left_anti").collect()]
-            replace_partitions(new, path, day)
-            drop_partitions(spark, path, day, gone)
+            replace_partitions(new, path, day, gone)
     return {name: spark.read.parquet(path) for name, path in paths.items()}
 
 

@@ -112,8 +112,9 @@ def process_purpleair(
     sites = purpleair_sites(typed) if sites is None else sites
     # Which site is outdoors does not need the statistics: distinct keys will do.
     keyed = typed.where(not_null(schemas.PURPLEAIR_SITE_KEYS))
-    places = materialize(keyed.select("address", "ID", "device_loc").distinct())
-    outdoor = outdoor_only(typed.select(*map(named, PURPLEAIR_KEPT)), places)
+    places = materialize(keyed.where("device_loc = 'outside'").select("address", "ID", "device_loc").distinct())
+    # Written: mean and deviation are taken from these rows before they are filtered by them.
+    outdoor = materialize(outdoor_only(typed.select(*map(named, PURPLEAIR_KEPT)), places), "outdoor")
     return zscore_filter(outdoor, [PM]), sites
 
 

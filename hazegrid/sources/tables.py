@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header. Texts keep their quotes, commas, line breaks and outer blanks."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -30,22 +33,26 @@ def read_partition(spark: SparkSession, path: str, key: str, value) -> DataFrame
     return spark.read.parquet(path).where(F.col(key) == F.lit(value))
 
 
-def replace_partitions(df: DataFrame, path: str, key: str) -> None:
-    """Overwrite only the partitions that ``df`` has rows for."""
-    (
-        df.hint("rebalance", F.col(key))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(key)
-        .parquet(path)
-    )
+def replace_partitions(df: DataFrame, path: str, key: str, gone: Sequence = ()) -> None:
+    """Replace the partitions that ``df`` has rows for, and drop those of the keys ``gone``.
 
-
-def drop_partitions(spark: SparkSession, path: str, key: str, values: Sequence) -> None:
-    """Delete the folders of the given key values."""
-    if not values:
-        return
+    All rows are written beside the table first, where readers do not look. Only when
+    that is done is anything published, a partition at a time by renaming its folder: a
+    load that fails has changed nothing, and no partition is ever a mix of both states.
+    """
+    spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
-    for value in values:
-        folder = hadoop.Path(f"{path}/{key}={value}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    table = hadoop.Path(path)
+    system = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = f"{path}/_replacing-{uuid.uuid4().hex}"
+    df.hint("rebalance", F.col(key)).write.partitionBy(key).parquet(f"{beside}/new")
+    new = {f.getPath().getName() for f in system.listStatus(hadoop.Path(f"{beside}/new")) if f.isDirectory()}
+    system.mkdirs(hadoop.Path(f"{beside}/old"))
+    for name in sorted(new | {f"{key}={value}" for value in gone}):
+        own, old = hadoop.Path(f"{path}/{name}"), hadoop.Path(f"{beside}/old/{name}")
+        if system.exists(own) and not system.rename(own, old):
+            raise OSError(f"{own} could not be moved")
+        if name in new and not system.rename(hadoop.Path(f"{beside}/new/{name}"), own):
+            system.rename(old, own)
+            raise OSError(f"{own} could not be published")
+    system.delete(hadoop.Path(beside), True)

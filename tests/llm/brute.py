@@ -206,3 +206,19 @@ def variants(docs, min_length=7, min_count=2, ratio=10, drop_every=31):
             root = forms[root]
         out[w] = forms[w], root, words[w], len(near[w]), words.get(forms[w])
     return out
+
+
+def toxic_features(text, lexicon, fold):
+    """The two features by looking for every entry and phrase at every place."""
+    folded = fold(text or "")
+    phrases = [fold(p) for p in lexicon.exceptions]
+    excused = [(k, k + len(p) - 1) for p in phrases for k in range(len(folded)) if folded.startswith(p, k)]
+    total = 0.0
+    for k, c in enumerate(folded):
+        if c == " ":
+            met = [w for e, w in lexicon.weights.items() if folded.startswith(" " + e, k)]
+            if met and not any(a <= k < b for a, b in excused):
+                total += max(met)
+    if not total:
+        return 0.0, 0.0
+    return math.log1p(total), total / math.sqrt(folded.count(" ") - 1)

@@ -98,6 +98,20 @@ def test_leaks(spark, frame, bound):
         assert {p for s in r.spans for p in range(s["first"], s["last"] + 1)} == hit
 
 
+def test_leaks_beyond_the_broadcast_are_verified(spark, frame):
+    """A hash that many windows share proves nothing."""
+    from hazegrid.llm.decontaminate import find_leaks
+
+    items = [f"item{k} has words{k} of its own" for k in range(300)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = [(i, f"document {i} item{i} has words{i} of its own and goes on" if i % 5 == 0 else f"document {i} has words of its own") for i in range(200)]
+    rows = find_leaks(frame(docs), bench, broadcast_words=0, hash_bytes=1).collect()
+    assert len(rows) == 200
+    for r in rows:
+        want = (6, [r.doc_id], [(2, 7)]) if r.doc_id % 5 == 0 else (0, [], [])
+        assert (r.n_hit, r["items"], [tuple(s) for s in r.spans]) == want and r.n_words == len(r.text.split())
+
+
 def test_leaks_removed(spark, frame):
     from hazegrid.llm.decontaminate import remove_leaks
 
@@ -207,6 +221,61 @@ def test_jaccard(spark, frame, bound):
     assert [r.component_id for r in rows if r.doc_id is None] == [None] and len(rows) == len(texts) + 1
 
 
+def test_jaccard_unrelated_sets_share_no_bucket():
+    """Keys of random sets, whose filled parts may be few."""
+    import numpy as np
+
+    from hazegrid.llm.jaccard_join import SizeClasses, keys_of
+
+    rng = np.random.default_rng(3)
+    for percent, low, high in ((80, 60, 300), (85, 6, 60)):
+        classes, seen, least = SizeClasses(percent), {}, 0
+        for k in range(6_000):
+            hashes = np.sort(rng.integers(0, 2**63, rng.integers(low, high), np.uint64) * np.uint64(2))
+            keys, need = keys_of(hashes, classes)
+            least = max(least, need)
+            for key in keys.tolist():
+                seen.setdefault(key, set()).add(k)
+        assert max(map(len, seen.values())) == 1 and least > 1
+
+
+def test_jaccard_linked_sets_share_a_key():
+    """Whichever parts the differing shingles fall in, and however few are filled."""
+    import numpy as np
+
+    from hazegrid.llm.jaccard_join import SizeClasses, keys_of
+
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        classes = SizeClasses(percent)
+        for _ in range(4_000):
+            union = rng.integers(5, 90)
+            both = -(-percent * union // 100)
+            shared = rng.integers(0, 2**63, both, np.uint64)
+            if rng.random() < 0.5:  # crowded into few parts
+                shared = shared >> np.uint64(int(rng.integers(1, 40)))
+            rest = rng.integers(0, 2**63, union - both, np.uint64)
+            cut = rng.integers(0, len(rest) + 1)
+            a, b = (np.unique(np.concatenate([shared, r])) for r in (rest[:cut], rest[cut:]))
+            (keys_a, need_a), (keys_b, need_b) = keys_of(a, classes), keys_of(b, classes)
+            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) and (len(a) != len(b) or (a != b).any()):
+                met = len(np.intersect1d(keys_a, keys_b))
+                assert met >= max(need_a, need_b, 1)
+
+
+def test_keep_one_of_repeated_ids(spark, frame):
+    """Rows of one id are documents each: unrelated texts stay, whatever their ids."""
+    from hazegrid.llm.jaccard_join import keep_one
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    near = texts[0].replace("w0x39", "other")
+    docs = [(1, texts[0]), (2, texts[1]), (2, near), (3, texts[2]), (3, texts[3]), (3, texts[3]), (4, texts[2]), (None, texts[0]), (5, None), (5, "")]
+    kept = keep_one(frame(docs, "__node")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted(
+        [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (0, texts[0]), (5, ""), (5, "")]
+    )
+
+
 def test_jaccard_small(spark, frame, monkeypatch):
     from hazegrid.llm import jaccard_join
 
@@ -309,9 +378,48 @@ def test_toxicity_learns(spark, frame):
     assert "dumm" in sampled.weights
 
 
+def test_toxicity_learns_exceptions(spark, frame):
+    """A toxic word beside one that only clean texts put there counts nothing."""
+    from hazegrid.llm.toxicity import fit, score_texts
+
+    docs = [(i, ("you dummkopf" if i % 4 else f"dummkopf {['du', 'er', 'so'][i % 3]}") + " there") for i in range(200)]
+    docs += [(i, "the dummkopf museum is open" if i % 40 == 0 else f"plain words number{i % 9} here") for i in range(200, 1800)]
+    labels = spark.createDataFrame([(i, int(i < 200)) for i, _ in docs], "doc_id bigint, toxic int")
+    lexicon = fit(frame(docs), labels)
+    assert "dumm" in lexicon.weights and "dummkopf museum" in lexicon.exceptions and "you dummkopf" not in lexicon.exceptions
+    rows = score_texts(frame([(1, "see the dummkopf museum"), (2, "see the Dummkopf there")]), lexicon).collect()
+    assert {r.doc_id: r.predicted for r in rows} == {1: 0, 2: 1}
+    assert "of the day" in fit(frame(docs), labels, exceptions=["of the day"]).exceptions
+
+
+def test_toxicity_null_ids_and_threshold(spark, frame):
+    from hazegrid.llm.toxicity import Lexicon, drop_toxic, fit, score_texts
+
+    lexicon = Lexicon({"idiot": 5.0}, intercept=0.0)
+    docs = frame([(None, "an idiot"), (1, "fine"), (None, None)])
+    # A score at the threshold itself is toxic.
+    assert [(r.score, r.predicted) for r in score_texts(docs, lexicon).collect()] == [(0.5, 1)] * 3
+    assert drop_toxic(docs, lexicon).count() == 0
+    labels = spark.createDataFrame([(None, 1), (None, 0)], "doc_id bigint, toxic int")
+    assert fit(docs, labels).weights == {}
+
+
 # -- SentencePiece
 
 
+def test_encode_decode_clashing_columns(spark, frame):
+    import sentencepiece
+
+    from hazegrid.llm.sentencepiece_codec import encode_decode
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = frame([(1, "some text"), (None, None), (3, "")], "decoded").withColumnRenamed("doc_id", "ids")
+    rows = encode_decode(docs, PIECES).collect()
+    assert sorted((r.text or "", r.decoded, tuple(r.ids)) for r in rows) == sorted(
+        (t, lib.decode(lib.encode(t)), (*lib.encode(t), lib.eos_id())) for t in ("some text", "", "")
+    )
+
+
 def test_pieces(spark, frame):
     import hashlib
 
@@ -378,9 +486,101 @@ def test_files(spark, frame, tmp_path):
     assert empty.count() == 0 and read_token_files(empty).count() == 0
 
 
+def test_files_in_the_default_file_system(spark, frame, tmp_path):
+    """A folder without a scheme is one of Hadoop's default file system, not of each machine."""
+    from hazegrid.llm.token_file import SequenceFile, read_token_files, write_token_files
+    from hazegrid.session import qualified
+
+    manifest = write_token_files(frame([(1, "a b"), (2, None)]), BYTES, public_tokenizers.PATTERN, folder=f"{tmp_path}/my files")
+    assert read_token_files(manifest).count() == 2
+    files = [r.file for r in manifest.collect()]
+    assert all(f.startswith("file:/") for f in files)
+    with SequenceFile(files[0]) as f:
+        ids, mask = f.sequence(0)
+        assert not mask.flags.owndata and mask.dtype == "uint8" and len(ids) == len(mask)
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS")
+    spark._jsc.hadoopConfiguration().set("fs.defaultFS", "viewfs://store/")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    try:
+        assert qualified(spark, "/in/x") == "viewfs://store/in/x"
+    finally:
+        spark._jsc.hadoopConfiguration().set("fs.defaultFS", default)
+
+
 # -- embeddings
 
 
+def near_pairs(n, dim, seed):
+    """Random unit vectors; every tenth has a partner with a cosine from 0.98 to 0.99."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    k = n // 10
+    away = rng.normal(size=(k, dim))
+    away -= (away * x[:k]).sum(axis=1, keepdims=True) * x[:k]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.9801, 0.99, k)[:, None]
+    x[k : 2 * k] = cos * x[:k] + np.sqrt(1 - cos**2) * away
+    return x
+
+
+def vector_frame(spark, x):
+    import pandas as pd
+
+    rows = pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x)})
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS label")
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_vectors_recall(spark, dim):
+    import numpy as np
+
+    from hazegrid.llm.embedding_dedup import near_vectors
+
+    x = near_pairs(6_000, dim, 5)
+    near = np.triu(x @ x.T >= 0.98, 1)
+    want = near.sum()
+    got = near_vectors(vector_frame(spark, x)).agg({"n_links": "sum"}).first()[0] / 2
+    assert want >= 600 and 0.99 * want <= got <= want
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_vectors_met_fall_with_the_rows(spark, dim):
+    """The share of a label's pairs that share a cell."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from hazegrid.llm import embedding_dedup as E
+
+    gap, shares = math.sqrt(2 - 2 * E.THRESHOLD), []
+    for n in (1_000, 4_000, 16_000):
+        rows = E._classes(vector_frame(spark, near_pairs(n, dim, 6)), "vec_id", "embedding", "label")
+        classes = rows.withColumn("number", F.monotonically_increasing_id())
+        cells = E._members(classes, gap).select("turn", "cell", "size").distinct()
+        shares.append(cells.agg(F.sum(F.expr("size * (size - 1) / 2"))).first()[0] / (n * (n - 1) / 2))
+    assert shares[0] == 1 and shares[1] < 0.2 and shares[2] < 0.5 * shares[1]
+
+
+def test_vectors_in_a_crowd(spark):
+    """A cell of many near vectors is cut into blocks; each pair counts once, whatever tables it meets in."""
+    import numpy as np
+
+    from hazegrid.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(8)
+    x = near_pairs(3_000, 32, 7)
+    x[2000:2400] = x[0] + rng.normal(size=(400, 32)) * 0.01
+    near = x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None] >= 0.98
+    want = near.sum(axis=1) - 1
+    rows = near_vectors(vector_frame(spark, x), block=128).collect()
+    got = {r.vec_id: r.n_links for r in rows}
+    missed = sum(int(w) - got[i] for i, w in enumerate(want))
+    assert 0 <= missed <= 0.001 * want.sum() and all(got[i] <= w for i, w in enumerate(want))
+
+
 def test_vectors(spark, monkeypatch):
     import numpy as np
 

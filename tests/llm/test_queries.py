@@ -46,6 +46,7 @@ def test_token_files(spark, texts):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True  # as the operator does
     rows = {r.doc_id: r for r in QUERIES["op8_token_files"](spark, SF_DIR).collect()}
     start = 0
     for doc_id in sorted(texts):
@@ -91,6 +92,23 @@ def test_toxicity(spark):
     assert held > 0.97
 
 
+def test_toxicity_scores(spark, texts):
+    """Each score against one computed by looking for every entry at every place."""
+    from hazegrid.llm.common import table
+    from hazegrid.llm.toxicity import fit, fold
+    from tests.llm.brute import toxic_features
+
+    docs = table(spark, SF_DIR, "documents")
+    lexicon = fit(docs, table(spark, SF_DIR, "labels"))
+    assert lexicon.weights
+    rows = QUERIES["op6_toxicity"](spark, SF_DIR).collect()
+    short = [r for r in rows if len(texts[r.doc_id]) < 4000]
+    assert len(short) > 0.8 * len(rows) and any(r.predicted for r in short)
+    for r in short:
+        assert abs(r.score - lexicon.score(toxic_features(texts[r.doc_id], lexicon, fold))) < 1e-12
+        assert r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_embeddings(spark):
     from tests.llm.brute import cosine_links
 

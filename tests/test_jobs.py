@@ -1,7 +1,9 @@
 """Sources and jobs on small files."""
 
 import datetime as dt
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from hazegrid.operators import joins as J
@@ -16,6 +18,81 @@ def test_csv_with_quotes_bom_and_nan(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("x", 1.5, "1 Main St, Rear"), ("y", None, "plain"), ("z", None, "q")]
 
 
+def test_csv_keeps_line_breaks(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, 'say "x",\r\nthen go'), (3, None), (4, "  blanks  "), (5, "\n\n"), (6, 'odd " quote')]
+    tables.write_csv(spark.createDataFrame(rows, "id bigint, t string").coalesce(1), str(tmp_path / "out"))
+    got = files.read_csv(spark, str(tmp_path / "out"), "id bigint, t string").collect()
+    assert sorted(tuple(r) for r in got) == rows
+
+
+def test_csv_files_of_a_folder(spark, tmp_path):
+    """Odd names of files and columns; only the file with a broken text is read whole."""
+    (tmp_path / "West Pullman.csv").write_text('id,note\n1,"two\nlines"\n2,"one, ""quoted"""\n')
+    (tmp_path / "plain%41.csv").write_text("note,id\nx,3\n")
+    (tmp_path / "wide.csv").write_text('id,"a\nb",,note,Note\n4,5,6,y,z\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bare.csv").write_text("id,note\n")
+    (tmp_path / "other.txt").write_text("id,note\n9,no\n")
+    groups = files.csv_headers(spark, str(tmp_path), pathGlobFilter="*.csv")
+    spanning = {f.rsplit("/", 1)[1] for (_, spans), fs in groups.items() if spans for f in fs}
+    assert spanning == {"West Pullman.csv", "wide.csv"}
+    rows = files.read_csv_folder(spark, str(tmp_path), "id bigint, note string").select("id", "note").collect()
+    assert {tuple(r) for r in rows} == {(1, "two\nlines"), (2, 'one, "quoted"'), (3, "x"), (4, None)}
+
+
+def test_csv_folder_of_many_files_is_one_job(spark, tmp_path):
+    for i in range(150):
+        (tmp_path / f"{i}.csv").write_text(f"id,v\n{i},{i}.5\n" if i % 2 else f"v,id\n{i}.5,{i}\n")
+    spark.sparkContext.setJobGroup("csv", "csv")
+    df = files.read_csv_folder(spark, str(tmp_path), "id bigint, v double")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("csv")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Headers take one query (two stages of it are jobs of their own), listing the files one each.
+    assert len(jobs) <= 6
+    assert {tuple(r) for r in df.collect()} == {(i, i + 0.5) for i in range(150)}
+
+
+def test_one_payload_is_read_by_several_tasks(spark, tmp_path):
+    """However it is laid out; brackets inside texts and nested lists are no borders."""
+    records = [{"code": f"c{i}", "note": 'a }, {"code" [x] "q" ' * (i % 3), "list": [{"k": i}, {"k": 2}], "n": i} for i in range(4000)]
+    kind = "struct<code: string, note: string, list: array<struct<k: int>>, n: int>"
+    want = sorted((r["code"], r["note"], r["n"], tuple(x["k"] for x in r["list"])) for r in records)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        for name, layout in (("tight", {"separators": (",", ":")}), ("plain", {}), ("deep", {"indent": 2})):
+            path = tmp_path / f"{name}.json"
+            path.write_text(json.dumps({"Header": [{"a": 1}], "Data": records, "More": {"x": [1]}}, **layout))
+            df = files.read_json_records(spark, str(path), kind, split=True)
+            assert df.rdd.getNumPartitions() > 4
+            assert sorted((r["code"], r["note"], r["n"], tuple(x["k"] for x in r["list"])) for r in df.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    (tmp_path / "few").mkdir()
+    for k, rows in enumerate(([], records[:1])):
+        (tmp_path / f"few/{k}.json").write_text(json.dumps({"Data": rows}))
+    assert [r["n"] for r in files.read_json_records(spark, str(tmp_path / "few"), kind, split=True).collect()] == [0]
+
+
+def test_a_payload_that_cannot_be_split_is_refused(spark, tmp_path):
+    records = [{"k": 1, "list": [{"k": 2}, {"k": 3}], "n": i} for i in range(5)]
+    (tmp_path / "a.json").write_text(json.dumps({"Data": records}))
+    kind = "struct<k: int, n: int>"
+    with pytest.raises(Exception, match="not a whole record"):
+        files.read_json_records(spark, str(tmp_path / "a.json"), kind, split=True).collect()
+    assert files.read_json_records(spark, str(tmp_path / "a.json"), kind, multi_line=True).count() == 5
+
+
+def test_one_feature_collection_is_split(spark, tmp_path):
+    features = [
+        {"type": "Feature", "properties": {"id": str(i)}, "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i, 1], [i, 0]]]}}
+        for i in range(50)
+    ]
+    (tmp_path / "g.geojson").write_text(json.dumps({"type": "FeatureCollection", "name": "x", "features": features}))
+    one, two = (files.read_geojson(spark, str(tmp_path / "g.geojson"), ["id"], **how).collect() for how in ({"split": True}, {"multi_line": True}))
+    assert sorted(one) == sorted(two) and len(one) == 50
+
+
 def test_csv_columns_go_by_their_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,lng,lat\n1,-87.5,41.5\n2,NaN,41.6\n")
     (tmp_path / "b.csv").write_text("lat,note,id\n41.7,hi,3\n")

@@ -39,7 +39,7 @@ def test_points_in_polygons(spark, shapes, size):
         11: ((None, 1.0), set()),
     }
     df = spark.createDataFrame([(i, *xy) for i, (xy, _) in points.items()], "id int, lon double, lat double")
-    rows = P.locate(df, shapes, ["name"], sizes=[size]).collect()
+    rows = P.locate(df, shapes, ["name"], grids=[size]).collect()
     for i, (_, want) in points.items():
         got = [r["name"] for r in rows if r["id"] == i]
         assert set(got) - {None} == want and len(got) == max(1, len(want)), i
@@ -51,11 +51,59 @@ def test_random_points_against_hexagon_numbers(spark):
     pts = [(i, rng.uniform(-88.03, -87.74), rng.uniform(41.83, 42.03)) for i in range(3000)]
     df = spark.createDataFrame(pts, "pid int, lon double, lat double")
     by_number = df.withColumn("n", grid.id_at("lon", "lat"))
-    both = P.locate(by_number, grid.table(spark).select("id", "rings"), ["id"], sizes=[0.01])
+    both = P.locate(by_number, grid.table(spark).select("id", "rings"), ["id"], grids=[0.01])
     assert both.where("NOT (n <=> id)").count() == 0
     assert 1000 < both.where("id IS NOT NULL").count() < 3000
 
 
+def _star(n, x=0.0, y=0.0, size=1.0):
+    """A ring of ``n`` sides whose distance from the middle goes up and down."""
+    ring = []
+    for i in range(n):
+        a, r = 2 * math.pi * i / n, size * (1 + 0.3 * math.sin(9 * 2 * math.pi * i / n))
+        ring.append((x + r * math.cos(a), y + r * math.sin(a)))
+    return [ring + ring[:1]]
+
+
+def _inside(rings, x, y):
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            odd ^= (y1 > y) != (y2 > y) and x < x1 + (x2 - x1) * (y - y1) / (y2 - y1)
+    return odd
+
+
+RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+def test_shapes_of_many_sides(spark):
+    """Their cells are flat; simple and large shapes, holes and neighbours in one layer."""
+    hole = _star(500, 0.0, 0.0, 0.5)[0]
+    rows = [("star", [*_star(3000), hole]), ("hole", [hole]), ("far", _star(400, 9.0, 1.0, 0.01)), ("square", [[(-3.0, -3.0), (3.0, -3.0), (3.0, 3.0), (-3.0, 3.0)]])]
+    shapes = spark.createDataFrame(rows, f"name string, rings {RINGS}")
+    (grids,) = P.layer_grids([shapes])
+    assert any(w > 64 * h for w, h in grids) and any(w == h for w, h in grids)
+    rng = random.Random(4)
+    points = [(i, rng.uniform(-1.5, 1.5), rng.uniform(-1.5, 1.5)) for i in range(1500)]
+    points += [(2000 + i, rng.uniform(8.985, 9.015), rng.uniform(0.985, 1.015)) for i in range(300)]
+    df = spark.createDataFrame(points, "id int, lon double, lat double")
+    got = {(r["id"], r["name"]) for r in P.locate(df, shapes, ["name"]).collect()}
+    want = {(i, name) for i, x, y in points for name, rings in rows if _inside([[*r, r[0]] for r in rings], x, y)}
+    assert got == want | {(i, None) for i, _, _ in points if i not in {k for k, _ in want}}
+
+
+def test_a_cell_has_few_sides_of_a_large_shape(spark):
+    """What a point is compared with does not grow with the shape."""
+    most = {}
+    for n in (1_000, 100_000):
+        shapes = spark.createDataFrame([("star", _star(n))], f"name string, rings {RINGS}")
+        cells = P.cover(shapes, ["name"], P.layer_grids([shapes])[0])
+        r = cells.agg(F.avg(F.size("__edges")).alias("mean"), F.sum(F.size("__edges")).alias("all")).first()
+        most[n] = r["mean"]
+        assert r["all"] < 16 * n
+    assert most[100_000] < 2 * most[1_000] < 200
+
+
 def test_hexagon_edge_takes_lowest(spark):
     grid = P.HexGrid(xmin=0.0, ymax=10.0, width=2.0, cols=3, rows=3)
     df = spark.createDataFrame([(1.0, 10.0), (0.0, 10.0), (50.0, 50.0), (None, 1.0)], "x double, y double")
