@@ -238,7 +238,7 @@ def _days_between(spark: SparkSession, newest, bound: Column) -> list[str]:
     days = ["__HIVE_DEFAULT_PARTITION__"]
     if newest is not None:
         span = F.sequence(F.to_date(bound.cast("timestamp_ntz")), F.to_date(F.lit(newest).cast("timestamp").cast("timestamp_ntz")))
-        days += [r[0] for r in spark.range(1).select(F.explode(span).cast("string")).collect()]
+        days += [r[0] for r in spark.range(1).select(F.explode(F.transform(span, lambda d: d.cast("string")))).collect()]
     return days
 
 
