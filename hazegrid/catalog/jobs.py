@@ -41,15 +41,28 @@ def tag_points(spark, d):
     )
 
 
+def tag_shapes(spark, d, known, blocks=None, hexagons=None):
+    """Points with the ids of all three shape layers, without the regular grid, which needs an extent.
+
+    A point in two shapes of one layer counts for both, so every layer is joined.
+    """
+    return community.tag_points(
+        D.community_points(spark, d),
+        blocks or D.blocks(spark, d, known),
+        D.neighborhoods(spark, d, known),
+        hexagons or D.hexagons(spark, d, known),
+    )
+
+
 def tagged_points(spark, d):
     """The same written, where several tables are made from them."""
     return materialize(tag_points(spark, d))
 
 
-def by_hexagon(spark, d, tagged=None, hexagons=None):
+def by_hexagon(spark, d, tagged=None, known=None, hexagons=None):
     """Half-hour hexagon table as the daily tables read it, without its medians."""
     if tagged is None:
-        tagged = community.tag_points(D.community_points(spark, d), hexagons=hexagons or D.hexagons(spark, d))
+        tagged = tag_shapes(spark, d, known or D.sensors(spark, d), hexagons=hexagons)
     cells = A.cell_stats(tagged, "hexagon_id", "thirtymins", "value", quantiles={})
     return calendar_features(cells, "thirtymins")
 
@@ -66,9 +79,7 @@ def purpleair_daily(spark, d):
 def neighborhood_rows(spark, d, tagged=None, blocks=None, known=None):
     """Neighborhood table as the drilldowns read it, without its medians."""
     if tagged is None:
-        known = known or D.sensors(spark, d)
-        areas = D.neighborhoods(spark, d, known)
-        tagged = community.tag_points(D.community_points(spark, d), blocks or D.blocks(spark, d, known), areas)
+        tagged = tag_shapes(spark, d, known or D.sensors(spark, d), blocks)
     return community.neighborhood_table(tagged, quantiles={})
 
 
@@ -265,9 +276,10 @@ def near_networks(spark, d, hexagons):
     "sum, mean, harmful, not_harmful, harmful_hex, not_harmful_hex",
 )
 def near_sensor_daily(spark, d):
-    hexagons = D.hexagons(spark, d)
+    known = D.sensors(spark, d)
+    hexagons = D.hexagons(spark, d, known)
     return compare.near_sensor_daily(
-        by_hexagon(spark, d, hexagons=hexagons),
+        by_hexagon(spark, d, known=known, hexagons=hexagons),
         station_squares(spark, d),
         ["value_represented", "longitude", "latitude"],
         hexagons,
@@ -295,9 +307,10 @@ def address_squares(spark, d):
     "sum, mean, harmful, not_harmful, harmful_hex, not_harmful_hex",
 )
 def near_sensor_daily_purpleair(spark, d):
-    hexagons = D.hexagons(spark, d)
+    known = D.sensors(spark, d)
+    hexagons = D.hexagons(spark, d, known)
     return compare.near_sensor_daily(
-        by_hexagon(spark, d, hexagons=hexagons),
+        by_hexagon(spark, d, known=known, hexagons=hexagons),
         address_squares(spark, d),
         ["address", "lon", "lat"],
         hexagons,
@@ -317,8 +330,10 @@ def near_sensor_daily_purpleair(spark, d):
 )
 def scoped_daily_rollup(spark, d):
     """All hexagons and those near each network, rolled up together."""
-    hexagons = D.hexagons(spark, d)
-    return compare.scoped_daily_rollup(by_hexagon(spark, d, hexagons=hexagons), near_networks(spark, d, hexagons))
+    known = D.sensors(spark, d)
+    hexagons = D.hexagons(spark, d, known)
+    cells = by_hexagon(spark, d, known=known, hexagons=hexagons)
+    return compare.scoped_daily_rollup(cells, near_networks(spark, d, hexagons))
 
 
 def comparison(spark, d, aq=AQ_SUPPORT, epa=EPA_SUPPORT, pa=PA_SUPPORT):

@@ -31,7 +31,8 @@ def tag_points(
 ) -> DataFrame:
     """Points with the area ids of the layers given, half hour and level flags.
 
-    A table that reads one layer's ids needs no other layer.
+    A point in several shapes of a layer is listed for each, so a layer may be left out
+    only where its shapes do not overlap.
     """
     if dict(points.dtypes)["time"] == "string":
         points = parse_timestamps(points, ["time"])
