@@ -29,52 +29,80 @@ def random_split(
 
     The test part has ``ceil(test_size * n)`` of the ``n`` rows, however they are
     partitioned. Without a ``key`` each row is drawn for itself, equal rows too. With one
-    its distinct values are drawn, so rows of one key stay together; null is a value like
-    others. A key that is unique saves a shuffle of the rows.
+    rows of one key stay together, but for those of the few keys at the border of the two
+    parts, which are drawn each to make the size exact; null is a value like others. With
+    a key the rows are not shuffled.
     """
     if not 0 <= test_size <= 1:
         raise ValueError(f"test_size is a share, not {test_size}")
-    copies = None
+    size = f"ceil(total * {test_size!r}D)"
     if key is None:
-        df, copies, key = _numbered_copies(df), "__copy", [*df.columns, "__copy"]
-    draw = F.struct(F.xxhash64(*[named(k) for k in key], F.lit(random_state)).alias("draw"), *[named(k) for k in key])
-    drawn = df.select(draw.alias("draw")).distinct()
-    in_test = F.coalesce(draw <= _smallest(drawn, test_size), F.lit(False))
-    parts = df.where(~in_test), df.where(in_test)
-    return tuple(p.drop(copies) for p in parts) if copies else parts
+        df = _numbered_copies(df, "__copy")
+        in_test = _is_drawn(df, random_state, size)
+        return df.where(~in_test).drop("__copy"), df.where(in_test).drop("__copy")
+    bins = _leading(F.xxhash64(*[named(k) for k in key], F.lit(random_state)))
+    spot = _spot(df.select(bins.alias("bin")), size)
+    last = spot.select("bin").scalar()
+    below, within = (F.coalesce(c, F.lit(False)) for c in (bins < last, bins == last))
+    border = _numbered_copies(df.where(within), "__copy")
+    in_test = _is_drawn(border, random_state, "(SELECT place FROM {border})", border=spot)
+    return (
+        df.where(~below & ~within).union(border.where(~in_test).drop("__copy")),
+        df.where(below).union(border.where(in_test).drop("__copy")),
+    )
 
 
 #: Copies of a row that one task numbers.
 _COPIES = 100_000
 
 
-def _numbered_copies(df: DataFrame) -> DataFrame:
-    """Equal rows told apart by ``__copy``; many copies of one row are numbered by several tasks."""
+def _numbered_copies(df: DataFrame, name: str) -> DataFrame:
+    """Equal rows told apart by the column ``name``; many copies of one row are numbered by several tasks."""
     counts = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     first = F.explode(F.expr(f"sequence(0L, __n - 1, {_COPIES}L)"))
     chunks = counts.withColumn("__first", first).hint("rebalance")
     each = F.explode(F.expr(f"sequence(__first, least(__first + {_COPIES}L, __n) - 1)"))
-    return chunks.withColumn("__copy", each).drop("__n", "__first")
+    return chunks.withColumn(name, each).drop("__n", "__first")
+
+
+def _leading(hashed: Column) -> Column:
+    """The leading 20 bits of a hash."""
+    return F.shiftright(hashed, 44)
 
 
-def _smallest(drawn: DataFrame, share: float) -> Column:
-    """The last of the ``ceil(share * n)`` smallest draws, as a scalar subquery; null for none.
+def _spot(bins: DataFrame, wanted: str) -> DataFrame:
+    """``bin, place``: where the row lies that has the rank ``wanted`` by ``bin``; empty for none."""
+    counts = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.selectExpr("bin", "n", "sum(n) OVER (ORDER BY bin) AS end", "sum(n) OVER () AS total")
+    before = ends.selectExpr("bin", "end", "end - n AS start", f"{wanted} AS wanted")
+    return before.where("start < wanted AND wanted <= end").selectExpr("bin", "CAST(wanted - start AS BIGINT) AS place")
 
-    The leading digits of a draw are its bin. Bins are counted, their counts say in which
-    one the wanted draw lies and where, and only that bin's draws, one in a million of
-    all, are put in order.
+
+def _is_drawn(df: DataFrame, seed: int, wanted: str, **tables: DataFrame) -> Column:
+    """Whether a row, told from all others by its columns, is among the ``wanted`` smallest draws.
+
+    Draws are counted by their leading digits, and only those of the bin in which the
+    last one lies, one in a million, are put in order.
     """
-    return drawn.sparkSession.sql(
-        f"""
-        WITH bins AS (SELECT shiftright(draw.draw, 44) AS bin, count(*) AS n FROM {{drawn}} GROUP BY 1),
-        ends AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS end, ceil(sum(n) OVER () * {share!r}D) AS wanted FROM bins),
-        spot AS (SELECT struct(bin, wanted - (end - n) AS place) AS s FROM ends WHERE end - n < wanted AND wanted <= end),
-        met AS (SELECT draw, (SELECT s FROM spot) AS s FROM {{drawn}}),
+    values = [named(c) for c in df.columns]
+    draw = F.struct(F.xxhash64(*values, F.lit(seed)).alias("draw"), *values)
+    drawn = df.select(draw.alias("draw"))
+    last = drawn.sparkSession.sql(
+        """
+        WITH bins AS (SELECT shiftright(draw.draw, 44) AS bin, count(*) AS n FROM {drawn} GROUP BY 1),
+        ends AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS end, sum(n) OVER () AS total FROM bins),
+        asked AS (SELECT bin, n, end, """
+        + wanted
+        + """ AS wanted FROM ends),
+        spot AS (SELECT struct(bin, wanted - (end - n) AS place) AS s FROM asked WHERE end - n < wanted AND wanted <= end),
+        met AS (SELECT draw, (SELECT s FROM spot) AS s FROM {drawn}),
         ranked AS (SELECT draw, s.place AS place, row_number() OVER (ORDER BY draw) AS r FROM met
                    WHERE shiftright(draw.draw, 44) = s.bin)
         SELECT draw FROM ranked WHERE r = place""",
         drawn=drawn,
-    ).scalar()
+        **tables,
+    )
+    return F.coalesce(draw <= last.scalar(), F.lit(False))
 
 
 def split_by(df: DataFrame, in_train: Column) -> tuple[DataFrame, DataFrame]:
