@@ -129,6 +129,15 @@ def _bin(v: str) -> str:
     return f"CASE WHEN {v} IS NULL THEN NULL WHEN isnan({v}) THEN {2**31 - 1} WHEN {v} = 0 THEN 0 ELSE int(sign({v})) * {size} END"
 
 
+#: Bins of one head. Only heads, some thousands for a key, are added up in one task.
+HEAD_BITS = 10
+
+
+def _head(b: str) -> str:
+    """SQL of a bin's leading digits, which rise with it; never null, and null comes first."""
+    return f"coalesce(shiftright({b}, {HEAD_BITS}), {-(2**31)})"
+
+
 def _selected(
     rows: DataFrame,
     keys: list[str],
@@ -188,10 +197,20 @@ def _selected(
           SELECT {by}, __bin, sum(if(__v IS NULL, 0, __c)) AS __n, sum(__c) AS __rows,
                  sum(__v * __c) AS __s, min(__v) AS __lo, max(__v) AS __hi {folded}
           FROM dealt GROUP BY {by}, __bin),
+        heads AS (
+          SELECT {by}, {_head("__bin")} AS __head, sum(__n) AS __n, sum(__rows) AS __rows,
+                 sum(__s) AS __s, min(__lo) AS __lo, max(__hi) AS __hi {folded}
+          FROM bins GROUP BY {by}, {_head("__bin")}),
+        tops AS (
+          SELECT {by}, __head, {totals}, coalesce(sum(__n) OVER (
+                 PARTITION BY {by} ORDER BY __head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __under
+          FROM heads),
         placed AS (
-          SELECT *, {totals}, coalesce(sum(__n) OVER (
-                 PARTITION BY {by} ORDER BY __bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before
-          FROM bins),
+          SELECT bins.*, {', '.join(f'tops.`{name}`' for name in whole)}, __under + coalesce(sum(bins.__n) OVER (
+                 PARTITION BY {', '.join(f'bins.`{k}`' for k in groups)}, tops.__head
+                 ORDER BY bins.__bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before
+          FROM bins JOIN tops ON {' AND '.join(f'bins.`{k}` = tops.`{k}`' for k in groups)}
+                             AND {_head("bins.__bin")} = tops.__head),
         known AS (SELECT {by}, {", ".join(picks)} FROM placed GROUP BY {by}),
         asked AS (
           SELECT {by}, __bin, filter(array({", ".join(asks)}), a -> 0 <= a.rank AND a.rank < __n) AS __asks
