@@ -255,16 +255,26 @@ def group_mean_median(df: DataFrame, keys: Sequence[str], feature: str) -> DataF
     )
 
 
+#: Outcomes that may become columns without being listed.
+MOST_COLUMNS = 1000
+
+
 def group_rates(
-    df: DataFrame, keys: Sequence[str], feature: str, outcomes: Sequence
+    df: DataFrame, keys: Sequence[str], feature: str, outcomes: Sequence | None = None
 ) -> DataFrame:
     """Share of each of the listed outcomes within its group, one column per outcome, 0 if absent.
 
-    Rows with a null or another outcome stay in the denominator, as rows of the group.
+    Without a list, the outcomes are those of the table; more than ``MOST_COLUMNS`` of them
+    are an error and never reach the driver. Rows with a null or another outcome stay in the denominator, as rows of the group.
     ``group_rate_vectors`` and ``group_rates_long`` need no list and take any number of
     outcomes.
     """
     require_columns(df, [*keys, feature])
+    if outcomes is None:
+        there = df.where(F.col(feature).isNotNull()).select(feature).distinct().limit(MOST_COLUMNS + 1).collect()
+        if len(there) > MOST_COLUMNS:
+            raise ValueError(f"{feature} has more than {MOST_COLUMNS} outcomes; list them or use group_rate_vectors")
+        outcomes = sorted(r[0] for r in there)
     return (
         df.where(not_null(keys))
         .groupBy(*keys)
