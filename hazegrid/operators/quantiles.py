@@ -8,7 +8,7 @@ selection by leading digits:
   of the value that needs no look at the data, about a million bins for each factor of e.
 * Rows fold to ``(keys, bin, value, count)``, so copies combine map-side, and are dealt
   by keys *and* bin, so a hot key spreads over all tasks.
-* Only bin totals, never values, meet by key. They say which bin holds a wanted rank. A
+* Only bin totals, never values, meet by key, by leading digits of the bin first. They say which bin holds a wanted rank. A
   bin of one distinct value, as nearly all are, answers at once; only from the others
   that hold a wanted rank are values picked, where they already lie.
 
