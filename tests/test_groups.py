@@ -154,3 +154,39 @@ def test_rates_accept_unknown_outcomes(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", None), ("b", "x")], "g string, o string")
     got = keyed(A.group_rates(df, ["g"], "o"), "g")
     assert got[("a",)]["x"] == pytest.approx(1 / 3) and got[("b",)]["y"] == 0.0
+
+
+def test_small_groups_take_few_shuffles(spark, monkeypatch):
+    """Groups on both sides of the size that is sorted, and the shuffles that many small groups take."""
+    from hazegrid.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "SMALL", 40)
+    rng = random.Random(11)
+    rows = [(k, rng.choice([-0.0, 0.0, 1.5, float(k), rng.gauss(0, 9)])) for k in range(60) for _ in range(k)]
+    rows += [(3, None), (3, float("inf")), (100, None), (101, -5.0)] + [(55, None)] * 3
+    df = spark.createDataFrame(rows, "k int, v double").withColumn("w", F.col("v") * 2)
+    stats, asked = ("mean", "max", "min", "sum", "count"), {"median": 0.5, "low": 0.1, "high": 0.99}
+    carry = {"top": ("max", F.col("w")), "all": ("sum", F.lit(1))}
+    got = keyed(grouped_stats(df, ["k"], "v", stats, asked, carry), "k")
+    want = keyed(
+        df.groupBy("k").agg(
+            F.avg("v").alias("mean"), F.max("v").alias("max"), F.min("v").alias("min"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"),
+            F.count(F.lit(1)).alias("count"), *[F.expr(f"percentile(v, {p}D)").alias(n) for n, p in asked.items()],
+            F.max("w").alias("top"), F.count(F.lit(1)).alias("all"),
+        ),
+        "k",
+    )
+    assert set(got) == set(want)
+    for key, row in want.items():
+        for name, value in row.items():
+            assert got[key][name] == (value if value is None else pytest.approx(value)), (key, name)
+
+    monkeypatch.setattr(Q, "SMALL", 20_000)
+    df = grouped_stats(spark.range(9000).selectExpr("id % 3000 AS k", "double(id) AS v"), ["k"], "v")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-shuffles", "")
+    df.write.format("noop").mode("overwrite").save()
+    jobs = len(tracker.getJobIdsForGroup("few-shuffles"))
+    spark.sparkContext.setJobGroup("other", "")
+    # Adding up all bins of all groups took 13 jobs and more.
+    assert jobs <= 8
