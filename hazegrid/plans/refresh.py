@@ -128,12 +128,15 @@ def refresh_partitions(
     start, stop = load_window(row["last_updated"] or FLOOR.date(), end)
     if stop > start:
         fresh = load(start, stop)
-        for name, path in paths.items():
-            new = _window(fresh[name], day, start, stop)
+
+        def replace(name: str) -> None:
             had = _window(current[name][0], day, start, stop).select(day).distinct()
-            # At most the days of the window.
-            gone = [r[0] for r in had.join(new.select(day).distinct(), day, "left_anti").collect()]
-            replace_partitions(new, path, day, gone)
+            # At most the days of the window. Those that the load has rows for are replaced all the same.
+            gone = [r[0] for r in had.collect()]
+            replace_partitions(_window(fresh[name], day, start, stop), paths[name], day, gone)
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(replace, paths))
     return {name: spark.read.parquet(path) for name, path in paths.items()}
 
 

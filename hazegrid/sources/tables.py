@@ -34,7 +34,7 @@ def read_partition(spark: SparkSession, path: str, key: str, value) -> DataFrame
 
 
 def replace_partitions(df: DataFrame, path: str, key: str, gone: Sequence = ()) -> None:
-    """Replace the partitions that ``df`` has rows for, and drop those of the keys ``gone``.
+    """Replace the partitions that ``df`` has rows for, and drop others of the keys ``gone``.
 
     All rows are written beside the table first, where readers do not look. Only when
     that is done is anything published, a partition at a time by renaming its folder: a

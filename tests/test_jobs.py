@@ -260,3 +260,25 @@ def test_append_refuses_another_checkpoint_and_keeps_late_rows(spark):
     with pytest.raises(ValueError):
         stream = R.read_folder_stream(spark, inbox, out.schema)
         R.append_once(stream, ["k"], path, new_path(spark, "test-append-new"))
+
+
+def test_a_refresh_makes_its_load_once(spark, tmp_path):
+    """The rows of the window are computed for the write only, not to find the days that lose theirs."""
+    import datetime as dt
+
+    from hazegrid.plans import refresh
+    from hazegrid.sources import tables
+
+    days = lambda *ds: spark.createDataFrame([(dt.date(2024, 1, d), d) for d in ds], "Daily date, n int")
+    tables.write_partitioned(days(1, 2, 3), str(tmp_path / "t"), "Daily")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    fresh = days(3, 4).coalesce(1).mapInArrow(counted, "Daily date, n int")
+    done = refresh.refresh_partitions(spark, {"t": str(tmp_path / "t")}, lambda s, e: {"t": fresh}, dt.date(2024, 1, 9))
+    assert sorted(r["n"] for r in done["t"].collect()) == [1, 2, 3, 4]
+    assert made.value == 2
