@@ -255,12 +255,12 @@ def test_shapes_of_several_parts(spark):
     assert got["again"].replace(".0", "") == wkt
 
 
-def test_cells_are_listed_once_for_each_box(spark):
-    """No list of cells is made for the rows below a distinct, only to drop empty ones."""
+def test_grids_are_listed_once_for_each_box(spark):
+    """No list of grids is made for the rows below a distinct, only to drop empty ones."""
     rows = spark.range(40).selectExpr("id % 4 AS k", "double(id % 4) AS x")
     boxes = rows.distinct().select("k", G.site_box(F.col("x"), F.col("x")).alias("box"))
     rings = "array(array(struct(x, x AS y), struct(x + 1 AS x, x AS y), struct(x AS x, x + 1 AS y), struct(x, x AS y))) AS rings"
     shapes = rows.distinct().selectExpr("k AS id", rings)
-    met = P.polygons_touching(boxes, ["k"], shapes, ["id"], [1.0])
-    assert "size(sequence" not in met._jdf.queryExecution().optimizedPlan().toString()
+    met = P.polygons_touching(boxes, ["k"], shapes, ["id"], [0.25, 1.0])
+    assert "size(filter(" not in met._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["k"], r["id"]) for r in met.collect()} >= {(i, i) for i in range(4)}
