@@ -1,10 +1,11 @@
 """Token ids in Arrow files of equal-length sequences.
 
 Documents are encoded, put in ascending order of their id by a range partitioning,
-and each partition writes one Arrow file: record batches of two fixed-size-list
-columns, ``ids`` (uint16 or uint32) and ``mask`` (uint8, 0 on the padding of the last
-sequence, else 1). The files are not compressed, so a memory map gives any sequence
-without a copy. A second small file beside each holds the documents' places.
+and each partition writes one Arrow file: record batches of two columns of fixed-size
+lists, ``ids`` (uint16 or uint32) and ``mask`` (uint8, 0 on the padding of the last
+sequence, else 1). The mask's lists are run-end encoded: those of all ones are stored
+once a batch. The files are not compressed, so a memory map gives any sequence and its
+mask without a copy. A second small file beside each holds the documents' places.
 
 Special tokens are taken as ordinary text (the library's ``encode_special_tokens``): a
 document that spells one, such as an end mark, cannot put a control id into the stream.
@@ -144,7 +145,8 @@ class _Sequences:
     def __init__(self, sink, width: str, length: int):
         kind = pa.uint16() if width == "<u2" else pa.uint32()
         self.width, self.length, self.kind = width, length, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        masks = pa.run_end_encoded(pa.int32(), pa.list_(pa.uint8(), length))
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", masks)])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.parts, self.held = [], 0
 
@@ -158,12 +160,16 @@ class _Sequences:
         flat = np.concatenate(self.parts) if self.parts else np.empty(0, self.width)
         rest, flat = flat[n:], flat[:n]
         self.parts, self.held = [rest], len(rest)
-        mask = np.ones(n, np.uint8)
-        if used is not None:
-            mask[used:] = 0
+        full = (n if used is None else used) // self.length
+        ends = sorted({full, n // self.length} - {0})
+        # One list for the full sequences, one for the padded one.
+        mask = np.ones(len(ends) * self.length, np.uint8)
+        if used is not None and used < n:
+            mask[used - n :] = 0
+        masks = pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(flat, self.kind), self.length),
-            pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
+            pa.RunEndEncodedArray.from_arrays(pa.array(ends, pa.int32()), masks),
         ]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -331,8 +337,9 @@ class SequenceFile:
         at = int(np.searchsorted(self._bounds, i, "right")) - 1
         batch, k = self._batch(at), i - int(self._bounds[at])
         ids, mask = batch.column(0), batch.column(1)
-        part = slice(k * self.length, (k + 1) * self.length)
-        return ids.values.to_numpy()[part], mask.values.to_numpy()[part]
+        run = int(np.searchsorted(mask.run_ends.to_numpy(), k, "right"))
+        own, shared = (slice(j * self.length, (j + 1) * self.length) for j in (k, run))
+        return ids.values.to_numpy()[own], mask.values.values.to_numpy()[shared]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from ``start`` on, counted from the file's first."""

@@ -486,6 +486,31 @@ def test_files(spark, frame, tmp_path):
     assert empty.count() == 0 and read_token_files(empty).count() == 0
 
 
+def test_masks_take_little_room(tmp_path):
+    """Full sequences share their mask in the file; ends that fill a sequence, a batch or neither."""
+    import numpy as np
+    import pyarrow as pa
+
+    from hazegrid.llm.token_file import BATCH_SEQUENCES, SequenceFile, _Sequences
+
+    batch = 64 * BATCH_SEQUENCES
+    for n in (1, 63, 64, 65, 128, batch - 1, batch, batch + 1, 2 * batch + 70):
+        path = tmp_path / f"{n}"
+        with pa.OSFile(f"{path}.arrow", "wb") as sink:
+            sequences = _Sequences(sink, "<u2", 64)
+            for at in range(0, n, 1000):
+                sequences.add(np.arange(at, min(n, at + 1000)).astype("<u2"))
+            sequences.close()
+        with SequenceFile(f"file:{path}") as f:
+            assert len(f) == -(-n // 64)
+            ids, masks = (np.concatenate(x) for x in zip(*[f.sequence(i) for i in range(len(f))], strict=True))
+            assert masks.tolist() == [1] * n + [0] * (-n % 64)
+            assert ids[:n].tolist() == (np.arange(n) % 65536).tolist() and not ids[n:].any()
+            assert all(not x.flags.owndata for x in f.sequence(len(f) - 1))
+        # Two bytes an id; before, a third went to the mask.
+        assert path.with_suffix(".arrow").stat().st_size < 2 * len(masks) + 4096
+
+
 def test_files_in_the_default_file_system(spark, frame, tmp_path):
     """A folder without a scheme is one of Hadoop's default file system, not of each machine."""
     from hazegrid.llm.token_file import SequenceFile, read_token_files, write_token_files
