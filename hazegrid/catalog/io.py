@@ -104,13 +104,14 @@ def json_records_scan(spark, d):
 def json_records_split(spark, d):
     """All records in one payload of one file, read by several tasks."""
     path = new_path(spark, "json-payload")
-    texts = D.readings(spark, d).select("event_id", F.to_json(F.struct("event_id", "pm", "source")).alias("value"))
-    led = F.when(F.col("event_id") == texts.agg(F.min("event_id")).scalar(), '{"count": 1, "Data": [').otherwise(", ")
-    # One file on purpose: its end closes the payload.
-    ordered = texts.select("event_id", F.concat(led, "value").alias("value")).union(
-        spark.createDataFrame([(2**62, "]}")], "event_id bigint, value string")
-    )
-    ordered.coalesce(1).sortWithinPartitions("event_id").select("value").write.option("lineSep", "\n").text(path)
+    texts = D.readings(spark, d).select(F.to_json(F.struct("event_id", "pm", "source")).alias("value"))
+    # One file on purpose: it begins and ends the payload. All tasks make records; the one that writes
+    # passes them on as they come and holds none, so it only counts them to know the last.
+    place, last = F.monotonically_increasing_id(), texts.agg(F.count("*")).scalar() - 1
+    lines = texts.repartition(1).withColumn("place", place)
+    led = F.when(F.col("place") == 0, '{"count": 1, "Data": [').otherwise(", ")
+    ended = F.when(F.col("place") == last, "]}").otherwise("")
+    lines.select(F.concat(led, "value", ended).alias("value")).write.option("lineSep", "\n").text(path)
     return files.read_json_records(spark, path, "struct<event_id: bigint, pm: double, source: string>", split=True)
 
 

@@ -74,6 +74,30 @@ def test_one_payload_is_read_by_several_tasks(spark, tmp_path):
     assert [r["n"] for r in files.read_json_records(spark, str(tmp_path / "few"), kind, split=True).collect()] == [0]
 
 
+def test_one_payload_is_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """The task that writes the file holds no records; ids may repeat, and a table may be empty."""
+    from pyspark.sql import DataFrameWriter
+
+    from hazegrid.catalog.io import json_records_split
+    from hazegrid.catalog.tables import readings_of
+
+    plans, text = [], DataFrameWriter.text
+
+    def planned(self, path, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return text(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "text", planned)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for name, df, times in (("once", events, 1), ("twice", events.union(events), 2), ("none", events.limit(0), 0)):
+        df.write.parquet(str(tmp_path / name / "events.parquet"))
+        got = json_records_split(spark, str(tmp_path / name)).collect()
+        assert len(got) == events.count() * times
+        want = readings_of(df).select("event_id", "pm", "source").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len(plans) == 3 and not any("Sort" in p for p in plans)
+
+
 def test_a_payload_that_cannot_be_split_is_refused(spark, tmp_path):
     records = [{"k": 1, "list": [{"k": 2}, {"k": 3}], "n": i} for i in range(5)]
     (tmp_path / "a.json").write_text(json.dumps({"Data": records}))
