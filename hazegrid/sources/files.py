@@ -151,7 +151,7 @@ def split_records(spark: SparkSession, path: str, record: str, field: str) -> Da
     # The first piece of a file is led by what stands before the records.
     led = F.regexp_extract("value", rf'(?s)^\s*\{{.*?"{re.escape(field)}"\s*:\s*\[\s*(\{{.*)$', 1)
     first = (F.col("_metadata.file_block_start") == 0) & (led != "")
-    text = F.concat(F.when(first & ~piece.startswith(opening), led).otherwise(F.concat(F.lit(opening), piece)), F.lit("}"))
+    text = F.concat(F.when(first, led).otherwise(F.concat(F.lit(opening), piece)), F.lit("}"))
     # What follows a record, as the last one's end of the payload, is not read.
     pieces = spark.read.text(path, lineSep=between).where(F.trim("value") != "")
     parsed = pieces.select(F.from_json(text, typed, {"columnNameOfCorruptRecord": "__broken"}).alias("r"), piece.alias("p"))
