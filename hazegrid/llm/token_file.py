@@ -15,12 +15,17 @@ distinct one is encoded once in a table that a worker's tasks share. The texts a
 ordered first and encoded where their file is written, so ids never move. A file gets
 its final name when it is complete, so a task that runs again after the loss of an
 executor replaces what it has written.
+
+Where Arrow has no access to the folder's file system (viewfs, or HDFS without its native
+client) but Spark has, the same files are written and read by Spark: a file's bytes are
+then one row, less than 2 GB of them, which ``files`` can see to.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -139,6 +144,22 @@ def _open(uri: str):
 _SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
 
 
+def _reached(uri: str) -> bool:
+    """Whether Arrow has access to a URI's file system."""
+    try:
+        system, path = _open(uri)
+        system.get_file_info(path)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
+#: A part's files: its sequences, and the places of its documents.
+KINDS = ("arrow", "docs")
+#: What Arrow files end with. Spark's writer of text puts it behind each row.
+_MAGIC = "ARROW1"
+
+
 class _Sequences:
     """Writes ids one after the other as sequences of one length."""
 
@@ -195,13 +216,13 @@ def write_token_files(
     """Write the files; returns their manifest: ``file``, ``part``, ``n_docs``, ``n_ids``, ``first_id``.
 
     ``folder`` is a URI, or a path of Hadoop's default file system, that all executors
-    reach and Arrow can write to. There are ``files`` files, or as many as the session has shuffle partitions. A null
-    or empty text is the end id alone. Null ids come first; documents of one
-    id stand in any order beside each other, each of them once. An empty table gives
-    an empty manifest.
+    reach; by default one below the session's shared folder. There are ``files`` files,
+    or as many as the session has shuffle partitions. A null or empty text is the end id
+    alone. Null ids come first; documents of one id stand in any order beside each other,
+    each of them once. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    folder = qualified(spark, folder or new_path(spark, "token-files"))
+    folder = qualified(spark, folder) if folder else qualified(spark, new_path(spark, "token-files"), shared=True)
     files = files or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Beside the id, a hash keeps many documents of one id from meeting in one file.
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
@@ -212,28 +233,19 @@ def write_token_files(
          T.StructField("first_id", id_type)]
     )
 
-    def run(batches):
-        import uuid
-
-        from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_schema
-
+    def encoded(batches, sink_of: Callable[[str], object]):
+        """Write a part's files; their documents, ids and first id, or None without documents."""
         table = token_table(tokenizer, pattern)
-        part = TaskContext.get().partitionId()
-        system, base = _open(folder)
-        system.create_dir(base, recursive=True)
-        own = f"{base}/.{part}-{uuid.uuid4().hex}"
         width = table.width
         last = np.array([end], width).tobytes()
         sequences, places, at, n_docs, first = None, None, 0, 0, None
         for batch in batches:
             for rows in pieces(batch):
                 if sequences is None:
-                    sink = system.open_output_stream(f"{own}.arrow")
-                    sequences = _Sequences(sink, width, length)
+                    sinks = [sink_of(kind) for kind in KINDS]
+                    sequences = _Sequences(sinks[0], width, length)
                     place_schema = pa.schema([("id", rows.schema.field(0).type), ("start", pa.int64()), ("n", pa.int64())])
-                    place_sink = system.open_output_stream(f"{own}.docs")
-                    places = pa.ipc.new_file(place_sink, place_schema)
+                    places = pa.ipc.new_file(sinks[1], place_schema)
                     first = rows.column(0)[0]
                 starts, counts = [], []
                 for value in strings(rows, "text"):
@@ -246,18 +258,85 @@ def write_token_files(
                 columns = [rows.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())]
                 places.write_batch(pa.RecordBatch.from_arrays(columns, schema=place_schema))
         if sequences is None:
-            return
+            return None
         for writer in (sequences, places):
             writer.close()
-        for s in (sink, place_sink):
+        for s in sinks:
             s.close()
-        for kind_of in ("arrow", "docs"):
-            system.move(f"{own}.{kind_of}", f"{base}/part-{part:06d}.{kind_of}")
-        row = [[f"{folder}/part-{part:06d}"], [part], [n_docs], [at], [first.as_py()]]
-        target = to_arrow_schema(manifest)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(row, target, strict=True)], schema=target)
+        return n_docs, at, first.as_py()
+
+    def run(batches):
+        import uuid
+
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        system, base = _open(folder)
+        system.create_dir(base, recursive=True)
+        own = f"{base}/.{part}-{uuid.uuid4().hex}"
+        made = encoded(batches, lambda kind: system.open_output_stream(f"{own}.{kind}"))
+        if made is None:
+            return
+        for kind in KINDS:
+            system.move(f"{own}.{kind}", f"{base}/part-{part:06d}.{kind}")
+        yield _row(manifest, [f"{folder}/part-{part:06d}", part, *made])
+
+    if _reached(folder):
+        return staged(map_arrow(ordered, run, manifest), "token-manifest")
+
+    def run_to_rows(batches):
+        from pyspark import TaskContext
+
+        sinks: dict[str, pa.BufferOutputStream] = {}
+        if encoded(batches, lambda kind: sinks.setdefault(kind, pa.BufferOutputStream())) is None:
+            return
+        for kind in KINDS:
+            content = sinks.pop(kind).getvalue()
+            yield _row(contents, [kind, TaskContext.get().partitionId(), content[: len(content) - len(_MAGIC)].to_pybytes()])
+
+    contents = T.StructType([field("kind", "string"), field("part", "int"), field("value", "binary")])
+    parts = map_arrow(ordered, run_to_rows, contents).withColumn("value", F.col("value").cast("string"))
+    return _written_by_spark(parts, folder, manifest)
+
+
+def _row(schema: T.StructType, values: list) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, target, strict=True)], schema=target)
 
-    return staged(map_arrow(ordered, run, manifest), "token-manifest")
+
+def _written_by_spark(parts: DataFrame, folder: str, manifest: T.StructType) -> DataFrame:
+    """Write the files' bytes (``kind``, ``part``, ``value``) to a file system that only Spark has access to."""
+    import uuid
+
+    spark = parts.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    own = f"{folder}/.{uuid.uuid4().hex}"
+    parts.write.option("lineSep", _MAGIC).option("compression", "none").partitionBy("kind", "part").text(own)
+    system = hadoop.Path(own).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(hadoop.Path(f"{own}/kind=docs")):
+        system.delete(hadoop.Path(own), True)
+        return spark.createDataFrame([], manifest)
+
+    def run(batches):
+        for batch in batches:
+            for part, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                places = pa.ipc.open_file(content.as_buffer()).read_all()
+                n_ids, first = int(places["n"].to_numpy().sum()), places["id"][0].as_py()
+                yield _row(manifest, [f"{folder}/part-{part:06d}", part, len(places), n_ids, first])
+
+    docs = spark.read.format("binaryFile").load(f"{own}/kind=docs").select(F.col("part").cast("int"), "content")
+    found = staged(map_arrow(docs, run, manifest), "token-manifest")
+    for kind in KINDS:
+        for at in system.listStatus(hadoop.Path(f"{own}/kind={kind}")):
+            part = int(at.getPath().getName().partition("=")[2])
+            to = hadoop.Path(f"{folder}/part-{part:06d}.{kind}")
+            system.delete(to, False)  # of an earlier run
+            if not system.rename(system.listStatus(at.getPath())[0].getPath(), to):
+                raise OSError(f"{to} could not be written")
+    system.delete(hadoop.Path(own), True)
+    return found
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -269,44 +348,74 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = manifest.withColumn("offset", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    # A number of its own keeps adaptive execution from reading all files in one task.
-    files = files.select("file", "offset", "part").repartitionByRange(max(1, manifest.count()), "part")
+    n_files = max(1, manifest.count())
     schema = T.StructType(
         [T.StructField("id", manifest.schema["first_id"].dataType), field("start", "bigint"),
          field("n_tokens", "bigint"), field("ids_crc32", "bigint")]
     )
 
-    def run(batches):
+    def documents(sequences: SequenceFile, offset: int):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
+        for places in sequences.documents():
+            starts = places.column(1).to_numpy()
+            counts = places.column(2).to_numpy()
+            sums = [
+                zlib.crc32(sequences.ids(int(s), int(n)).astype("<u4").tobytes())
+                for s, n in zip(starts, counts, strict=True)
+            ]
+            columns = [
+                places.column(0).cast(target.field(0).type), pa.array(starts + offset),
+                pa.array(counts), pa.array(sums, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 with SequenceFile(row["file"]) as sequences:
-                    for places in sequences.documents():
-                        starts = places.column(1).to_numpy()
-                        counts = places.column(2).to_numpy()
-                        sums = [
-                            zlib.crc32(sequences.ids(int(s), int(n)).astype("<u4").tobytes())
-                            for s, n in zip(starts, counts, strict=True)
-                        ]
-                        columns = [
-                            places.column(0).cast(target.field(0).type), pa.array(starts + row["offset"]),
-                            pa.array(counts), pa.array(sums, pa.int64()),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, schema=target)
-
-    return map_arrow(files, run, schema)
+                    yield from documents(sequences, row["offset"])
+
+    def run_on_rows(batches):
+        held = {}  # a part's files stand beside each other
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                held[row["kind"].as_py()] = row["content"].as_buffer()
+                if row["kind"].as_py() == KINDS[-1]:
+                    with SequenceFile(row["file"].as_py(), held) as sequences:
+                        yield from documents(sequences, row["offset"].as_py())
+                    held = {}
+
+    some = manifest.select("file").first()
+    if some is None or _reached(some.file):
+        # A number of its own keeps adaptive execution from reading all files in one task.
+        return map_arrow(files.select("file", "offset", "part").repartitionByRange(n_files, "part"), run, schema)
+    folders = [r.folder for r in manifest.select(F.regexp_extract("file", "^(.*)/", 1).alias("folder")).distinct().collect()]
+    stored = manifest.sparkSession.read.format("binaryFile").option("pathGlobFilter", f"part-*.{{{','.join(KINDS)}}}").load(folders)
+    name, kind = (F.regexp_extract("path", r"^(.*)\.(\w+)$", i) for i in (1, 2))
+    stored = stored.select(name.alias("file"), kind.alias("kind"), "content")
+    met = stored.join(F.broadcast(files.select("file", "offset")), "file").repartition(n_files, "file")
+    return map_arrow(met.sortWithinPartitions("file", "kind"), run_on_rows, schema)
 
 
 class SequenceFile:
-    """Random access to one file: sequences and masks by number, ids by place."""
+    """Random access to one file: sequences and masks by number, ids by place.
+
+    ``contents`` has the bytes of its two files where Arrow cannot open them.
+    """
 
-    def __init__(self, file: str):
-        system, path = _open(file)
-        self._system, self._path = system, path
-        local = system.type_name == "local"
-        self._source = pa.memory_map(f"{path}.arrow") if local else system.open_input_file(f"{path}.arrow")
+    def __init__(self, file: str, contents: dict[str, pa.Buffer] | None = None):
+        if contents is None:
+            system, path = _open(file)
+            local = system.type_name == "local"
+            self._source = pa.memory_map(f"{path}.arrow") if local else system.open_input_file(f"{path}.arrow")
+            self._places = lambda: system.open_input_file(f"{path}.docs")
+        else:
+            local = True
+            self._source = pa.BufferReader(contents["arrow"])
+            self._places = lambda: pa.BufferReader(contents["docs"])
         reader = pa.ipc.open_file(self._source)
         self.length = reader.schema.field("ids").type.list_size
         self._batches = [reader.get_batch(i) for i in range(reader.num_record_batches)] if local else None
@@ -355,7 +464,7 @@ class SequenceFile:
 
     def documents(self):
         """Batches of ``id``, ``start``, ``n``."""
-        with self._system.open_input_file(f"{self._path}.docs") as f:
+        with self._places() as f:
             reader = pa.ipc.open_file(f)
             for i in range(reader.num_record_batches):
                 yield reader.get_batch(i)

@@ -532,6 +532,45 @@ def test_files_in_the_default_file_system(spark, frame, tmp_path):
         spark._jsc.hadoopConfiguration().set("fs.defaultFS", default)
 
 
+def test_files_where_only_spark_has_access(spark, frame, tmp_path):
+    """Arrow cannot open viewfs; the files are the same as those of a local folder."""
+    from hazegrid.llm.token_file import SequenceFile, read_token_files, write_token_files
+
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./in", f"file://{tmp_path}")
+
+    def made(rows, folder):
+        manifest = write_token_files(frame(rows), BYTES, public_tokenizers.PATTERN, length=64, folder=folder, files=3)
+        read = read_token_files(manifest)
+        return read.dtypes, sorted(map(repr, read.collect())), sorted(manifest.drop("file").collect(), key=lambda r: r.part)
+
+    rows = [(i, f"{i} words and \u00e4\u4e16 " * (i % 50)) for i in range(300)] + [(None, "no id"), (7, None)]
+    want = made(rows, f"file:{tmp_path}/local")
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store/part-000009.arrow").write_text("not of this run")
+    for _ in range(2):  # the second run replaces the files of the first
+        assert made(rows, "viewfs://tokens/in/store") == want
+    files = [f"part-{r.part:06d}.{kind}" for r in want[2] for kind in ("arrow", "docs")]
+    found = {f.name for f in (tmp_path / "store").iterdir() if not f.name.endswith(".crc")}
+    assert found == {*files, "part-000009.arrow"} and len(files) == 6
+    for name in files:
+        assert (tmp_path / "store" / name).read_bytes() == (tmp_path / "local" / name).read_bytes()
+    with SequenceFile(f"file:{tmp_path}/store/part-000000") as f:
+        assert not f.sequence(0)[0].flags.owndata
+    assert made([], "viewfs://tokens/in/none") == (want[0], [], [])
+
+
+def test_files_below_the_shared_folder_of_a_cluster(spark, frame, tmp_path, monkeypatch):
+    """What everything else is staged in serves the files too; another folder of one machine is refused."""
+    from hazegrid.llm.token_file import read_token_files, write_token_files
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr("hazegrid.session.shared_folder", lambda spark: f"{tmp_path}/shared")
+    manifest = write_token_files(frame([(1, "a b"), (2, None)]), BYTES, public_tokenizers.PATTERN)
+    assert read_token_files(manifest).count() == 2
+    with pytest.raises(RuntimeError, match="one machine"):
+        write_token_files(frame([(1, "a b")]), BYTES, public_tokenizers.PATTERN, folder=f"{tmp_path}/own")
+
+
 # -- embeddings
 
 
